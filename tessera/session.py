@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
-import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,13 +26,18 @@ def build_session(app: str = "tessera", master: str | None = None, shuffle_parti
     )
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where that is unset (tests, one machine) an own temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        weakref.finalize(spark, shutil.rmtree, found, True)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="tessera-")
+            atexit.register(shutil.rmtree, _own[app], True)
+        found = _own[app]
     return found.rstrip("/")
 
 
