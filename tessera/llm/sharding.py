@@ -23,7 +23,9 @@ from pyspark.sql import types as T
 from tessera.llm.columns import without
 
 OVERHEAD = 16
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
+#: Buckets whose offsets are summed in one task.
+RUN = 4096
 
 
 def _fisher_yates(seed: int):
@@ -46,13 +48,14 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_
     key = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), text)
     dealt = docs.withColumn("size", (F.octet_length(text) + OVERHEAD).cast("long")).withColumn("text_crc32", F.crc32(text)).withColumn("__key", key).withColumn("__bucket", F.pmod(F.col("__key"), F.lit(n)).cast("int"))
 
-    counts = docs.select(F.pmod(key, F.lit(n)).cast("int").alias("__bucket")).groupBy("__bucket").count()
-    before = W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    # one row for each bucket of 16 MB: some MB for 100 TB
-    offsets = counts.select("__bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__offset"))
+    # offsets are summed within runs of buckets, then over the runs: no task holds a row for every bucket
+    counts = docs.select(F.pmod(key, F.lit(n)).cast("int").alias("__bucket")).groupBy("__bucket").count().withColumn("__run", F.floor(F.col("__bucket") / RUN))
+    before = W.partitionBy("__run").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+    runs = counts.groupBy("__run").agg(F.sum("count").alias("all")).select("__run", F.coalesce(F.sum("all").over(W.orderBy("__run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    offsets = counts.withColumn("inside", F.coalesce(F.sum("count").over(before), F.lit(0))).join(runs, "__run").select("__bucket", (F.col("base") + F.col("inside")).alias("__offset"))
 
-    schema = T.StructType([*dealt.schema.fields, T.StructField("__place", T.LongType())])
-    placed = dealt.groupBy("__bucket").applyInArrow(_fisher_yates(seed), schema).join(F.broadcast(offsets), "__bucket")
+    schema = T.StructType([*dealt.schema.fields, T.StructField("__offset", T.LongType()), T.StructField("__place", T.LongType())])
+    placed = dealt.join(offsets, "__bucket").select(*dealt.columns, "__offset").groupBy("__bucket").applyInArrow(_fisher_yates(seed), schema)
     place = F.col("__offset") + F.col("__place")
     return (
         placed.withColumn("law", F.lit("rows"))
