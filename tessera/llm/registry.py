@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, langid, lm, mixing, packing, sharding, simhash, substrings
+from tessera.llm import ann, langid, lm, mixing, packing, pii, sharding, simhash, substrings
 from tessera.llm import exact_dedup as ed
 from tessera.llm.columns import crc_mod
 from tessera.session import table
@@ -42,6 +42,12 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    counts = [pii.count_of(F.col("found"), k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.spans_text(F.col("found"), 4), 256).alias("base_sha256"), pii.spans_text(F.col("found")).alias("spans"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shuffle_into_shards(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
