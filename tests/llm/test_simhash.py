@@ -70,9 +70,25 @@ def test_awkward(spark):
 
 def test_large_groups_are_dealt(spark):
     docs = corpus(spark)
-    distinct = S.simhash(docs).select("fp").distinct()
+    distinct = S.simhash(docs).select("node", "fp").distinct()
     from tessera.operators.graph import connected_components
 
     whole = connected_components(S.links(distinct, 4)).collect()
     dealt = connected_components(S.links(distinct, 4, group=3)).collect()
     assert whole and sorted(whole) == sorted(dealt)
+
+
+def test_wide_fingerprints_drop_similar_texts(spark):
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(3000)}" for _ in range(300)] for _ in range(40)]
+    rows = []
+    for i, t in enumerate(base):
+        near, far = list(t), list(t)
+        for k in rng.sample(range(300), 4):
+            near[k] = "changed"
+        for k in rng.sample(range(300), 90):
+            far[k] = f"x{k}"
+        rows += [(i, " ".join(t), "en", "s", 0), (100 + i, " ".join(near), "en", "s", 0), (200 + i, " ".join(far), "en", "s", 0)]
+    kept = {r.doc_id for r in S.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert set(range(40)) | set(range(200, 240)) <= kept and len([k for k in kept if 100 <= k < 200]) <= 1
+    assert S.drop_near_duplicates(awkward(spark)).columns == awkward(spark).columns
