@@ -21,21 +21,23 @@ def best_matches(a: DataFrame, b: DataFrame, threshold: float = 0.7, k: int = 1,
     ``b`` is a dictionary of a model. It is cut in blocks of ``block`` vectors; every block meets ``a`` as one matrix
     product a batch, and the best of all blocks are chosen last, so no task holds more than a block."""
     n = max(1, -(-b.count() // block))
-    dealt = b.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    rows = a.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64)).cast("int"))
+    # new names: both sides may come from one table
+    a, b = a.select(F.col("id").alias("a_id"), F.col("vec").alias("a_vec")), b.select(F.col("id").alias("b_id"), F.col("vec").alias("b_vec"))
+    dealt = b.withColumn("block", F.pmod(F.xxhash64("b_id"), F.lit(n)).cast("int"))
+    rows = a.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("part", F.pmod(F.xxhash64("a_id"), F.lit(64)).cast("int"))
     dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63))))
 
-    def unit(t: pa.Table) -> np.ndarray:
-        v = np.array(t.column("vec").to_pylist(), float)
+    def unit(t: pa.Table, name: str) -> np.ndarray:
+        v = np.array(t.column(name).to_pylist(), float)
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
     def match(left: pa.Table, right: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
         if left.num_rows and right.num_rows:
-            right = right.sort_by("id")
-            ids, cos = right.column("id").to_numpy(), unit(left) @ unit(right).T
+            right = right.sort_by("b_id")
+            ids, cos = right.column("b_id").to_numpy(), unit(left, "a_vec") @ unit(right, "b_vec").T
             best = np.argsort(-np.abs(cos), axis=1, kind="stable")[:, :k]
-            for i, key in enumerate(left.column("id").to_pylist()):
+            for i, key in enumerate(left.column("a_id").to_pylist()):
                 for j in best[i]:
                     if abs(cos[i, j]) >= threshold:
                         out[0].append(key), out[1].append(int(ids[j])), out[2].append(float(cos[i, j]))
