@@ -1,2 +1,160 @@
-"""placeholder"""
-QUERIES, SQL = {}, {}
+"""Queries on documents as cells and tokens as genes: enrichment, edges, term weights, rank and value tokens."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import enrich, serve, tokenize, train
+from tessera.plans.book import book
+from tessera.plans.features import FISHER, round_doubles
+from tessera.plans.graphs import TOPTOK, top_tokens
+from tessera.session import table
+from tessera.sources.tables import document_tokens, expression, gene_sets, genes
+
+QUERIES, SQL, query = book()
+
+TERMS = TOPTOK + """,
+sets AS (SELECT source, upper(token) AS gene FROM (SELECT source, token, count(*) AS n FROM top JOIN documents USING (doc_id) GROUP BY source, token
+         QUALIFY row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, token) <= 60)),
+terms AS (SELECT 'lang' AS ontology, lang AS term, upper(token) AS gene FROM (SELECT lang, token, count(*) AS n FROM top JOIN documents USING (doc_id) GROUP BY lang, token
+         QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, token) <= 100)
+         UNION SELECT 'letter', substr(token, 1, 1), upper(token) FROM top),
+bg AS (SELECT DISTINCT gene FROM sets),
+tb AS (SELECT DISTINCT ontology, term, gene FROM terms SEMI JOIN bg USING (gene)),
+ov AS (SELECT source, ontology, term, count(*) AS n_overlap FROM sets JOIN tb USING (gene) GROUP BY ALL HAVING count(*) >= 2),
+t AS (SELECT ov.*, set_size, term_size, background, n_overlap AS a, set_size - n_overlap AS b, term_size - n_overlap AS c, background - set_size - term_size + n_overlap AS d
+      FROM ov JOIN (SELECT source, count(*) AS set_size FROM sets GROUP BY source) USING (source) JOIN (SELECT ontology, term, count(*) AS term_size FROM tb GROUP BY ontology, term) USING (ontology, term), (SELECT count(*) AS background FROM bg)),
+p AS (SELECT *, """ + FISHER + """ AS p FROM t),
+r AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, source, ontology, term) AS raw FROM p),
+tests AS (SELECT source, ontology, term, n_overlap, set_size, term_size, p AS p_value, least(1.0, min(raw) OVER (ORDER BY p DESC, source DESC, ontology DESC, term DESC ROWS UNBOUNDED PRECEDING)) AS p_adjusted,
+          CASE WHEN b > 0 AND c > 0 THEN a * d / CAST(b * c AS DOUBLE) END AS odds_ratio FROM r)"""
+
+
+def _sets(spark, sf_dir):
+    from tessera.operators.catalog import top_k
+
+    top = top_tokens(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
+    common = lambda by, k: top_k(top.groupBy(by, "token").agg(F.count("*").alias("n")), [by], [F.desc("n"), "token"], k)
+    sets = common("source", 60).select("source", F.col("token").alias("gene"))
+    terms = common("lang", 100).select(F.lit("lang").alias("ontology"), F.col("lang").alias("term"), F.col("token").alias("gene"))
+    terms = terms.unionByName(top.select(F.lit("letter").alias("ontology"), F.substring("token", 1, 1).alias("term"), F.col("token").alias("gene")))
+    return sets, terms
+
+
+def _tests(spark, sf_dir):
+    sets, terms = _sets(spark, sf_dir)
+    return enrich.enrichment(sets, terms, ["source"], [], 2)
+
+
+@query(TERMS + " SELECT source, ontology, term, n_overlap, set_size, term_size, round(p_value, 9) AS p_value, round(p_adjusted, 9) AS p_adjusted, round(odds_ratio, 6) AS odds_ratio, p_adjusted <= 0.05 AS significant FROM tests")
+def set_enrichment(spark, sf_dir):
+    t = _tests(spark, sf_dir)
+    return t.select("source", "ontology", "term", "n_overlap", "set_size", "term_size", F.round("p_value", 9).alias("p_value"), F.round("p_adjusted", 9).alias("p_adjusted"), F.round("odds_ratio", 6).alias("odds_ratio"), "significant")
+
+
+@query(TERMS + " SELECT ontology, count(*) AS n_tests, CAST(sum((p_adjusted <= 0.05)::INT) AS BIGINT) AS n_significant, count(DISTINCT CASE WHEN p_adjusted <= 0.05 THEN source END) AS n_annotated FROM tests GROUP BY ontology")
+def enrichment_by_ontology(spark, sf_dir):
+    return _tests(spark, sf_dir).groupBy("ontology").agg(F.count("*").alias("n_tests"), F.count_if("significant").alias("n_significant"), F.countDistinct(F.when(F.col("significant"), F.col("source"))).alias("n_annotated"))
+
+
+@query(
+    TOPTOK + """,
+e AS (SELECT DISTINCT least(upper(a.token), upper(b.token)) AS a, greatest(upper(a.token), upper(b.token)) AS b FROM top a JOIN top b ON a.doc_id = b.doc_id AND b.rank = a.rank + 1 WHERE a.doc_id % 2 = 0 AND a.token <> b.token),
+s AS (SELECT DISTINCT doc_id, upper(token) AS gene FROM top WHERE doc_id % 2 = 1), sz AS (SELECT doc_id, count(*) AS set_size FROM s GROUP BY doc_id HAVING count(*) >= 3)
+SELECT x.doc_id, set_size, count(*) AS n_within, CAST(set_size * (set_size - 1) // 2 AS BIGINT) AS n_possible, round(count(*) / (set_size * (set_size - 1) / 2), 6) AS density
+FROM s x JOIN e ON x.gene = e.a JOIN s y ON y.gene = e.b AND y.doc_id = x.doc_id JOIN sz ON sz.doc_id = x.doc_id GROUP BY x.doc_id, set_size"""
+)
+def edge_enrichment(spark, sf_dir):
+    """Tokens next to each other in the ranking of even documents are edges; odd documents are the sets."""
+    top = top_tokens(spark, sf_dir)
+    nxt = top.select("doc_id", (F.col("rank") - 1).alias("rank"), F.col("token").alias("b"))
+    edges = top.where("doc_id % 2 = 0").select("doc_id", "rank", F.col("token").alias("a")).join(nxt, ["doc_id", "rank"]).select("a", "b")
+    sets = top.where("doc_id % 2 = 1").select("doc_id", F.col("token").alias("gene"))
+    return round_doubles(enrich.edge_enrichment(sets, edges, ["doc_id"]))
+
+
+@query(
+    TOPTOK + """,
+n AS (SELECT count(DISTINCT doc_id) AS n FROM top), df AS (SELECT token, count(*) AS df FROM top GROUP BY token),
+raw AS (SELECT doc_id, token, 1 * (ln((1 + n) / (1 + df)) + 1) AS raw FROM top JOIN df USING (token), n),
+len AS (SELECT doc_id, sqrt(sum(raw * raw)) AS len FROM raw GROUP BY doc_id)
+SELECT doc_id, token, round(raw / len, 6) AS weight FROM raw JOIN len USING (doc_id)"""
+)
+def term_weights(spark, sf_dir):
+    return round_doubles(train.tf_idf(top_tokens(spark, sf_dir), "doc_id", "token"))
+
+
+MEDIAN = "med AS (SELECT p_partkey AS gene_id, coalesce(m, 1.0) AS median FROM part LEFT JOIN (SELECT l_partkey, median(l_quantity) AS m FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey)"
+EXPR = "ex AS (SELECT l_orderkey AS cell_id, l_partkey AS gene_id, sum(l_quantity) AS value FROM lineitem GROUP BY ALL)"
+
+
+@query("WITH " + MEDIAN + " SELECT p_name AS gene_name, gene_id, median FROM med JOIN part ON p_partkey = gene_id")
+def gene_dictionary(spark, sf_dir):
+    return genes(spark, sf_dir).select("gene_name", "gene_id", "median")
+
+
+@query(
+    "WITH " + MEDIAN + "," + EXPR + """,
+nm AS (SELECT *, ln(1 + value / sum(value) OVER (PARTITION BY cell_id) * 1e4) AS norm FROM ex),
+sc AS (SELECT cell_id, gene_id, CASE WHEN median <> 0 THEN norm / median ELSE 0 END AS score FROM nm JOIN med USING (gene_id) WHERE value > 0),
+rk AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY score DESC, gene_id) AS r FROM sc)
+SELECT cell_id, count(*) AS n_genes, '2,' || string_agg(gene_id, ',' ORDER BY r) || ',3' AS tokens FROM rk WHERE r <= 2046 GROUP BY cell_id"""
+)
+def rank_tokens(spark, sf_dir):
+    t = tokenize.rank_tokens(expression(spark, sf_dir), genes(spark, sf_dir))
+    return t.select("cell_id", "n_genes", F.array_join(F.transform("tokens", lambda x: x.cast("string")), ",").alias("tokens"))
+
+
+@query(
+    "WITH " + EXPR + """,
+rk AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY value DESC, gene_id) AS r FROM ex WHERE value > 0 AND gene_id % 3 <> 0)
+SELECT cell_id, count(*) AS n, string_agg(gene_id, ',' ORDER BY r) || repeat(',0', CAST(6 - count(*) AS INT)) AS ids, count(*) AS n_mask FROM rk WHERE r <= 6 GROUP BY cell_id"""
+)
+def value_tokens(spark, sf_dir):
+    known = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("gene_id")).where("gene_id % 3 <> 0")
+    t = tokenize.value_tokens(expression(spark, sf_dir), known, 6)
+    return t.select("cell_id", "n", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), F.aggregate("mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_mask"))
+
+
+@query("WITH " + EXPR + ", n AS (SELECT cell_id, count(*) AS n FROM ex GROUP BY cell_id) SELECT cell_id, n, CAST(coalesce(sum(n) OVER (ORDER BY cell_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM n")
+def write_offsets(spark, sf_dir):
+    n = expression(spark, sf_dir).groupBy("cell_id").agg(F.count("*").alias("n"))
+    return tokenize.write_offsets(n)
+
+
+@query("SELECT CAST(p_brand AS VARCHAR) AS term, 'brand' AS ontology, count(*) AS n FROM part GROUP BY p_brand HAVING count(*) BETWEEN 5 AND 500 UNION ALL SELECT p_type, 'type', count(*) FROM part GROUP BY p_type HAVING count(*) BETWEEN 5 AND 500 UNION ALL SELECT 'size_' || CAST(floor(p_size / 10) AS INT), 'size', count(*) FROM part GROUP BY floor(p_size / 10) HAVING count(*) BETWEEN 5 AND 500")
+def gene_set_sizes(spark, sf_dir):
+    return gene_sets(spark, sf_dir).groupBy("term", "ontology").agg(F.count("*").alias("n")).where(F.col("n").between(5, 500))
+
+
+@query(TOPTOK + " SELECT lang, count(DISTINCT token) AS n_tokens, CAST(sum(n) AS BIGINT) AS total FROM tok GROUP BY lang")
+def tokens_by_language(spark, sf_dir):
+    return document_tokens(spark, sf_dir).groupBy("lang").agg(F.countDistinct("token").alias("n_tokens"), F.sum("n").alias("total"))
+
+
+@query(
+    TERMS + """, a AS (SELECT source, count(*) FILTER (p_adjusted <= 0.05) AS n FROM tests WHERE ontology = 'lang' GROUP BY source), b AS (SELECT source, count(*) FILTER (p_adjusted <= 0.05) AS n FROM tests WHERE ontology = 'letter' GROUP BY source)
+SELECT source, a.n AS n_lang, b.n AS n_letter, CASE WHEN b.n / 20 - a.n / 4 >= 0.1 THEN 'better' WHEN b.n / 20 - a.n / 4 >= 0.02 THEN 'slightly better' WHEN b.n / 20 - a.n / 4 > -0.02 THEN 'same' WHEN b.n / 20 - a.n / 4 > -0.1 THEN 'slightly worse' ELSE 'worse' END AS verdict FROM a JOIN b USING (source)"""
+)
+def head_to_head(spark, sf_dir):
+    """Two analyses compared on the sources that both cover."""
+    t = _tests(spark, sf_dir)
+    side = lambda o, name: t.where(F.col("ontology") == o).groupBy("source").agg(F.count_if("significant").alias(name))
+    both = side("lang", "n_lang").join(side("letter", "n_letter"), "source")
+    return both.select("source", "n_lang", "n_letter", serve.verdict(F.col("n_lang") / 4, F.col("n_letter") / 20).alias("verdict"))
+
+
+@query(
+    TERMS + """, m AS (SELECT source, max(CASE WHEN p_adjusted <= 0.05 THEN 1 ELSE 0 END) AS hit, count(*) FILTER (p_adjusted <= 0.05) AS n FROM tests GROUP BY source)
+SELECT substr(source, 4, 1) = '1' AS aligned, count(*) AS n_sources, round(avg(hit), 6) AS annotated_rate, round(avg(n), 6) AS mean_enrichments FROM m GROUP BY substr(source, 4, 1) = '1'"""
+)
+def rates_by_group(spark, sf_dir):
+    t = _tests(spark, sf_dir).groupBy("source").agg(F.max(F.col("significant").cast("int")).alias("hit"), F.count_if("significant").alias("n"))
+    return round_doubles(t.groupBy((F.substring("source", 4, 1) == "1").alias("aligned")).agg(F.count("*").alias("n_sources"), F.avg("hit").alias("annotated_rate"), F.avg("n").alias("mean_enrichments")))
+
+
+@query(TERMS + " SELECT DISTINCT term FROM tests WHERE ontology = 'letter' AND source IN ('src0', 'src1') EXCEPT SELECT term FROM tests WHERE ontology = 'letter' AND source NOT IN ('src0', 'src1') AND p_adjusted <= 0.05")
+def exclusive_terms(spark, sf_dir):
+    t = _tests(spark, sf_dir).where("ontology = 'letter'")
+    own = F.col("source").isin("src0", "src1")
+    return t.where(own).select("term").distinct().subtract(t.where(~own & F.col("significant")).select("term"))
