@@ -32,10 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.words import Words, window_hashes, words
+from tessera.llm.words import Words, mix, window_hashes, words
 
 BUCKET_BYTES = 8 << 20
-SHARD_PHRASES = 60_000
+SHARD_PHRASES = 20_000
+BASE = 32
 SEQ = 40
 
 u64 = np.uint64
@@ -85,33 +86,50 @@ def _seeds(window: int, seed: int):
     return run
 
 
+def runs_of(flag: np.ndarray, least: int) -> np.ndarray:
+    """``flag`` without its runs of fewer than ``least`` trues."""
+    step = np.diff(np.concatenate([[0], flag.astype(np.int8), [0]]))
+    start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    long = end - start >= least
+    change = np.zeros(len(flag) + 1, np.int8)
+    change[start[long]] = 1
+    change[end[long]] -= 1
+    return np.cumsum(change[:-1]) > 0
+
+
 def locate(b: Bucket, picked: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """Where in the bucket's words a recurring seed occurs: a flag for every position."""
+    """Where in the bucket's words a recurring seed occurs: a flag for every position.
+
+    A word of the phrases is spelled with a few characters, one of ``BASE`` for each digit of its number and other ones
+    for each digit, so that no node of an automaton has many children (they are searched one by one)."""
     hit = np.zeros(len(b.hash) + 1, bool)
     wanted = picked[np.isin(b.grams[picked], seeds)]
     _, one = np.unique(b.grams[wanted], return_index=True)
     phrases = wanted[one]
-    doc_end = b.words.first[1:]
+    text = b.words.text
     for lo in range(0, len(phrases), SHARD_PHRASES):
         at = phrases[lo : lo + SHARD_PHRASES]
-        grid = b.hash[at[:, None] + np.arange(b.seed)]
-        vocab, inverse = np.unique(grid, return_inverse=True)
-        # words as characters: 1 .. for those of the phrases (surrogates left out), 0 for all others and between texts
-        code = lambda i: np.where(i + 1 < 0xD800, i + 1, i + 1 + 0x800)
-        spell = lambda x: x.astype("<u4").tobytes().decode("utf-32-le")
+        vocab, number = np.unique(b.hash[at[:, None] + np.arange(b.seed)], return_inverse=True)
+        digits = next(k for k in range(1, 9) if BASE**k >= len(vocab))
+        spell = lambda n: (n[:, None] // BASE ** np.arange(digits - 1, -1, -1) % BASE + 1 + BASE * np.arange(digits)).astype("<u4")  # noqa: B023, E731
+        as_text = lambda x: x.tobytes().decode("utf-32-le")
         automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        flat = spell(code(inverse.ravel()))
-        for i in range(0, len(flat), b.seed):
-            automaton.add_word(flat[i : i + b.seed])
+        flat, width = as_text(spell(number.ravel())), b.seed * digits
+        for i in range(0, len(flat), width):
+            automaton.add_word(flat[i : i + width])
         automaton.make_automaton()
+        # all documents, without the words that lie in no run of known ones as long as a phrase
         place = np.minimum(np.searchsorted(vocab, b.hash), len(vocab) - 1)
-        coded = np.where(vocab[place] == b.hash, code(place), 0)
-        stream = np.zeros(len(coded) + len(doc_end), np.int64)
-        stream[np.arange(len(coded)) + b.words.text] = coded
-        ends = np.fromiter((end for end, _ in automaton.iter(spell(stream))), np.int64)
-        if len(ends):
-            shift = np.searchsorted(doc_end + np.arange(len(doc_end)), ends, "left")  # separators before the position
-            hit[ends - shift - b.seed + 1] = True
+        own = np.flatnonzero(runs_of(vocab[place] == b.hash, b.seed))
+        gap = np.ones(len(own), bool)  # a mark that no phrase holds stands before each run and each document
+        gap[1:] = (own[1:] != own[:-1] + 1) | (text[own[1:]] != text[own[:-1]])
+        slot = np.arange(len(own)) + np.cumsum(gap)
+        stream = np.zeros((len(own) + int(gap.sum()), digits), "<u4")
+        stream[slot] = spell(place[own])
+        ends = np.fromiter((end for end, _ in automaton.iter(as_text(stream))), np.int64)
+        back = np.zeros(len(stream), np.int64)
+        back[slot] = own
+        hit[back[ends // digits] - b.seed + 1] = True
     return hit
 
 
@@ -139,8 +157,11 @@ def _windows(window: int, seed: int):
         offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
         binary = lambda values, width: pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(offsets * width), pa.py_buffer(values.tobytes())])
         at = (b.seq[doc[edge]] << SEQ) + start[edge] - b.words.first[doc[edge]]
+        # rows that send nothing needn't meet others: they are dealt by place, not by seed
+        sends = np.add.reduceat((full != 0).astype(np.int64), edge) > 0
+        key = np.where(sends, b.grams[best[edge]], mix(at.astype(u64) ^ mix(b.id[doc[edge]].astype(u64))))
         return pa.table(
-            [pa.array(b.grams[best[edge]].view(np.int64)), pa.array(b.id[doc[edge]]), pa.array(at), binary(full, 8), binary(later.astype(np.uint8), 1)],
+            [pa.array(key.view(np.int64)), pa.array(b.id[doc[edge]]), pa.array(at), binary(full, 8), binary(later.astype(np.uint8), 1)],
             schema=schema,
         )
 
