@@ -115,7 +115,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def repeat_rows(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with each row as often as the mix takes it."""
-    takes = mixed.where("copies > 0").select(F.col(id_col).alias("__id"), F.col("copies").alias("__copies")).dropDuplicates(["__id"])
+    # rows that share an id are repeated alike, as often as any of them in the mix
+    takes = mixed.where("copies > 0").groupBy(F.col(id_col).alias("__id")).agg(F.max("copies").alias("__copies"))
     rows = without(docs, "__id", "__copies", "__n")
     joined = rows.join(takes, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")))
     return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[f"`{c}`" for c in rows.columns])
