@@ -76,3 +76,16 @@ def features_with_gene(top: DataFrame, text: str) -> DataFrame:
 def rollup_layers(stats: DataFrame) -> DataFrame:
     """Totals of each layer and, with layer null, of all."""
     return stats.rollup("layer").agg(F.count("*").alias("n_features"), F.count_if(~F.col("is_dead")).alias("n_alive"), F.count_if("is_dead").alias("n_dead"), F.sum("fire_count").alias("fires"), F.max("activation_freq").alias("max_freq"))
+
+
+def features_bearing(top: DataFrame, genes: DataFrame, first: int = 20) -> DataFrame:
+    """Of each layer: how many features have at least 1 and at least 3 of ``genes`` (gene_id) among their top ones."""
+    n = top.where(F.col("rank") <= first).join(genes.select("gene_id").distinct(), "gene_id", "left_semi").groupBy("layer", "feature").agg(F.countDistinct("gene_id").alias("n"))
+    return n.groupBy("layer").agg(F.count("*").alias("at_least_1"), F.count_if(F.col("n") >= 3).alias("at_least_3"))
+
+
+def gained_and_lost(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
+    """How many keys are only in ``after`` (gained), only in ``before`` (lost), in both (unchanged)."""
+    a, b = before.select(*key).distinct().withColumn("__b", F.lit(1)), after.select(*key).distinct().withColumn("__a", F.lit(1))
+    both = a.join(b, key, "full")
+    return both.agg(F.count_if(F.col("__b").isNull()).alias("gained"), F.count_if(F.col("__a").isNull()).alias("lost"), F.count_if(F.col("__a").isNotNull() & F.col("__b").isNotNull()).alias("unchanged"))

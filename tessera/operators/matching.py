@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.scalars import cosine
 from tessera.functions.stats import jaccard
 from tessera.operators.catalog import top_k
 
@@ -88,3 +89,23 @@ def lifecycle(presence: DataFrame) -> DataFrame:
     n = F.size("layers")
     stage = F.when(n <= 3, "transient").when(n <= 10, "moderate").otherwise("persistent")
     return life.select("feature", "layers", n.alias("n_layers"), F.array_max("layers").alias("last_layer"), (F.array_max("layers") - F.array_min("layers") + 1).alias("span"), stage.alias("stage"))
+
+
+def sampled_abs_cosine(vectors: DataFrame, n_pairs: int = 1000) -> DataFrame:
+    """(n_pairs, mean_abs_cosine) over pairs of (at, vec) rows drawn by a fixed rule; ``at`` runs from 0 without gaps.
+    A pair of a row with itself is left out."""
+    n = vectors.count()
+    drawn = vectors.sparkSession.range(n_pairs).select((F.col("id") * 7919 % max(n, 1)).alias("i"), ((F.col("id") * 104729 + 1) % max(n, 1)).alias("j")).where("i <> j")
+    left, right = vectors.select(F.col("at").alias("i"), F.col("vec").alias("x")), vectors.select(F.col("at").alias("j"), F.col("vec").alias("y"))
+    pairs = drawn.join(left, "i").join(right, "j")
+    return pairs.agg(F.count("*").alias("n_pairs"), F.avg(F.abs(cosine(F.col("x"), F.col("y")))).alias("mean_abs_cosine"))
+
+
+def gene_overlap_of_matches(matches: DataFrame, genes_a: DataFrame, genes_b: DataFrame, first: int = 20) -> DataFrame:
+    """(n, mean, median) of the Jaccard similarity of top-gene lists over the ``first`` strongest matches (a, b, cosine);
+    ``genes``: (feature, gene_id)."""
+    best = matches.orderBy(F.desc(F.abs("cosine")), "a", "b").limit(first)
+    lists = lambda g, key, name: g.groupBy(F.col("feature").alias(key)).agg(F.collect_set("gene_id").alias(name))
+    both = best.join(lists(genes_a, "a", "xs"), "a").join(lists(genes_b, "b", "ys"), "b")
+    j = F.size(F.array_intersect("xs", "ys")) / F.size(F.array_union("xs", "ys"))
+    return both.select(j.alias("j")).agg(F.count("*").alias("n"), F.avg("j").alias("mean"), F.median("j").alias("median"))

@@ -300,3 +300,39 @@ def ontology_by_layer(spark, sf_dir):
 def experiment_features(spark, sf_dir):
     acts, pos = long(spark, sf_dir)
     return round_doubles(serve.select_features(catalog.feature_stats(acts, pos, 2 * HALF), annotations(spark, sf_dir), least_genes=5))
+
+
+@query(
+    """WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS at, list_transform(embedding, lambda q: CAST(q AS DOUBLE)) AS e FROM embeddings), n AS (SELECT count(*) AS n FROM v),
+p AS (SELECT p * 7919 % n AS i, (p * 104729 + 1) % n AS j FROM range(1000) r(p), n)
+SELECT count(*) AS n_pairs, round(avg(abs(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))))), 6) AS mean_abs_cosine FROM p JOIN v a ON a.at = i JOIN v b ON b.at = j WHERE i <> j"""
+)
+def decoder_cosines(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("at"), F.col("embedding").alias("vec"))
+    return round_doubles(matching.sampled_abs_cosine(e))
+
+
+@query(
+    "WITH " + ACTS + """, ga AS (SELECT feature, gene_id FROM genes WHERE layer = 0 AND rank <= 5), gb AS (SELECT feature, gene_id FROM genes WHERE layer = 1 AND rank <= 5),
+l AS (SELECT x.feature, list_distinct(x.g) AS xs, list_distinct(y.g) AS ys FROM (SELECT feature, list(gene_id) AS g FROM ga GROUP BY feature) x JOIN (SELECT feature, list(gene_id) AS g FROM gb GROUP BY feature) y ON x.feature = y.feature WHERE x.feature < 20),
+j AS (SELECT len(list_intersect(xs, ys)) / len(list_distinct(list_concat(xs, ys))) AS j FROM l)
+SELECT count(*) AS n, round(avg(j), 6) AS mean, round(median(j), 6) AS median FROM j"""
+)
+def gene_overlap_of_matches(spark, sf_dir):
+    """Features of the same number in both layers stand for matches."""
+    top = catalog.top_genes(long(spark, sf_dir)[0], k=5)
+    same = spark.range(64).select(F.col("id").alias("a"), F.col("id").alias("b"), (1.0 - F.col("id") / 100).alias("cosine"))
+    layer = lambda n: top.where(F.col("layer") == n)
+    return round_doubles(matching.gene_overlap_of_matches(same, layer(0), layer(1)))
+
+
+@query("WITH " + ACTS + ", n AS (SELECT layer, feature, count(DISTINCT gene_id) AS n FROM genes WHERE gene_id IN (1, 3, 5, 8) AND rank <= 4 GROUP BY ALL) SELECT layer, count(*) AS at_least_1, CAST(sum((n >= 3)::INT) AS BIGINT) AS at_least_3 FROM n GROUP BY layer")
+def regulator_features(spark, sf_dir):
+    regulators = spark.createDataFrame([(1,), (3,), (5,), (8,)], "gene_id int")
+    return catalog.features_bearing(catalog.top_genes(long(spark, sf_dir)[0]), regulators, 4)
+
+
+@query("WITH " + ACTS + ", b AS (SELECT DISTINCT feature, gene_id FROM genes WHERE layer = 0 AND rank <= 3), a AS (SELECT DISTINCT feature, gene_id FROM genes WHERE layer = 1 AND rank <= 3) SELECT count(*) FILTER (b.feature IS NULL) AS gained, count(*) FILTER (a.feature IS NULL) AS lost, count(*) FILTER (a.feature IS NOT NULL AND b.feature IS NOT NULL) AS unchanged FROM b FULL JOIN a ON a.feature = b.feature AND a.gene_id = b.gene_id")
+def gained_and_lost_genes(spark, sf_dir):
+    top = catalog.top_genes(long(spark, sf_dir)[0], k=3)
+    return catalog.gained_and_lost(top.where("layer = 0"), top.where("layer = 1"), ["feature", "gene_id"])
