@@ -7,8 +7,9 @@ cells are reranked by exact distance on the original vectors.
 
 The index is fitted on a bounded sample (``sample`` rows in the order of a seeded hash) but holds every row. Cells,
 centroids and counts, at most ``cells * cells`` numbers, go to all tasks. Entries and the queries that visit their cell
-meet in one task for each part of a cell: a cell with more than ``PART`` entries is split, and queries come in blocks,
-so neither a frequent vector nor a large query set makes a task grow.
+meet in one task for each part of a cell: a cell with far more entries than others is split (parts hold up to twice the
+mean of all cells, and ``PART`` at most), and queries come in blocks, so neither a frequent vector nor a large query
+set makes a task grow.
 
 Defined cases: vectors that are null, empty, zero, of another length than most or with a null or non-finite component
 take no part, nor do rows without id; with fewer candidates than ``k`` all are returned; ties go to the smaller id;
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PART = 4096
+LEAST_PART, PART = 256, 4096
 BLOCK = 2048
 
 
@@ -108,7 +109,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     for r in index.groupBy("cell").count().collect():
         counts[r.cell] = r["count"]
     enough = max(4 * k, visit * counts.sum())
-    parts = np.maximum(1, -(-counts // PART))
+    parts = np.maximum(1, -(-counts // int(np.clip(2 * counts.mean(), LEAST_PART, PART))))
     queries = rows.where(is_query)
     blocks = max(1, -(-queries.count() // BLOCK))
 
