@@ -1,14 +1,16 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Counts of words and word pairs are gathered over all training documents. An n-gram that makes up at least
-``1 / RESOLUTION`` of the training tokens enters the filter with the logarithm of its count, in steps of a factor two
-above that floor: level q is stored as the q keys (n-gram, 1) .. (n-gram, q), and read back by probing level after
-level until one is missing. As 1 + log2(x) <= x, all levels of one order add up to ``RESOLUTION`` entries at most,
-however large the corpus: the broadcast has a proven bound of ``2 * RESOLUTION * BITS_PER_ENTRY`` bits (84 MB), and the
-same law holds at every size. The filter is built in segments, each by one task.
+Counts of words and word pairs are gathered over all training documents, and every n-gram that was counted enters the
+filter, at any corpus size, with the logarithm of its count in steps of a factor two: level q is stored as the q keys
+(n-gram, 1) .. (n-gram, q), and read back by probing level after level until one is missing. As 1 + log2(c) <= c, all
+levels of one order add up to the training tokens at most. The filter grows with them and is therefore cut by the
+n-gram's hash into segments of about ``SEGMENT`` tokens an order: one segment (at most 2 * ``SEGMENT`` entries on
+average, 1.3 MB) is all that a task holds. Each is filled by one task from the n-grams dealt to it, and documents probe
+it there: the n-grams of ``CHUNK`` tokens of text at a time are dealt to the segments, and their levels come back to the
+chunk. N-grams travel as ``KEY_BYTES`` bytes, packed (two of one segment look alike with a chance of 2**-40).
 
 Probabilities are smoothed from probes alone: P(w|v) = (c(vw) + MU * P(w)) / (c(v) + MU) with the word probability
-P(w) = (c(w) + 1) / (N + V + 1); words below the floor take the mean count of all such words.
+P(w) = (c(w) + 1) / (N + V + 1).
 
 Beside it the exact add-one word model (``base_score``) is computed. The ``FREQUENT`` most frequent words are broadcast
 with their exact counts (bounded by that number), all other words of a document find theirs by a join on the word's
@@ -20,6 +22,7 @@ N = V = 0 and every score follows from that; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,11 +36,12 @@ from tessera.llm.words import mix, words
 from tessera.session import materialize
 
 END = np.uint64(0x5851F42D4C957F2D)
-RESOLUTION = 1 << 25
+SEGMENT = 1 << 19
+CHUNK = 1 << 20
+KEY_BYTES = 5
 BITS_PER_ENTRY = 10
 PROBES = 7
 FREQUENT = 1 << 20
-SEGMENTS = 64
 MU = 20.0
 FLUSH = 1 << 22
 
@@ -62,27 +66,58 @@ def pairs(token: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return before, mix(mix(before + u64(0x632BE59BD9B4E019)) ^ token)
 
 
+def summed(batches: Iterator[pa.RecordBatch], what: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Counts of ``what`` ("words" or "pairs") in the first column, summed over ``FLUSH`` tokens at a time."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            token, first = tokens(batch.column(0).slice(at, 2000))
+            held.append(token if what == "words" else pairs(token, first)[1])
+            if sum(map(len, held)) > FLUSH:
+                yield np.unique(np.concatenate(held), return_counts=True)
+                held.clear()
+    if held:
+        yield np.unique(np.concatenate(held), return_counts=True)
+
+
 def count_ngrams(docs: DataFrame, what: str) -> DataFrame:
-    """(h, c): counts of ``what`` ("words" or "pairs") in column ``text``; summed in each task before the shuffle."""
+    """(h, c): counts of ``what`` in column ``text``; summed in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        for h, c in summed(batches, what):
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
 
-        def flush() -> pa.RecordBatch:
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
+    return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                token, first = tokens(batch.column(0).slice(at, 2000))
-                held.append(token if what == "words" else pairs(token, first)[1])
-                if sum(map(len, held)) > FLUSH:
-                    yield flush()
-        if held:
-            yield flush()
 
-    return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+def deal(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The order of n-grams by segment, their keys in that order, and each segment that has some with its first place
+    (one place more than segments)."""
+    x = mix(h)
+    segment = ((x >> u64(40)) % u64(segments)).astype(np.int64)
+    order = np.argsort(segment, kind="stable")
+    at = np.flatnonzero(np.diff(segment[order], prepend=-1))
+    return order, x[order] & u64((1 << 8 * KEY_BYTES) - 1), segment[order][at], np.append(at, len(h))
+
+
+def packed(keys: np.ndarray) -> bytes:
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def pressed(at: np.ndarray) -> bytes:
+    """Places of tokens, compressed byte by byte: the upper ones hardly vary."""
+    return pa.compress(at.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpressed(data: bytes, n: int) -> np.ndarray:
+    raw = pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view("<u8").ravel().astype(u64)
 
 
 def positions(h: np.ndarray, level: np.ndarray | int, segment_bits: int) -> Iterator[np.ndarray]:
@@ -93,74 +128,97 @@ def positions(h: np.ndarray, level: np.ndarray | int, segment_bits: int) -> Iter
         yield ((a + u64(i) * b) % u64(segment_bits)).astype(np.int64)
 
 
-def segment_of(h: np.ndarray) -> np.ndarray:
-    return (mix(h) >> u64(58)).astype(np.int64)
-
-
 @dataclass
 class Filter:
-    bits: np.ndarray  # (SEGMENTS, bytes)
+    """One segment."""
+
+    bits: np.ndarray  # packed
     segment_bits: int
-    floor: float
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """Of each n-gram: how many levels in a row are present."""
         out = np.zeros(len(h), np.int64)
-        alive, level, row = np.arange(len(h)), 1, segment_of(h)
+        alive, level = np.arange(len(h)), 1
         while len(alive):
             now = h[alive]
-            at = row[alive]
-            fine = np.ones(len(alive), bool)
+            fine = np.arange(len(alive))
             for p in positions(now, level, self.segment_bits):
-                own = np.flatnonzero(fine)
-                if not len(own):
+                q = p[fine]
+                fine = fine[(self.bits[q >> 3] >> (q & 7).astype(np.uint8)) & 1 == 1]
+                if not len(fine):
                     break
-                q = p[own]
-                fine[own] = (self.bits[at[own], q >> 3] >> (q & 7).astype(np.uint8)) & 1
             alive = alive[fine]
             out[alive] = level
             level += 1
         return out
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        """Estimated counts: the middle, by logarithm, of the level's range; 0 when absent."""
-        level = self.levels(h)
-        return np.where(level > 0, self.floor * np.exp2(level - 0.5), 0.0)
+
+def fill(h: np.ndarray, level: np.ndarray) -> Filter:
+    segment_bits = max(64, 8 * math.ceil(int(level.sum()) * BITS_PER_ENTRY / 8 * 1.05))
+    bits = np.zeros(segment_bits, bool)
+    for q in range(1, int(level.max(initial=0)) + 1):
+        for p in positions(h[level >= q], q, segment_bits):
+            bits[p] = True
+    return Filter(np.packbits(bits, bitorder="little"), segment_bits)
 
 
 def build_filter(ngrams: DataFrame, floor: float) -> Filter:
-    """``ngrams``: (h, level), written. Each segment is filled by one task; together they are bounded (see above)."""
-    entries = ngrams.agg(F.sum("level")).first()[0] or 0
-    segment_bits = max(64, 8 * math.ceil(entries * BITS_PER_ENTRY / SEGMENTS / 8 * 1.05))
-
-    def fill(table: pa.Table) -> pa.Table:
-        h = table.column("h").to_numpy().view(u64)
-        level = table.column("level").to_numpy()
-        bits = np.zeros(segment_bits, bool)
-        for q in range(1, int(level.max()) + 1):
-            for p in positions(h[level >= q], q, segment_bits):
-                bits[p] = True
-        return pa.table({"segment": table.column("segment").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = segment_of(b.column("h").to_numpy().view(u64))
-            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("level"), pa.array(s.astype(np.int32))], names=["h", "level", "segment"])
-
-    placed = ngrams.mapInArrow(place, "h long, level int, segment int")
-    rows = placed.groupBy("segment").applyInArrow(fill, "segment int, bits binary").collect()
-    bits = np.zeros((SEGMENTS, segment_bits // 8), np.uint8)
-    for r in rows:
-        bits[r.segment] = np.frombuffer(r.bits, np.uint8)
-    return Filter(bits, segment_bits, floor)
+    """``ngrams``: a small table (h, level) as one segment."""
+    found = ngrams.toArrow()
+    return fill(found.column("h").to_numpy().view(u64), found.column("level").to_numpy())
+
+
+def estimated(level: np.ndarray) -> np.ndarray:
+    """Counts: the middle, by logarithm, of the level's range; 0 when absent."""
+    return np.where(level > 0, np.exp2(level - 0.5), 0.0)
+
+
+def build_segments(texts: DataFrame, words: DataFrame, segments: int) -> DataFrame:
+    """(segment, bits): the filter of all words (h, c) and of the pairs of ``texts``, written."""
+    schema = "segment int, keys binary, counts binary"
+
+    def dealt(h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        order, keys, segment, at = deal(h, segments)
+        c = c.astype(np.int64)[order]
+        spans = list(itertools.pairwise(at.tolist()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(segment.astype(np.int32)), pa.array([packed(keys[a:b]) for a, b in spans], pa.binary()), pa.array([c[a:b].tobytes() for a, b in spans], pa.binary())],
+            names=["segment", "keys", "counts"],
+        )
+
+    def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+            if held and (batch is None or sum(b.num_rows for b in held) > FLUSH):
+                whole = pa.Table.from_batches(held)
+                held.clear()
+                yield dealt(whole.column("h").to_numpy().view(u64), whole.column("c").to_numpy())
+
+    def of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, c in summed(batches, "pairs"):
+            yield dealt(h, c)
+
+    def one(group: pa.Table) -> pa.Table:
+        keys = np.concatenate([unpacked(x) for x in group.column("keys").to_pylist()])
+        counts = np.concatenate([np.frombuffer(x, np.int64) for x in group.column("counts").to_pylist()])
+        order = np.argsort(keys)
+        edge = np.flatnonzero(np.diff(keys[order], prepend=u64(1 << 63)))
+        c = np.add.reduceat(counts[order], edge)
+        found = fill(keys[order[edge]], np.frexp(c.astype(np.float64))[1])
+        return pa.table({"segment": group.column("segment").slice(0, 1), "bits": pa.array([found.bits.tobytes()], pa.binary())})
+
+    parts = words.mapInArrow(of_words, schema).unionByName(texts.select("text").mapInArrow(of_pairs, schema))
+    return materialize(parts.groupBy("segment").applyInArrow(one, "segment int, bits binary"), "lm-filter")
 
 
 @dataclass
 class Model:
     n: int  # training tokens
     v: int  # different ones
-    low: float  # mean count of a word below the floor
-    filter: Filter
+    segments: int
+    filter: DataFrame  # (segment, bits)
     word: np.ndarray  # the most frequent words, sorted
     count: np.ndarray  # their exact counts
     words: DataFrame  # (h, c) of all words
@@ -170,16 +228,12 @@ class Model:
         return float(self.n + self.v + 1)
 
 
-def fit(train: DataFrame, text_col: str = "text", resolution: int = RESOLUTION, frequent: int = FREQUENT) -> Model:
+def fit(train: DataFrame, text_col: str = "text", frequent: int = FREQUENT, segment: int = SEGMENT) -> Model:
     texts = train.select(F.col(f"`{text_col}`").alias("text"))
     found = materialize(count_ngrams(texts, "words"), "lm-words")
     n, v = found.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    floor = max(1.0, n / resolution)
-    level = lambda c: F.floor(F.log2(c / F.lit(floor)) + F.lit(1.0 + 1e-12)).cast("int")
-    kept = lambda df: df.where(F.col("c") >= F.lit(floor)).select("h", level(F.col("c")).alias("level"))
-    low_n, low_v = found.where(F.col("c") < F.lit(floor)).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ngrams = materialize(kept(found).unionByName(kept(count_ngrams(texts, "pairs"))), "lm-ngrams")
-    bloom = build_filter(ngrams, floor)
+    segments = max(1, -(-n // segment))
+    bloom = build_segments(texts, found, segments)
 
     # the least power of 2**(1/8) above which no more than ``frequent`` words lie
     step = F.ceil(F.log2("c") * 8)
@@ -194,59 +248,140 @@ def fit(train: DataFrame, text_col: str = "text", resolution: int = RESOLUTION,
     h = top.column("h").to_numpy().view(u64) if top is not None else np.zeros(0, u64)
     c = top.column("c").to_numpy() if top is not None else np.zeros(0, np.int64)
     order = np.argsort(h)
-    # unseen words count among those below the floor, as often as words seen once
-    return Model(n, v, low_n / (2 * low_v) if low_v else 0.0, bloom, h[order], c[order].astype(np.float64), found)
+    return Model(n, v, segments, bloom, h[order], c[order].astype(np.float64), found)
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """``docs``: (row, id, text). (chunk, rows, ids, first, words, at): documents of some ``CHUNK`` tokens as places in
+    the sorted hashes of their words, written; a chunk has its first row's number."""
+    schema = docs.select(F.col("row").alias("chunk"), F.array("row").alias("rows"), F.array("id").alias("ids"), *[F.lit(b"").alias(c) for c in ("first", "words", "at")]).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            rows, ids, token, n = zip(*held, strict=True)
+            held.clear()
+            rows, ids = pa.concat_arrays(rows), pa.concat_arrays(ids)
+            one, at = np.unique(np.concatenate(token), return_inverse=True)
+            first = np.concatenate([[0], np.cumsum(np.concatenate(n))])
+            whole = pa.array([0, len(rows)], pa.int32())
+            blobs = [pa.array([x], pa.binary()) for x in (first.astype(np.int64).tobytes(), one.tobytes(), pressed(at))]
+            return pa.RecordBatch.from_arrays([rows.slice(0, 1), pa.ListArray.from_arrays(whole, rows), pa.ListArray.from_arrays(whole, ids), *blobs], names=schema.names)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                sub = batch.slice(at, 500)
+                token, first = tokens(sub.column("text"))
+                held.append((sub.column("row"), sub.column("id"), token, np.diff(first)))
+                if sum(len(x[2]) for x in held) > CHUNK:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return materialize(docs.mapInArrow(run, schema), "lm-chunks")
+
+
+def probe(model: Model, held: DataFrame) -> DataFrame:
+    """(chunk, segment, levels): of the n-grams of each chunk (its words, then its different pairs) in ``deal``'s order,
+    one byte each. Every segment is held by the one task to which its n-grams are dealt."""
+    segments = model.segments
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, first, one, at in zip(*(batch.column(c).to_pylist() for c in ("chunk", "first", "words", "at")), strict=True):
+                one, first = np.frombuffer(one, u64), np.frombuffer(first, np.int64)
+                pair = np.unique(pairs(one[unpressed(at, first[-1])], first)[1])
+                _, keys, segment, edge = deal(np.concatenate([one, pair]), segments)
+                blobs = [packed(keys[a:b]) for a, b in itertools.pairwise(edge.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(segment.astype(np.int32)), pa.array(np.full(len(segment), chunk)), pa.array(blobs, pa.binary())], names=["segment", "chunk", "data"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, bloom = -1, None
+        for batch in batches:
+            out = []
+            for segment, chunk, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if chunk < 0:
+                    own, bloom = segment, Filter(np.frombuffer(data, np.uint8), 8 * len(data))
+                    continue
+                keys = unpacked(data)
+                level = bloom.levels(keys) if own == segment else np.zeros(len(keys))
+                out.append((chunk, segment, level.astype(np.uint8).tobytes()))
+            if out:
+                c, s, x = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(s, pa.int32()), pa.array(x, pa.binary())], names=["chunk", "segment", "levels"])
+
+    # a segment's bits come before its questions
+    asked = held.select("chunk", "first", "words", "at").mapInArrow(ask, "segment int, chunk long, data binary")
+    bits = model.filter.select("segment", F.lit(-1).cast("long").alias("chunk"), F.col("bits").alias("data"))
+    dealt = bits.unionByName(asked).repartition("segment").sortWithinPartitions("segment", "chunk")
+    return dealt.mapInArrow(answer, "chunk long, segment int, levels binary")
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_tokens, n_known, base_score, score (log10 probabilities)."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((model.filter, model.word, model.count, model.total, model.low))
+    sent = spark.sparkContext.broadcast((model.word, model.count, model.total))
+    segments = model.segments
     narrow = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
+    held = chunks(narrow)
+    levels = probe(model, held)
+
+    def of_chunk(batch: pa.RecordBatch, k: int, level: bytes) -> pa.RecordBatch:
+        word, count, total = sent.value
+        rows, ids = (batch.column(c).slice(k, 1).flatten() for c in ("rows", "ids"))
+        first, one = (np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in (("first", np.int64), ("words", u64)))
+        where = unpressed(batch.column("at")[k].as_py(), first[-1])
+        n_texts, n = len(rows), np.diff(first)
+        text = np.repeat(np.arange(n_texts), n)
+        # the model
+        two, both = np.unique(pairs(one[where], first)[1], return_inverse=True)
+        known = np.empty(len(one) + len(two), np.uint8)
+        known[deal(np.concatenate([one, two]), segments)[0]] = np.frombuffer(level, np.uint8)
+        known = estimated(known.astype(np.float64))
+        c_w = known[where]
+        c_v = np.empty_like(c_w)
+        c_v[1:] = c_w[:-1]
+        c_v[first[:-1]] = known[np.searchsorted(one, END)]
+        c_vw = np.minimum(known[len(one) :][both], np.minimum(c_v, c_w))
+        p_w = (c_w + 1) / total
+        p = np.log10((c_vw + MU * p_w) / (c_v + MU))
+        model_score = np.bincount(text, weights=p, minlength=n_texts)
+        # the exact word model, for the most frequent words
+        place = np.minimum(np.searchsorted(word, one), max(0, len(word) - 1))
+        is_top = word[place] == one if len(word) else np.zeros(len(one), bool)
+        exact = np.where(is_top, count[place] if len(word) else 0.0, 0.0)
+        top = is_top[where]
+        base = np.bincount(text, weights=np.where(top, np.log10((exact[where] + 1) / total), 0.0), minlength=n_texts)
+        n_top = np.bincount(text, weights=top, minlength=n_texts).astype(np.int64)
+        # all others, each once a document
+        key, times = np.unique(text[~top] * len(one) + where[~top], return_counts=True)
+        offsets = np.searchsorted(key, np.arange(n_texts + 1) * len(one)).astype(np.int32)
+        rare = pa.ListArray.from_arrays(pa.array(offsets), pa.array(one[key % len(one)].view(np.int64)))
+        rare_n = pa.ListArray.from_arrays(pa.array(offsets), pa.array(times.astype(np.int32)))
+        return pa.RecordBatch.from_arrays(
+            [rows, ids, pa.array(n), pa.array(n_top), pa.array(base), pa.array(model_score), rare, rare_n],
+            names=["row", "id", "n_tokens", "n_top", "base", "score", "rare", "rare_n"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, word, count, total, low = sent.value
+        now, got = None, []
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                sub = batch.slice(at, 1000)
-                token, first = tokens(sub.column("text"))
-                before, pair = pairs(token, first)
-                text = np.repeat(np.arange(sub.num_rows), np.diff(first))
-                n = np.diff(first)
-                # the model
-                one, where = np.unique(np.concatenate([token, [END]]), return_inverse=True)
-                known = bloom.counts(one)
-                c_w = known[where[:-1]]
-                c_v = np.empty_like(c_w)
-                c_v[1:] = c_w[:-1]
-                c_v[first[:-1]] = known[where[-1]]
-                two, both = np.unique(pair, return_inverse=True)
-                c_vw = np.minimum(bloom.counts(two)[both], np.minimum(c_v, c_w))
-                p_w = (np.where(c_w > 0, c_w, low) + 1) / total
-                p = np.log10((c_vw + MU * p_w) / (c_v + MU))
-                model_score = np.bincount(text, weights=p, minlength=sub.num_rows)
-                # the exact word model, for the most frequent words
-                place = np.minimum(np.searchsorted(word, one), max(0, len(word) - 1))
-                is_top = word[place] == one if len(word) else np.zeros(len(one), bool)
-                exact = np.where(is_top, count[place] if len(word) else 0.0, 0.0)
-                top = is_top[where[:-1]]
-                base = np.bincount(text, weights=np.where(top, np.log10((exact[where[:-1]] + 1) / total), 0.0), minlength=sub.num_rows)
-                n_top = np.bincount(text, weights=top, minlength=sub.num_rows).astype(np.int64)
-                # all others, each once a document
-                key = np.stack([text[~top], where[:-1][~top]], 1)
-                key = key[:, 0] * len(one) + key[:, 1] if len(key) else np.zeros(0, np.int64)
-                key, times = np.unique(key, return_counts=True)
-                offsets = np.searchsorted(key, np.arange(sub.num_rows + 1) * len(one)).astype(np.int32)
-                rare = pa.ListArray.from_arrays(pa.array(offsets), pa.array(one[key % len(one)].view(np.int64)))
-                rare_n = pa.ListArray.from_arrays(pa.array(offsets), pa.array(times.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(
-                    [sub.column("row"), sub.column("id"), pa.array(n), pa.array(n_top), pa.array(base), pa.array(model_score), rare, rare_n],
-                    names=["row", "id", "n_tokens", "n_top", "base", "score", "rare", "rare_n"],
-                )
+            for k, (segment, level) in enumerate(zip(batch.column("segment").to_pylist(), batch.column("levels").to_pylist(), strict=True)):
+                if segment < 0:
+                    if now:
+                        yield of_chunk(*now, b"".join(got))
+                    now, got = (batch, k), []
+                else:
+                    got.append(level)
+        if now:
+            yield of_chunk(*now, b"".join(got))
 
     schema = f"row long, id {kind}, n_tokens long, n_top long, base double, score double, rare array<long>, rare_n array<int>"
-    done = materialize(narrow.mapInArrow(run, schema), "lm-scored")
+    # a chunk comes before its levels, which are in the order of segments
+    both = held.withColumn("segment", F.lit(-1)).unionByName(levels, allowMissingColumns=True)
+    done = materialize(both.repartition("chunk").sortWithinPartitions("chunk", "segment").mapInArrow(run, schema), "lm-scored")
     rare = done.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.rare_n").alias("times"))
     c = F.coalesce(F.col("c"), F.lit(0))
     rest = (

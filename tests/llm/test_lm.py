@@ -79,3 +79,23 @@ def test_awkward(spark):
     assert lm.score(empty(spark), lm.fit(empty(spark))).count() == 0
     got = lm.score(awkward(spark), lm.fit(empty(spark))).collect()
     assert all(r.base_score == 0 and r.n_known == 0 for r in got)
+
+
+def test_filter_keeps_every_ngram_at_any_size(spark):
+    docs = corpus(spark)
+    rows = [(r.doc_id, toks(r.text)) for r in docs.collect()]
+    one, two = Counter(w for _, x in rows for w in x), Counter(p for _, x in rows for p in zip([None, *x], x))
+    held = lambda c: 2 ** (math.floor(math.log2(c)) + 0.5)
+    total = sum(one.values()) + len(one) + 1
+    p = lambda v, w: math.log10((min(held(two[v, w]), held(one[v]), held(one[w])) + lm.MU * (held(one[w]) + 1) / total) / (held(one[v]) + lm.MU))
+    want = {i: sum(p(*x) for x in zip([None, *x], x)) for i, x in rows}
+    model = lm.fit(docs, segment=256)
+    assert model.segments > 20 and model.filter.count() == model.segments
+    got = {r.doc_id: r.score for r in lm.score(docs, model).collect()}
+    # a false positive in some hundred probes moves a score a little
+    assert got.keys() == want.keys() and sum(abs(got[i] - want[i]) for i in want) < 0.02 * -sum(want.values())
+    levels = model.words.join(model.words.where("c = 1").select("h"), "h").toArrow().column("h").to_numpy().view(np.uint64)
+    order, keys, segment, at = lm.deal(levels, model.segments)
+    bits = {r.segment: np.frombuffer(r.bits, np.uint8) for r in model.filter.collect()}
+    for s, a, b in zip(segment, at[:-1], at[1:], strict=True):
+        assert (lm.Filter(bits[s], 8 * len(bits[s])).levels(keys[a:b]) >= 1).all()
