@@ -1,14 +1,15 @@
 r"""Information-theoretic sanitisation of personal data, in DataFrame operations only.
 
-Protected entities are the e-mail addresses, IP addresses, card and phone numbers that patterns find. A term close to
-an entity (within ``CONTEXT`` characters of an occurrence) discloses it when the corpus says that the term all but
-names the entity: with document frequencies, PMI(e;t) = log2(p(e,t) / (p(e) p(t))) is at most the entity's information
-content IC(e) = -log2 p(e), and reaches it when the term occurs with the entity only. Terms with
-PMI >= ``threshold`` * IC(e), seen together in at least ``support`` different texts, become spans of their own (kind
-``term``) beside the entity; ``sanitise`` generalises all spans to their kind's placeholder, or removes them.
-
-Counts run over all documents; (entity, term) pairs only come from words next to an entity, so their number grows with
-the text. Positions are code points, end exclusive. Patterns match leftmost, without overlap a kind; matches that fail
+Protected entities are the e-mail addresses, IP addresses, card and phone numbers that patterns find. A term that
+stands in an entity's documents, however far from it, discloses the entity when the corpus says that the term all but
+names it: with document frequencies, PMI(e;t) = log2(p(e,t) / (p(e) p(t))) is at most the entity's information content
+IC(e) = -log2 p(e), and reaches it when the term occurs with the entity only. Of terms with PMI >= ``threshold`` * IC(e),
+seen together in at least ``support`` different texts, every occurrence in the entity's documents becomes a span of its
+own (kind ``term``) beside the entity; ``sanitise`` generalises all spans to their kind's placeholder, or removes them.
+
+All counts run over whole documents. As n(e,t) <= n(e), a term with n(t) > n(e) * (D / n(e)) ** (1 - threshold) can't reach
+the threshold, nor can an entity in fewer than ``support`` texts: both go before (entity, term) pairs are made, exactly.
+Words inside an entity's own text count as words of the document, but never become spans of their own. Positions are code points, end exclusive. Patterns match leftmost, without overlap a kind; matches that fail
 their kind's check (IP parts to 255, card length and Luhn, phone digits) are dropped without a retry.
 
 Defined cases: null text is empty; rows that repeat are reported each; texts that are equal count once for support;
@@ -35,10 +36,9 @@ PATTERNS = {
 }
 #: A cheap sign without which a text can't hold the kind.
 SIGNS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?+[0-9]){15}", "phone": "+"}
-CONTEXT = 64
 TERM = r"\p{L}{3,}"
 BROADCAST_PAIRS = 200_000
-MATCH = "array<struct<kind:string,i:int,value:string,gap:int,before:string,after:string,more:boolean>>"
+MATCH = "array<struct<kind:string,i:int,value:string,gap:int>>"
 
 
 def _sign(kind: str, text: Column) -> Column:
@@ -68,19 +68,16 @@ def _passes(kind: Column, value: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, text_hash, found): one row a document, written once; ``found`` holds raw matches with the characters
-    before and after each."""
+    """(row, id, text_hash, found, text): one row a document, written once; ``found`` holds raw matches, each with the
+    number of characters since the one before, and ``text`` is kept where there are some."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     found = []
     for kind in KINDS[:4]:
         values = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), 0)
         between = F.split(text, PATTERNS[kind], -1)
         zipped = F.transform(
-            F.arrays_zip(values.alias("v"), F.slice(between, 1, F.size(values)).alias("b"), F.slice(between, 2, F.size(values)).alias("a")),
-            lambda x, i: F.struct(
-                F.lit(kind).alias("kind"), i.alias("i"), x["v"].alias("value"), F.length(x["b"]).alias("gap"),
-                F.right(x["b"], F.lit(CONTEXT)).alias("before"), F.left(x["a"], F.lit(CONTEXT)).alias("after"), (F.length(x["a"]) > CONTEXT).alias("more"),
-            ),
+            F.arrays_zip(values.alias("v"), F.slice(between, 1, F.size(values)).alias("b")),
+            lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), x["v"].alias("value"), F.length(x["b"]).alias("gap")),
         )
         found.append(F.when(_sign(kind, text) & (F.size(values) > 0), zipped))
     rows = docs.select(
@@ -88,67 +85,67 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.col(f"`{id_col}`").alias("id"),
         F.xxhash64(text).alias("text_hash"),
         F.concat(*[F.coalesce(x, F.array().cast(MATCH)) for x in found]).alias("found"),
+        text.alias("text"),
     )
-    return materialize(rows, "pii-scan")
+    return materialize(rows.withColumn("text", F.when(F.size("found") > 0, F.col("text"))), "pii-scan")
 
 
 def base_spans(scanned: DataFrame) -> DataFrame:
-    """(row, text_hash, kind, start, stop, value, before, after, more) of the matches that pass."""
+    """(row, text_hash, kind, start, stop, entity) of the matches that pass."""
     one = scanned.where(F.size("found") > 0).select("row", "text_hash", F.explode("found").alias("x")).select("row", "text_hash", "x.*")
     upto = W.partitionBy("row", "kind").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
     stop = F.sum(F.col("gap") + F.length("value")).over(upto)
     placed = one.withColumn("stop", stop).withColumn("start", F.col("stop") - F.length("value"))
-    return placed.where(_passes(F.col("kind"), F.col("value"))).drop("i", "gap")
+    entity = F.concat_ws(":", "kind", F.lower("value")).alias("entity")
+    return placed.where(_passes(F.col("kind"), F.col("value"))).select("row", "text_hash", "kind", "start", "stop", entity)
 
 
-def _terms(context: Column, origin: Column) -> Column:
-    """Words of a context of at most CONTEXT characters with their positions; ``origin`` is its first character's."""
-    words = F.regexp_extract_all(context, F.lit(TERM), 0)
-    gaps = F.transform(F.split(context, TERM, -1), lambda x: F.length(x))
-    before = lambda i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice(words, 1, i), F.lit(0), lambda a, x: a + F.length(x))
-    return F.transform(words, lambda x, i: F.struct(F.lower(x).alias("term"), (origin + before(i)).alias("start"), (origin + before(i) + F.length(x)).alias("stop")))
+def _words(text: Column) -> Column:
+    """The different words of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), 0), lambda x: F.lower(x)))
 
 
-def context_terms(base: DataFrame) -> DataFrame:
-    """(row, text_hash, entity, term, start, stop): words beside an entity, whole ones only."""
-    cut_left = F.when(F.length("before") >= CONTEXT, F.regexp_extract("before", r"^[\p{L}\p{N}]*", 0)).otherwise("")
-    before = F.expr("substring(before, length(cut) + 1)")
-    after = F.when(F.col("more"), F.regexp_replace("after", r"[\p{L}\p{N}]*$", "")).otherwise(F.col("after"))
-    rows = base.withColumn("cut", cut_left)
-    terms = F.concat(_terms(before, F.col("start") - F.length(before)), _terms(after, F.col("stop")))
-    entity = F.concat_ws(":", "kind", F.lower("value"))
-    return rows.select("row", "text_hash", entity.alias("entity"), F.explode(terms).alias("t")).select("row", "text_hash", "entity", "t.*")
-
-
-def disclosing(docs: DataFrame, text_col: str, base: DataFrame, near: DataFrame, n_docs: int, threshold: float, support: int) -> DataFrame:
+def disclosing(docs: DataFrame, text_col: str, scanned: DataFrame, base: DataFrame, threshold: float, support: int) -> DataFrame:
     """(entity, term, pmi, ic) of the pairs whose term discloses the entity."""
-    pairs = near.select("entity", "term", "row", "text_hash").distinct().groupBy("entity", "term", "text_hash").agg(F.count("*").alias("n"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= support)
-    pairs = materialize(pairs, "pii-pairs")
-    entities = base.select("row", F.concat_ws(":", "kind", F.lower("value")).alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    candidates = pairs.select("term").distinct()
-    if pairs.count() <= BROADCAST_PAIRS:
-        candidates = F.broadcast(candidates)
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), r"[^\p{L}]+"))).alias("term"))
-    # counted before the join, whose rows then are the candidates and not their occurrences (Spark would move a
-    # left semi join below the count)
-    terms = words.groupBy("term").agg(F.count("*").alias("n_term")).join(candidates, "term")
-    d = F.lit(float(max(1, n_docs)))
-    scored = pairs.join(entities, "entity").join(terms, "term")
-    pmi = F.log2(F.col("n_both") * d / (F.col("n_entity") * F.col("n_term")))
-    ic = -F.log2(F.col("n_entity") / d)
-    scored = scored.select("entity", "term", pmi.alias("pmi"), ic.alias("ic"))
+    d = float(max(1, scanned.count()))
+    own = base.select("row", "text_hash", "entity").distinct()
+    by_text = own.groupBy("entity", "text_hash").agg(F.count("*").alias("n"))
+    entities = by_text.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts")).where(F.col("texts") >= support)
+    # the most documents that a disclosing term can have, a little up for rounding
+    most = F.col("n_entity") * F.pow(F.lit(d) / F.col("n_entity"), F.lit(1 - threshold)) * (1 + 1e-9)
+    own = materialize(own.join(entities.select("entity", "n_entity", most.alias("most")), "entity"), "pii-entities")
+    bound = own.agg(F.max("most")).first()[0] or 0.0
+    words = docs.select(F.explode(_words(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).alias("term"))
+    terms = words.groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term").between(support, bound))
+    texts = scanned.select("row", "text").join(own.select("row").distinct(), "row", "left_semi")
+    held = texts.select("row", F.explode(_words(F.col("text"))).alias("term")).join(terms, "term")
+    pairs = held.join(own, "row").where(F.col("n_term") <= F.col("most"))
+    pairs = pairs.groupBy("entity", "term", "text_hash").agg(F.count("*").alias("n"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity"))
+    scored = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity"))
+    pmi = F.log2(F.col("n_both") * F.lit(d) / (F.col("n_entity") * F.col("n_term")))
+    ic = -F.log2(F.col("n_entity") / F.lit(d))
+    scored = scored.where(F.col("texts") >= support).select("entity", "term", pmi.alias("pmi"), ic.alias("ic"))
     return scored.where((F.col("ic") > 0) & (F.col("pmi") >= F.lit(threshold) * F.col("ic")))
 
 
+def term_spans(scanned: DataFrame, base: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(row, start, stop): every occurrence of a disclosing term in its entity's documents."""
+    sought = base.select("row", "entity").distinct().join(pairs.select("entity", "term"), "entity").select("row", "term").distinct()
+    text = scanned.join(sought.select("row").distinct(), "row", "left_semi")
+    zipped = F.arrays_zip(F.regexp_extract_all("text", F.lit(TERM), 0).alias("v"), F.split("text", TERM, -1).alias("b"))
+    one = text.select("row", F.posexplode(zipped).alias("i", "x")).where(F.col("x.v").isNotNull())
+    stop = F.sum(F.length("x.b") + F.length("x.v")).over(W.partitionBy("row").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow))
+    placed = one.select("row", F.lower("x.v").alias("term"), stop.alias("stop"), (stop - F.length("x.v")).alias("start"))
+    return placed.join(sought, ["row", "term"]).select("row", "start", "stop")
+
+
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.95, support: int = 3) -> DataFrame:
     """One row per document: id, found: its spans as sorted structs (kind number in KINDS, start, stop)."""
     scanned = scan(docs, id_col, text_col)
     base = materialize(base_spans(scanned), "pii-base")
-    near = context_terms(base)
-    pairs = materialize(disclosing(docs, text_col, base, near, scanned.count(), threshold, support), "pii-disclosing")
+    pairs = materialize(disclosing(docs, text_col, scanned, base, threshold, support), "pii-disclosing")
     small = pairs.count() <= BROADCAST_PAIRS
-    terms = near.join(F.broadcast(pairs) if small else pairs, ["entity", "term"]).select("row", "start", "stop").distinct()
+    terms = term_spans(scanned, base, F.broadcast(pairs) if small else pairs)
     number = F.when(F.col("kind") == "email", 0).when(F.col("kind") == "ip", 1).when(F.col("kind") == "card", 2).otherwise(3)
     spans = base.select("row", number.alias("kind"), "start", "stop").unionByName(terms.withColumn("kind", F.lit(4)))
     grouped = spans.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("kind", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop")))).alias("found"))

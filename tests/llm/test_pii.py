@@ -73,3 +73,15 @@ def test_awkward(spark):
         (str(r.doc_id), ",".join(brute(r.text)), hashlib.sha256(",".join(brute(r.text)).encode()).hexdigest()) for r in docs.collect()
     )
     assert found(empty(spark)) == []
+
+
+def test_terms_far_from_the_entity(spark):
+    fill = "common words between " * 12
+    rows = [(i, f"Zephyrine heads {i}. {fill} joe@corp.example.com {fill} signed Zephyrine. İ ß zephyrine", None, None, 0) for i in range(4)]
+    rows += [(10, "Zephyrine at joe@corp.example.com", None, None, 0)]
+    rows += [(20 + i, f"common words between only {i} heads signed", None, None, 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("term")] for r in found(docs)}
+    for i, text, *_ in rows:
+        assert got[i] == ([f"term:{m.start()}:{m.end()}" for m in re.finditer("zephyrine", text, re.I)] if i <= 10 else [])
+    assert len(got[0]) == 3
