@@ -12,7 +12,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """(node, component) of every node with an edge to another; component is the smallest node that it reaches.
 
     Alternating large-star and small-star steps: each is one aggregation to the smallest neighbour and one join, and
-    the number of rounds grows with the logarithm of the longest path. Every round is written to the shared folder.
+    the number of rounds grows with the logarithm of the longest path. Every round is written to the shared folder. If
+    ``max_rounds`` pass without two equal ones in a row, that is an error: unfinished stars are no components.
     Null ends and self-loops are ignored."""
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v").distinct()
     now = materialize(pairs, "cc")
@@ -30,6 +31,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if mark == last:
             break
         last = mark
+    else:
+        raise RuntimeError(f"components have not settled in {max_rounds} rounds")
     stars = now.groupBy("u").agg(F.min("v").alias("component"))
     roots = now.select(F.col("v").alias("node")).distinct().join(stars, F.col("node") == F.col("u"), "left_anti")
     return stars.select(F.col("u").alias("node"), "component").unionByName(roots.select("node", F.col("node").alias("component")))

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from tessera.operators.graph import connected_components
 
 
@@ -21,3 +23,9 @@ def test_connected_components(spark):
     got = connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()
     assert len(got) == len(want) and {r.node: r.component for r in got} == want
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_unfinished_components_are_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "src long, dst long")
+    with pytest.raises(RuntimeError, match="3 rounds"):
+        connected_components(edges, max_rounds=3)
