@@ -3,26 +3,36 @@
 A window is ``window`` consecutive words of one document. Every word covered by a window whose words also start
 earlier (smaller id, or same document and earlier start) is removed.
 
-1. Seeds. Each window picks the smallest-hashed ``seed`` consecutive words inside it (winnowing), so equal windows pick
-   equal seeds, and about one position in six is picked. Seeds picked at two or more positions of the corpus recur;
-   a window whose seed doesn't recur can't recur itself.
-2. Automata. Documents are dealt to buckets of bounded size. Each bucket gets the recurring seeds that occur in it,
-   compiles them to Aho-Corasick automata over words (in shards of bounded size) and streams its documents through,
-   which locates every occurrence.
-3. Confirmation. The windows around located seeds are compared over the whole corpus by a hash of all their words
-   (a bucket sends the first of its equal windows only); all but the first are marked.
-4. Each bucket removes the words that its marked windows cover.
-
-Documents are shuffled once, by bucket; no task holds more than a bucket of text, and a passage that fills a third of
-the corpus sends one window hash a bucket.
+1. Candidates. Each window picks the smallest-hashed ``seed`` consecutive words inside it (winnowing), so equal windows
+   pick equal seeds, and about one position in six is picked. Hashes of seeds picked twice or more in the corpus are
+   candidates; a window whose seed doesn't recur can't recur itself.
+2. Confirmed passages. The buckets of text that hold a candidate send its words; they are grouped by those words, and a
+   passage of ``seed`` words that stands in the corpus twice or more is confirmed, with its number of places. Each
+   passage then goes, as words, to the buckets that asked for it.
+3. Automata. Each bucket compiles the passages that came to it to Aho-Corasick automata over words (in shards of bounded
+   size) and streams all its documents through them. Where they match is all that a bucket knows of repeats.
+4. Windows around the matches meet by passage and are compared over the whole corpus by a hash of all their words (a
+   bucket sends the first of its equal windows only); all but the first are marked. A passage with many places is
+   split by the window's hash, so its windows spread over many tasks and equal ones still meet.
+5. Each bucket removes the words that its marked windows cover.
+
+Documents are dealt to buckets of bounded size once; no task holds more than a bucket of text (a text that is longer
+has a bucket's worth of its own), and a passage that fills a third of the corpus sends one window hash a bucket. Streaming
+every document through every automaton of the corpus would be quadratic; a bucket therefore gets just the passages
+whose candidates it holds.
+
+Passages are compared by their words. Two windows count as equal if their passage's key, and the 64-bit hashes of all
+their words, agree: different windows do so with a chance of 2**-128, or 2**-64 where they share the passage itself.
 
 Defined cases: ids are integers; null text has no words; null ids come last, rows that share an id are ordered by
-their text; words are compared by 64-bit hashes; an empty table gives an empty result; only the named columns are read.
+their text and repeat each other; a text shorter than a window keeps all words; an empty table gives an empty result;
+only the named columns are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -38,6 +48,8 @@ BUCKET_BYTES = 8 << 20
 SHARD_PHRASES = 20_000
 BASE = 32
 SEQ = 40
+#: A passage's windows go to one key for every so many of its places.
+SPLIT = 64
 
 u64 = np.uint64
 
@@ -50,13 +62,16 @@ class Bucket:
         self.table = table.take(order)
         self.window, self.seed = window, seed
         self.words: Words = words(self.table.column("text"))
-        self.hash = self.words.hashes()
         ids = self.table.column("id").combine_chunks() if isinstance(self.table.column("id"), pa.ChunkedArray) else self.table.column("id")
         self.id = ids.fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
         new = np.concatenate([[True], self.id[1:] != self.id[:-1]])
         first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
         self.seq = np.arange(len(new)) - first  # of rows that share an id
 
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return self.words.hashes()
+
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start of every window (position in the bucket's words), its document, and the position of its seed."""
         w = self.words
@@ -64,21 +79,28 @@ class Bucket:
         doc = np.repeat(np.arange(len(n)), n)
         start = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + w.first[doc]
         grams = self.grams = window_hashes(self.hash, self.seed)
-        best = start.copy()
-        low = grams[start]
-        for j in range(1, self.window - self.seed + 1):
-            now = grams[start + j]
-            less = now < low
+        if not len(start):
+            return start, doc, start
+        # over all positions first, then those that are windows
+        span = self.window - self.seed + 1
+        low, best = grams[: len(grams) - span + 1].copy(), np.arange(len(grams) - span + 1)
+        for j in range(1, span):
+            now = grams[j : j + len(low)]
+            less = np.flatnonzero(now < low)
             low[less] = now[less]
-            best[less] = start[less] + j
-        return start, doc, best
+            best[less] = less + j
+        return start, doc, best[start]
+
+
+def picks(best: np.ndarray) -> np.ndarray:
+    """Each position picked by consecutive windows once."""
+    return best[np.concatenate([[True], (best[1:] != best[:-1])])] if len(best) else best
 
 
 def _seeds(window: int, seed: int):
     def run(table: pa.Table) -> pa.Table:
         b = Bucket(table, window, seed)
-        start, doc, best = b.windows()
-        picked = best[np.concatenate([[True], (best[1:] != best[:-1])])] if len(best) else best
+        picked = picks(b.windows()[2])
         value, n = np.unique(b.grams[picked], return_counts=True) if len(picked) else (np.zeros(0, u64), np.zeros(0, int))
         bucket = np.full(len(value), table.column("bucket")[0].as_py(), np.int32)
         return pa.table({"bucket": bucket, "seed": value.view(np.int64), "n": n.astype(np.int64)})
@@ -86,6 +108,28 @@ def _seeds(window: int, seed: int):
     return run
 
 
+def _phrases(window: int, seed: int):
+    """The words of the bucket's candidates, one row for each with the number of its places picked."""
+
+    def run(docs: pa.Table, candidates: pa.Table) -> pa.Table:
+        if not docs.num_rows or not candidates.num_rows:
+            return pa.table({"bucket": pa.array([], pa.int32()), "phrase": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
+        b = Bucket(docs, window, seed)
+        picked = picks(b.windows()[2])
+        asked = np.sort(candidates.column("seed").to_numpy().view(u64))
+        at = np.minimum(np.searchsorted(asked, b.grams[picked]), len(asked) - 1)
+        picked = picked[asked[at] == b.grams[picked]]
+        w = b.words
+        spoken = w.joined()
+        ends = np.cumsum(w.end - w.start + 1)
+        lo, hi = ends[picked] - (w.end[picked] - w.start[picked] + 1), ends[picked + seed - 1] - 1
+        phrases = pa.array([spoken[i:j] for i, j in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())
+        counted = phrases.value_counts()
+        return pa.table({"bucket": np.full(len(counted), docs.column("bucket")[0].as_py(), np.int32), "phrase": counted.field("values"), "n": counted.field("counts")})
+
+    return run
+
+
 def runs_of(flag: np.ndarray, least: int) -> np.ndarray:
     """``flag`` without its runs of fewer than ``least`` trues."""
     step = np.diff(np.concatenate([[0], flag.astype(np.int8), [0]]))
@@ -97,61 +141,67 @@ def runs_of(flag: np.ndarray, least: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def locate(b: Bucket, picked: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """Where in the bucket's words a recurring seed occurs: a flag for every position.
+def locate(b: Bucket, phrases: pa.Array) -> np.ndarray:
+    """Which phrase starts at each position of the bucket's words: its number, or -1.
 
     A word of the phrases is spelled with a few characters, one of ``BASE`` for each digit of its number and other ones
     for each digit, so that no node of an automaton has many children (they are searched one by one)."""
-    hit = np.zeros(len(b.hash) + 1, bool)
-    wanted = picked[np.isin(b.grams[picked], seeds)]
-    _, one = np.unique(b.grams[wanted], return_index=True)
-    phrases = wanted[one]
+    found = np.full(len(b.words.start) + 1, -1, np.int64)
+    spoken = words(phrases).array().dictionary_encode()
+    vocab, numbers = spoken.dictionary, spoken.indices.to_numpy().reshape(-1, b.seed)
+    place = pc.index_in(b.words.array(), value_set=vocab).fill_null(-1).to_numpy()
     text = b.words.text
-    for lo in range(0, len(phrases), SHARD_PHRASES):
-        at = phrases[lo : lo + SHARD_PHRASES]
-        vocab, number = np.unique(b.hash[at[:, None] + np.arange(b.seed)], return_inverse=True)
-        digits = next(k for k in range(1, 9) if BASE**k >= len(vocab))
-        spell = lambda n: (n[:, None] // BASE ** np.arange(digits - 1, -1, -1) % BASE + 1 + BASE * np.arange(digits)).astype("<u4")  # noqa: B023, E731
-        as_text = lambda x: x.tobytes().decode("utf-32-le")
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        flat, width = as_text(spell(number.ravel())), b.seed * digits
-        for i in range(0, len(flat), width):
-            automaton.add_word(flat[i : i + width])
+    digits = next(k for k in range(1, 9) if BASE**k >= len(vocab))
+    spell = lambda n: (n[:, None] // BASE ** np.arange(digits - 1, -1, -1) % BASE + 1 + BASE * np.arange(digits)).astype("<u4")
+    as_text = lambda x: x.tobytes().decode("utf-32-le")
+    order = np.lexsort(numbers.T[::-1])
+    for lo in range(0, len(order), SHARD_PHRASES):
+        own_phrases = order[lo : lo + SHARD_PHRASES]
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+        flat, width = as_text(spell(numbers[own_phrases].ravel())), b.seed * digits
+        for i, number in enumerate(own_phrases.tolist()):
+            automaton.add_word(flat[i * width : (i + 1) * width], number)
         automaton.make_automaton()
-        # all documents, without the words that lie in no run of known ones as long as a phrase
-        place = np.minimum(np.searchsorted(vocab, b.hash), len(vocab) - 1)
-        own = np.flatnonzero(runs_of(vocab[place] == b.hash, b.seed))
+        # all documents, without the words that lie in no run of the shard's words as long as a phrase
+        known = np.zeros(len(vocab) + 1, bool)
+        known[numbers[own_phrases].ravel()] = True
+        own = np.flatnonzero(runs_of(known[place], b.seed))
         gap = np.ones(len(own), bool)  # a mark that no phrase holds stands before each run and each document
         gap[1:] = (own[1:] != own[:-1] + 1) | (text[own[1:]] != text[own[:-1]])
         slot = np.arange(len(own)) + np.cumsum(gap)
         stream = np.zeros((len(own) + int(gap.sum()), digits), "<u4")
-        stream[slot] = spell(place[own])
-        ends = np.fromiter((end for end, _ in automaton.iter(as_text(stream))), np.int64)
+        stream[slot] = spell(place[own].astype(np.int64))
+        matches = np.fromiter((x for pair in automaton.iter(as_text(stream)) for x in pair), np.int64).reshape(-1, 2)
         back = np.zeros(len(stream), np.int64)
         back[slot] = own
-        hit[back[ends // digits] - b.seed + 1] = True
-    return hit
+        found[back[matches[:, 0] // digits] - b.seed + 1] = matches[:, 1]
+    return found
 
 
 def _windows(window: int, seed: int):
-    def run(docs: pa.Table, seeds: pa.Table) -> pa.Table:
+    def run(docs: pa.Table, passages: pa.Table) -> pa.Table:
         schema = pa.schema([("seed", pa.int64()), ("id", pa.int64()), ("at", pa.int64()), ("hashes", pa.binary()), ("marked", pa.binary())])
-        if not docs.num_rows or not seeds.num_rows:
+        if not docs.num_rows or not passages.num_rows:
             return schema.empty_table()
         b = Bucket(docs, window, seed)
+        phrases = passages.column("phrase").combine_chunks()
+        which = locate(b, phrases)
         start, doc, best = b.windows()
-        picked = best[np.concatenate([[True], (best[1:] != best[:-1])])] if len(best) else best
-        hit = locate(b, picked, seeds.column("seed").to_numpy().view(u64))
-        own = hit[best] if len(best) else np.zeros(0, bool)
+        own = which[best] >= 0 if len(best) else np.zeros(0, bool)
         start, doc, best = start[own], doc[own], best[own]
         if not len(start):
             return schema.empty_table()
-        full = window_hashes(b.hash, window)[start] | u64(1)
+        full = window_hashes(b.hash, window)[start]
+        full[full == 0] = 1
         _, first = np.unique(full, return_index=True)
         later = np.ones(len(full), bool)
         later[first] = False
+        # windows meet by passage; one with many places is split by what the window says
+        key, splits = b.grams[best], (passages.column("total").to_numpy() // SPLIT + 1).astype(u64)[which[best]]
+        many = (splits > 1) & ~later
+        key[many] = mix(key[many] ^ mix(full[many] % splits[many] + u64(1)))
         full = np.where(later, u64(0), full)  # windows that are not the bucket's first are marked here and not sent
-        new = np.concatenate([[True], (best[1:] != best[:-1]) | (start[1:] != start[:-1] + 1) | (doc[1:] != doc[:-1])])
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (best[1:] != best[:-1]) | (start[1:] != start[:-1] + 1) | (doc[1:] != doc[:-1])])
         edge = np.flatnonzero(new)
         size = np.diff(np.append(edge, len(start)))
         offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
@@ -159,7 +209,7 @@ def _windows(window: int, seed: int):
         at = (b.seq[doc[edge]] << SEQ) + start[edge] - b.words.first[doc[edge]]
         # rows that send nothing needn't meet others: they are dealt by place, not by seed
         sends = np.add.reduceat((full != 0).astype(np.int64), edge) > 0
-        key = np.where(sends, b.grams[best[edge]], mix(at.astype(u64) ^ mix(b.id[doc[edge]].astype(u64))))
+        key = np.where(sends, key[edge], mix(at.astype(u64) ^ mix(b.id[doc[edge]].astype(u64))))
         return pa.table(
             [pa.array(key.view(np.int64)), pa.array(b.id[doc[edge]]), pa.array(at), binary(full, 8), binary(later.astype(np.uint8), 1)],
             schema=schema,
@@ -169,7 +219,7 @@ def _windows(window: int, seed: int):
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks all windows of the partition but the first of each hash; equal windows have equal seeds and meet here."""
+    """Marks all windows of the partition but the first of each key and hash; equal windows have equal keys and meet here."""
     batches = [x for x in batches if x.num_rows]
     if not batches:
         return
@@ -180,11 +230,11 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = pc.binary_length(rows.column("marked")).to_numpy().astype(np.int64)
     row = np.repeat(np.arange(len(size)), size)
     inside = np.arange(len(hashes)) - np.repeat(np.cumsum(size) - size, size)
-    ids, at = rows.column("id").to_numpy(), rows.column("at").to_numpy()
+    ids, at, key = (rows.column(c).to_numpy() for c in ("id", "at", "seed"))
     sent = np.flatnonzero(hashes)
-    order = sent[np.lexsort((at[row[sent]] + inside[sent], ids[row[sent]], hashes[sent]))]
+    order = sent[np.lexsort((at[row[sent]] + inside[sent], ids[row[sent]], key[row[sent]], hashes[sent]))]
     again = np.zeros(len(order), bool)
-    again[1:] = hashes[order[1:]] == hashes[order[:-1]]
+    again[1:] = (hashes[order[1:]] == hashes[order[:-1]]) & (key[row[order[1:]]] == key[row[order[:-1]]])
     marked[order[again]] = True
     # runs of marked windows within a row
     start = np.flatnonzero(marked & np.concatenate([[True], ~marked[:-1] | (row[1:] != row[:-1])])) if len(marked) else np.zeros(0, int)
@@ -199,7 +249,7 @@ def _remove(window: int, seed: int):
             return schema.empty_table().cast(pa.schema([*list(schema)[:3], ("kept", pa.string())]))
         b = Bucket(docs, window, seed)
         w = b.words
-        cover = np.zeros(len(b.hash) + 1, np.int64)
+        cover = np.zeros(len(w.start) + 1, np.int64)
         if runs.num_rows:
             ids, at, n = (runs.column(c).to_numpy() for c in ("id", "at", "n"))
             doc = np.searchsorted(b.id, ids) + (at >> SEQ)
@@ -233,6 +283,17 @@ def _remove(window: int, seed: int):
     return run
 
 
+def matching_windows(dealt: DataFrame, window: int, seed: int) -> DataFrame:
+    """(seed, id, at, hashes, marked): runs of windows around the places where confirmed passages match. ``dealt``: (id,
+    text, bucket)."""
+    buckets = dealt.groupBy("bucket")
+    seeds = buckets.applyInArrow(_seeds(window, seed), "bucket int, seed long, n long")
+    candidates = seeds.withColumn("all", F.sum("n").over(W.partitionBy("seed"))).where("all > 1").select("bucket", "seed")
+    phrases = buckets.cogroup(candidates.groupBy("bucket")).applyInArrow(_phrases(window, seed), "bucket int, phrase binary, n long")
+    confirmed = phrases.withColumn("total", F.sum("n").over(W.partitionBy("phrase"))).where("total > 1").select("bucket", "phrase", "total")
+    return buckets.cogroup(confirmed.groupBy("bucket")).applyInArrow(_windows(window, seed), "seed long, id long, at long, hashes binary, marked binary")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, seed: int = 10, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per document: id, n_words, n_removed, kept (the words that stay, joined by one space)."""
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -241,9 +302,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bucket = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     dealt = narrow.withColumn("bucket", bucket).repartition(n, "bucket")
 
-    seeds = dealt.groupBy("bucket").applyInArrow(_seeds(window, seed), "bucket int, seed long, n long")
-    recurring = seeds.withColumn("all", F.sum("n").over(W.partitionBy("seed"))).where("all > 1").select("bucket", "seed")
-    found = dealt.groupBy("bucket").cogroup(recurring.groupBy("bucket")).applyInArrow(_windows(window, seed), "seed long, id long, at long, hashes binary, marked binary")
+    found = matching_windows(dealt, window, seed)
     parts = max(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     runs = found.repartition(parts, "seed").mapInArrow(_confirm, "id long, at long, n long")
     last = np.iinfo(np.int64).max

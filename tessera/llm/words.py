@@ -74,6 +74,21 @@ class Words:
         """Of each word: its text's index."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
+    def array(self) -> pa.Array:
+        """The words themselves."""
+        bytes_ = self.data[~SPACE[self.data]]
+        offsets = np.concatenate([[0], np.cumsum(self.end - self.start)]).astype(np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(offsets), pa.py_buffer(bytes_.tobytes())])
+
+    def joined(self) -> bytes:
+        """All words in order, each with one space after it."""
+        length = self.end - self.start
+        out = np.full(int(length.sum()) + len(length), 0x20, np.uint8)
+        put = np.ones(len(out), bool)
+        put[np.cumsum(length + 1) - 1] = False
+        out[put] = self.data[~SPACE[self.data]]
+        return out.tobytes()
+
     def hashes(self) -> np.ndarray:
         out = np.empty(len(self.start), u64)
         i = 0
