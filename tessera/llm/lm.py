@@ -1,23 +1,30 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 Counts of words and word pairs are gathered over all training documents, and every n-gram that was counted enters the
-filter, at any corpus size, with the logarithm of its count in steps of a factor two: level q is stored as the q keys
-(n-gram, 1) .. (n-gram, q), and read back by probing level after level until one is missing. As 1 + log2(c) <= c, all
-levels of one order add up to the training tokens at most. The filter grows with them and is therefore cut by the
-n-gram's hash into segments of about ``SEGMENT`` tokens an order: one segment (at most 2 * ``SEGMENT`` entries on
-average, 1.3 MB) is all that a task holds. Each is filled by one task from the n-grams dealt to it, and documents probe
-it there: the n-grams of ``CHUNK`` tokens of text at a time are dealt to the segments, and their levels come back to the
-chunk. N-grams travel as ``KEY_BYTES`` bytes, packed (two of one segment look alike with a chance of 2**-40).
+filter, at any corpus size, with its count in steps of the square root of two: level q is stored as the q keys
+(n-gram, 1) .. (n-gram, q), and read back by probing level after level until one is missing. All levels of one order add
+up to twice the training tokens at most. The filter grows with them and is therefore cut by the n-gram's hash into segments
+of about ``SEGMENT`` tokens an order: one segment (some 2.5 MB) is all that a task holds. Each is filled by one task from
+the n-grams dealt to it, and documents probe it there: the different n-grams of a bucket of documents are dealt to the
+segments, and their levels come back to the bucket. N-grams travel as ``KEY_BYTES`` bytes, packed (two of one segment
+look alike with a chance of 2**-40).
 
-Probabilities are smoothed from probes alone: P(w|v) = (c(vw) + MU * P(w)) / (c(v) + MU) with the word probability
-P(w) = (c(w) + 1) / (N + V + 1).
+Probabilities come from probes alone. A level bounds a count from below (``LEAST``) and from above (``MOST``):
+
+    P(w)   = (least(w) + 1) / (N + V + 1)
+    P(w|v) = (max(least(vw) - D, 0) + (MU + D) * P(w)) / (most(v) + MU)
+
+with MU + D replaced by MU where v was never seen. As the counts of a context's pairs add up to the context's own, the
+probabilities of all words after any context add up to 1 at most (what is lacking is the rounding of levels), but for
+the filter's false positives, of which 2**-14 of the absent n-grams are.
 
 Beside it the exact add-one word model (``base_score``) is computed. The ``FREQUENT`` most frequent words are broadcast
 with their exact counts (bounded by that number), all other words of a document find theirs by a join on the word's
 hash, so no key of the join is frequent.
 
-Defined cases: null text is empty (one token, the end); rows that repeat are scored each; without training documents
-N = V = 0 and every score follows from that; an empty table gives an empty result; only named columns are read.
+Defined cases: null text is empty (one token, the end); a text of any length is scored whole; rows that repeat are
+scored each; n-grams of one count are alike; without training documents N = V = 0 and every score follows from that;
+an empty table gives an empty result; only named columns are read.
 """
 
 from __future__ import annotations
@@ -37,13 +44,16 @@ from tessera.session import materialize
 
 END = np.uint64(0x5851F42D4C957F2D)
 SEGMENT = 1 << 19
-CHUNK = 1 << 20
+BUCKET_BYTES = 4 << 20
 KEY_BYTES = 5
-BITS_PER_ENTRY = 10
-PROBES = 7
+BITS_PER_ENTRY = 20
+PROBES = 14
 FREQUENT = 1 << 20
-MU = 20.0
-FLUSH = 1 << 22
+MU, D = 20.0, 0.75
+FLUSH = 1 << 21
+#: Of each level: the smallest and the largest count; level 0 is absence.
+LEAST = np.array([0.0, *(float(math.ceil(2 ** ((q - 1) / 2))) for q in range(1, 128))])
+MOST = np.array([0.0, *(float(math.ceil(2 ** (q / 2)) - 1) for q in range(1, 128))])
 
 u64 = np.uint64
 
@@ -104,16 +114,6 @@ def packed(keys: np.ndarray) -> bytes:
     return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
 
 
-def pressed(at: np.ndarray) -> bytes:
-    """Places of tokens, compressed byte by byte: the upper ones hardly vary."""
-    return pa.compress(at.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
-
-
-def unpressed(data: bytes, n: int) -> np.ndarray:
-    raw = pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view("<u4").ravel().astype(np.int64)
-
-
 def unpacked(data: bytes) -> np.ndarray:
     out = np.zeros((len(data) // KEY_BYTES, 8), np.uint8)
     out[:, :KEY_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
@@ -162,15 +162,9 @@ def fill(h: np.ndarray, level: np.ndarray) -> Filter:
     return Filter(np.packbits(bits, bitorder="little"), segment_bits)
 
 
-def build_filter(ngrams: DataFrame, floor: float) -> Filter:
-    """``ngrams``: a small table (h, level) as one segment."""
-    found = ngrams.toArrow()
-    return fill(found.column("h").to_numpy().view(u64), found.column("level").to_numpy())
-
-
-def estimated(level: np.ndarray) -> np.ndarray:
-    """Counts: the middle, by logarithm, of the level's range; 0 when absent."""
-    return np.where(level > 0, np.exp2(level - 0.5), 0.0)
+def level_of(count: np.ndarray) -> np.ndarray:
+    """1 + floor(2 log2(count)): the bits of the squared count."""
+    return np.frexp(np.square(count.astype(np.float64)))[1]
 
 
 def build_segments(texts: DataFrame, words: DataFrame, segments: int) -> DataFrame:
@@ -206,7 +200,7 @@ def build_segments(texts: DataFrame, words: DataFrame, segments: int) -> DataFra
         order = np.argsort(keys)
         edge = np.flatnonzero(np.diff(keys[order], prepend=u64(1 << 63)))
         c = np.add.reduceat(counts[order], edge)
-        found = fill(keys[order[edge]], np.frexp(c.astype(np.float64))[1])
+        found = fill(keys[order[edge]], level_of(c))
         return pa.table({"segment": group.column("segment").slice(0, 1), "bits": pa.array([found.bits.tobytes()], pa.binary())})
 
     parts = words.mapInArrow(of_words, schema).unionByName(texts.select("text").mapInArrow(of_pairs, schema))
@@ -251,103 +245,83 @@ def fit(train: DataFrame, text_col: str = "text", frequent: int = FREQUENT, segm
     return Model(n, v, segments, bloom, h[order], c[order].astype(np.float64), found)
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """``docs``: (row, id, text). (chunk, rows, ids, first, words, at): documents of some ``CHUNK`` tokens as places in
-    the sorted hashes of their words, written; a chunk has its first row's number."""
-    schema = docs.select(F.col("row").alias("chunk"), F.array("row").alias("rows"), F.array("id").alias("ids"), *[F.lit(b"").alias(c) for c in ("first", "words", "at")]).schema
+def ngrams(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a bucket: its tokens, where each text's begin, its different words and its different pairs."""
+    token, first = tokens(texts)
+    return token, first, np.unique(token), np.unique(pairs(token, first)[1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            rows, ids, token, n = zip(*held, strict=True)
-            held.clear()
-            rows, ids = pa.concat_arrays(rows), pa.concat_arrays(ids)
-            one, at = np.unique(np.concatenate(token), return_inverse=True)
-            first = np.concatenate([[0], np.cumsum(np.concatenate(n))])
-            whole = pa.array([0, len(rows)], pa.int32())
-            blobs = [pa.array([x], pa.binary()) for x in (first.astype(np.int64).tobytes(), one.tobytes(), pressed(at))]
-            return pa.RecordBatch.from_arrays([rows.slice(0, 1), pa.ListArray.from_arrays(whole, rows), pa.ListArray.from_arrays(whole, ids), *blobs], names=schema.names)
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                sub = batch.slice(at, 500)
-                token, first = tokens(sub.column("text"))
-                held.append((sub.column("row"), sub.column("id"), token, np.diff(first)))
-                if sum(len(x[2]) for x in held) > CHUNK:
-                    yield flush()
-        if held:
-            yield flush()
 
-    return materialize(docs.mapInArrow(run, schema), "lm-chunks")
-
-
-def probe(model: Model, held: DataFrame) -> DataFrame:
-    """(chunk, segment, levels): of the n-grams of each chunk (its words, then its different pairs) in ``deal``'s order,
-    one byte each. Every segment is held by the one task to which its n-grams are dealt."""
+def probe(model: Model, dealt: DataFrame) -> DataFrame:
+    """(bucket, segment, levels): of the n-grams of each bucket (its words, then its pairs) in ``deal``'s order, one byte
+    each. Every segment is held by the one task to which its n-grams are dealt."""
     segments = model.segments
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, first, one, at in zip(*(batch.column(c).to_pylist() for c in ("chunk", "first", "words", "at")), strict=True):
-                one, first = np.frombuffer(one, u64), np.frombuffer(first, np.int64)
-                pair = np.unique(pairs(one[unpressed(at, first[-1])], first)[1])
-                _, keys, segment, edge = deal(np.concatenate([one, pair]), segments)
-                blobs = [packed(keys[a:b]) for a, b in itertools.pairwise(edge.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(segment.astype(np.int32)), pa.array(np.full(len(segment), chunk)), pa.array(blobs, pa.binary())], names=["segment", "chunk", "data"])
+    def ask(docs: pa.Table) -> pa.Table:
+        _, _, one, two = ngrams(docs.column("text"))
+        _, keys, segment, edge = deal(np.concatenate([one, two]), segments)
+        blobs = [packed(keys[a:b]) for a, b in itertools.pairwise(edge.tolist())]
+        bucket = np.full(len(segment), docs.column("bucket")[0].as_py())
+        return pa.table({"segment": segment.astype(np.int32), "bucket": bucket, "data": pa.array(blobs, pa.binary())})
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, bloom = -1, None
         for batch in batches:
             out = []
-            for segment, chunk, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if chunk < 0:
+            for segment, bucket, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket < 0:
                     own, bloom = segment, Filter(np.frombuffer(data, np.uint8), 8 * len(data))
                     continue
                 keys = unpacked(data)
                 level = bloom.levels(keys) if own == segment else np.zeros(len(keys))
-                out.append((chunk, segment, level.astype(np.uint8).tobytes()))
+                out.append((bucket, segment, level.astype(np.uint8).tobytes()))
             if out:
-                c, s, x = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(s, pa.int32()), pa.array(x, pa.binary())], names=["chunk", "segment", "levels"])
+                b, s, x = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(s, pa.int32()), pa.array(x, pa.binary())], names=["bucket", "segment", "levels"])
 
     # a segment's bits come before its questions
-    asked = held.select("chunk", "first", "words", "at").mapInArrow(ask, "segment int, chunk long, data binary")
-    bits = model.filter.select("segment", F.lit(-1).cast("long").alias("chunk"), F.col("bits").alias("data"))
-    dealt = bits.unionByName(asked).repartition("segment").sortWithinPartitions("segment", "chunk")
-    return dealt.mapInArrow(answer, "chunk long, segment int, levels binary")
+    asked = dealt.groupBy("bucket").applyInArrow(ask, "segment int, bucket long, data binary")
+    bits = model.filter.select("segment", F.lit(-1).cast("long").alias("bucket"), F.col("bits").alias("data"))
+    held = bits.unionByName(asked).repartition("segment").sortWithinPartitions("segment", "bucket")
+    return held.mapInArrow(answer, "bucket long, segment int, levels binary")
+
+
+def log_probabilities(level_v: np.ndarray, level_w: np.ndarray, level_vw: np.ndarray, total: float) -> np.ndarray:
+    """log10 P(w|v); a pair can't be more frequent than either word."""
+    level_vw = np.minimum(level_vw, np.minimum(level_v, level_w))
+    p_w = (LEAST[level_w] + 1) / total
+    own = np.maximum(LEAST[level_vw] - D, 0.0) + (MU + np.where(level_v > 0, D, 0.0)) * p_w
+    return np.log10(own / (MOST[level_v] + MU))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per document: id, n_tokens, n_known, base_score, score (log10 probabilities)."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((model.word, model.count, model.total))
     segments = model.segments
-    narrow = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    held = chunks(narrow)
-    levels = probe(model, held)
+    size = narrow.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_buckets = max(1, -(-size // bucket_bytes))
+    dealt = narrow.withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(n_buckets)).cast("long")).repartition(n_buckets, "bucket")
+    levels = probe(model, dealt)
 
-    def of_chunk(batch: pa.RecordBatch, k: int, level: bytes) -> pa.RecordBatch:
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         word, count, total = sent.value
-        rows, ids = (batch.column(c).slice(k, 1).flatten() for c in ("rows", "ids"))
-        first, one = (np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in (("first", np.int64), ("words", u64)))
-        where = unpressed(batch.column("at")[k].as_py(), first[-1])
-        n_texts, n = len(rows), np.diff(first)
+        token, first, one, two = ngrams(docs.column("text"))
+        n_texts, n = docs.num_rows, np.diff(first)
+        if not n_texts:
+            return empty
         text = np.repeat(np.arange(n_texts), n)
         # the model
-        two, both = np.unique(pairs(one[where], first)[1], return_inverse=True)
-        known = np.empty(len(one) + len(two), np.uint8)
-        known[deal(np.concatenate([one, two]), segments)[0]] = np.frombuffer(level, np.uint8)
-        known = estimated(known.astype(np.float64))
-        c_w = known[where]
-        c_v = np.empty_like(c_w)
-        c_v[1:] = c_w[:-1]
-        c_v[first[:-1]] = known[np.searchsorted(one, END)]
-        c_vw = np.minimum(known[len(one) :][both], np.minimum(c_v, c_w))
-        p_w = (c_w + 1) / total
-        p = np.log10((c_vw + MU * p_w) / (c_v + MU))
-        model_score = np.bincount(text, weights=p, minlength=n_texts)
+        answers = answers.sort_by("segment")
+        level = np.empty(len(one) + len(two), np.int64)
+        level[deal(np.concatenate([one, two]), segments)[0]] = np.frombuffer(b"".join(answers.column("levels").to_pylist()), np.uint8)
+        where, both = np.searchsorted(one, token), np.searchsorted(two, pairs(token, first)[1])
+        level_w = level[where]
+        level_v = np.empty_like(level_w)
+        level_v[1:] = level_w[:-1]
+        level_v[first[:-1]] = level[np.searchsorted(one, END)]
+        model_score = np.bincount(text, weights=log_probabilities(level_v, level_w, level[len(one) :][both], total), minlength=n_texts)
         # the exact word model, for the most frequent words
         place = np.minimum(np.searchsorted(word, one), max(0, len(word) - 1))
         is_top = word[place] == one if len(word) else np.zeros(len(one), bool)
@@ -360,28 +334,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         offsets = np.searchsorted(key, np.arange(n_texts + 1) * len(one)).astype(np.int32)
         rare = pa.ListArray.from_arrays(pa.array(offsets), pa.array(one[key % len(one)].view(np.int64)))
         rare_n = pa.ListArray.from_arrays(pa.array(offsets), pa.array(times.astype(np.int32)))
-        return pa.RecordBatch.from_arrays(
-            [rows, ids, pa.array(n), pa.array(n_top), pa.array(base), pa.array(model_score), rare, rare_n],
-            names=["row", "id", "n_tokens", "n_top", "base", "score", "rare", "rare_n"],
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, got = None, []
-        for batch in batches:
-            for k, (segment, level) in enumerate(zip(batch.column("segment").to_pylist(), batch.column("levels").to_pylist(), strict=True)):
-                if segment < 0:
-                    if now:
-                        yield of_chunk(*now, b"".join(got))
-                    now, got = (batch, k), []
-                else:
-                    got.append(level)
-        if now:
-            yield of_chunk(*now, b"".join(got))
+        row = (docs.column("bucket")[0].as_py() << 32) + np.arange(n_texts)
+        return pa.table([pa.array(row), docs.column("id"), pa.array(n), pa.array(n_top), pa.array(base), pa.array(model_score), rare, rare_n], names=names)
 
     schema = f"row long, id {kind}, n_tokens long, n_top long, base double, score double, rare array<long>, rare_n array<int>"
-    # a chunk comes before its levels, which are in the order of segments
-    both = held.withColumn("segment", F.lit(-1)).unionByName(levels, allowMissingColumns=True)
-    done = materialize(both.repartition("chunk").sortWithinPartitions("chunk", "segment").mapInArrow(run, schema), "lm-scored")
+    empty = spark.createDataFrame([], schema).toArrow()
+    names = empty.column_names
+    done = dealt.groupBy("bucket").cogroup(levels.groupBy("bucket")).applyInArrow(run, schema)
+    done = materialize(done, "lm-scored")
     rare = done.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.rare_n").alias("times"))
     c = F.coalesce(F.col("c"), F.lit(0))
     rest = (
