@@ -1,30 +1,40 @@
 r"""Information-theoretic sanitisation of personal data, in DataFrame operations only.
 
-Protected entities are the e-mail addresses, IP addresses, card and phone numbers that patterns find. A term that
-stands in an entity's documents, however far from it, discloses the entity when the corpus says that the term all but
-names it: with document frequencies, PMI(e;t) = log2(p(e,t) / (p(e) p(t))) is at most the entity's information content
-IC(e) = -log2 p(e), and reaches it when the term occurs with the entity only. Of terms with PMI >= ``threshold`` * IC(e),
-seen together in at least ``support`` different texts, every occurrence in the entity's documents becomes a span of its
-own (kind ``term``) beside the entity; ``sanitise`` generalises all spans to their kind's placeholder, or removes them.
+Protected entities are what patterns find: e-mail addresses, IP addresses, card and phone numbers, and secrets (long
+tokens of letters and digits). Each is protected on up to three levels: its full value; the group that it belongs to (an
+e-mail's domain, an address' network of two parts, a card's first six digits, a number's first four); its kind. A term
+discloses an entity when the corpus says that it all but names it: with document frequencies, PMI(e;t) =
+log2(p(e,t) / (p(e) p(t))) is at most the entity's information content IC(e) = -log2 p(e), and reaches it when the term
+occurs with the entity only. Disclosing are the terms with PMI >= ``threshold`` * IC(e) that are seen with the entity in
+at least ``support`` different texts, and in so many that chance doesn't explain it: a term that stands in n texts by chance
+stands beside the entity in all of them with a probability of 2**(-n IC), so n IC must exceed the bits of all (entity,
+term) pairs tested and ``MARGIN`` more. Every occurrence of a disclosing term in the entity's documents becomes a span of
+its own (kind ``term``); ``sanitise`` generalises all spans to their kind's placeholder, or removes them.
 
 All counts run over whole documents. As n(e,t) <= n(e), a term with n(t) > n(e) * (D / n(e)) ** (1 - threshold) can't reach
-the threshold, nor can an entity in fewer than ``support`` texts: both go before (entity, term) pairs are made, exactly.
-Words inside an entity's own text count as words of the document, but never become spans of their own. Positions are code points, end exclusive. Patterns match leftmost, without overlap a kind; matches that fail
-their kind's check (IP parts to 255, card length and Luhn, phone digits) are dropped without a retry.
-
-Defined cases: null text is empty; rows that repeat are reported each; texts that are equal count once for support;
-an empty table gives an empty result; only the named columns are read.
+the threshold, nor one with too few documents for the evidence, nor an entity in fewer than ``support`` texts: they go
+before (entity, term) pairs are made, exactly. Words inside an entity's own text count as words of the document, but never
+become spans of their own. Positions are code points, end exclusive. Patterns match leftmost, without overlap a kind;
+matches that fail their kind's check (IP parts to 255, card length and Luhn, phone digits) are dropped without a retry. A
+secret that overlaps another entity is no span.
+
+Defined cases: null text is empty; a text of any length is read whole; rows that repeat are reported each; texts that are
+equal count once for support; terms with equal counts fare alike; an empty table gives an empty result; only the named
+columns are read.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.session import materialize
 
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "secret", "term")
+BASE, ENTITIES = 4, 5
 LOCAL = r"[A-Za-z0-9._%+-]"
 # A match starts where no longer one could have started (or right after the last), and runs are taken whole: the same
 # matches as with the plain patterns, in time that grows with the text.
@@ -33,11 +43,13 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "secret": r"(?<![A-Za-z0-9_])(?=(?:[A-Za-z_]*+[0-9]){4})(?=(?:[0-9_]*+[A-Za-z]){4})[A-Za-z0-9_]{24,}+",
 }
 #: A cheap sign without which a text can't hold the kind.
-SIGNS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?+[0-9]){15}", "phone": "+"}
+SIGNS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?+[0-9]){15}", "phone": "+", "secret": r"[A-Za-z0-9_]{24}"}
 TERM = r"\p{L}{3,}"
 BROADCAST_PAIRS = 200_000
+MARGIN = 7.0
 MATCH = "array<struct<kind:string,i:int,value:string,gap:int>>"
 
 
@@ -63,6 +75,7 @@ def _passes(kind: Column, value: Column) -> Column:
         F.when(kind == "email", F.lit(True))
         .when(kind == "ip", F.forall(F.split(value, r"\."), lambda p: p.cast("double") <= 255))
         .when(kind == "card", n.between(16, 19) & _luhn(digits))
+        .when(kind == "secret", F.lit(True))
         .otherwise(n.between(8, 15))
     )
 
@@ -72,7 +85,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     number of characters since the one before, and ``text`` is kept where there are some."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     found = []
-    for kind in KINDS[:4]:
+    for kind in KINDS[:ENTITIES]:
         values = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), 0)
         between = F.split(text, PATTERNS[kind], -1)
         zipped = F.transform(
@@ -90,14 +103,25 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return materialize(rows.withColumn("text", F.when(F.size("found") > 0, F.col("text"))), "pii-scan")
 
 
+def _group(kind: Column, value: Column) -> Column:
+    """What entities of a kind have in common with others of it; null for a secret."""
+    return (
+        F.when(kind == "email", F.substring_index(F.lower(value), "@", -1))
+        .when(kind == "ip", F.substring_index(value, ".", 2))
+        .when(kind == "card", F.substring(_digits(value), 1, 6))
+        .when(kind == "phone", F.substring(_digits(value), 1, 4))
+    )
+
+
 def base_spans(scanned: DataFrame) -> DataFrame:
-    """(row, text_hash, kind, start, stop, entity) of the matches that pass."""
+    """(row, text_hash, kind, start, stop, entities) of the matches that pass; entities are hashes of level and value."""
     one = scanned.where(F.size("found") > 0).select("row", "text_hash", F.explode("found").alias("x")).select("row", "text_hash", "x.*")
     upto = W.partitionBy("row", "kind").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
     stop = F.sum(F.col("gap") + F.length("value")).over(upto)
     placed = one.withColumn("stop", stop).withColumn("start", F.col("stop") - F.length("value"))
-    entity = F.concat_ws(":", "kind", F.lower("value")).alias("entity")
-    return placed.where(_passes(F.col("kind"), F.col("value"))).select("row", "text_hash", "kind", "start", "stop", entity)
+    group = _group(F.col("kind"), F.col("value"))
+    levels = F.array(F.xxhash64(F.lit(0), "kind", F.lower("value")), F.when(group.isNotNull(), F.xxhash64(F.lit(1), "kind", group)), F.xxhash64(F.lit(2), "kind"))
+    return placed.where(_passes(F.col("kind"), F.col("value"))).select("row", "text_hash", "kind", "start", "stop", F.array_compact(levels).alias("entities"))
 
 
 def _words(text: Column) -> Column:
@@ -108,29 +132,33 @@ def _words(text: Column) -> Column:
 def disclosing(docs: DataFrame, text_col: str, scanned: DataFrame, base: DataFrame, threshold: float, support: int) -> DataFrame:
     """(entity, term, pmi, ic) of the pairs whose term discloses the entity."""
     d = float(max(1, scanned.count()))
-    own = base.select("row", "text_hash", "entity").distinct()
+    own = base.select("row", "text_hash", F.explode("entities").alias("entity")).distinct()
     by_text = own.groupBy("entity", "text_hash").agg(F.count("*").alias("n"))
     entities = by_text.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts")).where(F.col("texts") >= support)
     # the most documents that a disclosing term can have, a little up for rounding
     most = F.col("n_entity") * F.pow(F.lit(d) / F.col("n_entity"), F.lit(1 - threshold)) * (1 + 1e-9)
-    own = materialize(own.join(entities.select("entity", "n_entity", most.alias("most")), "entity"), "pii-entities")
-    bound = own.agg(F.max("most")).first()[0] or 0.0
+    ic = -F.log2(F.col("n_entity") / F.lit(d))
+    entities = materialize(entities.where(ic > 0).select("entity", "n_entity", most.alias("most"), ic.alias("ic")), "pii-entities")
+    bound, n_entities, richest = entities.agg(F.max("most"), F.count("*"), F.max("ic")).first()
     words = docs.select(F.explode(_words(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).alias("term"))
-    terms = words.groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term").between(support, bound))
+    terms = words.groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term").between(support, bound or 0.0))
+    terms = materialize(terms, "pii-terms")
+    bits = math.log2(max(1, terms.count() * n_entities)) + MARGIN
+    terms = terms.where(F.col("n_term") * F.lit(richest or 0.0) >= bits)
+    own = own.join(entities, "entity")
     texts = scanned.select("row", "text").join(own.select("row").distinct(), "row", "left_semi")
     held = texts.select("row", F.explode(_words(F.col("text"))).alias("term")).join(terms, "term")
-    pairs = held.join(own, "row").where(F.col("n_term") <= F.col("most"))
-    pairs = pairs.groupBy("entity", "term", "text_hash").agg(F.count("*").alias("n"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity"))
-    scored = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity"))
+    pairs = held.join(own, "row").where((F.col("n_term") <= F.col("most")) & (F.col("n_term") * F.col("ic") >= bits))
+    pairs = pairs.groupBy("entity", "term", "text_hash").agg(F.count("*").alias("n"))
+    scored = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).where((F.col("texts") >= support))
+    scored = scored.join(entities, "entity").where(F.col("texts") * F.col("ic") >= bits).join(terms, "term")
     pmi = F.log2(F.col("n_both") * F.lit(d) / (F.col("n_entity") * F.col("n_term")))
-    ic = -F.log2(F.col("n_entity") / F.lit(d))
-    scored = scored.where(F.col("texts") >= support).select("entity", "term", pmi.alias("pmi"), ic.alias("ic"))
-    return scored.where((F.col("ic") > 0) & (F.col("pmi") >= F.lit(threshold) * F.col("ic")))
+    return scored.select("entity", "term", pmi.alias("pmi"), "ic").where(F.col("pmi") >= F.lit(threshold) * F.col("ic"))
 
 
 def term_spans(scanned: DataFrame, base: DataFrame, pairs: DataFrame) -> DataFrame:
     """(row, start, stop): every occurrence of a disclosing term in its entity's documents."""
-    sought = base.select("row", "entity").distinct().join(pairs.select("entity", "term"), "entity").select("row", "term").distinct()
+    sought = base.select("row", F.explode("entities").alias("entity")).distinct().join(pairs.select("entity", "term"), "entity").select("row", "term").distinct()
     text = scanned.join(sought.select("row").distinct(), "row", "left_semi")
     zipped = F.arrays_zip(F.regexp_extract_all("text", F.lit(TERM), 0).alias("v"), F.split("text", TERM, -1).alias("b"))
     one = text.select("row", F.posexplode(zipped).alias("i", "x")).where(F.col("x.v").isNotNull())
@@ -139,21 +167,32 @@ def term_spans(scanned: DataFrame, base: DataFrame, pairs: DataFrame) -> DataFra
     return placed.join(sought, ["row", "term"]).select("row", "start", "stop")
 
 
+def _below(number: int):
+    return lambda x: x["kind"] < number
+
+
+def _clear_of(own: Column, first: int, last: int):
+    """Spans of other kinds than ``first`` to ``last``, and those of these that overlap none of ``own``."""
+    return lambda x: ~x["kind"].between(first, last) | ~F.exists(own, lambda y: (x["start"] < y["stop"]) & (y["start"] < x["stop"]))
+
+
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.95, support: int = 3) -> DataFrame:
-    """One row per document: id, found: its spans as sorted structs (kind number in KINDS, start, stop)."""
+    """One row per document: id, found: its spans as sorted structs (kind number in KINDS, start, stop), and clean: its
+    text with all spans generalised, null where there is none."""
     scanned = scan(docs, id_col, text_col)
     base = materialize(base_spans(scanned), "pii-base")
     pairs = materialize(disclosing(docs, text_col, scanned, base, threshold, support), "pii-disclosing")
     small = pairs.count() <= BROADCAST_PAIRS
     terms = term_spans(scanned, base, F.broadcast(pairs) if small else pairs)
-    number = F.when(F.col("kind") == "email", 0).when(F.col("kind") == "ip", 1).when(F.col("kind") == "card", 2).otherwise(3)
-    spans = base.select("row", number.alias("kind"), "start", "stop").unionByName(terms.withColumn("kind", F.lit(4)))
+    number = F.coalesce(*[F.when(F.col("kind") == k, i) for i, k in enumerate(KINDS)])
+    spans = base.select("row", number.alias("kind"), "start", "stop").unionByName(terms.withColumn("kind", F.lit(ENTITIES)))
     grouped = spans.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("kind", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop")))).alias("found"))
-    own = F.filter("found", lambda x: x["kind"] < 4)
-    clear = F.filter("found", lambda x: (x["kind"] < 4) | ~F.exists(F.col("own"), lambda y: (x["start"] < y["stop"]) & (y["start"] < x["stop"])))
-    grouped = grouped.withColumn("own", own).select("row", clear.alias("found"))
-    joined = scanned.select("row", "id").join(grouped, "row", "left")
-    return joined.select(F.col("id").alias(id_col), F.coalesce("found", F.array().cast("array<struct<kind:int,start:bigint,stop:bigint>>")).alias("found"))
+    # what overlaps a span of a stronger class is no span: base before secrets before terms
+    for first, last in ((BASE, ENTITIES - 1), (ENTITIES, ENTITIES)):
+        grouped = grouped.withColumn("own", F.filter("found", _below(first))).select("row", F.filter("found", _clear_of(F.col("own"), first, last)).alias("found"))
+    joined = scanned.select("row", "id", "text").join(grouped, "row", "left")
+    clean = F.when(F.size("found") > 0, sanitise(F.col("text"), F.col("found")))
+    return joined.select(F.col("id").alias(id_col), F.coalesce("found", F.array().cast("array<struct<kind:int,start:bigint,stop:bigint>>")).alias("found"), clean.alias("clean"))
 
 
 def spans_text(found: Column, below: int = len(KINDS)) -> Column:

@@ -44,8 +44,12 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
-    counts = [pii.count_of(F.col("found"), k).alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.spans_text(F.col("found"), 4), 256).alias("base_sha256"), pii.spans_text(F.col("found")).alias("spans"))
+    counts = {k: pii.count_of(F.col("found"), k).alias(f"n_{k}") for k in pii.KINDS}
+    return found.select(
+        "doc_id", *[counts[k] for k in pii.KINDS[: pii.BASE]],
+        F.sha2(pii.spans_text(F.col("found"), pii.BASE), 256).alias("base_sha256"), pii.spans_text(F.col("found")).alias("spans"),
+        counts["secret"], counts["term"], F.size("found").cast("long").alias("n_spans"), F.sha2("clean", 256).alias("clean_sha256"),
+    )
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -85,3 +86,65 @@ def test_terms_far_from_the_entity(spark):
     for i, text, *_ in rows:
         assert got[i] == ([f"term:{m.start()}:{m.end()}" for m in re.finditer("zephyrine", text, re.I)] if i <= 10 else [])
     assert len(got[0]) == 3
+
+
+def levels_of(kind, v):
+    digits = re.sub("[^0-9]", "", v)
+    group = {"email": v.lower().split("@")[-1], "ip": ".".join(v.split(".")[:2]), "card": digits[:6], "phone": digits[:4]}.get(kind)
+    return {(0, kind, v.lower()), (2, kind)} | ({(1, kind, group)} if group else set())
+
+
+def brute_terms(texts, threshold=0.95, support=3):
+    """Term spans of each text by counting everything."""
+    secret = r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{24,}"
+    enough = lambda v: sum(c.isdigit() for c in v) >= 4 and sum(c.isalpha() for c in v) >= 4
+    spans, own, words = [], [], []
+    for t in texts:
+        s = [(k, m) for k, p in PLAIN.items() for m in re.finditer(p, t, re.ASCII) if passes(k, m.group())] + [("secret", m) for m in re.finditer(secret, t) if enough(m.group())]
+        spans.append([m.span() for _, m in s])
+        own.append(set().union(*[levels_of(k, m.group()) for k, m in s]))
+        words.append({w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)})
+    d = len(texts)
+    with_entity = {e: [i for i in range(d) if e in own[i]] for e in set().union(*own)}
+    with_entity = {e: x for e, x in with_entity.items() if len({texts[i] for i in x}) >= support and len(x) < d}
+    with_term = {t: {i for i in range(d) if t in words[i]} for t in set().union(*words)}
+    most = {e: len(x) * (d / len(x)) ** (1 - threshold) for e, x in with_entity.items()}
+    candidates = [t for t, x in with_term.items() if support <= len(x) <= max(most.values(), default=0) * (1 + 1e-9)]
+    bits = math.log2(max(1, len(candidates) * len(with_entity))) + pii.MARGIN
+    out = [[] for _ in texts]
+    for e, x in with_entity.items():
+        ic = -math.log2(len(x) / d)
+        for t in candidates:
+            both = [i for i in x if i in with_term[t]]
+            n_texts = len({texts[i] for i in both})
+            if n_texts >= support and n_texts * ic >= bits and math.log2(len(both) * d / (len(x) * len(with_term[t]))) >= threshold * ic - 1e-12:
+                for i in both:
+                    at = [m.span() for m in re.finditer(r"[^\W\d_]{3,}", texts[i]) if m.group().lower() == t]
+                    out[i] += [f"term:{a}:{b}" for a, b in at if not any(a < y and z < b for z, y in spans[i])]
+    return [sorted(set(x)) for x in out]
+
+
+def test_terms_against_brute_force(spark):
+    rng = random.Random(8)
+    common, hosts = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(200)], ["alpha.example.com", "beta.example.org"]
+    texts = []
+    for i in range(400):
+        t = [rng.choice(common) for _ in range(rng.randrange(5, 40))]
+        if i % 9 == 0:
+            host = rng.choice(hosts)
+            t += [f"u{i}@{host}", "Betamax" if host == hosts[1] and rng.random() < 0.9 else "mail"]
+        if i % 20 == 0:
+            t += ["token", "=", f'"{rng.getrandbits(160):040x}"']
+        if i % 31 == 0:
+            t += ["joe@gamma.example.net", "Zephyrine"]
+        if i % 50 == 7:
+            t += ["token ring"] if i > 380 else []
+        rng.shuffle(t)
+        texts.append(" ".join(t))
+    texts += texts[:5]
+    want = brute_terms(texts)
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: sorted(s for s in r.spans.split(",") if s.startswith("term")) for r in found(docs)}
+    assert all(got[i] == want[i] for i in range(len(texts)))
+    seen = {texts[i][int(s.split(":")[1]) : int(s.split(":")[2])] for i, x in got.items() for s in x}
+    assert {"token", "Betamax", "Zephyrine"} <= seen and len(seen) < 8
