@@ -294,7 +294,7 @@ def matching_windows(dealt: DataFrame, window: int, seed: int) -> DataFrame:
     return buckets.cogroup(confirmed.groupBy("bucket")).applyInArrow(_windows(window, seed), "seed long, id long, at long, hashes binary, marked binary")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, seed: int = 10, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, seed: int = 8, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per document: id, n_words, n_removed, kept (the words that stay, joined by one space)."""
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     size = narrow.select(F.sum(F.octet_length("text"))).first()[0] or 0
