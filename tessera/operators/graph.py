@@ -8,26 +8,40 @@ from pyspark.sql import functions as F
 from tessera.session import materialize
 
 
+#: Keys that hold more than this part of all rows are joined by broadcast; there can't be more of them than that.
+HUBS = 1000
+
+
+def hub_join(rows: DataFrame, table: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has every key once and in ``size`` how many of the ``total`` rows hold it.
+
+    Keys with more than total / HUBS rows are at most HUBS; they are broadcast, so a key that holds a third of all rows
+    is joined where its rows lie. All others take the shuffle."""
+    heavy = F.broadcast(table.where(F.col(size) > max(1, total // HUBS)).drop(size))
+    light = table.where(F.col(size) <= max(1, total // HUBS)).drop(size)
+    return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(light, key, how), allowMissingColumns=True)
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node with an edge to another; component is the smallest node that it reaches.
 
-    Alternating large-star and small-star steps: each is one aggregation to the smallest neighbour and one join, and
-    the number of rounds grows with the logarithm of the longest path. Every round is written to the shared folder. If
-    ``max_rounds`` pass without two equal ones in a row, that is an error: unfinished stars are no components.
-    Null ends and self-loops are ignored."""
+    Nodes are of any type with an order. Alternating large-star and small-star steps: each is one aggregation to the
+    smallest neighbour and one join, in which the nodes with most neighbours are broadcast; the number of rounds grows with
+    the logarithm of the longest path. Every round is written to the shared folder. If ``max_rounds`` pass without two
+    equal ones in a row, that is an error: unfinished stars are no components. Null ends and self-loops are ignored."""
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v").distinct()
     now = materialize(pairs, "cc")
-    last = None
+    marked = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    last = marked(now)
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = hub_join(both.where("v > u"), least, "u", "n", 2 * last.n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        joined = down.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = hub_join(down, least, "u", "n", last.n).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = materialize(small.where("u <> v").distinct(), "cc")
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        mark = marked(now)
         if mark == last:
             break
         last = mark
