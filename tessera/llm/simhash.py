@@ -6,24 +6,32 @@ linked ones are joined to components.
 
 The join runs over distinct fingerprints, and those meet that agree on a key. Narrow ones (64 bits) use exact keys:
 two that differ in at most k bits agree in full on m - k of m blocks of bits, so every choice of m - k blocks is a
-key, and no link is lost; m grows with the number of fingerprints so that a key's group stays small. Wide ones, which
-estimate similarity well enough for a lower threshold, use ``SAMPLED_KEYS`` keys of ``SAMPLED_BITS`` drawn bits each: a
-pair with a share d of differing bits meets with probability 1 - (1 - (1 - d)**18)**48. In each group the fingerprints form a binary trie, which is joined
-with itself: node pairs are traversed together, differing bits add up, and a pair is dropped when they exceed the
-budget - or when all its leaves are known to be linked already. The groups of a partition are traversed in one go with
-arrays, a bounded number of node pairs at a time. A group with more than ``GROUP`` fingerprints is dealt to one task
-for each pair of trie nodes one byte further down. Only links that join something new leave a group (fewer than it
-has fingerprints), never all pairs.
-
-Defined cases: null text counts as empty; without words the fingerprint is zero and links like any other; with fewer
-words than a shingle has, the whole sequence is the one shingle; rows that repeat are linked; a null id belongs to its
-component but never names it, unless all ids are null; an empty table gives an empty result; only the named columns
-are read.
+key, and no link is lost; m grows with the number of fingerprints so that a key's group stays small. Wide ones, whose share
+of differing bits tells the similarity, use keys of drawn bits: ``sampled`` takes as many bits as keep groups small, and as
+many keys as a pair that differs in ``SHARE`` of its bits needs to miss them all in less than ``MISS`` of cases. In each
+group the fingerprints form a binary trie, which is joined with itself: node pairs are traversed together, differing bits
+add up, and a pair is dropped when they exceed the budget - or when all its leaves are known to be linked already. The
+groups of a partition are traversed in one go with arrays, a bounded number of node pairs at a time. A group with more
+than ``GROUP`` fingerprints is dealt to one task for each pair of trie nodes one byte further down. Only links that join
+something new leave a group, the closest first (a forest: fewer than it has fingerprints), never all pairs.
+
+``drop_near_duplicates`` takes wide fingerprints for candidates only: every link of the forests is verified on the texts,
+and stays if the sets of their shingles have a Jaccard similarity of ``similarity`` or more. (Texts of one and the same
+wide fingerprint aren't compared: at 0.8 that has a chance of 1e-18.)
+
+Components are named by their smallest id, which is what nodes are ordered by; where one fingerprint holds many rows, its
+name is broadcast.
+
+Defined cases: null text counts as empty; without words the fingerprint is zero and links like any other (and two texts
+without words are alike); with fewer words than a shingle has, the whole sequence is the one shingle; a text of any length
+has one fingerprint; rows that repeat are linked; a null id belongs to its component but never names it, unless all ids
+are null; an empty table gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +40,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import mix, words
-from tessera.operators.graph import connected_components
+from tessera.llm.words import mix, window_hashes, words
+from tessera.operators.graph import connected_components, hub_join
 from tessera.session import materialize
 
 SEED = 42
@@ -41,7 +49,8 @@ GROUP = 50_000
 PAIRS = 400_000
 BITS_AT_ONCE = 1 << 15
 STEP = 0x9E3779B97F4A7C15
-SAMPLED_KEYS, SAMPLED_BITS = 48, 18
+#: A pair at a similarity of 0.8 differs in this share of its bits; how often the keys may miss it.
+SHARE, MISS = 0.152, 0.004
 
 u64 = np.uint64
 
@@ -92,11 +101,18 @@ def blocks_for(n: int, max_bits: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in itertools.pairwise(edges)]
 
 
+def sampled(n: int) -> tuple[int, int]:
+    """(keys, bits) of wide fingerprints."""
+    bits = max(14, math.ceil(math.log2(max(1, n) / 8)))
+    return math.ceil(math.log(MISS) / math.log1p(-((1 - SHARE) ** bits))), bits
+
+
 def masks_for(n: int, max_bits: int, width: int = 1) -> list[list[int]]:
     """Keys as one mask a word. Narrow: every choice of blocks that must agree (bit 0 is the most significant)."""
     if width > 1:
         rng = np.random.default_rng(SEED)
-        drawn = [rng.choice(64 * width, SAMPLED_BITS, replace=False).tolist() for _ in range(SAMPLED_KEYS)]
+        keys, bits = sampled(n)
+        drawn = [rng.choice(64 * width, bits, replace=False).tolist() for _ in range(keys)]
         return [[sum(1 << (63 - x % 64) for x in bits if x // 64 == k) for k in range(width)] for bits in drawn]
     blocks = blocks_for(n, max_bits)
     one = lambda a, k: ((1 << k) - 1) << (64 - a - k)
@@ -107,9 +123,10 @@ def differing(value: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(value[x] ^ value[y]).sum(1, dtype=np.int64)
 
 
-def trie_links(group: np.ndarray, value: np.ndarray, max_bits: int, across: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(group: np.ndarray, value: np.ndarray, max_bits: int, across: np.ndarray | None = None, passes: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Links within groups of equal ``group`` (sorted; ``value``, one row of words each, ascending and distinct in
-    each): a forest over positions.
+    each): a forest over positions. With more ``passes``, close links are sought before wider ones; of each link the end
+    with more of them comes first.
 
     ``across``: for groups that hold the leaves below two trie nodes, true on those below the second; only pairs across
     are sought there."""
@@ -122,79 +139,92 @@ def trie_links(group: np.ndarray, value: np.ndarray, max_bits: int, across: np.n
     mid = hi - n_second
     cross = (n_second > 0) & (n_second < hi - lo)
     start = np.stack([lo, np.where(cross, mid, hi), np.where(cross, mid, lo), hi, np.zeros_like(lo)], 1)
-    stack = [(0, start[hi - lo > 1])]
+    forest: list[tuple[np.ndarray, np.ndarray]] = []
     cross_of = np.repeat(cross, hi - lo)
     ones_at: dict[int, np.ndarray] = {}
     changes = np.zeros(n + 1, np.int64)
 
     def relabel(a: np.ndarray, b: np.ndarray) -> None:
-        while True:
+        """Links a - b, the first of which join what isn't joined yet."""
+        while len(a):
             la, lb = label[a], label[b]
             differ = la != lb
-            if not differ.any():
-                break
-            np.minimum.at(label, np.maximum(la, lb)[differ], np.minimum(la, lb)[differ])
+            a, b, la, lb = a[differ], b[differ], la[differ], lb[differ]
+            # one link for each label that gives way
+            gone, first = np.unique(np.maximum(la, lb), return_index=True)
+            forest.append((a[first], b[first]))
+            label[gone] = np.minimum(la, lb)[first]
             while (label[label] != label).any():
                 label[:] = label[label]
         changes[1:] = np.cumsum(np.concatenate([[0], label[1:] != label[:-1]]))
 
+    def traverse(stack: list[tuple[int, np.ndarray]], max_bits: int) -> None:
+        while stack:
+            depth, pairs = stack.pop()
+            if len(pairs) > PAIRS:
+                stack.append((depth, pairs[PAIRS:]))
+                pairs = pairs[:PAIRS]
+            a0, a1, b0, b1, diff = pairs.T
+            same = a0 == b0
+            # all leaves of both nodes in one component already
+            known = (changes[a1] == changes[a0 + 1]) & (changes[b1] == changes[b0 + 1]) & (label[a0] == label[b0])
+            pairs = pairs[~known]
+            if not len(pairs):
+                continue
+            a0, a1, b0, b1, diff = pairs.T
+            leaves = (a1 - a0 == 1) & (b1 - b0 == 1)
+            if leaves.any():
+                x, y = a0[leaves], b0[leaves]
+                bits = differing(value, x, y)
+                close = np.flatnonzero(bits <= max_bits)
+                close = close[np.argsort(bits[close], kind="stable")]
+                relabel(x[close], y[close])
+                pairs = pairs[~leaves]
+                if not len(pairs):
+                    continue
+                a0, a1, b0, b1, diff = pairs.T
+            if depth not in ones_at:
+                ones_at[depth] = np.concatenate([[0], np.cumsum((value[:, depth // 64] >> u64(63 - depth % 64)) & u64(1)).astype(np.int64)])
+            ones = ones_at[depth]
+            am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
+            same = (a0 == b0) & (a1 == b1)
+            parts = [
+                np.stack([a0, am, b0, bm, diff], 1),
+                np.stack([am, a1, bm, b1, diff], 1),
+                np.stack([a0, am, bm, b1, diff + 1], 1),
+                np.stack([am, a1, b0, bm, diff + 1], 1)[~same],
+            ]
+            children = np.concatenate(parts)
+            c0, c1, d0, d1, diff = children.T
+            alive = (c1 > c0) & (d1 > d0) & (diff <= max_bits) & ~((c0 == d0) & (c1 - c0 == 1))
+            if alive.any():
+                stack.append((depth + 1, children[alive]))
+
     if n:
         # leaves next to each other in some rotation are linked first, so that dense clusters are soon known as one
         for turn in range(0, 64, 8):
             word = value[:, (turn // 8) % value.shape[1]]
             order = np.lexsort(((word << u64(turn)) | (word >> u64(64 - turn)) if turn else word, group))
             x, y = order[:-1], order[1:]
-            near = (group[x] == group[y]) & (differing(value, x, y) <= max_bits)
+            bits = differing(value, x, y)
+            near = (group[x] == group[y]) & (bits <= max_bits // passes)
             near &= ~cross_of[x] | (across[x] != across[y]) if across is not None else True
-            relabel(x[near], y[near])
-    while stack:
-        depth, pairs = stack.pop()
-        if len(pairs) > PAIRS:
-            stack.append((depth, pairs[PAIRS:]))
-            pairs = pairs[:PAIRS]
-        a0, a1, b0, b1, diff = pairs.T
-        same = a0 == b0
-        # all leaves of both nodes in one component already
-        known = (changes[a1] == changes[a0 + 1]) & (changes[b1] == changes[b0 + 1]) & (label[a0] == label[b0])
-        pairs = pairs[~known]
-        if not len(pairs):
-            continue
-        a0, a1, b0, b1, diff = pairs.T
-        leaves = (a1 - a0 == 1) & (b1 - b0 == 1)
-        if leaves.any():
-            x, y = a0[leaves], b0[leaves]
-            near = differing(value, x, y) <= max_bits
-            x, y = x[near], y[near]
-            new = label[x] != label[y]
-            if new.any():
-                relabel(x[new], y[new])
-            pairs = pairs[~leaves]
-            if not len(pairs):
-                continue
-            a0, a1, b0, b1, diff = pairs.T
-        if depth not in ones_at:
-            ones_at[depth] = np.concatenate([[0], np.cumsum((value[:, depth // 64] >> u64(63 - depth % 64)) & u64(1)).astype(np.int64)])
-        ones = ones_at[depth]
-        am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
-        same = (a0 == b0) & (a1 == b1)
-        parts = [
-            np.stack([a0, am, b0, bm, diff], 1),
-            np.stack([am, a1, bm, b1, diff], 1),
-            np.stack([a0, am, bm, b1, diff + 1], 1),
-            np.stack([am, a1, b0, bm, diff + 1], 1)[~same],
-        ]
-        children = np.concatenate(parts)
-        c0, c1, d0, d1, diff = children.T
-        alive = (c1 > c0) & (d1 > d0) & (diff <= max_bits) & ~((c0 == d0) & (c1 - c0 == 1))
-        if alive.any():
-            stack.append((depth + 1, children[alive]))
-    own = np.flatnonzero(label != np.arange(n))
-    return own, label[own]
+            close = np.flatnonzero(near)[np.argsort(bits[near], kind="stable")]
+            relabel(x[close], y[close])
+    for turn in range(1, passes + 1):
+        traverse([(0, start[hi - lo > 1])], max_bits * turn // passes)
+    if not forest:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    x, y = (np.concatenate(e) for e in zip(*forest, strict=True))
+    degree = np.bincount(np.concatenate([x, y]), minlength=n)
+    more = degree[x] >= degree[y]
+    return np.where(more, x, y), np.where(more, y, x)
 
 
 def links(distinct: DataFrame, max_bits: int, width: int = 1, group: int = GROUP) -> DataFrame:
     """``distinct``: (node, fp), every fingerprint once. (src, dst): links between nodes whose components are those of
-    all links."""
+    all links. Of wide fingerprints, close ones are linked before others, and ``dst`` has few links in a group."""
+    passes = 3 if width > 1 else 1
     n = distinct.count()
     masks = masks_for(n, max_bits, width)
     signed = lambda m: m - (1 << 64) if m >> 63 else m
@@ -226,16 +256,17 @@ def links(distinct: DataFrame, max_bits: int, width: int = 1, group: int = GROUP
         # fingerprints that meet nobody go first
         same = group[order[1:]] == group[order[:-1]]
         order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-        a, b = trie_links(group[order], value[order], max_bits, second[order])
+        a, b = trie_links(group[order], value[order], max_bits, second[order], passes)
         yield pa.RecordBatch.from_arrays([pa.array(node[order[a]]), pa.array(node[order[b]])], names=["src", "dst"])
 
     return dealt.repartition(parts, "group").mapInArrow(run, "src long, dst long")
 
 
-def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, width: int = 1) -> DataFrame:
-    """(id, node, fp) of every row, written once; ``node`` stands for the fingerprint."""
+def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, width: int = 1, keep_text: bool = False) -> DataFrame:
+    """(id, fp, node) of every row, and its text if asked for, written once; ``node`` stands for the fingerprint."""
     narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    schema = narrow.select("id", F.array(F.lit(0).cast("long")).alias("fp")).schema
+    kept = ["id", "text"] if keep_text else ["id"]
+    schema = narrow.select(*kept, F.array(F.lit(0).cast("long")).alias("fp")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,32 +274,110 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
                 part = batch.slice(at, 1000)
                 fp = fingerprints(part.column("text"), shingle, width).view(np.int64)
                 offsets = pa.array(np.arange(len(fp) + 1, dtype=np.int32) * width)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(offsets, pa.array(fp.ravel()))], names=["id", "fp"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.ListArray.from_arrays(offsets, pa.array(fp.ravel()))], names=[*kept, "fp"])
 
     node = F.col("fp")[0] if width == 1 else F.xxhash64("fp")
     return materialize(narrow.mapInArrow(run, schema).withColumn("node", node), "simhash")
 
 
+def prints_of(found: DataFrame) -> DataFrame:
+    """(node, fp, least, n): every fingerprint once with its smallest id and its number of rows, written."""
+    return materialize(found.groupBy("node").agg(F.first("fp").alias("fp"), F.min("id").alias("least"), F.count("*").alias("n")), "simhash-prints")
+
+
+def name_components(found: DataFrame, prints: DataFrame, edges: DataFrame) -> DataFrame:
+    """``found`` with component_id, the smallest id of each row's component under ``edges`` (src, dst) of nodes."""
+    # nodes are ordered by id, null last, so the smallest node of a component bears its name
+    named = lambda key: prints.select(F.col("node").alias(key), F.struct(F.isnull("least").alias("unnamed"), "least", "node").alias(f"{key}_node"))
+    linked = edges.join(named("src"), "src").join(named("dst"), "dst").select("src_node", "dst_node")
+    components = connected_components(linked, "src_node", "dst_node").select("node.node", F.col("component.least").alias("name"), F.lit(True).alias("linked"))
+    of_node = prints.join(components, "node", "left").select("node", F.when(F.col("linked"), F.col("name")).otherwise(F.col("least")).alias("component_id"), "n")
+    of_node = materialize(of_node, "simhash-components")
+    total = of_node.agg(F.sum("n")).first()[0] or 0
+    return hub_join(found, of_node, "node", "n", total)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, width: int = 1) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits a word), component_id (the smallest id that links reach)."""
     found = simhash(docs, id_col, text_col, shingle, width)
-    distinct = found.groupBy("node").agg(F.first("fp").alias("fp"), F.min("id").alias("least"))
-    components = connected_components(links(distinct.select("node", "fp"), max_bits, width))
-    classes = distinct.select("node", "least").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_node = classes.join(named, "component").select("node", "component_id")
+    prints = prints_of(found)
+    named = name_components(found, prints, links(prints.select("node", "fp"), max_bits, width))
     digits = F.array_join(F.transform("fp", lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
-    return found.join(of_node, "node").select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
+    return named.select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
 
 
-#: 384 bits estimate the share of differing ones to within 2 points; texts whose sets of shingles have a Jaccard
-#: similarity of 0.8 differ in 15.2 % (58 bits) on average, and a pair at 0.75 in 66.
-WIDTH, NEAR_BITS = 6, 66
+#: 256 bits tell the share of differing ones to within 2.2 points; texts whose sets of shingles have a Jaccard
+#: similarity of 0.8 differ in 15.2 % (39 bits) on average and in more than 58 once in a thousand cases.
+WIDTH, NEAR_BITS = 4, 58
+SALT = 256
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = NEAR_BITS, width: int = WIDTH) -> DataFrame:
+def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the different shingles of each text, sorted, and where each text's begin (one more than texts)."""
+    w = words(texts, lower=True)
+    n = np.diff(w.first)
+    hashes = w.hashes()
+    grams = window_hashes(hashes, shingle)
+    out, first = [], [0]
+    for i, (a, k) in enumerate(zip(w.first.tolist(), n.tolist(), strict=False)):
+        own = np.unique(grams[a : a + k - shingle + 1]) if k >= shingle else window_hashes(hashes[a : a + k], k) if k else np.zeros(0, u64)
+        out.append(own)
+        first.append(first[-1] + len(own))
+    return np.concatenate(out) if out else np.zeros(0, u64), np.array(first)
+
+
+def verified(edges: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The (src, dst) of ``edges`` whose texts have sets of shingles with a Jaccard similarity of ``similarity`` or more.
+    ``texts``: (node, text), every node once.
+
+    The text of ``src`` travels to that of ``dst``. A node with many links as ``src`` is copied once for every ``SALT``
+    of them, so its links are dealt to many tasks."""
+    edges = materialize(edges.distinct(), "simhash-candidates")
+    degree = materialize(edges.groupBy("src").agg(F.count("*").alias("n")), "simhash-degrees").withColumn("salts", F.floor(F.col("n") / SALT) + 1)
+    total = degree.agg(F.sum("n")).first()[0] or 0
+    salted = hub_join(edges, degree, "src", "n", total).withColumn("salt", F.pmod(F.xxhash64("dst"), "salts"))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    texts = materialize(texts.join(ends, "node", "left_semi"), "simhash-texts")
+    sources = texts.join(degree.select(F.col("src").alias("node"), "salts"), "node").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    sent = salted.join(sources.select(F.col("node").alias("src"), "salt", "text"), ["src", "salt"]).select(F.col("dst").alias("node"), "src", "text")
+    # a node's own text comes before those that it is compared with
+    both = texts.withColumn("src", F.lit(None).cast("long")).unionByName(sent).repartition("node").sortWithinPartitions("node", F.col("src").asc_nulls_first())
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, own = None, None
+        for batch in batches:
+            src, dst = [], []
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets, first = shingle_sets(part.column("text"), shingle)
+                for i, (to, of) in enumerate(zip(part.column("node").to_pylist(), part.column("src").to_pylist(), strict=True)):
+                    now = sets[first[i] : first[i + 1]]
+                    if of is None:
+                        node, own = to, now
+                        continue
+                    shared = len(np.intersect1d(own, now, assume_unique=True))
+                    if node == to and shared >= similarity * (len(own) + len(now) - shared):
+                        src.append(of)
+                        dst.append(to)
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+    return both.select("node", "src", "text").mapInArrow(compare, "src long, dst long")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_bits: int = NEAR_BITS, width: int = WIDTH) -> DataFrame:
+    """One row per document: id, component_id (the smallest id that verified links reach)."""
+    found = simhash(docs, id_col, text_col, shingle, width, keep_text=True)
+    prints = prints_of(found.drop("text"))
+    candidates = links(prints.select("node", "fp"), max_bits, width)
+    # all texts of one print are alike: any of them stands for it
+    texts = found.groupBy("node").agg(F.min("text").alias("text"))
+    edges = verified(candidates, texts, shingle, similarity)
+    return name_components(found.drop("text"), prints, edges).select(F.col("id").alias(id_col), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the row with the smallest id stays. Rows
     without id are no part of a component and stay; of rows that repeat an id, all stay or none."""
-    found = near_duplicates(docs, id_col, text_col, shingle, max_bits, width)
+    found = similar_documents(docs, id_col, text_col, shingle, similarity)
     gone = found.where(F.col(f"`{id_col}`") != F.col("component_id")).select(F.col(f"`{id_col}`").alias("__gone")).distinct()
     return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")

@@ -73,6 +73,7 @@ def test_large_groups_are_dealt(spark):
     distinct = S.simhash(docs).select("node", "fp").distinct()
     from tessera.operators.graph import connected_components
 
+    assert S.sampled(10**9)[1] > S.sampled(10**5)[1] and all((1 - (1 - S.SHARE) ** b) ** k < S.MISS for k, b in map(S.sampled, (0, 10**5, 10**9)))
     whole = connected_components(S.links(distinct, 4)).collect()
     dealt = connected_components(S.links(distinct, 4, group=3)).collect()
     assert whole and sorted(whole) == sorted(dealt)
@@ -92,3 +93,59 @@ def test_wide_fingerprints_drop_similar_texts(spark):
     kept = {r.doc_id for r in S.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert set(range(40)) | set(range(200, 240)) <= kept and len([k for k in kept if 100 <= k < 200]) <= 1
     assert S.drop_near_duplicates(awkward(spark)).columns == awkward(spark).columns
+
+
+def jaccard(a, b, k=5):
+    x, y = ({tuple(t[i : i + k]) for i in range(len(t) - k + 1)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_similarity_at_the_threshold(spark):
+    """Pairs on both sides of 0.8: those at or above it are found, those below are left alone."""
+    rng = random.Random(12)
+    rows, pairs = [], []
+    for i in range(600):
+        n = rng.randrange(80, 400)
+        t = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        other = list(t)
+        for k in rng.sample(range(n), max(1, round(n * rng.uniform(0.012, 0.05)))):
+            other[k] = f"x{rng.randrange(10**6)}"
+        pairs.append((i, jaccard(t, other)))
+        rows += [(i, " ".join(t), "en", "s", 0), (1000 + i, " ".join(other).title(), "en", "s", 0)]
+    kept = {r.doc_id for r in S.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert set(range(600)) <= kept
+    just_above = [i for i, j in pairs if 0.8 <= j < 0.83]
+    below = [i for i, j in pairs if 0.65 < j < 0.8]
+    assert len(just_above) > 40 and sum(1000 + i not in kept for i in just_above) >= 0.97 * len(just_above)
+    assert len(below) > 100 and all(1000 + i in kept for i in below)
+
+
+def test_clusters_of_similar_texts_against_brute_force(spark):
+    """Groups whose members are partly above and partly below the threshold: components of all pairs at 0.8 or more."""
+    rng = random.Random(3)
+    texts = []
+    for g in range(25):
+        t = [f"g{g}w{rng.randrange(400)}" for _ in range(150)]
+        for _ in range(12):
+            other = list(t)
+            for k in rng.sample(range(150), rng.randrange(0, 7)):
+                other[k] = f"x{rng.randrange(10**6)}"
+            texts.append(other)
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    n_pairs = 0
+    for i in range(len(texts)):
+        for j in range(i // 12 * 12, i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                n_pairs += 1
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame([(i, " ".join(t), None, None, 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.component_id for r in S.similar_documents(docs).collect()}
+    wrong = sum(got[i] != find(i) for i in got)
+    assert n_pairs > 300 and wrong <= 0.02 * len(texts)
