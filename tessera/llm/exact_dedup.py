@@ -5,7 +5,7 @@ more than ``support`` of the rows. An exact count verifies the candidates; the v
 rows, are broadcast and resolve their copies on the map side, so a text that fills a third of the table is never
 shuffled. All other digests are bounded by ``support`` of the rows each and take the ordinary shuffle.
 
-Defined cases: null text counts as empty; a null id sorts below every id; rows that repeat both id and text are copies
+Defined cases: null text counts as empty; a text of any length is one digest; a null id sorts below every id; rows that repeat both id and text are copies
 like any other and exactly one of them stays; an empty table gives an empty result; input columns whose names clash
 with the output are ignored.
 """
@@ -48,9 +48,9 @@ def heavy_winners(dig: DataFrame, support: float) -> DataFrame:
     return dig.sparkSession.createDataFrame([tuple(r) for r in counted], schema)
 
 
-def resolve(dig: DataFrame, support: float = SUPPORT) -> DataFrame:
+def resolve(dig: DataFrame, support: float = SUPPORT, winners: DataFrame | None = None) -> DataFrame:
     """Every row of ``digests`` with keep_id, group_size and kept."""
-    winners = F.broadcast(heavy_winners(dig, support))
+    winners = F.broadcast(heavy_winners(dig, support) if winners is None else winners)
     heavy = dig.join(winners, "text_sha256")
     light = dig.join(winners, "text_sha256", "left_anti")
     best = light.groupBy("text_sha256").agg(F.max(F.struct("id", "row")).alias("best"), F.count("*").alias("group_size"))
@@ -65,12 +65,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    marked = without(docs, "__digest", "__id", "__sha").withColumn("__digest", F.sha2(ascii_lower(F.col(f"`{text_col}`")), 256))
-    kept = resolve(digests(docs, id_col, text_col), support).where("kept").select(F.col("id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    """The rows of ``docs`` that stay, with all their columns. Copies of frequent texts go where they are read; only
+    what is left is shuffled to meet the other decisions."""
+    dig = digests(docs, id_col, text_col)
+    winners = heavy_winners(dig, support)
     key = F.col(f"`{id_col}`")
-    kept_rows = marked.join(kept, key.eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha")), "left_semi")
+    marked = without(docs, "__digest", "__id", "__sha", "__best").withColumn("__digest", F.sha2(ascii_lower(F.col(f"`{text_col}`")), 256))
+    won = F.broadcast(winners.select(F.col("text_sha256").alias("__digest"), F.col("best.id").alias("__best"), F.lit(True).alias("__sha")))
+    left = marked.join(won, "__digest", "left").where(F.col("__sha").isNull() | key.eqNullSafe(F.col("__best"))).drop("__best", "__sha")
+    kept = resolve(dig, support, winners).where("kept").select(F.col("id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    kept_rows = left.join(kept, key.eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha")), "left_semi")
     repeats = docs.groupBy(key).count().where("count > 1").limit(1).count()
     if repeats:  # the same id and text more than once: one row of each such group
         kept_rows = kept_rows.dropDuplicates([id_col, "__digest"])
-    return kept_rows.drop("__digest")
+    return kept_rows.drop("__digest").select(*[f"`{c}`" for c in docs.columns if c not in ("__digest", "__id", "__sha", "__best")])

@@ -2,9 +2,9 @@
 
 Counts of words and word pairs are gathered over all training documents, and every n-gram that was counted enters the
 filter, at any corpus size, with its count in steps of the square root of two: level q is stored as the q keys
-(n-gram, 1) .. (n-gram, q), and read back by probing level after level until one is missing. All levels of one order add
-up to twice the training tokens at most. The filter grows with them and is therefore cut by the n-gram's hash into segments
-of about ``SEGMENT`` tokens an order: one segment (some 2.5 MB) is all that a task holds. Each is filled by one task from
+(n-gram, 1) .. (n-gram, q), and read back by repeated probes for the last level that is present. All levels of one order
+add up to twice the training tokens at most. The filter grows with them and is therefore cut by the n-gram's hash into segments
+of about ``SEGMENT`` tokens an order: one segment (some 2 MB) is all that a task holds. Each is filled by one task from
 the n-grams dealt to it, and documents probe it there: the different n-grams of a bucket of documents are dealt to the
 segments, and their levels come back to the bucket. N-grams travel as ``KEY_BYTES`` bytes, packed (two of one segment
 look alike with a chance of 2**-40).
@@ -16,7 +16,7 @@ Probabilities come from probes alone. A level bounds a count from below (``LEAST
 
 with MU + D replaced by MU where v was never seen. As the counts of a context's pairs add up to the context's own, the
 probabilities of all words after any context add up to 1 at most (what is lacking is the rounding of levels), but for
-the filter's false positives, of which 2**-14 of the absent n-grams are.
+the filter's false positives: 2**-14 of the absent n-grams, and 2**-10 of the others seem a level above their own.
 
 Beside it the exact add-one word model (``base_score``) is computed. The ``FREQUENT`` most frequent words are broadcast
 with their exact counts (bounded by that number), all other words of a document find theirs by a join on the word's
@@ -44,13 +44,12 @@ from tessera.session import materialize
 
 END = np.uint64(0x5851F42D4C957F2D)
 SEGMENT = 1 << 19
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 6 << 20
 KEY_BYTES = 5
-BITS_PER_ENTRY = 20
-PROBES = 14
+PROBES, UPPER = 14, 10
 FREQUENT = 1 << 20
 MU, D = 20.0, 0.75
-FLUSH = 1 << 21
+FLUSH = 3 << 20
 #: Of each level: the smallest and the largest count; level 0 is absence.
 LEAST = np.array([0.0, *(float(math.ceil(2 ** ((q - 1) / 2))) for q in range(1, 128))])
 MOST = np.array([0.0, *(float(math.ceil(2 ** (q / 2)) - 1) for q in range(1, 128))])
@@ -121,10 +120,10 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def positions(h: np.ndarray, level: np.ndarray | int, segment_bits: int) -> Iterator[np.ndarray]:
-    """The PROBES places of (n-gram, level) within its segment."""
+    """The places of (n-gram, level) within its segment: PROBES of level 1, UPPER of all others."""
     x = mix(h + u64(0xD1B54A32D192ED03) * np.asarray(level).astype(u64))
     a, b = x >> u64(32), (x & u64(0xFFFFFFFF)) | u64(1)
-    for i in range(PROBES):
+    for i in range(PROBES if np.all(np.asarray(level) == 1) else UPPER):
         yield ((a + u64(i) * b) % u64(segment_bits)).astype(np.int64)
 
 
@@ -135,26 +134,42 @@ class Filter:
     bits: np.ndarray  # packed
     segment_bits: int
 
+    def holds(self, h: np.ndarray, level: np.ndarray | int) -> np.ndarray:
+        """The indexes of the n-grams that are present at their level."""
+        fine = np.arange(len(h))
+        for p in positions(h, level, self.segment_bits):
+            q = p[fine]
+            fine = fine[(self.bits[q >> 3] >> (q & 7).astype(np.uint8)) & 1 == 1]
+            if not len(fine):
+                break
+        return fine
+
     def levels(self, h: np.ndarray) -> np.ndarray:
-        """Of each n-gram: how many levels in a row are present."""
+        """Of each n-gram: the last level that is present; levels 1, 2, 4, .. are probed until one is missing, then the
+        gap is halved."""
         out = np.zeros(len(h), np.int64)
-        alive, level = np.arange(len(h)), 1
+        alive = self.holds(h, 1)
+        above = np.full(len(h), 2)
+        level = 1
         while len(alive):
-            now = h[alive]
-            fine = np.arange(len(alive))
-            for p in positions(now, level, self.segment_bits):
-                q = p[fine]
-                fine = fine[(self.bits[q >> 3] >> (q & 7).astype(np.uint8)) & 1 == 1]
-                if not len(fine):
-                    break
-            alive = alive[fine]
             out[alive] = level
-            level += 1
+            level *= 2
+            above[alive] = level
+            alive = alive[self.holds(h[alive], level)]
+        while len(open_ := np.flatnonzero(above - out > 1)):
+            if not len(open_ := open_[out[open_] > 0]):
+                break
+            middle = (out[open_] + above[open_]) // 2
+            there = np.zeros(len(open_), bool)
+            there[self.holds(h[open_], middle)] = True
+            out[open_[there]] = middle[there]
+            above[open_[~there]] = middle[~there]
         return out
 
 
 def fill(h: np.ndarray, level: np.ndarray) -> Filter:
-    segment_bits = max(64, 8 * math.ceil(int(level.sum()) * BITS_PER_ENTRY / 8 * 1.05))
+    entries = PROBES * int((level > 0).sum()) + UPPER * int(np.maximum(level - 1, 0).sum())
+    segment_bits = max(64, 8 * math.ceil(entries / math.log(2) / 8 * 1.02))
     bits = np.zeros(segment_bits, bool)
     for q in range(1, int(level.max(initial=0)) + 1):
         for p in positions(h[level >= q], q, segment_bits):

