@@ -2,24 +2,32 @@
 
 The vectors are cut in two halves and each half is quantised by its own centroids; the pair of centroids is the cell.
 A query walks the cells in the order of summed squared distance of its halves to the centroids, with a heap over the
-grid of both sorted lists (multi-sequence), until the cells hold ``visit`` of all entries. Entries of the visited
-cells are reranked by exact distance on the original vectors.
+grid of both sorted lists (multi-sequence), until the cells hold enough entries. Entries of the visited cells are
+reranked by exact distance on the original vectors.
 
-The index is fitted on a bounded sample (``sample`` rows in the order of a seeded hash) but holds every row. Cells,
-centroids and counts, at most ``cells * cells`` numbers, go to all tasks. Entries and the queries that visit their cell
-meet in one task for each part of a cell: a cell with far more entries than others is split (parts hold up to twice the
-mean of all cells, and ``PART`` at most), and queries come in blocks, so neither a frequent vector nor a large query
-set makes a task grow.
+The index is fitted on a bounded sample (``sample`` rows in the order of a seeded hash) but holds every row. Centroids a
+half grow with the table, as 4 times the root of its size, to ``MOST_CELLS``. How far a query walks is measured, not set:
+vectors of the sample are searched in the sample, and ``visit`` is the share of entries that has to be visited to meet
+``recall`` of their true neighbours (in the whole table neighbours are closer than in a sample of it, so it errs on the
+long side). Vectors with structure need a small share; without any (all directions alike) no index prunes much, and the
+share stays large.
+
+Cells are dealt to regions of about ``REGION`` entries; a cell with more is split over several. A query is sent once to
+each region that it visits, with the distance at which its walk ended, and its cells there are those within it. Each task
+holds one region at a time and streams the queries past it, so neither a frequent vector nor a large query set makes a
+task's memory grow. Centroids and the numbers of entries a cell, MOST_CELLS ** 2 numbers at most, go to all tasks.
 
 Defined cases: vectors that are null, empty, zero, of another length than most or with a null or non-finite component
 take no part, nor do rows without id; with fewer candidates than ``k`` all are returned; ties go to the smaller id;
-rows that repeat an id are candidates each, except for a query of the same id; an empty table gives an empty result;
-only the named columns are read.
+rows that repeat an id are candidates each, except for a query of the same id, and a repeated query is answered for the smaller vector;
+an empty table gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +36,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LEAST_PART, PART = 256, 4096
-BLOCK = 2048
+REGION = 4096
+MOST_CELLS = 512
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -49,24 +57,50 @@ def distances2(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    return np.concatenate([distances2(x[i : i + 8192], centers).argmin(1) for i in range(0, len(x), 8192)]) if len(x) else np.zeros(0, np.int64)
+    return np.concatenate([distances2(x[i : i + 2048], centers).argmin(1) for i in range(0, len(x), 2048)]) if len(x) else np.zeros(0, np.int64)
+
 
+def multi_sequence(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, enough: float) -> tuple[list[int], float]:
+    """Cells (i * len(d2) + j) with entries, by rising d1[i] + d2[j] until they hold ``enough``; and the last sum.
 
-def multi_sequence(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, enough: float) -> list[int]:
-    """Cells (i * len(d2) + j) by rising d1[i] + d2[j] until they hold ``enough`` entries."""
-    o1, o2 = d1.argsort(kind="stable"), d2.argsort(kind="stable")
-    heap, seen, out, held = [(d1[o1[0]] + d2[o2[0]], 0, 0)], {(0, 0)}, [], 0
+    The heap has the next cell of each row that was entered; a row is entered when the first cell of the one before it
+    was taken."""
+    o1, o2 = d1.argsort(kind="stable").tolist(), d2.argsort(kind="stable").tolist()
+    a, b, width = d1[o1].tolist(), d2[o2].tolist(), len(o2)
+    heap, out, held, at = [(a[0] + b[0], 0, 0)], [], 0, 0.0
+    numbers = counts.tolist() if isinstance(counts, np.ndarray) else counts
     while heap and held < enough:
-        _, i, j = heapq.heappop(heap)
-        cell = int(o1[i]) * len(d2) + int(o2[j])
-        if counts[cell]:
+        at, i, j = heap[0]
+        cell = o1[i] * width + o2[j]
+        if numbers[cell]:
             out.append(cell)
-            held += counts[cell]
-        for a, b in ((i + 1, j), (i, j + 1)):
-            if a < len(d1) and b < len(d2) and (a, b) not in seen:
-                seen.add((a, b))
-                heapq.heappush(heap, (d1[o1[a]] + d2[o2[b]], a, b))
-    return out
+            held += numbers[cell]
+        if j + 1 < width:
+            heapq.heapreplace(heap, (a[i] + b[j + 1], i, j + 1))
+        else:
+            heapq.heappop(heap)
+        if not j and i + 1 < len(o1):
+            heapq.heappush(heap, (a[i + 1] + b[0], i + 1, 0))
+    return out, at
+
+
+def share_to_visit(x: np.ndarray, c1: np.ndarray, c2: np.ndarray, k: int, recall: float, rng: np.random.Generator) -> float:
+    """The share of the rows of ``x``, in the order in which a walk meets them, that holds ``recall`` of the ``k`` nearest
+    neighbours of rows of ``x``."""
+    half, n = c1.shape[1], len(x)
+    asked = rng.permutation(n)[:256]
+    if n <= k + 1:
+        return 1.0
+    near1, near2 = nearest(x[:, :half], c1), nearest(x[:, half:], c2)
+    places = []
+    for q in np.array_split(asked, max(1, len(asked) // 32)):
+        walked = distances2(x[q][:, :half], c1)[:, near1] + distances2(x[q][:, half:], c2)[:, near2]
+        exact = distances2(x[q], x)
+        exact[np.arange(len(q)), q] = np.inf
+        found = np.argpartition(exact, k, axis=1)[:, :k]
+        far = np.take_along_axis(walked, found, 1)
+        places += [np.searchsorted(np.sort(w), f) + 1 for w, f in zip(walked, far, strict=True)]  # the last cell is visited whole
+    return min(1.0, float(np.quantile(np.concatenate(places), recall)) / n)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -84,70 +118,111 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(F.size("vec") == (size.n if size else 0))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", cells: int = 16, visit: float = 0.75, sample: int = 20_000, seed: int = 7) -> DataFrame:
+def cells_for(n: int, n_sample: int) -> int:
+    """Centroids a half."""
+    return max(1, min(MOST_CELLS, n_sample // 8, 1 << max(0, round(math.log2(4 * math.sqrt(max(1, n)))))))
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.95, visit: float | None = None, sample: int = 20_000, seed: int = 7) -> DataFrame:
     """(query_id, rank, id, score): of each row for which ``is_query`` (on column ``id``) holds, the ``k`` nearest found."""
     rows = usable(vectors, id_col, vec_col)
     spark = rows.sparkSession
     drawn = rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample).select("vec").toArrow().column("vec").combine_chunks()
-    out_schema = f"query_id {rows.schema['id'].dataType.simpleString()}, rank int, {id_col} {rows.schema['id'].dataType.simpleString()}, score double"
+    id_type = rows.schema["id"].dataType.simpleString()
     if not len(drawn):
-        return spark.createDataFrame([], out_schema)
+        return spark.createDataFrame([], f"query_id {id_type}, rank int, {id_col} {id_type}, score double")
     x = matrix(drawn)
     half = x.shape[1] // 2
     rng = np.random.default_rng(seed)
+    cells = cells_for(rows.count(), len(x))
     c1, c2 = kmeans(x[:, :half], cells, 12, rng), kmeans(x[:, half:], cells, 12, rng)
+    share = visit if visit is not None else share_to_visit(x, c1, c2, k, recall, rng)
+
+    def cell_of(v: np.ndarray) -> np.ndarray:
+        return nearest(v[:, :half], c1) * len(c2) + nearest(v[:, half:], c2) if len(v) else np.zeros(0, np.int64)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = matrix(b.column("vec"))
-            cell = nearest(v[:, :half], c1) * len(c2) + nearest(v[:, half:], c2) if len(v) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vec"), pa.array(cell.astype(np.int32))], names=["id", "vec", "cell"])
+            yield pa.RecordBatch.from_arrays([pa.array(cell_of(matrix(b.column("vec"))).astype(np.int32))], names=["cell"])
 
-    id_type = rows.schema["id"].dataType.simpleString()
-    index = rows.mapInArrow(assign, f"id {id_type}, vec array<double>, cell int")
     counts = np.zeros(len(c1) * len(c2), np.int64)
-    for r in index.groupBy("cell").count().collect():
-        counts[r.cell] = r["count"]
-    enough = max(4 * k, visit * counts.sum())
-    parts = np.maximum(1, -(-counts // int(np.clip(2 * counts.mean(), LEAST_PART, PART))))
-    queries = rows.where(is_query)
-    blocks = max(1, -(-queries.count() // BLOCK))
+    held = rows.select("vec").mapInArrow(assign, "cell int").groupBy("cell").count().toArrow()
+    counts[held.column("cell").to_numpy()] = held.column("count").to_numpy()
+    enough = max(4 * k, share * counts.sum())
+    # cells in a row up to REGION entries share a region; a larger one has several of its own
+    splits = np.maximum(1, -(-counts // REGION))
+    first = np.cumsum(counts) // REGION + np.cumsum(splits - 1) - (splits - 1)
+    sent = spark.sparkContext.broadcast((counts.astype(np.int32), splits.astype(np.int32), first))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, splits, first = sent.value
+        numbers = counts.tolist()
         for b in batches:
             for lo in range(0, b.num_rows, 128):
                 sub = b.slice(lo, 128)
                 v = matrix(sub.column("vec"))
                 d1, d2 = distances2(v[:, :half], c1), distances2(v[:, half:], c2)
-                own, cell, part = [], [], []
+                own, region, reach = [], [], []
                 for i in range(len(v)):
-                    for c in multi_sequence(d1[i], d2[i], counts, enough):
-                        own += [i] * parts[c]
-                        cell += [c] * parts[c]
-                        part += range(parts[c])
+                    visited, far = multi_sequence(d1[i], d2[i], numbers, enough)
+                    visited = np.array(visited)
+                    n = splits[visited]
+                    to = np.unique(np.repeat(first[visited], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+                    own += [i] * len(to)
+                    region += to.tolist()
+                    reach += [far * (1 + 1e-9)] * len(to)
                 taken = sub.take(pa.array(own, pa.int64()))
-                yield pa.RecordBatch.from_arrays([taken.column("id"), taken.column("vec"), pa.array(cell, pa.int32()), pa.array(part, pa.int32())], names=["id", "vec", "cell", "part"])
-
-    visits = queries.mapInArrow(walk, f"id {id_type}, vec array<double>, cell int, part int").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    n_parts = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("cell") + 1)
-    entries = index.withColumn("part", F.pmod(F.xxhash64("id"), n_parts).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def rerank(q: pa.Table, e: pa.Table) -> pa.Table:
-        found = [], [], []
-        if q.num_rows and e.num_rows:
-            ids, v = e.column("id").to_numpy(), matrix(e.column("vec").combine_chunks())
-            for qid, w in zip(q.column("id").to_pylist(), matrix(q.column("vec").combine_chunks()), strict=True):
-                d = np.sqrt(((v - w) ** 2).sum(1))
-                d[ids == qid] = np.inf
-                near = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]) if len(d) > k else np.arange(len(d))
-                near = near[np.lexsort((ids[near], d[near]))][:k]
-                near = near[np.isfinite(d[near])]
-                found[0].extend([qid] * len(near))
-                found[1].extend(ids[near].tolist())
-                found[2].extend(d[near].tolist())
-        return pa.table({"query_id": pa.array(found[0], q.schema.field("id").type), "id": pa.array(found[1], q.schema.field("id").type), "score": pa.array(found[2], pa.float64())})
-
-    keys = ["cell", "part", "block"]
-    near = visits.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInArrow(rerank, f"query_id {id_type}, id {id_type}, score double")
+                yield pa.RecordBatch.from_arrays([taken.column("id"), taken.column("vec"), pa.array(region, pa.int64()), pa.array(reach, pa.float64())], names=["id", "vec", "region", "reach"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, splits, first = sent.value
+        for b in batches:
+            cell = cell_of(matrix(b.column("vec")))
+            region = first[cell] + b.column("h").to_numpy() % splits[cell]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vec"), pa.array(region.astype(np.int64)), pa.array(np.full(b.num_rows, -1.0))], names=["id", "vec", "region", "reach"])
+
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held, region = None, [], None
+        for b in batches:
+            found = [], [], []
+            at, reach = b.column("region").to_numpy(), b.column("reach").to_numpy()
+            # runs of one region's entries or queries
+            edge = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | ((reach[1:] < 0) != (reach[:-1] < 0)), [True]]))
+            for lo, hi in itertools.pairwise(edge.tolist()):
+                part, v = b.slice(lo, hi - lo), matrix(b.column("vec").slice(lo, hi - lo))
+                if reach[lo] < 0:
+                    if at[lo] != region:
+                        region, held = at[lo], []
+                    held.append((part.column("id").to_numpy(zero_copy_only=False), v))
+                    own = None
+                    continue
+                if at[lo] != region:
+                    continue
+                if own is None:
+                    ids, e = (np.concatenate(y) for y in zip(*held, strict=True))
+                    own = ids, e, nearest(e[:, :half], c1), nearest(e[:, half:], c2)
+                ids, e, near1, near2 = own
+                for q in range(0, len(v), 64):
+                    w = v[q : q + 64]
+                    met = distances2(w[:, :half], c1)[:, near1] + distances2(w[:, half:], c2)[:, near2] <= reach[lo + q : lo + q + len(w), None]
+                    for i, qid in enumerate(part.column("id").slice(q, 64).to_pylist()):
+                        seen = np.flatnonzero(met[i] & (ids != qid))
+                        d = np.sqrt(((e[seen] - w[i]) ** 2).sum(1))
+                        if len(d) > k:
+                            close = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+                            seen, d = seen[close], d[close]
+                        best = np.lexsort((ids[seen], d))[:k]
+                        found[0].extend([qid] * len(best))
+                        found[1].extend(ids[seen[best]].tolist())
+                        found[2].extend(d[best].tolist())
+            kind = b.schema.field("id").type
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], kind), pa.array(found[1], kind), pa.array(found[2], pa.float64())], names=["query_id", "id", "score"])
+
+    schema = f"id {id_type}, vec array<double>, region long, reach double"
+    entries = rows.withColumn("h", F.pmod(F.xxhash64("id", "vec"), F.lit(1 << 30))).mapInArrow(deal, schema)
+    visits = rows.where(is_query).groupBy("id").agg(F.min("vec").alias("vec")).mapInArrow(walk, schema)
+    # a region's entries come before the queries that visit it
+    both = entries.unionByName(visits).repartition("region").sortWithinPartitions("region", "reach")
+    near = both.mapInArrow(rerank, f"query_id {id_type}, id {id_type}, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
