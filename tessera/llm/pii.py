@@ -149,22 +149,23 @@ def disclosing(docs: DataFrame, text_col: str, scanned: DataFrame, base: DataFra
     texts = scanned.select("row", "text").join(own.select("row").distinct(), "row", "left_semi")
     held = texts.select("row", F.explode(_words(F.col("text"))).alias("term")).join(terms, "term")
     pairs = held.join(own, "row").where((F.col("n_term") <= F.col("most")) & (F.col("n_term") * F.col("ic") >= bits))
-    pairs = pairs.groupBy("entity", "term", "text_hash").agg(F.count("*").alias("n"))
-    scored = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).where((F.col("texts") >= support))
-    scored = scored.join(entities, "entity").where(F.col("texts") * F.col("ic") >= bits).join(terms, "term")
+    carried = ["n_term", "n_entity", "ic"]
+    pairs = pairs.groupBy("entity", "term", "text_hash").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in carried])
+    scored = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"), *[F.first(c).alias(c) for c in carried])
+    scored = scored.where((F.col("texts") >= support) & (F.col("texts") * F.col("ic") >= bits))
     pmi = F.log2(F.col("n_both") * F.lit(d) / (F.col("n_entity") * F.col("n_term")))
     return scored.select("entity", "term", pmi.alias("pmi"), "ic").where(F.col("pmi") >= F.lit(threshold) * F.col("ic"))
 
 
 def term_spans(scanned: DataFrame, base: DataFrame, pairs: DataFrame) -> DataFrame:
     """(row, start, stop): every occurrence of a disclosing term in its entity's documents."""
-    sought = base.select("row", F.explode("entities").alias("entity")).distinct().join(pairs.select("entity", "term"), "entity").select("row", "term").distinct()
-    text = scanned.join(sought.select("row").distinct(), "row", "left_semi")
+    own = base.select("row", F.explode("entities").alias("entity")).distinct().join(pairs.select("entity").distinct(), "entity", "left_semi")
+    text = scanned.join(own.select("row").distinct(), "row", "left_semi")
     zipped = F.arrays_zip(F.regexp_extract_all("text", F.lit(TERM), 0).alias("v"), F.split("text", TERM, -1).alias("b"))
     one = text.select("row", F.posexplode(zipped).alias("i", "x")).where(F.col("x.v").isNotNull())
     stop = F.sum(F.length("x.b") + F.length("x.v")).over(W.partitionBy("row").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow))
     placed = one.select("row", F.lower("x.v").alias("term"), stop.alias("stop"), (stop - F.length("x.v")).alias("start"))
-    return placed.join(sought, ["row", "term"]).select("row", "start", "stop")
+    return placed.join(pairs.select("term", "entity"), "term").join(own, ["row", "entity"], "left_semi").select("row", "start", "stop")
 
 
 def _below(number: int):
@@ -183,7 +184,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     base = materialize(base_spans(scanned), "pii-base")
     pairs = materialize(disclosing(docs, text_col, scanned, base, threshold, support), "pii-disclosing")
     small = pairs.count() <= BROADCAST_PAIRS
-    terms = term_spans(scanned, base, F.broadcast(pairs) if small else pairs)
+    terms = term_spans(scanned, base, F.broadcast(pairs) if small else pairs)  # of a counted size
     number = F.coalesce(*[F.when(F.col("kind") == k, i) for i, k in enumerate(KINDS)])
     spans = base.select("row", number.alias("kind"), "start", "stop").unionByName(terms.withColumn("kind", F.lit(ENTITIES)))
     grouped = spans.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("kind", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop")))).alias("found"))
