@@ -13,14 +13,15 @@ from tessera.llm import exact_dedup, langid, mixing, packing, simhash
 from tessera.llm.registry import tokenizer_path
 from tessera.session import materialize, table
 
-#: A text whose best language isn't even this likely is rejected like one without letters.
-AMBIGUOUS_BELOW = 0.4
+#: A text for which no language is likelier than all others together is rejected, like one without letters.
+AMBIGUOUS_BELOW = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is recognised; learns from those that carry one."""
+    """Keeps documents whose language is recognised, and names it in ``lang``; learns from those that carry one."""
     found = langid.identify(docs, langid.fit(docs), ambiguous_below=AMBIGUOUS_BELOW)
-    return found.where((F.col("lang_pred") != "und") & ~F.col("ambiguous")).select(*docs.columns)
+    kept = found.where((F.col("lang_pred") != "und") & ~F.col("ambiguous"))
+    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity of about 0.8 or more) the smallest doc_id stays."""
+    """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the smallest doc_id stays."""
     return simhash.drop_near_duplicates(docs, shingle=5)
 
 
