@@ -7,12 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import norm
 
 TOP = "array<struct<feature:int,act:double,rank:int>>"
+WEIGHTS = "feature int, k int, enc array<double>, bias double, dec array<double>"
 
 
 @dataclass
@@ -30,6 +32,19 @@ class Dictionary:
         w = np.concatenate([np.eye(d), -np.eye(d)])
         return cls(w, np.zeros(2 * d), w, k)
 
+    def save(self, spark: SparkSession, path: str, run: str = "final") -> None:
+        """One row a feature under the run's name; a run that is saved again replaces itself, so that checkpoints of one
+        training stand side by side."""
+        rows = [(i, self.k, [float(x) for x in e], float(b), [float(x) for x in d]) for i, (e, b, d) in enumerate(zip(self.enc, self.bias, self.dec, strict=True))]
+        spark.createDataFrame(rows, WEIGHTS).coalesce(1).write.mode("overwrite").parquet(f"{path}/run={run}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, run: str = "final") -> Dictionary:
+        """The model of a run, as ``save`` left it: bounded by the model's size, so the driver holds it."""
+        t = spark.read.schema(WEIGHTS).parquet(f"{path}/run={run}").orderBy("feature").toArrow()
+        of = lambda c: np.array(t.column(c).to_pylist(), float)
+        return cls(of("enc"), of("bias"), of("dec"), t.column("k")[0].as_py())
+
 
 def mean_vectors(acts: DataFrame, d: int, vec: str = "vec") -> DataFrame:
     """(layer, mean): the mean of each dimension, one aggregate a dimension and no explode."""
@@ -74,29 +89,70 @@ def feature_acts(encoded: DataFrame) -> DataFrame:
     return encoded.select(*keys, F.explode("top").alias("t")).select(*keys, "t.feature", "t.rank", "t.act")
 
 
-def decoder_rows(model: Dictionary) -> list[tuple[int, int, float]]:
-    return [(f, i, float(v)) for f, row in enumerate(model.dec) for i, v in enumerate(row) if v]
+def save_vector(spark: SparkSession, path: str, name: str, values: list[float]) -> None:
+    """A vector artefact (a mean, an axis) as a table of one row."""
+    spark.createDataFrame([(name, [float(x) for x in values])], "name string, vec array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/vector={name}")
+
 
+def load_vector(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.schema("name string, vec array<double>").parquet(f"{path}/vector={name}")
 
-def decode(acts: DataFrame, model: Dictionary, means: DataFrame, by: tuple[str, ...] = ("layer", "pos_id")) -> DataFrame:
-    """(by, dim, value): sum of each feature's decoder row times its activation, plus the mean."""
-    spark = acts.sparkSession
-    dec = spark.createDataFrame(decoder_rows(model), "feature int, dim int, weight double")
-    parts = acts.join(F.broadcast(dec), "feature").groupBy(*by, "dim").agg(F.sum(F.col("act") * F.col("weight")).alias("part"))
-    d = model.dec.shape[1]
-    grid = acts.select(*by).distinct().withColumn("dim", F.explode(F.sequence(F.lit(0), F.lit(d - 1))))
-    mean = means.select("layer", F.posexplode("mean").alias("dim", "mu"))
-    full = grid.join(parts, [*by, "dim"], "left").join(F.broadcast(mean), ["layer", "dim"])
-    return full.select(*by, "dim", (F.coalesce("part", F.lit(0.0)) + F.col("mu")).alias("value"))
 
+def decode(encoded: DataFrame, model: Dictionary, means: DataFrame) -> DataFrame:
+    """``encoded`` with ``decoded``: the sum of each feature's decoder row times its activation, plus the layer's mean.
 
-def reconstruction_quality(acts: DataFrame, decoded: DataFrame, vec: str = "vec") -> DataFrame:
-    """(layer, mse, variance_explained): residual against total variance, dimension by dimension."""
-    real = acts.select("layer", "pos_id", F.posexplode(F.col(vec).cast("array<double>")).alias("dim", "x"))
-    both = real.join(decoded, ["layer", "pos_id", "dim"]).withColumn("r", F.col("x") - F.col("value"))
-    per_dim = both.groupBy("layer", "dim").agg(F.var_samp("r").alias("vr"), F.var_samp("x").alias("vx"), F.sum(F.col("r") * F.col("r")).alias("se"), F.count("*").alias("n"))
-    total = per_dim.groupBy("layer").agg(F.sum("vr").alias("vr"), F.sum("vx").alias("vx"), (F.sum("se") / F.sum("n")).alias("mse"))
-    return total.select("layer", "mse", (1 - F.col("vr") / F.greatest(F.col("vx"), F.lit(1e-10))).alias("variance_explained"))
+    Weights and means go to the tasks, and each position is decoded where it lies: no join, no shuffle."""
+    mean = {r.layer: np.array(r["mean"], np.float64) for r in means.collect()}
+    names = encoded.columns
+    schema = encoded.select(*names, F.array().cast("array<double>").alias("decoded")).schema
+    weights = model.dec
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            top, n = b.column("top"), b.num_rows
+            if not n:
+                continue
+            flat, own = top.flatten(), np.repeat(np.arange(n), pc.list_value_length(top).to_numpy())
+            feature, act = flat.field("feature").to_numpy(), flat.field("act").to_numpy()
+            out = np.stack([mean[x] for x in b.column("layer").to_pylist()])
+            for lo in range(0, len(own), 4096):
+                np.add.at(out, own[lo : lo + 4096], act[lo : lo + 4096, None] * weights[feature[lo : lo + 4096]])
+            column = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, column], names=[*names, "decoded"])
+
+    return encoded.mapInArrow(run, schema)
+
+
+def reconstruction_quality(decoded: DataFrame, d: int, n_features: int, vec: str = "vec") -> DataFrame:
+    """(layer, mse, variance_explained, l0, mean_activation, n_dead): residual against total variance, one aggregate a
+    dimension; how many features fire at a position, their mean value over all features, and how many never fire."""
+    x = lambda i: F.col(vec)[i].cast("double")
+    r = lambda i: x(i) - F.col("decoded")[i]
+    fired = F.filter("top", lambda t: t["act"] > 0)
+    per = decoded.groupBy("layer").agg(
+        *[F.var_samp(r(i)).alias(f"r{i}") for i in range(d)], *[F.var_samp(x(i)).alias(f"x{i}") for i in range(d)], *[F.avg(r(i) * r(i)).alias(f"s{i}") for i in range(d)],
+        F.avg(F.size(fired)).alias("l0"), F.avg(F.aggregate(fired, F.lit(0.0), lambda a, t: a + t["act"]) / n_features).alias("mean_activation"),
+    )
+    total = lambda name: sum((F.coalesce(F.col(f"{name}{i}"), F.lit(0.0)) for i in range(d)), F.lit(0.0))
+    alive = decoded.select("layer", F.explode(F.transform(fired, lambda t: t["feature"])).alias("f")).groupBy("layer").agg(F.countDistinct("f").alias("alive"))
+    joined = per.join(alive, "layer", "left")
+    explained = 1 - total("r") / F.greatest(total("x"), F.lit(1e-10))
+    return joined.select("layer", (total("s") / d).alias("mse"), explained.alias("variance_explained"), "l0", "mean_activation", (n_features - F.coalesce("alive", F.lit(0))).alias("n_dead"))
+
+
+def replace_without(decoded: DataFrame, model: Dictionary, features: list[int], vec: str = "vec") -> DataFrame:
+    """(layer, feature, pos_id, cell_id, gene_id, act, change, cos_distance): every position's state replaced by its
+    reconstruction without one feature. ``change`` is the norm of the difference to the state itself."""
+    spark = decoded.sparkSession
+    wanted = spark.createDataFrame([(int(f), [float(v) for v in model.dec[f]]) for f in features], "feature int, dec array<double>")
+    rows = decoded.select("layer", "pos_id", "cell_id", "gene_id", "top", "decoded", F.col(vec).cast("array<double>").alias("x")).crossJoin(F.broadcast(wanted))  # a few features
+    act = F.coalesce(F.get(F.filter("top", lambda t: t["feature"] == F.col("feature")), F.lit(0))["act"], F.lit(0.0))
+    rows = rows.withColumn("act", act)
+    rows = rows.withColumn("y", F.zip_with("decoded", "dec", lambda a, w: a - F.col("act") * w))
+    gap = F.zip_with("x", "y", lambda a, b: a - b)
+    size = norm(F.col("x")) * norm(F.col("y"))
+    product = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return rows.select("layer", "feature", "pos_id", "cell_id", "gene_id", "act", norm(gap).alias("change"), F.when(size > 0, 1 - product / size).alias("cos_distance"))
 
 
 def ablate(encoded: DataFrame, acts: DataFrame, model: Dictionary, features: list[int], vec: str = "vec") -> DataFrame:

@@ -2,37 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.stats import benjamini_hochberg, fisher_greater, odds_ratio
+from tessera.functions.stats import benjamini_hochberg, benjamini_hochberg_ranged, fisher_greater, odds_ratio
+from tessera.session import materialize
+
+#: Up to so many categories their table is broadcast; beyond, it is joined by shuffle.
+BROADCAST_CATEGORIES = 100_000
 
 
-def set_overlaps(sets: DataFrame, terms: DataFrame, by: list[str], least: int = 2, restrict_to_background: bool = True) -> DataFrame:
+def set_overlaps(sets: DataFrame, terms: DataFrame, by: list[str], least: int = 2, restrict_to_background: bool = True, universe: Sequence[str] = ()) -> DataFrame:
     """Every set (``by``; gene) against every term that shares ``least`` genes, as an equi-join on the gene.
 
-    (by, ontology, term, n_overlap, set_size, term_size, background). The background is all genes of any set; terms are
-    cut to it, else their sizes stay raw (and a table may have a negative cell)."""
+    (by, ontology, term, n_overlap, overlap_genes, set_size, term_size, background). The background is all genes of any
+    set, or of any set of the same ``universe`` (some of ``by``, such as the layer); terms are cut to it, else their sizes
+    stay raw (and a table may have a negative cell)."""
+    universe = list(universe)
     sets = sets.select(*by, F.upper("gene").alias("gene")).distinct()
-    genes = sets.select("gene").distinct()
+    genes = sets.select(*universe, "gene").distinct()
     terms = terms.select("ontology", "term", F.upper("gene").alias("gene")).distinct()
     if restrict_to_background:
-        terms = terms.join(genes, "gene", "left_semi")
+        terms = terms.join(genes, "gene")
+    elif universe:
+        terms = terms.crossJoin(F.broadcast(sets.select(*universe).distinct()))  # a row for each layer
     set_size = sets.groupBy(*by).agg(F.count("*").alias("set_size"))
-    term_size = terms.groupBy("ontology", "term").agg(F.count("*").alias("term_size"))
-    overlap = sets.join(terms, "gene").groupBy(*by, "ontology", "term").agg(F.count("*").alias("n_overlap")).where(F.col("n_overlap") >= least)
-    background = genes.agg(F.count("*").alias("background"))
-    return overlap.join(set_size, by).join(term_size, ["ontology", "term"]).crossJoin(F.broadcast(background))  # one row
+    named = [*universe, "ontology", "term"]
+    term_size = terms.groupBy(*named).agg(F.count("*").alias("term_size"))
+    overlap = sets.join(terms, [*universe, "gene"]).groupBy(*by, "ontology", "term").agg(F.count("*").alias("n_overlap"), F.array_sort(F.collect_list("gene")).alias("overlap_genes")).where(F.col("n_overlap") >= least)
+    background = genes.groupBy(*universe).agg(F.count("*").alias("background"))
+    sized = overlap.join(set_size, by).join(term_size, named)
+    return sized.join(background, universe) if universe else sized.crossJoin(F.broadcast(background))  # one row
 
 
-def enrichment(sets: DataFrame, terms: DataFrame, by: list[str], family: list[str], least: int = 2, restrict_to_background: bool = True, alpha: float = 0.05) -> DataFrame:
-    """Fisher's test of each overlap, adjusted within ``family``."""
-    o = set_overlaps(sets, terms, by, least, restrict_to_background)
+def enrichment(sets: DataFrame, terms: DataFrame, by: list[str], family: list[str], least: int = 2, restrict_to_background: bool = True, alpha: float = 0.05, universe: Sequence[str] = ()) -> DataFrame:
+    """Fisher's test of each overlap, adjusted within ``family``; written, since what follows reads it more than once."""
+    o = set_overlaps(sets, terms, by, least, restrict_to_background, universe)
     a, b, c = F.col("n_overlap"), F.col("set_size") - F.col("n_overlap"), F.col("term_size") - F.col("n_overlap")
     d = F.col("background") - F.col("set_size") - F.col("term_size") + F.col("n_overlap")
     tests = o.withColumn("p_value", fisher_greater(a, b, c, d)).withColumn("odds_ratio", odds_ratio(a, b, c, d))
-    return benjamini_hochberg(tests, by=family, key=[*by, "ontology", "term"], alpha=alpha)
+    return materialize(benjamini_hochberg_ranged(tests, by=family, key=[*by, "ontology", "term"], alpha=alpha), "enrichment")
+
+
+def annotations(tests: DataFrame, by: list[str]) -> DataFrame:
+    """The significant tests as annotations, numbered (``seq``) in each set by ontology and term."""
+    order = W.partitionBy(*by).orderBy("ontology", "term")
+    return tests.where("significant").withColumn("seq", F.row_number().over(order))
 
 
 def edge_enrichment(sets: DataFrame, edges: DataFrame, by: list[str], directed: bool = False) -> DataFrame:
@@ -68,11 +86,12 @@ def category_enrichment(cells: DataFrame, labels: DataFrame, share: float = 0.1,
     best = ranked.withColumn("place", place).where(F.col("place") <= n_top).select("layer", "feature", "cell_id")
     size = best.groupBy("layer", "feature").agg(F.count("*").alias("n_best"))
     hits = best.join(labels, "cell_id").groupBy("layer", "feature", "category").agg(F.count("*").alias("hits"))
-    totals = labels.groupBy("category").agg(F.count("*").alias("n_total"))
+    totals = materialize(labels.groupBy("category").agg(F.count("*").alias("n_total")), "categories")
+    sent = F.broadcast(totals) if totals.count() <= BROADCAST_CATEGORIES else totals
     if ties:
-        tests = size.crossJoin(F.broadcast(totals)).join(hits, ["layer", "feature", "category"], "left").fillna({"hits": 0})  # categories: a fixed list
+        tests = size.crossJoin(sent).join(hits, ["layer", "feature", "category"], "left").fillna({"hits": 0})  # every category is tested
     else:
-        tests = hits.join(size, ["layer", "feature"]).join(F.broadcast(totals), "category")
+        tests = hits.join(size, ["layer", "feature"]).join(sent, "category")
     tests = tests.crossJoin(F.broadcast(n_cells))
     a, b, c = F.col("hits"), F.col("n_best") - F.col("hits"), F.col("n_total") - F.col("hits")
     d = F.col("n_cells") - F.col("n_best") - c

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tessera.functions.scalars import cosine
 from tessera.functions.stats import jaccard
 from tessera.operators.catalog import top_k
+from tessera.operators.graph import hub_join
+from tessera.session import materialize
 
 
 def best_matches(a: DataFrame, b: DataFrame, threshold: float = 0.7, k: int = 1, block: int = 4096) -> DataFrame:
@@ -22,27 +24,26 @@ def best_matches(a: DataFrame, b: DataFrame, threshold: float = 0.7, k: int = 1,
     ``b`` is a dictionary of a model. It is cut in blocks of ``block`` vectors; every block meets ``a`` as one matrix
     product a batch, and the best of all blocks are chosen last, so no task holds more than a block."""
     n = max(1, -(-b.count() // block))
+    parts = max(1, min(64, -(-a.count() // 1024)))
     # new names: both sides may come from one table
     a, b = a.select(F.col("id").alias("a_id"), F.col("vec").alias("a_vec")), b.select(F.col("id").alias("b_id"), F.col("vec").alias("b_vec"))
     dealt = b.withColumn("block", F.pmod(F.xxhash64("b_id"), F.lit(n)).cast("int"))
-    rows = a.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("part", F.pmod(F.xxhash64("a_id"), F.lit(64)).cast("int"))
-    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    rows = a.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("part", F.pmod(F.xxhash64("a_id"), F.lit(parts)).cast("int"))
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def unit(t: pa.Table, name: str) -> np.ndarray:
-        v = np.array(t.column(name).to_pylist(), float)
+        v = t.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
     def match(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
         if left.num_rows and right.num_rows:
             right = right.sort_by("b_id")
             ids, cos = right.column("b_id").to_numpy(), unit(left, "a_vec") @ unit(right, "b_vec").T
             best = np.argsort(-np.abs(cos), axis=1, kind="stable")[:, :k]
-            for i, key in enumerate(left.column("a_id").to_pylist()):
-                for j in best[i]:
-                    if abs(cos[i, j]) >= threshold:
-                        out[0].append(key), out[1].append(int(ids[j])), out[2].append(float(cos[i, j]))
-        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64()), "cosine": pa.array(out[2], pa.float64())})
+            value = np.take_along_axis(cos, best, 1)
+            i, j = np.nonzero(np.abs(value) >= threshold)
+            return pa.table({"a": left.column("a_id").to_numpy()[i], "b": ids[best[i, j]], "cosine": value[i, j]})
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
 
     keys = ["block", "part"]
     found = rows.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(match, "a long, b long, cosine double")
@@ -56,6 +57,15 @@ def axis_alignment(axes: DataFrame, features: DataFrame, threshold: float = 0.5,
     return per_feature, per_axis
 
 
+def set_classes(members: DataFrame) -> DataFrame:
+    """(id, class_id): equal sets share a class, named by its smallest id. ``members``: (id, item), distinct; sets are
+    bounded lists such as the top k of something."""
+    sets = members.groupBy("id").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    least = materialize(sets.groupBy("items").agg(F.min("id").alias("class_id"), F.count("*").alias("n")), "set-classes")
+    total = least.agg(F.sum("n")).first()[0] or 0
+    return hub_join(sets, least, "items", "n", total).select("id", "class_id")
+
+
 def similar_sets(members: DataFrame, threshold: float = 0.15) -> DataFrame:
     """(a, b, n_both, jaccard) of all pairs of sets at or above the threshold; ``members``: (id, item), distinct.
 
@@ -82,12 +92,12 @@ def persistence(matches: DataFrame, n_from: DataFrame, strong: float = 0.9) -> D
     return m.join(n_from, "from_layer").withColumn("rate", F.col("n_matches") / F.col("n_alive")).withColumn("strong_rate", F.col("n_strong") / F.col("n_alive"))
 
 
-def lifecycle(presence: DataFrame) -> DataFrame:
+def lifecycle(presence: DataFrame, transient: int = 3, moderate: int = 10) -> DataFrame:
     """(feature, layers, n_layers, last_layer, span, stage) from (feature, layer): transient to 3 layers, moderate to
-    10, then persistent. Span counts from layer 0; gaps don't shorten it."""
+    10, then persistent (for a model of few layers the bounds may be set). Span counts from layer 0; gaps don't shorten it."""
     life = presence.groupBy("feature").agg(F.sort_array(F.collect_set("layer")).alias("layers"))
     n = F.size("layers")
-    stage = F.when(n <= 3, "transient").when(n <= 10, "moderate").otherwise("persistent")
+    stage = F.when(n <= transient, "transient").when(n <= moderate, "moderate").otherwise("persistent")
     return life.select("feature", "layers", n.alias("n_layers"), F.array_max("layers").alias("last_layer"), (F.array_max("layers") - F.array_min("layers") + 1).alias("span"), stage.alias("stage"))
 
 
@@ -109,3 +119,34 @@ def gene_overlap_of_matches(matches: DataFrame, genes_a: DataFrame, genes_b: Dat
     both = best.join(lists(genes_a, "a", "xs"), "a").join(lists(genes_b, "b", "ys"), "b")
     j = F.size(F.array_intersect("xs", "ys")) / F.size(F.array_union("xs", "ys"))
     return both.select(j.alias("j")).agg(F.count("*").alias("n"), F.avg("j").alias("mean"), F.median("j").alias("median"))
+
+
+def all_abs_cosine(vectors: DataFrame) -> DataFrame:
+    """(n, mean_abs_cosine) over all pairs of (id, vec) rows, the pairs of a row with itself counting 0: for dictionaries
+    of up to a hundred features, whose matrix of cosines is one small aggregate."""
+    left, right = vectors.select(F.col("id").alias("i"), F.col("vec").alias("x")), vectors.select(F.col("id").alias("j"), F.col("vec").alias("y"))
+    pairs = left.crossJoin(F.broadcast(right.limit(100)))  # a hundred rows at most
+    c = F.when(F.col("i") == F.col("j"), 0.0).otherwise(F.abs(cosine(F.col("x"), F.col("y"))))
+    return pairs.agg(F.countDistinct("i").alias("n"), F.avg(c).alias("mean_abs_cosine"))
+
+
+def chain_overlap(life: DataFrame, matches: DataFrame, genes: DataFrame, stage: str = "persistent", first: int = 20) -> DataFrame:
+    """(n, mean, median) of the Jaccard similarity between the top genes of the ``first`` features of a stage of life and
+    those of the feature that each one matches in its last layer. ``matches``: (feature, layer, matched); ``genes``: (layer,
+    feature, gene_id); the features of ``life`` lie in layer 0."""
+    best = life.where(F.col("stage") == stage).orderBy(F.desc("n_layers"), "feature").limit(first)
+    last = best.join(matches, "feature").where(F.col("layer") == F.col("last_layer")).select("feature", "layer", "matched")
+    lists = genes.groupBy("layer", "feature").agg(F.collect_set("gene_id").alias("g"))
+    own = lists.where("layer = 0").select("feature", F.col("g").alias("xs"))
+    met = lists.select("layer", F.col("feature").alias("matched"), F.col("g").alias("ys"))
+    both = last.join(own, "feature").join(met, ["layer", "matched"])
+    j = F.size(F.array_intersect("xs", "ys")) / F.size(F.array_union("xs", "ys"))
+    return both.select(j.alias("j")).agg(F.count("*").alias("n"), F.avg("j").alias("mean"), F.median("j").alias("median"))
+
+
+def rates_by_stage(life: DataFrame, annotations: DataFrame) -> DataFrame:
+    """Of each stage of life: features, how many are annotated, the rate, and the mean number of annotations, none
+    counting 0. ``annotations``: (feature, ..)."""
+    n = annotations.groupBy("feature").agg(F.count("*").alias("n"))
+    joined = life.join(n, "feature", "left").fillna({"n": 0})
+    return joined.groupBy("stage").agg(F.count("*").alias("n_features"), F.count_if(F.col("n") > 0).alias("n_annotated"), F.avg((F.col("n") > 0).cast("int")).alias("rate"), F.avg("n").alias("mean_annotations"))

@@ -67,3 +67,32 @@ def select_targets(cells: DataFrame, known: DataFrame, least_cells: int = 30, k:
     t = known.groupBy("target").agg(F.count("*").alias("n_known"))
     score = 100 * F.coalesce("n_known", F.lit(0)) + F.col("n_cells")
     return n.join(t, "target", "left").select("target", "n_cells", F.coalesce("n_known", F.lit(0)).alias("n_known"), score.alias("score")).orderBy(F.desc("score"), "target").limit(k)
+
+
+def summary_over_targets(per_target: DataFrame, known: DataFrame, alive: DataFrame) -> DataFrame:
+    """(layer, n_targets, n_known, n_known_specific, frac_known_specific, mean_responding, mean_specific, n_alive): one row a
+    layer over the rows of ``perturbation_summary``. ``known``: (target) with known targets of their own; ``alive``: (layer,
+    n_alive) of the control."""
+    marked = per_target.join(known.distinct().withColumn("known", F.lit(True)), "target", "left").fillna({"known": False})
+    t = marked.groupBy("layer").agg(
+        F.count("*").alias("n_targets"), F.count_if("known").alias("n_known"), F.count_if(F.col("known") & (F.col("n_specific") > 0)).alias("n_known_specific"),
+        F.avg("n_responding").alias("mean_responding"), F.avg("n_specific").alias("mean_specific"),
+    )
+    return t.join(alive, "layer").withColumn("frac_known_specific", F.col("n_known_specific") / F.greatest("n_known", F.lit(1)))
+
+
+def change_ratio(at_targets: DataFrame, at_controls: DataFrame) -> DataFrame:
+    """(layer, feature, n_cells, target_change, control_change, specificity): norms of changes, averaged in each cell and
+    then over cells; the ratio of both. Each side: (layer, feature, cell_id, change)."""
+    key = ["layer", "feature"]
+    side = lambda df, name: df.groupBy(*key, "cell_id").agg(F.avg("change").alias("c")).groupBy(*key).agg(F.avg("c").alias(name), F.count("*").alias(f"n_{name}"))
+    both = side(at_targets, "target_change").join(side(at_controls, "control_change"), key)
+    return both.select(*key, F.col("n_target_change").alias("n_cells"), "target_change", "control_change", (F.col("target_change") / F.greatest("control_change", F.lit(1e-10))).alias("specificity"))
+
+
+def features_to_targets(found: DataFrame, k: int = 5) -> DataFrame:
+    """(layer, feature, n_targets, targets): the reverse look-up, from the ``k`` strongest features of each target, by the
+    size of the effect."""
+    kept = found.where(F.col("rank") <= k)
+    entry = F.struct((-F.abs("effect")).alias("order"), "target", "effect")
+    return kept.groupBy("layer", "feature").agg(F.count("*").alias("n_targets"), F.transform(F.sort_array(F.collect_list(entry)), lambda x: F.struct(x["target"].alias("target"), x["effect"].alias("effect"))).alias("targets"))

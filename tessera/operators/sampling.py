@@ -6,14 +6,17 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators.catalog import top_k
 
 
-def place(key: Column, seed: int, prime: int = 1_000_003, modulus: int = 2_147_483_647) -> Column:
-    """A pseudo-random place that other engines can compute too."""
-    return F.pmod((key + seed) * prime, F.lit(modulus))
+def place(key: Column, seed: int | Column, prime: int = 1_000_003, modulus: int = 2_147_483_647) -> Column:
+    """A pseudo-random place that other engines can compute too: the key is reduced first, so ids of any size fit, and
+    then mixed by a square, so places are no lattice."""
+    x = F.pmod((F.pmod(key.cast("long"), F.lit(modulus)) + seed) * prime, F.lit(modulus))
+    return F.pmod(F.pmod(x * x, F.lit(modulus)) * 48_271 + x, F.lit(modulus))
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -23,7 +26,7 @@ def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 def sample_each(df: DataFrame, by: list[str], key: str, n: int, seed: int | Column = 42) -> DataFrame:
     """Up to ``n`` rows of each group; ``seed`` may be a column, so that groups have seeds of their own."""
-    return top_k(df, by, [F.pmod((F.col(key) + seed) * 1_000_003, F.lit(2_147_483_647)), key], n, "__rank").drop("__rank")
+    return top_k(df, by, [place(F.col(key), seed), key], n, "__rank").drop("__rank")
 
 
 def proportional_quotas(counts: list[tuple[str, int]], n: int) -> dict[str, int]:
@@ -56,3 +59,12 @@ def balanced_pool(sources: dict[str, DataFrame], key: str, n: int, seed: int = 4
     """``n`` rows of each source, one after the other, with the source's name."""
     parts = [sample(df, key, n, seed).withColumn("pool", F.lit(name)) for name, df in sources.items()]
     return reduce(DataFrame.unionByName, parts)
+
+
+def controls(positions: DataFrame, targets: DataFrame, by: list[str], key: str, least: int = 5, seed: int = 42) -> DataFrame:
+    """Random positions beside the targets: of each group as many as it has targets, ``least`` at least, all if fewer.
+    ``targets``: the rows of ``positions`` that are sought."""
+    n = targets.groupBy(*by).agg(F.greatest(F.count("*"), F.lit(least)).alias("__n"))
+    others = positions.join(targets.select(*by, key), [*by, key], "left_anti").join(n, by)
+    order = W.partitionBy(*by).orderBy(place(F.col(key), seed), key)
+    return others.withColumn("__rank", F.row_number().over(order)).where("__rank <= __n").drop("__rank", "__n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.catalog import top_k
@@ -47,10 +47,33 @@ def select_features(stats: DataFrame, annotations: DataFrame, least_freq: float
     return ok.join(a, key).withColumn("score", score).select(*key, "n_ont", "n_ann", "best_p", "score").orderBy(F.desc("score"), *key).limit(k)
 
 
-def verdict(one, other):
-    """How the second run compares with the first."""
-    gain = other - one
-    return F.when(gain >= 0.1, "better").when(gain >= 0.02, "slightly better").when(gain > -0.02, "same").when(gain > -0.1, "slightly worse").otherwise("worse")
+#: Labels of a comparison, each with the least rate that earns it, alone or over the base run's.
+STRONG, MODERATE, MARGIN = 0.20, 0.12, 0.01
+
+
+def verdict(base: Column, best: Column) -> Column:
+    """How the best rate of a run stands, alone and against the base run's."""
+    return (
+        F.when(best > STRONG, "STRONG POSITIVE")
+        .when(best > MODERATE, "MODERATE POSITIVE")
+        .when(best > base + MARGIN, "WEAK POSITIVE")
+        .when(best >= base - MARGIN, "NULL")
+        .otherwise("NEGATIVE")
+    )
+
+
+def select_annotated(annotations: DataFrame, stats: DataFrame, genes: DataFrame, least_genes: int = 5, k: int = 50) -> DataFrame:
+    """Features by 2 * tests + edge annotations, then by frequency; ``annotations``: (layer, feature, kind)."""
+    key = ["layer", "feature"]
+    n = annotations.groupBy(*key).agg((2 * F.count_if(F.col("kind") == "test") + F.count_if(F.col("kind") == "edge")).alias("score"))
+    enough = genes.groupBy(*key).agg(F.count("*").alias("n_genes")).where(F.col("n_genes") >= least_genes)
+    ranked = n.where("score > 0").join(enough, key).join(stats.select(*key, "activation_freq"), key)
+    return ranked.select(*key, "score", "activation_freq").orderBy(F.desc("score"), F.desc("activation_freq"), *key).limit(k)
+
+
+def look_up(view: DataFrame, layer: int, feature: int) -> DataFrame:
+    """One feature's rows of a view that is partitioned by layer."""
+    return view.where((F.col("layer") == layer) & (F.col("feature") == feature))
 
 
 def best_partner(edges: DataFrame, k: int = 20) -> DataFrame:

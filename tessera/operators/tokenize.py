@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-START, END, PAD_VALUE = 2, 3, -2.0
+START, END, FIRST_TOKEN, PAD_VALUE = 2, 3, 4, -2.0
 
 
 def log_cpm(value: Column, by: str = "cell_id") -> Column:
@@ -16,22 +16,22 @@ def log_cpm(value: Column, by: str = "cell_id") -> Column:
 
 
 def rank_tokens(expression: DataFrame, genes: DataFrame, length: int = 2046) -> DataFrame:
-    """(cell_id, n_genes, tokens): positive genes that the dictionary knows, by normalised value over the gene's median,
-    largest first, between start and end marks. A ratio that is no number or infinite counts 0; ties go to the smaller id.
+    """(cell_id, n_genes, tokens): positive genes that the dictionary knows, as their token_id, by normalised value over
+    the gene's median, largest first, between start and end marks (ids below FIRST_TOKEN are no genes'). A ratio that is no number or infinite counts 0; ties go to the smaller id.
 
     The cell's total covers all its genes, known or not."""
     normal = expression.withColumn("norm", log_cpm(F.col("value"))).where("value > 0")
-    known = normal.join(genes.select("gene_id", "median"), "gene_id")
+    known = normal.join(genes.where(F.col("token_id") >= FIRST_TOKEN).select("gene_id", "token_id", "median"), "gene_id")
     score = F.when(F.col("median") != 0, F.col("norm") / F.col("median")).otherwise(0.0)
     order = W.partitionBy("cell_id").orderBy(F.desc("score"), "gene_id")
     kept = known.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= length)
-    body = F.transform(F.sort_array(F.collect_list(F.struct("rank", F.col("gene_id").cast("long").alias("gene_id")))), lambda x: x["gene_id"])
+    body = F.transform(F.sort_array(F.collect_list(F.struct("rank", F.col("token_id").cast("long").alias("token_id")))), lambda x: x["token_id"])
     return kept.groupBy("cell_id").agg(F.count("*").alias("n_genes"), F.concat(F.array(F.lit(START).cast("long")), body, F.array(F.lit(END).cast("long"))).alias("tokens"))
 
 
 def gene_positions(tokens: DataFrame) -> DataFrame:
     """(cell_id, pos, token) without the marks."""
-    return tokens.select("cell_id", F.posexplode("tokens").alias("pos", "token")).where(~F.col("token").isin(START, END) | ((F.col("pos") > 0) & (F.col("token") > END)))
+    return tokens.select("cell_id", F.posexplode("tokens").alias("pos", "token")).where(F.col("token") >= FIRST_TOKEN)
 
 
 def value_tokens(expression: DataFrame, vocabulary: DataFrame, length: int = 1200, pad_id: int = 0) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Fitting: top-k sparse autoencoder by distributed gradients, principal axes, two-dimensional layouts."""
+"""Fitting: top-k sparse autoencoder by distributed gradients, principal axes, term weights."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,33 +11,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.encode import Dictionary
+from tessera.session import shared_path
 
 
 def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64) if batch.num_rows else np.zeros((0, 0))
 
 
+def summed(parts: DataFrame) -> np.ndarray:
+    """The element-wise sum of column ``x`` (arrays of one length), added up by position on the executors; empty without
+    rows. The driver gets one array."""
+    got = parts.select(F.posexplode("x").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+    return got.column("x").to_numpy()[np.argsort(got.column("i").to_numpy())] if got.num_rows else np.zeros(0)
+
+
+def as_rows(values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))], names=["x"])
+
+
 def gramian(rows: DataFrame, vec: str = "vec") -> tuple[np.ndarray, np.ndarray, int]:
-    """(sum of outer products, sum, n): each task adds up its rows; the driver gets one d x d matrix a task."""
+    """(sum of outer products, sum, n) in one pass: each task adds up its rows, and the tasks' sums meet by position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, s, n = None, None, 0
+        total = None
         for b in batches:
             x = _matrix(b, "vec")
             if len(x):
-                g = x.T @ x if g is None else g + x.T @ x
-                s = x.sum(0) if s is None else s + x.sum(0)
-                n += len(x)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([g.ravel().tolist()]), pa.array([s.tolist()]), pa.array([n])], names=["g", "s", "n"])
+                now = np.concatenate([(x.T @ x).ravel(), x.sum(0), [len(x)]])
+                total = now if total is None else total + now
+        if total is not None:
+            yield as_rows(total)
 
-    parts = rows.select(F.col(vec).cast("array<double>").alias("vec")).mapInArrow(run, "g array<double>, s array<double>, n long")
-    # element-wise sums by position keep the driver's share at one matrix
-    g = parts.select(F.posexplode("g").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").toPandas()["x"].to_numpy()
-    s = parts.select(F.posexplode("s").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").toPandas()["x"].to_numpy()
-    n = parts.agg(F.sum("n")).first()[0] or 0
-    d = len(s)
-    return g.reshape(d, d), s, n
+    found = summed(rows.select(F.col(vec).cast("array<double>").alias("vec")).mapInArrow(run, "x array<double>"))
+    if not len(found):
+        return np.zeros((0, 0)), np.zeros(0), 0
+    d = int((math.sqrt(4 * len(found) - 3) - 1) / 2)
+    return found[: d * d].reshape(d, d), found[d * d : -1], int(found[-1])
 
 
 def principal_axes(rows: DataFrame, k: int = 50, vec: str = "vec") -> tuple[np.ndarray, np.ndarray]:
@@ -63,10 +73,12 @@ def project(rows: DataFrame, axes: np.ndarray, mean: np.ndarray, vec: str = "vec
     return rows.select(F.col(key).cast("long").alias("key"), F.col(vec).cast("array<double>").alias("vec")).mapInArrow(run, f"{key} long, x double, y double")
 
 
-def train_sae(rows: DataFrame, mean: np.ndarray, n_features: int, k: int, epochs: int = 5, batches: int = 4, rate: float = 3e-4, seed: int = 42, vec: str = "vec", key: str = "pos_id") -> tuple[Dictionary, list[dict]]:
+def train_sae(rows: DataFrame, mean: np.ndarray, n_features: int, k: int, epochs: int = 5, batches: int = 4, rate: float = 3e-4, seed: int = 42, vec: str = "vec", key: str = "pos_id", checkpoint: str | None = None) -> tuple[Dictionary, list[dict]]:
     """A top-k autoencoder by Adam: every step's gradient is summed over the tasks that hold the batch's rows; weights
-    (bounded by the model) travel, data don't. Rows are dealt to batches by a seeded hash anew each epoch. After each
-    step every output dimension of the decoder is normalised over the features. Returns the model and its log."""
+    (bounded by the model) travel, data don't. Rows are dealt to batches once by a seeded hash and written by batch, so
+    that a step reads its own rows only; each epoch takes the batches in an order of its own. After each step every output
+    dimension of the decoder is normalised over the features. Returns the model and its log; with ``checkpoint``, the
+    model of every epoch is saved there."""
     spark = rows.sparkSession
     rng = np.random.default_rng(seed)
     d = len(mean)
@@ -74,15 +86,17 @@ def train_sae(rows: DataFrame, mean: np.ndarray, n_features: int, k: int, epochs
     p["dec"] /= np.linalg.norm(p["dec"], axis=1, keepdims=True)
     m, v = ({n: np.zeros_like(x) for n, x in p.items()} for _ in range(2))
     log, step = [], 0
-    data = rows.select(F.col(key).cast("long").alias("key"), F.col(vec).cast("array<double>").alias("vec"))
+    data = rows.select(F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("long")), F.lit(batches)).cast("int").alias("batch"), F.col(vec).cast("array<double>").alias("vec"))
+    path = shared_path(spark, "batches")
+    data.write.mode("overwrite").partitionBy("batch").parquet(path)
+    data = spark.read.schema("vec array<double>, batch int").parquet(path)
     for epoch in range(epochs):
-        for batch in range(batches):
+        for batch in rng.permutation(batches).tolist():
             step += 1
             sent = spark.sparkContext.broadcast(p)
-            own = data.where(F.pmod(F.xxhash64(F.lit(seed + epoch), "key"), F.lit(batches)) == batch)
 
             def gradients(parts: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-                w, g, stats = sent.value, None, np.zeros(3)
+                w, g = sent.value, None
                 for b in parts:
                     if not b.num_rows:
                         continue
@@ -94,17 +108,17 @@ def train_sae(rows: DataFrame, mean: np.ndarray, n_features: int, k: int, epochs
                     a = np.where(mask & (h > 0), h, 0.0)
                     r = a @ w["dec"].T + w["c"] - x
                     dh = np.where(a > 0, (2 * r / d) @ w["dec"], 0.0)
-                    now = [dh.T @ x, dh.sum(0), (2 * r / d).T @ a, (2 * r / d).sum(0)]
-                    g = now if g is None else [s + t for s, t in zip(g, now, strict=True)]
-                    stats += [(r * r).sum() / d, (a > 0).sum(), len(x)]
+                    parts_ = [dh.T @ x, dh.sum(0), (2 * r / d).T @ a, (2 * r / d).sum(0), np.array([(r * r).sum() / d, (a > 0).sum(), len(x)])]
+                    now = np.concatenate([t.ravel() for t in parts_])
+                    g = now if g is None else g + now
                 if g is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([t.ravel() for t in g]).tolist()]), pa.array([stats.tolist()])], names=["g", "stats"])
+                    yield as_rows(g)
 
-            total = own.mapInArrow(gradients, "g array<double>, stats array<double>").rdd.treeReduce(lambda x, y: (np.add(x[0], y[0]), np.add(x[1], y[1]))) if own.limit(1).count() else None
+            flat = summed(data.where(F.col("batch") == batch).select("vec").mapInArrow(gradients, "x array<double>"))
             sent.unpersist()
-            if total is None:
+            if not len(flat):
                 continue
-            flat, (se, fired, n) = np.asarray(total[0]), total[1]
+            se, fired, n = flat[-3:]
             at = 0
             for name in ("enc", "b", "dec", "c"):
                 g = flat[at : at + p[name].size].reshape(p[name].shape) / n
@@ -114,28 +128,17 @@ def train_sae(rows: DataFrame, mean: np.ndarray, n_features: int, k: int, epochs
                 p[name] = p[name] - rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-8)
             p["dec"] /= np.maximum(np.linalg.norm(p["dec"], axis=1, keepdims=True), 1e-12)
             log.append({"step": step, "loss": float(se / n), "l0_norm": float(fired / n)})
+        if checkpoint:
+            Dictionary(p["enc"], p["b"], p["dec"].T.copy(), k).save(spark, checkpoint, f"epoch{epoch}")
     return Dictionary(p["enc"], p["b"], p["dec"].T.copy(), k), log
 
 
-def force_layout(edges: list[tuple[int, int, float]], nodes: list[int], rounds: int = 50, seed: int = 0) -> dict[int, tuple[float, float]]:
-    """A spring layout of one layer's features (a few thousand nodes)."""
-    at = {n: i for i, n in enumerate(nodes)}
-    x = np.random.default_rng(seed).normal(size=(len(nodes), 2))
-    i, j, w = (np.array(c) for c in zip(*[(at[a], at[b], s) for a, b, s in edges], strict=True)) if edges else (np.zeros(0, int),) * 3
-    for r in range(rounds):
-        gap = x[:, None] - x[None]
-        push = (gap / ((gap**2).sum(-1, keepdims=True) + 1e-3)).sum(1) / max(1, len(nodes))
-        pull = np.zeros_like(x)
-        np.add.at(pull, i, (x[j] - x[i]) * w[:, None])
-        np.add.at(pull, j, (x[i] - x[j]) * w[:, None])
-        x += 0.1 * (1 - r / rounds) * (push + pull / max(1, len(edges)))
-    return {n: (float(a), float(b)) for n, (a, b) in zip(nodes, x, strict=True)}
-
-
 def tf_idf(terms: DataFrame, doc: str = "feature", term: str = "term") -> DataFrame:
-    """(doc, term, weight): term frequency times ln((1 + n) / (1 + df)) + 1, each document scaled to length 1."""
+    """(doc, term, weight): term frequency (rows, or their sum of ``n`` where there is such a column) times
+    ln((1 + n) / (1 + df)) + 1, each document scaled to length 1."""
+    times = F.sum("n") if "n" in terms.columns else F.count("*")
+    tf = terms.groupBy(doc, term).agg(times.alias("tf"))
     n = terms.select(doc).distinct().agg(F.count("*").alias("n"))
-    tf = terms.groupBy(doc, term).agg(F.count("*").alias("tf"))
     df = tf.groupBy(term).agg(F.count("*").alias("df"))
     raw = tf.join(df, term).crossJoin(F.broadcast(n)).withColumn("raw", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))  # one row
     length = raw.groupBy(doc).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))

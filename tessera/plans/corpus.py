@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import enrich, serve, tokenize, train
+from tessera.operators.catalog import top_k
 from tessera.plans.book import book
 from tessera.plans.features import FISHER, round_doubles
 from tessera.plans.graphs import TOPTOK, top_tokens
-from tessera.session import table
+from tessera.session import materialize, table
 from tessera.sources.tables import document_tokens, expression, gene_sets, genes
 
 QUERIES, SQL, query = book()
@@ -31,9 +32,7 @@ tests AS (SELECT source, ontology, term, n_overlap, set_size, term_size, p AS p_
 
 
 def _sets(spark, sf_dir):
-    from tessera.operators.catalog import top_k
-
-    top = top_tokens(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
+    top = materialize(top_tokens(spark, sf_dir), "top-tokens").join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
     common = lambda by, k: top_k(top.groupBy(by, "token").agg(F.count("*").alias("n")), [by], [F.desc("n"), "token"], k)
     sets = common("source", 60).select("source", F.col("token").alias("gene"))
     terms = common("lang", 100).select(F.lit("lang").alias("ontology"), F.col("lang").alias("term"), F.col("token").alias("gene"))
@@ -59,38 +58,39 @@ def enrichment_by_ontology(spark, sf_dir):
 
 @query(
     TOPTOK + """,
-e AS (SELECT DISTINCT least(upper(a.token), upper(b.token)) AS a, greatest(upper(a.token), upper(b.token)) AS b FROM top a JOIN top b ON a.doc_id = b.doc_id AND b.rank = a.rank + 1 WHERE a.doc_id % 2 = 0 AND a.token <> b.token),
-s AS (SELECT DISTINCT doc_id, upper(token) AS gene FROM top WHERE doc_id % 2 = 1), sz AS (SELECT doc_id, count(*) AS set_size FROM s GROUP BY doc_id HAVING count(*) >= 3)
+e AS (SELECT DISTINCT least(upper(a.token), upper(b.token)) AS a, greatest(upper(a.token), upper(b.token)) AS b FROM top a JOIN top b ON a.doc_id = b.doc_id AND b.rank = a.rank + 1 WHERE a.rank <= 3 AND a.token <> b.token),
+s AS (SELECT DISTINCT doc_id, upper(token) AS gene FROM top), sz AS (SELECT doc_id, count(*) AS set_size FROM s GROUP BY doc_id HAVING count(*) >= 3)
 SELECT x.doc_id, set_size, count(*) AS n_within, CAST(set_size * (set_size - 1) // 2 AS BIGINT) AS n_possible, round(count(*) / (set_size * (set_size - 1) / 2), 6) AS density
 FROM s x JOIN e ON x.gene = e.a JOIN s y ON y.gene = e.b AND y.doc_id = x.doc_id JOIN sz ON sz.doc_id = x.doc_id GROUP BY x.doc_id, set_size"""
 )
 def edge_enrichment(spark, sf_dir):
-    """Tokens next to each other in the ranking of even documents are edges; odd documents are the sets."""
-    top = top_tokens(spark, sf_dir)
+    """Tokens next to each other at the head of a document's ranking are edges; each document's tokens are a set."""
+    top = materialize(top_tokens(spark, sf_dir), "top-tokens")
     nxt = top.select("doc_id", (F.col("rank") - 1).alias("rank"), F.col("token").alias("b"))
-    edges = top.where("doc_id % 2 = 0").select("doc_id", "rank", F.col("token").alias("a")).join(nxt, ["doc_id", "rank"]).select("a", "b")
-    sets = top.where("doc_id % 2 = 1").select("doc_id", F.col("token").alias("gene"))
+    edges = top.where("rank <= 3").select("doc_id", "rank", F.col("token").alias("a")).join(nxt, ["doc_id", "rank"]).select("a", "b")
+    sets = top.select("doc_id", F.col("token").alias("gene"))
     return round_doubles(enrich.edge_enrichment(sets, edges, ["doc_id"]))
 
 
 @query(
     TOPTOK + """,
-n AS (SELECT count(DISTINCT doc_id) AS n FROM top), df AS (SELECT token, count(*) AS df FROM top GROUP BY token),
-raw AS (SELECT doc_id, token, 1 * (ln((1 + n) / (1 + df)) + 1) AS raw FROM top JOIN df USING (token), n),
+n AS (SELECT count(DISTINCT doc_id) AS docs FROM tok), df AS (SELECT token, count(*) AS df FROM tok GROUP BY token),
+raw AS (SELECT doc_id, token, n * (ln((1 + docs) / (1 + df)) + 1) AS raw FROM (SELECT doc_id, token, sum(n) AS n FROM tok GROUP BY ALL) JOIN df USING (token), n),
 len AS (SELECT doc_id, sqrt(sum(raw * raw)) AS len FROM raw GROUP BY doc_id)
 SELECT doc_id, token, round(raw / len, 6) AS weight FROM raw JOIN len USING (doc_id)"""
 )
 def term_weights(spark, sf_dir):
-    return round_doubles(train.tf_idf(top_tokens(spark, sf_dir), "doc_id", "token"))
+    """All tokens of all documents, by how often each occurs."""
+    return round_doubles(train.tf_idf(document_tokens(spark, sf_dir), "doc_id", "token"))
 
 
 MEDIAN = "med AS (SELECT p_partkey AS gene_id, coalesce(m, 1.0) AS median FROM part LEFT JOIN (SELECT l_partkey, median(l_quantity) AS m FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey)"
 EXPR = "ex AS (SELECT l_orderkey AS cell_id, l_partkey AS gene_id, sum(l_quantity) AS value FROM lineitem GROUP BY ALL)"
 
 
-@query("WITH " + MEDIAN + " SELECT p_name AS gene_name, gene_id, median FROM med JOIN part ON p_partkey = gene_id")
+@query("WITH " + MEDIAN + " SELECT p_name AS gene_name, gene_id, gene_id + 4 AS token_id, median FROM med JOIN part ON p_partkey = gene_id")
 def gene_dictionary(spark, sf_dir):
-    return genes(spark, sf_dir).select("gene_name", "gene_id", "median")
+    return genes(spark, sf_dir).select("gene_name", "gene_id", "token_id", "median")
 
 
 @query(
@@ -98,7 +98,7 @@ def gene_dictionary(spark, sf_dir):
 nm AS (SELECT *, ln(1 + value / sum(value) OVER (PARTITION BY cell_id) * 1e4) AS norm FROM ex),
 sc AS (SELECT cell_id, gene_id, CASE WHEN median <> 0 THEN norm / median ELSE 0 END AS score FROM nm JOIN med USING (gene_id) WHERE value > 0),
 rk AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY score DESC, gene_id) AS r FROM sc)
-SELECT cell_id, count(*) AS n_genes, '2,' || string_agg(gene_id, ',' ORDER BY r) || ',3' AS tokens FROM rk WHERE r <= 2046 GROUP BY cell_id"""
+SELECT cell_id, count(*) AS n_genes, '2,' || string_agg(gene_id + 4, ',' ORDER BY r) || ',3' AS tokens FROM rk WHERE r <= 2046 GROUP BY cell_id"""
 )
 def rank_tokens(spark, sf_dir):
     t = tokenize.rank_tokens(expression(spark, sf_dir), genes(spark, sf_dir))
@@ -107,11 +107,11 @@ def rank_tokens(spark, sf_dir):
 
 @query(
     "WITH " + EXPR + """,
-rk AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY value DESC, gene_id) AS r FROM ex WHERE value > 0 AND gene_id % 3 <> 0)
+rk AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY value DESC, gene_id) AS r FROM ex WHERE value > 0)
 SELECT cell_id, count(*) AS n, string_agg(gene_id, ',' ORDER BY r) || repeat(',0', CAST(6 - count(*) AS INT)) AS ids, count(*) AS n_mask FROM rk WHERE r <= 6 GROUP BY cell_id"""
 )
 def value_tokens(spark, sf_dir):
-    known = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("gene_id")).where("gene_id % 3 <> 0")
+    known = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("gene_id"))
     t = tokenize.value_tokens(expression(spark, sf_dir), known, 6)
     return t.select("cell_id", "n", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), F.aggregate("mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_mask"))
 
@@ -134,7 +134,7 @@ def tokens_by_language(spark, sf_dir):
 
 @query(
     TERMS + """, a AS (SELECT source, count(*) FILTER (p_adjusted <= 0.05) AS n FROM tests WHERE ontology = 'lang' GROUP BY source), b AS (SELECT source, count(*) FILTER (p_adjusted <= 0.05) AS n FROM tests WHERE ontology = 'letter' GROUP BY source)
-SELECT source, a.n AS n_lang, b.n AS n_letter, CASE WHEN b.n / 20 - a.n / 4 >= 0.1 THEN 'better' WHEN b.n / 20 - a.n / 4 >= 0.02 THEN 'slightly better' WHEN b.n / 20 - a.n / 4 > -0.02 THEN 'same' WHEN b.n / 20 - a.n / 4 > -0.1 THEN 'slightly worse' ELSE 'worse' END AS verdict FROM a JOIN b USING (source)"""
+SELECT source, a.n AS n_lang, b.n AS n_letter, CASE WHEN b.n / 20 > 0.2 THEN 'STRONG POSITIVE' WHEN b.n / 20 > 0.12 THEN 'MODERATE POSITIVE' WHEN b.n / 20 > a.n / 4 + 0.01 THEN 'WEAK POSITIVE' WHEN b.n / 20 >= a.n / 4 - 0.01 THEN 'NULL' ELSE 'NEGATIVE' END AS verdict FROM a JOIN b USING (source)"""
 )
 def head_to_head(spark, sf_dir):
     """Two analyses compared on the sources that both cover."""
@@ -144,15 +144,6 @@ def head_to_head(spark, sf_dir):
     return both.select("source", "n_lang", "n_letter", serve.verdict(F.col("n_lang") / 4, F.col("n_letter") / 20).alias("verdict"))
 
 
-@query(
-    TERMS + """, m AS (SELECT source, max(CASE WHEN p_adjusted <= 0.05 THEN 1 ELSE 0 END) AS hit, count(*) FILTER (p_adjusted <= 0.05) AS n FROM tests GROUP BY source)
-SELECT substr(source, 4, 1) = '1' AS aligned, count(*) AS n_sources, round(avg(hit), 6) AS annotated_rate, round(avg(n), 6) AS mean_enrichments FROM m GROUP BY substr(source, 4, 1) = '1'"""
-)
-def rates_by_group(spark, sf_dir):
-    t = _tests(spark, sf_dir).groupBy("source").agg(F.max(F.col("significant").cast("int")).alias("hit"), F.count_if("significant").alias("n"))
-    return round_doubles(t.groupBy((F.substring("source", 4, 1) == "1").alias("aligned")).agg(F.count("*").alias("n_sources"), F.avg("hit").alias("annotated_rate"), F.avg("n").alias("mean_enrichments")))
-
-
 @query(TERMS + " SELECT DISTINCT term FROM tests WHERE ontology = 'letter' AND source IN ('src0', 'src1') EXCEPT SELECT term FROM tests WHERE ontology = 'letter' AND source NOT IN ('src0', 'src1') AND p_adjusted <= 0.05")
 def exclusive_terms(spark, sf_dir):
     t = _tests(spark, sf_dir).where("ontology = 'letter'")

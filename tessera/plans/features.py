@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars
-from tessera.operators import catalog, encode, enrich, matching, perturb, serve, tokenize, train
+from tessera.operators import catalog, encode, enrich, matching, perturb, tokenize, train
 from tessera.plans.book import book
-from tessera.session import table
+from tessera.session import materialize, table
 from tessera.sources.tables import HALF, activations
 
 QUERIES, SQL, query = book()
@@ -41,16 +41,16 @@ FISHER = """least(1.0, list_sum(list_transform(generate_series(a, least(a + b, a
 
 
 def encoded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, encode.Dictionary, DataFrame]:
-    """(activations, rows with their top k, dictionary, means)."""
+    """(activations, rows with their top k, dictionary, means); encoded once a query, what follows reads it."""
     a = activations(spark, sf_dir)
     means = encode.mean_vectors(a, HALF)
     model = encode.Dictionary.signed_identity(HALF, K)
-    return a, encode.encode(a, model, means), model, means
+    return a, materialize(encode.encode(a, model, means, keep=("layer", "pos_id", "cell_id", "gene_id", "vec")), "encoded"), model, means
 
 
 def long(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     _, e, _, _ = encoded(spark, sf_dir)
-    return encode.feature_acts(e), e.select("layer", "pos_id", "cell_id", "gene_id")
+    return encode.feature_acts(e.drop("vec")), e.select("layer", "pos_id", "cell_id", "gene_id")
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -258,53 +258,46 @@ rec AS (SELECT x.layer, x.pos_id, x.dim, x.v, coalesce(part, 0) + mu AS value FR
 @query("WITH " + ACTS + RECONSTRUCT + " SELECT layer, pos_id, dim, round(value, 6) AS value FROM rec")
 def reconstruction(spark, sf_dir):
     _, e, model, means = encoded(spark, sf_dir)
-    return round_doubles(encode.decode(encode.feature_acts(e), model, means))
+    values = encode.decode(e, model, means).select("layer", "pos_id", F.posexplode("decoded").alias("dim", "value"))
+    return round_doubles(values)
 
 
-@query("WITH " + ACTS + RECONSTRUCT + ", q AS (SELECT layer, dim, var_samp(v - value) AS vr, var_samp(v) AS vx, sum((v - value) * (v - value)) AS se, count(*) AS n FROM rec GROUP BY layer, dim) SELECT layer, round(sum(se) / sum(n), 6) AS mse, round(1 - sum(vr) / greatest(sum(vx), 1e-10), 6) AS variance_explained FROM q GROUP BY layer")
+@query("WITH " + ACTS + RECONSTRUCT + ", q AS (SELECT layer, dim, var_samp(v - value) AS vr, var_samp(v) AS vx, sum((v - value) * (v - value)) AS se, count(*) AS n FROM rec GROUP BY layer, dim) , w AS (SELECT layer, round(sum(se) / sum(n), 6) AS mse, round(1 - sum(vr) / greatest(sum(vx), 1e-10), 6) AS variance_explained FROM q GROUP BY layer), f AS (SELECT layer, count(*) AS fired, sum(act) AS total, 64 - count(DISTINCT feature) AS n_dead FROM acts WHERE act > 0 GROUP BY layer) SELECT layer, mse, variance_explained, round(fired / n, 6) AS l0, round(total / 64 / n, 6) AS mean_activation, n_dead FROM w JOIN f USING (layer) JOIN (SELECT layer, count(*) AS n FROM pos GROUP BY layer) USING (layer)")
 def reconstruction_quality(spark, sf_dir):
-    a, e, model, means = encoded(spark, sf_dir)
-    return round_doubles(encode.reconstruction_quality(a, encode.decode(encode.feature_acts(e), model, means)))
+    _, e, model, means = encoded(spark, sf_dir)
+    return round_doubles(encode.reconstruction_quality(encode.decode(e, model, means), HALF, N_FEATURES))
 
 
 @query()
 def principal_axis_alignment(spark, sf_dir):
-    """The first axes of layer 0 against its decoder directions: alignment of every feature."""
-    a = activations(spark, sf_dir).where("layer = 0")
-    axes, share = train.principal_axes(a, 10)
+    """The first axes of each layer against its decoder directions: alignment of every feature."""
     model = encode.Dictionary.signed_identity(HALF, K)
     frame = lambda rows: spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rows)], "id long, vec array<double>")
-    per_feature, _ = matching.axis_alignment(frame(axes), frame(model.dec))
-    shares = spark.createDataFrame([(i, float(s)) for i, s in enumerate(share)], "axis long, share double")
-    return round_doubles(per_feature.join(shares, "axis"))
+    layers = []
+    for layer in range(2):
+        axes, share = train.principal_axes(activations(spark, sf_dir).where(F.col("layer") == layer), 10)
+        per_feature, _ = matching.axis_alignment(frame(axes), frame(model.dec))
+        shares = spark.createDataFrame([(i, float(s)) for i, s in enumerate(share)], "axis long, share double")
+        layers.append(per_feature.join(shares, "axis").withColumn("layer", F.lit(layer)))
+    return round_doubles(layers[0].unionByName(layers[1]))
 
 
 @query()
 def trained_autoencoder(spark, sf_dir):
-    """Log of two epochs of training on layer 0."""
+    """Log of two epochs of training on each layer."""
     import numpy as np
 
-    a = activations(spark, sf_dir).where("layer = 0")
-    mean = np.array(encode.mean_vectors(a, HALF).first()["mean"])
-    _, log = train.train_sae(a, mean, 2 * HALF, K, epochs=2, batches=2, rate=1e-2)
-    df = spark.createDataFrame([(r["step"], r["loss"], r["l0_norm"]) for r in log], "step int, loss double, l0_norm double")
-    return tokenize.moving_average(df.withColumn("run", F.lit(0)), "loss", "step", ["run"], 3)
+    rows = []
+    for layer in range(2):
+        a = activations(spark, sf_dir).where(F.col("layer") == layer)
+        mean = np.array(encode.mean_vectors(a, HALF).first()["mean"])
+        _, log = train.train_sae(a, mean, 2 * HALF, K, epochs=2, batches=2, rate=1e-2)
+        rows += [(layer, r["step"], r["loss"], r["l0_norm"]) for r in log]
+    df = spark.createDataFrame(rows, "layer int, step int, loss double, l0_norm double")
+    return tokenize.moving_average(df, "loss", "step", ["layer"], 3)
 
 
 @query("WITH " + ACTS + " SELECT 'L' || lpad(CAST(layer AS VARCHAR), 2, '0') || '_F' || feature AS label, printf('%.1f%%', round(activation_freq * 1000) / 10) AS freq, CASE WHEN fire_count >= 1000 THEN printf('%.1fK', fire_count / 1000) ELSE CAST(fire_count AS VARCHAR) END AS fires FROM stats WHERE layer = 0")
 def feature_labels(spark, sf_dir):
     s = catalog.feature_stats(*long(spark, sf_dir), N_FEATURES).where("layer = 0")
     return s.select(scalars.feature_label(F.col("layer"), F.col("feature")).alias("label"), scalars.percent(F.round(F.col("activation_freq") * 1000) / 1000).alias("freq"), scalars.thousands(F.col("fire_count")).alias("fires"))
-
-
-@query(
-    "WITH " + ACTS + """ SELECT s.layer, s.feature, s.fire_count, s.is_dead, coalesce('g' || (CASE WHEN s.feature % 4 = 0 THEN s.feature END), 'unlabeled') AS label, CAST(CASE WHEN s.feature % 2 = 0 THEN s.feature % 6 ELSE -1 END AS INT) AS module_id,
-    (SELECT count(*) FROM genes g WHERE g.layer = s.layer AND g.feature = s.feature) AS n_genes FROM stats s"""
-)
-def feature_pages(spark, sf_dir):
-    acts, pos = long(spark, sf_dir)
-    stats = catalog.feature_stats(acts, pos, N_FEATURES)
-    labels = stats.where("feature % 4 = 0").select("layer", "feature", F.concat(F.lit("g"), "feature").alias("label"))
-    modules = stats.where("feature % 2 = 0").select("layer", "feature", (F.col("feature") % 6).alias("module_id"))
-    page = serve.feature_page(stats, catalog.top_genes(acts), labels, modules, catalog.top_cells(catalog.cell_features(acts, pos)))
-    return page.select("layer", "feature", "fire_count", "is_dead", "label", "module_id", F.coalesce(F.size("genes"), F.lit(0)).cast("long").alias("n_genes"))

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tessera.operators import catalog, graph, matching, modules, serve
 from tessera.operators import coactivation as co
+from tessera.plans.annotation import CHAIN, annotations, feature_genes
 from tessera.plans.book import book
 from tessera.plans.features import ACTS, encoded, long, round_doubles
-from tessera.session import table
+from tessera.session import materialize, table
 from tessera.sources.tables import HALF, document_tokens
 
 QUERIES, SQL, query = book()
@@ -157,53 +158,71 @@ def top_tokens(spark, sf_dir, k=20):
 
 
 JACCARD = TOPTOK + """,
-sz AS (SELECT doc_id, count(*) AS s FROM top GROUP BY doc_id),
-jac AS (SELECT a, b, n_both, n_both / CAST(x.s + y.s - n_both AS DOUBLE) AS jaccard FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS n_both FROM top p JOIN top q ON p.token = q.token AND p.doc_id < q.doc_id GROUP BY ALL)
+cls AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS class_id FROM (SELECT doc_id, list_sort(list(token)) AS s FROM top GROUP BY doc_id)),
+rep AS (SELECT top.* FROM top JOIN cls USING (doc_id) WHERE doc_id = class_id),
+sz AS (SELECT doc_id, count(*) AS s FROM rep GROUP BY doc_id),
+jac AS (SELECT a, b, n_both, n_both / CAST(x.s + y.s - n_both AS DOUBLE) AS jaccard FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS n_both FROM rep p JOIN rep q ON p.token = q.token AND p.doc_id < q.doc_id GROUP BY ALL)
         JOIN sz x ON x.doc_id = a JOIN sz y ON y.doc_id = b WHERE n_both / CAST(x.s + y.s - n_both AS DOUBLE) >= 0.5)"""
 
 
-def _similar(spark, sf_dir, threshold=0.5):
-    return matching.similar_sets(top_tokens(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("token").alias("item")), threshold)
+def _classes(spark, sf_dir):
+    """(members, classes): top tokens as (id, item), and each document's class of equal sets."""
+    members = materialize(top_tokens(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("token").alias("item")), "token-sets")
+    return members, materialize(matching.set_classes(members), "token-set-classes")
+
+
+def _similar(members, classes, threshold=0.5):
+    """Pairs of classes, each by its smallest document: copies aren't expanded into pairs."""
+    return matching.similar_sets(members.join(classes.where("id = class_id").select("id"), "id", "left_semi"), threshold)
+
+
+@query(JACCARD + " SELECT class_id, doc_id FROM cls")
+def token_set_classes(spark, sf_dir):
+    """Membership of each document; pairs of classes are in ``similar_token_sets``."""
+    return _classes(spark, sf_dir)[1].withColumnRenamed("id", "doc_id")
 
 
 @query(JACCARD + " SELECT a, b, n_both, round(jaccard, 6) AS jaccard FROM jac")
 def similar_token_sets(spark, sf_dir):
-    return round_doubles(_similar(spark, sf_dir))
-
+    return round_doubles(_similar(*_classes(spark, sf_dir)))
 
 
 
 @query(
     JACCARD.replace("WITH tok", "WITH RECURSIVE tok") + """,
 sym AS (SELECT a AS u, b AS v FROM jac UNION SELECT b, a FROM jac),
-walk(node, seen) AS (SELECT u, u FROM sym UNION SELECT w.node, s.v FROM walk w JOIN sym s ON s.u = w.seen)
-SELECT node, min(seen) AS component FROM walk GROUP BY node"""
+walk(node, seen) AS (SELECT u, u FROM sym UNION SELECT w.node, s.v FROM walk w JOIN sym s ON s.u = w.seen),
+c AS (SELECT node, min(seen) AS component FROM walk GROUP BY node)
+SELECT doc_id AS node, coalesce(component, class_id) AS component FROM cls LEFT JOIN c ON node = class_id"""
 )
 def token_set_components(spark, sf_dir):
-    return graph.connected_components(_similar(spark, sf_dir), "a", "b")
+    """Every document with the smallest document that its set reaches."""
+    members, classes = _classes(spark, sf_dir)
+    components = graph.connected_components(_similar(members, classes), "a", "b").withColumnRenamed("node", "class_id")
+    return classes.join(components, "class_id", "left").select(F.col("id").alias("node"), F.coalesce("component", "class_id").alias("component"))
 
 
 @query()
 def feature_modules(spark, sf_dir):
     """Communities of co-firing features with their modularity."""
-    edges = _edges(spark, sf_dir)
-    members = modules.communities(edges)
+    edges = materialize(_edges(spark, sf_dir), "edges")
+    members = materialize(modules.communities(edges), "members")
     q = modules.modularity(edges, members)
     return round_doubles(members.join(q, "layer"))
 
 
 @query()
 def module_statistics(spark, sf_dir):
-    acts, _ = long(spark, sf_dir)
-    edges = _edges(spark, sf_dir)
-    members = modules.communities(edges)
-    genes = catalog.top_genes(acts)
-    return round_doubles(modules.module_stats(members, edges, genes, members.where("feature % 3 = 0")))
+    """Communities of co-firing features with their genes and annotated members."""
+    _, e, _, _ = encoded(spark, sf_dir)
+    baskets_ = e.select("layer", "pos_id", co.features_of(F.col("top"), "index").alias("items"))
+    edges = materialize(co.pmi_edges(baskets_, "items", ["layer"], least_count=5, least_pmi=0.3), "edges")
+    members = materialize(modules.communities(edges), "members")
+    return round_doubles(modules.module_stats(members, edges, feature_genes(e), annotations(spark, sf_dir)))
 
 
 FIXED = "fixed AS (SELECT CAST(l AS INT) AS layer, CAST(f % 5 AS INT) AS module_id, CAST(f AS BIGINT) AS feature FROM range(2) a(l), range(60) b(f))"
-ANN = """ann AS (SELECT layer, feature, 'token_' || gene_id AS term, CASE gene_id % 3 WHEN 0 THEN 'GO_BP' WHEN 1 THEN 'KEGG' ELSE 'Reactome' END AS ontology, 1.0 / (1 + fire_count) AS p_adjusted, rank AS seq
-    FROM genes WHERE rank <= 3 AND feature % 4 <> 1)"""
+ANN = CHAIN
 
 
 def fixed_modules(spark):
@@ -211,13 +230,6 @@ def fixed_modules(spark):
     return f.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("layer"), (F.col("feature") % 5).cast("int").alias("module_id"), "feature")
 
 
-def annotations(spark, sf_dir):
-    acts, _ = long(spark, sf_dir)
-    g = catalog.top_genes(acts, k=3).where("feature % 4 <> 1")
-    onto = F.when(F.col("gene_id") % 3 == 0, "GO_BP").when(F.col("gene_id") % 3 == 1, "KEGG").otherwise("Reactome")
-    return g.select("layer", "feature", F.col("gene_name").alias("term"), onto.alias("ontology"), (1.0 / (1 + F.col("fire_count"))).alias("p_adjusted"), F.col("rank").alias("seq"))
-
-
 @query(
     "WITH " + ACTS + PAIRS + "," + FIXED + "," + ANN + """,
 tm AS (SELECT layer, module_id, ontology, term, n_features, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY layer, module_id, ontology ORDER BY n_features DESC, term) AS r FROM
@@ -319,7 +331,7 @@ j AS (SELECT len(list_intersect(xs, ys)) / len(list_distinct(list_concat(xs, ys)
 SELECT count(*) AS n, round(avg(j), 6) AS mean, round(median(j), 6) AS median FROM j"""
 )
 def gene_overlap_of_matches(spark, sf_dir):
-    """Features of the same number in both layers stand for matches."""
+    """Features of the same number in both layers are matched."""
     top = catalog.top_genes(long(spark, sf_dir)[0], k=5)
     same = spark.range(64).select(F.col("id").alias("a"), F.col("id").alias("b"), (1.0 - F.col("id") / 100).alias("cosine"))
     layer = lambda n: top.where(F.col("layer") == n)

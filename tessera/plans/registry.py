@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import corpus, features, graphs, relational
+from tessera.plans import annotation, corpus, features, graphs, relational, views
 
-MODULES = (features, graphs, corpus, relational)
+MODULES = (features, annotation, graphs, corpus, relational, views)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ from tessera.session import table
 from tessera.sources.tables import csr_cells, decode_category
 
 QUERIES, SQL, query = book()
-PLACE = "(({key} + {seed}) * 1000003) % 2147483647"
+MIXED = "((((CAST({key} AS BIGINT)) % 2147483647 + {seed}) * 1000003) % 2147483647)"
+PLACE = f"(((({MIXED} * {MIXED}) % 2147483647) * 48271 + {MIXED}) % 2147483647)"
 
 
 @query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'F'")
@@ -88,9 +89,9 @@ def left_join_with_default(spark, sf_dir):
     return n.join(c, n.n_nationkey == c.c_nationkey, "left").select(F.col("n_name").alias("gene_name"), F.col("n_nationkey").alias("id"), F.coalesce("c", F.lit(0)).alias("n"))
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, coalesce(a.v, b.v) AS v FROM (SELECT c_nationkey AS k, max(c_name) AS v FROM customer WHERE c_custkey % 7 = 0 GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, max(s_name) AS v FROM supplier GROUP BY 1) b ON a.k = b.k")
+@query("SELECT coalesce(a.k, b.k) AS k, coalesce(a.v, b.v) AS v FROM (SELECT c_nationkey AS k, max(c_name) AS v FROM customer GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, max(s_name) AS v FROM supplier GROUP BY 1) b ON a.k = b.k")
 def merged_maps(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").where("c_custkey % 7 = 0").groupBy(F.col("c_nationkey").alias("k")).agg(F.max("c_name").alias("v"))
+    a = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.max("c_name").alias("v"))
     b = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.max("s_name").alias("v"))
     return serve.merge_first(a, b, "k", "v")
 
@@ -114,11 +115,13 @@ def decoded_category(spark, sf_dir):
 
 
 @query(
-    """WITH s AS (SELECT l_suppkey % 5 AS g, list_sort(list(DISTINCT l_partkey)) AS parts FROM lineitem WHERE l_suppkey <= 20 GROUP BY 1)
+    """WITH s AS (SELECT l_suppkey AS g, list_sort(list(DISTINCT p_brand)) AS parts FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)
 SELECT a.g AS a, b.g AS b, len(list_intersect(a.parts, b.parts)) AS n_both, len(list_distinct(list_concat(a.parts, b.parts))) AS n_either, len(a.parts) - len(list_intersect(a.parts, b.parts)) AS n_only FROM s a JOIN s b ON b.g = a.g + 1"""
 )
 def array_set_operations(spark, sf_dir):
-    s = table(spark, sf_dir, "lineitem").where("l_suppkey <= 20").groupBy((F.col("l_suppkey") % 5).alias("g")).agg(F.collect_set("l_partkey").alias("parts"))
+    """Brands (a few dozen) of each supplier against those of the next one."""
+    li, p = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey"), table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    s = li.join(p, li.l_partkey == p.p_partkey).groupBy(F.col("l_suppkey").alias("g")).agg(F.collect_set("p_brand").alias("parts"))
     a, b = s.toDF("a", "x"), s.toDF("b", "y")
     j = a.join(b, F.col("b") == F.col("a") + 1)
     size = lambda c: F.size(c).cast("long")
@@ -197,13 +200,11 @@ def value_bands(spark, sf_dir):
 @query()
 def streamed_totals(spark, sf_dir):
     """Sums of the catalog kept by the file stream; equal to one batch over the same rows."""
-    import uuid
-
     from tessera.plans.features import long
-    from tessera.session import shared_dir
+    from tessera.session import shared_path
     from tessera.streaming import catalog_stream
 
     acts = long(spark, sf_dir)[0]
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = shared_path(spark, "stream")
     acts.write.parquet(f"{root}/in")
     return round_doubles(catalog_stream.update(spark, f"{root}/in", acts.schema, f"{root}/sums", f"{root}/checkpoint"))

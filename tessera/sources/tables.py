@@ -33,10 +33,11 @@ def document_tokens(spark: SparkSession, sf_dir: str, min_length: int = 3) -> Da
 
 
 def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(gene_name, gene_id, median): parts with their median quantity, 1.0 where there is none."""
+    """(gene_name, gene_id, token_id, median): parts with their median quantity, 1.0 where there is none. Tokens 0 to 3 are
+    marks, so part 0 is token 4."""
     p = table(spark, sf_dir, "part")
     m = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.median("l_quantity").alias("median"))
-    return p.join(m, p.p_partkey == m.l_partkey, "left").select(F.col("p_name").alias("gene_name"), F.col("p_partkey").alias("gene_id"), F.coalesce("median", F.lit(1.0)).alias("median"))
+    return p.join(m, p.p_partkey == m.l_partkey, "left").select(F.col("p_name").alias("gene_name"), F.col("p_partkey").alias("gene_id"), (F.col("p_partkey") + 4).alias("token_id"), F.coalesce("median", F.lit(1.0)).alias("median"))
 
 
 def gene_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,3 +97,21 @@ def read_optional(spark: SparkSession, path: str, schema: T.StructType | str) ->
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
     return spark.read.parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def rows_by_key(table: DataFrame, key: str, wanted: list | DataFrame) -> DataFrame:
+    """The rows with the keys of a list (a filter that reaches the scan) or of a table's one column (a semi-join)."""
+    if isinstance(wanted, DataFrame):
+        return table.join(wanted.select(F.col(wanted.columns[0]).alias(key)).distinct(), key, "left_semi")
+    return table.where(F.col(key).isin(wanted))
+
+
+def names_with_fallback(features: DataFrame, name: str = "feature_name", index: str = "_index") -> DataFrame:
+    """Adds gene_name: the name where the table has such a column and a value in it, else the index."""
+    found = [F.when(F.col(name) != "", F.col(name))] if name in features.columns else []
+    return features.withColumn("gene_name", F.coalesce(*found, F.col(index).cast("string")))
+
+
+def cell_rows(acts: DataFrame, cell_id: int) -> DataFrame:
+    """One cell's rows; in a table sorted by cell the filter skips all other row groups."""
+    return acts.where(F.col("cell_id") == cell_id)

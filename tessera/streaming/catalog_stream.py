@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources.tables import read_optional
+
 
 def running_sums(acts: DataFrame) -> DataFrame:
     """(layer, feature, fires, total, total_sq): sums that add up over any split of the rows."""
@@ -23,5 +25,5 @@ def update(spark: SparkSession, source: str, schema: T.StructType, sums: str, ch
     stream = spark.readStream.schema(schema).parquet(source)
     query = stream.writeStream.foreachBatch(lambda b, n: write(running_sums(b), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    parts = spark.read.parquet(sums)
+    parts = read_optional(spark, sums, "layer int, feature int, fires long, total double, total_sq double")
     return parts.groupBy("layer", "feature").agg(*[F.sum(c).alias(c) for c in ("fires", "total", "total_sq")])

@@ -35,10 +35,13 @@ def test_catalog_denominators(spark):
 
 def test_rank_tokens(spark):
     ex = spark.createDataFrame([(1, 10, 0.0), (1, 11, 2.0), (1, 12, 6.0), (1, 13, 2.0)], "cell_id int, gene_id int, value double")
-    genes = spark.createDataFrame([(10, 1.0), (11, 1.0), (12, 4.0), (13, 0.0)], "gene_id int, median double")
+    genes = spark.createDataFrame([(10, 4, 1.0), (11, 5, 1.0), (12, 6, 4.0), (13, 7, 0.0)], "gene_id int, token_id int, median double")
     t = tokenize.rank_tokens(ex, genes)
-    assert t.first().tokens == [2, 11, 12, 13, 3] and t.first().n_genes == 3
-    assert [r.token for r in tokenize.gene_positions(t).collect()] == [11, 12, 13]
+    assert t.first().tokens == [2, 5, 6, 7, 3] and t.first().n_genes == 3
+    assert [r.token for r in tokenize.gene_positions(t).collect()] == [5, 6, 7]
+    # genes 2 and 3 have tokens of their own and are not taken for marks
+    low = tokenize.rank_tokens(spark.createDataFrame([(1, 2, 5.0), (1, 3, 4.0), (1, 9, 3.0)], "cell_id int, gene_id int, value double"), spark.createDataFrame([(2, 6, 1.0), (3, 7, 1.0), (9, 13, 1.0)], "gene_id int, token_id int, median double"))
+    assert low.first().tokens == [2, 6, 7, 13, 3] and [r.token for r in tokenize.gene_positions(low).collect()] == [6, 7, 13]
     norm = ex.withColumn("n", tokenize.log_cpm(F.col("value"))).where("gene_id = 11").first().n
     assert norm == pytest.approx(math.log1p(2000))
     v = tokenize.value_tokens(ex, genes.where("gene_id <> 12"), 4).first()
@@ -54,12 +57,20 @@ def test_fisher(spark):
 
 
 def test_benjamini_hochberg(spark):
-    def adjusted(p):
+    def adjusted(p, f):
         df = spark.createDataFrame(list(enumerate(p)), "i int, p_value double")
-        return [r.p_adjusted for r in stats.benjamini_hochberg(df, key=["i"]).orderBy("i").collect()]
-
-    assert adjusted([0.01, 0.04, 0.03, 0.005]) == pytest.approx([0.02, 0.04, 0.04, 0.02])
-    assert adjusted([0.01, 0.01, 0.5, 0.2, 1.0]) == pytest.approx([0.025, 0.025, 0.625, 1 / 3, 1.0])
+        return [r.p_adjusted for r in f(df, key=["i"]).orderBy("i").collect()]
+
+    for f in (stats.benjamini_hochberg, stats.benjamini_hochberg_ranged):
+        assert adjusted([0.01, 0.04, 0.03, 0.005], f) == pytest.approx([0.02, 0.04, 0.04, 0.02])
+        assert adjusted([0.01, 0.01, 0.5, 0.2, 1.0], f) == pytest.approx([0.025, 0.025, 0.625, 1 / 3, 1.0])
+        assert adjusted([None, 0.01, 0.04, None], f) == [None, pytest.approx(0.02), pytest.approx(0.04), None]
+    rng = np.random.default_rng(6)
+    rows = [(int(g), i, float(p)) for i, (g, p) in enumerate(zip(rng.integers(0, 2, 3000), np.round(rng.random(3000) ** 3, 3), strict=True))]
+    df = spark.createDataFrame(rows, "g int, i int, p_value double").repartition(7)
+    ranged = stats.benjamini_hochberg_ranged(df, by=["g"], key=["i"])
+    want, got = ({r.i: r.p_adjusted for r in x.collect()} for x in (stats.benjamini_hochberg(df, by=["g"], key=["i"]), ranged))
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-12) for i in want)
 
 
 def test_pmi_and_jaccard(spark):

@@ -84,9 +84,30 @@ def test_reconstruction_with_all_features_is_exact(spark):
     x, df = vectors(spark, 50)
     means = encode.mean_vectors(df, 6)
     model = encode.Dictionary.signed_identity(6, 12)
-    e = encode.encode(df, model, means, keep=("layer", "pos_id"))
-    q = encode.reconstruction_quality(df, encode.decode(encode.feature_acts(e), model, means)).first()
+    e = encode.encode(df, model, means, keep=("layer", "pos_id", "vec"))
+    q = encode.reconstruction_quality(encode.decode(e, model, means), 6, 12).first()
     assert q.mse == pytest.approx(0, abs=1e-20) and q.variance_explained == pytest.approx(1)
+    assert q.l0 == pytest.approx(6) and q.n_dead == 0 and q.mean_activation == pytest.approx(np.abs(x - x.mean(0)).sum(1).mean() / 12)
+
+
+def test_saved_model(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    model = encode.Dictionary(rng.normal(size=(5, 3)), rng.normal(size=5), rng.normal(size=(5, 3)), 2)
+    model.save(spark, str(tmp_path / "m"), "a")
+    encode.Dictionary.signed_identity(3, 1).save(spark, str(tmp_path / "m"), "b")
+    back = encode.Dictionary.load(spark, str(tmp_path / "m"), "a")
+    assert all(np.array_equal(getattr(back, n), getattr(model, n)) for n in ("enc", "bias", "dec")) and back.k == 2
+    encode.save_vector(spark, str(tmp_path / "m"), "mean", [1.0, 2.5])
+    assert encode.load_vector(spark, str(tmp_path / "m"), "mean").first().vec == [1.0, 2.5]
+    x, df = vectors(spark, 80)
+    trained, _ = train.train_sae(df, x.mean(0), 8, 3, epochs=2, batches=2, checkpoint=str(tmp_path / "run"))
+    assert np.array_equal(encode.Dictionary.load(spark, str(tmp_path / "run"), "epoch1").enc, trained.enc)
+
+
+def test_stream_without_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    schema = spark.createDataFrame([], ACTS).schema
+    assert catalog_stream.update(spark, str(tmp_path / "in"), schema, str(tmp_path / "sums"), str(tmp_path / "cp")).count() == 0
 
 
 def test_communities(spark):
@@ -102,6 +123,52 @@ def test_communities(spark):
     assert q > 0.5 > alone
 
 
+def q_of(n, i, j, w, member):
+    m2, degree = 2 * w.sum(), np.bincount(i, w, n) + np.bincount(j, w, n)
+    return 2 * w[member[i] == member[j]].sum() / m2 - (np.bincount(member, degree) ** 2).sum() / m2**2
+
+
+def hangs_together(member, i, j):
+    for c in np.unique(member):
+        own = set(np.flatnonzero(member == c).tolist())
+        reached, todo = set(), [min(own)]
+        while todo:
+            v = todo.pop()
+            if v not in reached:
+                reached.add(v)
+                todo += [int(b) for a, b in zip(i, j, strict=True) if a == v and b in own] + [int(a) for a, b in zip(i, j, strict=True) if b == v and a in own]
+        if reached != own:
+            return False
+    return True
+
+
+def test_leiden_against_greedy_moves():
+    rng = np.random.default_rng(11)
+    for _ in range(6):
+        n = 90
+        group = rng.integers(0, 7, n)
+        pairs = [(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < (0.3 if group[a] == group[b] else 0.03)]
+        i, j = np.array(pairs).T
+        w = rng.uniform(0.5, 2, len(i))
+        found = modules.leiden(n, i, j, w, 1.0)
+        moved = modules.Graph(n, i, j, w).move(np.arange(n), 1.0)
+        assert q_of(n, i, j, w, found) >= q_of(n, i, j, w, moved) - 1e-12 and hangs_together(found, i, j)
+
+
 def test_layout(spark):
-    at = train.force_layout([(0, 1, 1.0), (1, 2, 1.0)], [0, 1, 2, 3])
-    assert set(at) == {0, 1, 2, 3} and all(np.isfinite(v).all() for v in at.values())
+    edges = spark.createDataFrame([(0, 0, 1, 1.0), (0, 1, 2, 1.0), (0, 3, 4, 1.0)], "layer int, i long, j long, pmi double")
+    members = spark.createDataFrame([(0, 0, f) for f in (0, 1, 2)] + [(0, 1, f) for f in (3, 4)], "layer int, module_id int, feature long")
+    features = spark.range(6).selectExpr("0 AS layer", "id AS feature")
+    at = {r.feature: np.array([r.x, r.y]) for r in modules.ring_positions(members, edges, features).collect()}
+    assert len(at) == 6 and np.linalg.norm(at[0] - at[2]) < np.linalg.norm(at[0] - at[3]) and (at[5] == 0).all()
+
+
+def test_sample_takes_large_ids(spark):
+    from tessera.operators import sampling
+
+    big = spark.createDataFrame([(10**13 + i,) for i in range(500)], "id long")
+    assert sampling.sample(big, "id", 20).count() == 20
+    assert {r.id for r in sampling.sample(big, "id", 20).collect()} == {r.id for r in sampling.sample(big.repartition(5), "id", 20).collect()}
+    rows = spark.createDataFrame([(g, i) for g in range(3) for i in range(20)], "g int, id long")
+    chosen = sampling.controls(rows, rows.where("id < g + 4"), ["g"], "id", 5).groupBy("g").count().collect()
+    assert {(r.g, r["count"]) for r in chosen} == {(0, 5), (1, 5), (2, 6)}
