@@ -220,7 +220,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
 
     schema = f"id {id_type}, vec array<double>, region long, reach double"
     entries = rows.withColumn("h", F.pmod(F.xxhash64("id", "vec"), F.lit(1 << 30))).mapInArrow(deal, schema)
-    visits = rows.where(is_query).groupBy("id").agg(F.min("vec").alias("vec")).mapInArrow(walk, schema)
+    # walks take far longer than their rows are large, so they are dealt to a set number of tasks
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    visits = rows.where(is_query).groupBy("id").agg(F.min("vec").alias("vec")).repartition(tasks, "id").mapInArrow(walk, schema)
     # a region's entries come before the queries that visit it
     both = entries.unionByName(visits).repartition("region").sortWithinPartitions("region", "reach")
     near = both.mapInArrow(rerank, f"query_id {id_type}, id {id_type}, score double")

@@ -5,11 +5,12 @@ cased text, predicts on which side a text lies; a text's margin for a bit is its
 weighs each bit by how well it did on labelled rows kept out of the fit and chooses the codeword with the least
 loss; where the runner-up is close, the prediction is flagged as ambiguous.
 
-The fit takes a bounded sample: at most about ``sample_per_lang`` labelled rows a language, drawn by a seeded hash of
-the text. Prediction reads every whole text and only the text.
+The fit takes a bounded sample: about ``sample_per_lang`` labelled rows a language and twice that over all at most, in the
+order of a seeded hash of the text. Prediction reads every whole text and only the text.
 
 Defined cases: null text and text without a letter give ``und`` with score 0; texts too short for an n-gram get the
-most frequent language; without any labelled row everything is ``und``; only named columns are read, so clashing
+most frequent language; a text of any length is read whole; of languages with equal loss the first by name is chosen;
+rows that repeat are predicted each, and learned from once; without any labelled row everything is ``und``; only named columns are read, so clashing
 names of others don't matter.
 """
 
@@ -147,7 +148,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     for lang, p in shares.items():
         share = F.when(F.col("lang") == lang, F.lit(p)).otherwise(share)
     # copies of one text all have one place: they count once
-    sample = sorted(rows.where(place < share).dropDuplicates(["text", "lang"]).limit(2 * sample_per_lang * len(shares)).collect())
+    sample = sorted(rows.where(place < share).dropDuplicates(["text", "lang"]).orderBy(place, "text", "lang").limit(2 * sample_per_lang * len(shares)).collect())
     return fit_sample([r.text for r in sample], [r.lang for r in sample]) if sample else None
 
 

@@ -7,7 +7,8 @@ seeded hash until the fractional part is filled. That order is resolved in two l
 documents of the one bucket in which a source's budget ends), so that no source is ever sorted in one task. At last one
 document a source is added or left out, the one whose size comes closest to what is missing or too much.
 
-Defined cases: null text has size 0; a null source is a source of its own, last in order; a source without words gets
+Defined cases: null text has size 0; a text of any length is one document, taken whole or not; rows that repeat are documents
+each; a null source is a source of its own, last in order; a source without words gets
 target 0; ties of the hash fall back to id, then size; an empty table gives an empty result; input columns whose names
 clash with the output are ignored.
 """
@@ -22,6 +23,8 @@ from tessera.llm.columns import WORD, without
 from tessera.session import materialize
 
 BUCKETS = 4096
+#: With more documents than BUCKETS times this, there are more buckets.
+BUCKET_ROWS = 50_000
 #: Up to so many sources their table (some 100 bytes a row) is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 100_000
 
@@ -63,7 +66,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``weights``: (source, weight), every source once; without it weights 1, 2, 3 repeat over the ordered sources."""
     sized = materialize(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), n_words(F.col(f"`{text_col}`")).alias("size"), F.monotonically_increasing_id().alias("row")), "sized")
     key = F.col("source").eqNullSafe(F.col("s"))
-    sized = sized.withColumn("h", F.xxhash64(F.lit(seed), F.col("id"))).withColumn("hb", F.pmod(F.col("h"), F.lit(BUCKETS)))
+    buckets = max(BUCKETS, sized.count() // BUCKET_ROWS)
+    sized = sized.withColumn("h", F.xxhash64(F.lit(seed), F.col("id"))).withColumn("hb", F.pmod(F.col("h"), F.lit(buckets)))
 
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     weighted = cycled_weights(sources) if weights is None else sources.join(weights.select(F.col("source").alias("s"), F.col("weight").cast("double")), key, "left").drop("s").fillna({"weight": 0.0})

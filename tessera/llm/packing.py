@@ -13,7 +13,8 @@ Token ids are those of the ``byte_bpe_50k.json`` file. They are computed through
 with a bounded cache: a pre-token never reaches over a single space, so texts without runs of white space are cut at
 spaces; all others, and texts that hold the special token's string, are encoded whole.
 
-Defined cases: null or empty text is one piece, the end id alone; repeated rows are packed each; an empty table gives
+Defined cases: null or empty text is one piece, the end id alone; a text of any length is cut into full sequences and a
+rest; of examples with equal dot products the first waiting one is placed; repeated rows are packed each; an empty table gives
 an empty result; only the named columns are read, so names of others don't clash.
 """
 

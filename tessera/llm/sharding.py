@@ -6,7 +6,8 @@ offset plus its place in the bucket; place modulo the number of shards is the sh
 apart (law ``rows``), and slots have no gaps. Buckets are sorted before the shuffle: a task that runs again deals the
 same places.
 
-Defined cases: null text has no bytes (size 16, crc 0); repeated rows are dealt like others (equal ones are
+Defined cases: null text has no bytes (size 16, crc 0); a text larger than a bucket lies in one of its own size; rows of equal
+hash are ordered by checksum and size; repeated rows are dealt like others (equal ones are
 interchangeable); an empty table gives an empty result; input columns whose names clash with the output are replaced.
 """
 
