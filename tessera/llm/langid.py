@@ -30,7 +30,7 @@ from tessera.llm.words import LOWER, raw
 BITS = 15
 ORDERS = (2, 3)
 SMOOTH = 0.5
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 
 
 def codewords(n: int, seed: int = 5) -> np.ndarray:

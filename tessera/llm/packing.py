@@ -40,7 +40,7 @@ class Encoder(dict):
 
     RUNS = re.compile(r"\s\s")
 
-    def __init__(self, tokenizer_path: str, limit: int = 1_000_000):
+    def __init__(self, tokenizer_path: str, limit: int = 250_000):
         import public_tokenizers as P
         import tiktoken
 
