@@ -53,3 +53,21 @@ def test_long_text_equals_repeated(spark):
     rows = spark.createDataFrame([(1, unit, "", "", 0), (2, unit * 200_000, "", "", 0)], SCHEMA)
     got = L.identify(rows, model, keep={"doc_id": F.col("doc_id")}).collect()
     assert {r.lang_pred for r in got} == {"cc"}
+
+
+def test_prediction_against_brute_force(spark):
+    """Margins n-gram by n-gram, loss by loss."""
+    docs = labelled(spark, 120)
+    model = L.fit(docs)
+    rows = {r.doc_id: r for r in L.identify(docs, model).collect()}
+    for r in docs.limit(30).collect():
+        data = np.frombuffer(r.text.lower().encode(), np.uint8) if r.text.isascii() else L.LOWER[np.frombuffer(r.text.encode(), np.uint8)]
+        total, n = np.zeros(model.code.shape[1]), 0
+        for order in L.ORDERS:
+            for at in range(len(data) - order + 1):
+                total += model.weights[order][L.features(data[at : at + order], order)[0]]
+                n += 1
+        loss = [sum(w * np.log1p(np.exp(-model.scale * m * c)) for w, m, c in zip(model.bit_weight, total / n, word, strict=True)) for word in model.code]
+        best = int(np.argmin(loss))
+        p = np.exp(-4 * (np.array(loss) - min(loss)))
+        assert rows[r.doc_id].lang_pred == model.langs[best] and abs(rows[r.doc_id].score - p.max() / p.sum()) < 1e-4

@@ -3,6 +3,9 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from tessera.llm.exact_dedup import drop_copies, exact_dedup
 from tessera.llm.mixing import mix, repeat_rows
 from tessera.llm.sharding import shuffle_into_shards, write_shards
@@ -95,3 +98,28 @@ def test_sharding_spreads(spark):
     rows = shuffle_into_shards(docs, bucket_bytes=4096).collect()
     by_shard = [sum(r.doc_id for r in rows if r.shard == s) / 50 for s in range(40)]
     assert max(by_shard) - min(by_shard) < 700  # means of 50 draws from 0..1999
+
+
+def test_sharding_against_brute_force(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 37} " * (i % 9), None, None, 0) for i in range(700)], SCHEMA)
+    seed, bucket_bytes = 29, 3000
+    keys = {r.doc_id: r.k for r in docs.select("doc_id", F.xxhash64(F.lit(seed), "doc_id", "text").alias("k")).collect()}
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    n = -(-sum(len(t.encode()) + 16 for _, t in rows) // bucket_bytes)
+    order = []
+    for b in range(n):
+        own = sorted((keys[i], zlib.crc32(t.encode()), len(t.encode()), i) for i, t in rows if keys[i] % n == b)
+        place = np.arange(len(own))
+        np.random.Generator(np.random.PCG64([seed, b])).shuffle(place)
+        order += [own[p][3] for p in place]
+    want = {i: (at % 40, at // 40) for at, i in enumerate(order)}
+    got = {r.doc_id: (r.shard, r.slot) for r in shuffle_into_shards(docs, bucket_bytes=bucket_bytes).collect()}
+    assert got == want
+
+
+def test_frequent_copies_go_before_the_shuffle(spark):
+    docs = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"t{i % 50}", None, None, 0) for i in range(600)], SCHEMA)
+    kept = {r.doc_id for r in drop_copies(docs, support=0.1).collect()}
+    assert kept == {r.doc_id for r in drop_copies(docs, support=0.9).collect()} == {r.doc_id for r in exact_dedup(docs).collect() if r.kept}
+    plan = drop_copies(docs, support=0.1)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
