@@ -16,9 +16,12 @@ def hub_join(rows: DataFrame, table: DataFrame, key: str, size: str, total: int,
     """``rows`` joined with ``table``, which has every key once and in ``size`` how many of the ``total`` rows hold it.
 
     Keys with more than total / HUBS rows are at most HUBS; they are broadcast, so a key that holds a third of all rows
-    is joined where its rows lie. All others take the shuffle."""
-    heavy = F.broadcast(table.where(F.col(size) > max(1, total // HUBS)).drop(size))
-    light = table.where(F.col(size) <= max(1, total // HUBS)).drop(size)
+    is joined where its rows lie. All others take the shuffle. ``table`` should be written already: it is read more than once."""
+    most = max(1, total // HUBS)
+    if not table.where(F.col(size) > most).limit(1).count():
+        return rows.join(table.drop(size), key, how)
+    heavy = F.broadcast(table.where(F.col(size) > most).drop(size))
+    light = table.where(F.col(size) <= most).drop(size)
     return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(light, key, how), allowMissingColumns=True)
 
 
@@ -35,10 +38,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     last = marked(now)
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "cc-least")
         large = hub_join(both.where("v > u"), least, "u", "n", 2 * last.n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        down = materialize(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "cc-large")
+        least = materialize(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "cc-least")
         small = hub_join(down, least, "u", "n", last.n).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = materialize(small.where("u <> v").distinct(), "cc")
         mark = marked(now)
