@@ -19,8 +19,8 @@ something new leave a group, the closest first (a forest: fewer than it has fing
 and stays if the sets of their shingles have a Jaccard similarity of ``similarity`` or more. (Texts of one and the same
 wide fingerprint aren't compared: at 0.8 that has a chance of 1e-18.)
 
-Components are named by their smallest id, which is what nodes are ordered by; where one fingerprint holds many rows, its
-name is broadcast.
+Components are named by their smallest id; the names of large components, and those of fingerprints with many rows, are
+broadcast.
 
 Defined cases: null text counts as empty; without words the fingerprint is zero and links like any other (and two texts
 without words are alike); with fewer words than a shingle has, the whole sequence is the one shingle; a text of any length
@@ -287,11 +287,12 @@ def prints_of(found: DataFrame) -> DataFrame:
 
 def name_components(found: DataFrame, prints: DataFrame, edges: DataFrame) -> DataFrame:
     """``found`` with component_id, the smallest id of each row's component under ``edges`` (src, dst) of nodes."""
-    # nodes are ordered by id, null last, so the smallest node of a component bears its name
-    named = lambda key: prints.select(F.col("node").alias(key), F.struct(F.isnull("least").alias("unnamed"), "least", "node").alias(f"{key}_node"))
-    linked = edges.join(named("src"), "src").join(named("dst"), "dst").select("src_node", "dst_node")
-    components = connected_components(linked, "src_node", "dst_node").select("node.node", F.col("component.least").alias("name"), F.lit(True).alias("linked"))
-    of_node = prints.join(components, "node", "left").select("node", F.when(F.col("linked"), F.col("name")).otherwise(F.col("least")).alias("component_id"), "n")
+    components = connected_components(edges)
+    linked = materialize(components.join(prints.select("node", "least"), "node"), "simhash-linked")
+    names = materialize(linked.groupBy("component").agg(F.min("least").alias("name"), F.count("*").alias("size")), "simhash-names")
+    total = names.agg(F.sum("size")).first()[0] or 0
+    named = hub_join(linked, names, "component", "size", total).select("node", "name", F.lit(True).alias("linked"))
+    of_node = prints.join(named, "node", "left").select("node", F.when(F.col("linked"), F.col("name")).otherwise(F.col("least")).alias("component_id"), "n")
     of_node = materialize(of_node, "simhash-components")
     total = of_node.agg(F.sum("n")).first()[0] or 0
     return hub_join(found, of_node, "node", "n", total)
