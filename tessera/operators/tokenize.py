@@ -57,7 +57,20 @@ def write_offsets(counts: DataFrame, order: str = "cell_id", run: int = 4096) ->
     return n.withColumn("inside", F.coalesce(inside, F.lit(0))).join(blocks, "__block").select(*counts.columns, (F.col("base") + F.col("inside")).alias("offset"))
 
 
-def moving_average(log: DataFrame, value: str, order: str, by: list[str], width: int) -> DataFrame:
-    """Adds the mean of the last ``width`` values of each run."""
-    w = W.partitionBy(*by).orderBy(order).rowsBetween(-(width - 1), W.currentRow)
-    return log.withColumn("mean_recent", F.avg(value).over(w))
+def moving_average(log: DataFrame, value: str, order: str, by: list[str], width: int, run: int = 65_536) -> DataFrame:
+    """Adds the mean of the last ``width`` values of each run. ``order`` is a whole number without repeats in a run.
+
+    A run of any length is averaged in parts of ``run`` rows, each with the ``width`` - 1 rows before it: rows are numbered
+    by offsets of blocks of ids and places inside them, so no task sorts more than a part."""
+    run = max(run, width)
+    n = log.withColumn("__block", F.floor(F.col(order) / run))
+    blocks = n.groupBy(*by, "__block").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(*by).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select(*by, "__block", before.alias("__base"))  # one row a block
+    inside = F.row_number().over(W.partitionBy(*by, "__block").orderBy(order)) - 1
+    placed = n.withColumn("__inside", inside).join(blocks, [*by, "__block"]).withColumn("__at", F.col("__base") + F.col("__inside"))
+    own = F.floor(F.col("__at") / run)
+    late = F.col("__at") % run > run - width
+    parts = placed.withColumn("__part", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
+    w = W.partitionBy(*by, "__part").orderBy("__at").rowsBetween(-(width - 1), W.currentRow)
+    return parts.withColumn("mean_recent", F.avg(value).over(w)).where(F.col("__part") == own).select(*log.columns, "mean_recent")

@@ -130,6 +130,12 @@ def test_lifecycle_and_average(spark):
     assert (r.layers, r.n_layers, r.last_layer, r.span, r.stage) == ([0, 2, 5], 3, 5, 6, "transient")
     log = spark.createDataFrame([(1, 4.0), (2, 2.0), (3, 3.0), (4, 1.0)], "step int, loss double").withColumn("run", F.lit(0))
     assert tokenize.moving_average(log, "loss", "step", ["run"], 3).where("step = 4").first().mean_recent == 2.0
+    rng = np.random.default_rng(9)
+    rows = [(r, int(s), float(v)) for r in range(3) for s, v in zip(np.sort(rng.choice(5000, 300, replace=False)), rng.random(300), strict=True)]
+    got = {(x.run, x.step): x.mean_recent for x in tokenize.moving_average(spark.createDataFrame(rows, "run int, step int, loss double"), "loss", "step", ["run"], 7, run=16).collect()}
+    values = [[v for r, _, v in rows if r == k] for k in range(3)]
+    want = {(r, s): np.mean(values[r][max(0, i % 300 - 6) : i % 300 + 1]) for i, (r, s, _) in enumerate(rows)}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
 def test_formats(spark):
