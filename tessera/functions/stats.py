@@ -62,7 +62,7 @@ def benjamini_hochberg_ranged(tests: DataFrame, p: str = "p_value", by: Sequence
     sizes = sizes.select(*by, "__range", before.alias("__before"), F.sum("n").over(W.partitionBy(*by)).alias("__m"))  # one row a range
     keys = [*by, "__range"]
     raw = F.col(p) * F.col("__m") / (F.col("__before") + F.row_number().over(inside))
-    ranked = materialize(dealt.join(F.broadcast(sizes), keys).withColumn("__raw", raw), "ranked")
+    ranked = dealt.join(F.broadcast(sizes), keys).withColumn("__raw", raw)
     least = ranked.groupBy(*keys).agg(F.min("__raw").alias("l"))
     after = F.min("l").over(W.partitionBy(*by).orderBy(F.desc("__range")).rowsBetween(W.unboundedPreceding, -1))
     least = least.select(*keys, after.alias("__after"))
