@@ -40,7 +40,7 @@ class Encoder(dict):
 
     RUNS = re.compile(r"\s\s")
 
-    def __init__(self, tokenizer_path: str, limit: int = 250_000):
+    def __init__(self, tokenizer_path: str, limit: int = 1_000_000):
         import public_tokenizers as P
         import tiktoken
 
@@ -159,18 +159,19 @@ def pack(
     max_segments: int = 512,
     max_loss_tokens: int | None = None,
     window: int = 256,
+    cache: int = 1_000_000,
 ) -> DataFrame:
     """One row per piece: id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset,
     loss_tokens.
 
-    ``prompt_tokens_col``: of each example, how many leading tokens bear no loss (none without it)."""
+    ``cache``: words whose ids a task remembers (some 200 bytes each). ``prompt_tokens_col``: of each example, how many leading tokens bear no loss (none without it)."""
     limits = np.array([max_tokens, max_segments, max_loss_tokens or max_tokens])
     prompt = F.coalesce(F.col(f"`{prompt_tokens_col}`").cast("long"), F.lit(0)) if prompt_tokens_col else F.lit(0).cast("long")
     narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), prompt.alias("prompt"))
     kind = narrow.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder = Encoder(tokenizer_path, cache)
         packer = Packer(limits, TaskContext.get().partitionId() << 32, window)
         waiting: dict[int, list] = {}  # number of a document -> [id, ids, tokens not yet emitted]
         count = 0
