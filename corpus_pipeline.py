@@ -13,6 +13,8 @@ from tessera.llm import exact_dedup, langid, mixing, packing, simhash
 from tessera.llm.registry import tokenizer_path
 from tessera.session import materialize, table
 
+#: Words whose ids a packing task remembers: few, as its workers go on to hold other stages.
+CACHED_WORDS = 250_000
 #: A text for which no language is likelier than all others together is rejected, like one without letters.
 AMBIGUOUS_BELOW = 0.5
 
@@ -41,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens."""
-    pieces = packing.pack(docs, tokenizer_path())
+    pieces = packing.pack(docs, tokenizer_path(), cache=CACHED_WORDS)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
