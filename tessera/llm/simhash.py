@@ -47,6 +47,8 @@ from tessera.session import materialize
 SEED = 42
 GROUP = 50_000
 PAIRS = 400_000
+#: Depths of the trie whose counts of ones are held at a time.
+DEPTHS = 16
 BITS_AT_ONCE = 1 << 15
 STEP = 0x9E3779B97F4A7C15
 #: A pair at a similarity of 0.8 differs in this share of its bits; how often the keys may miss it.
@@ -184,7 +186,9 @@ def trie_links(group: np.ndarray, value: np.ndarray, max_bits: int, across: np.n
                     continue
                 a0, a1, b0, b1, diff = pairs.T
             if depth not in ones_at:
-                ones_at[depth] = np.concatenate([[0], np.cumsum((value[:, depth // 64] >> u64(63 - depth % 64)) & u64(1)).astype(np.int64)])
+                if len(ones_at) >= DEPTHS:
+                    ones_at.pop(next(iter(ones_at)))
+                ones_at[depth] = np.concatenate([[0], np.cumsum((value[:, depth // 64] >> u64(63 - depth % 64)) & u64(1))]).astype(np.int32)
             ones = ones_at[depth]
             am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
             same = (a0 == b0) & (a1 == b1)
