@@ -5,9 +5,9 @@ are found in ``least_docs`` documents or more stay in the document with the larg
 
 1. Digests. Every long enough line becomes (128-bit digest of its key, id, position); these are written once, and texts are
    left behind.
-2. Hot keys. A Misra-Gries summary (``freqItems``) names all digests that may hold more than ``SUPPORT`` of the lines; those
-   that do, at most 1 / SUPPORT of them, are counted with map-side aggregates and broadcast: their lines are decided where
-   they lie, so a line that stands in a third of all documents is never gathered.
+2. Hot keys. Lines are counted by 2^16 buckets of hash, and within those that hold ``SUPPORT`` of all lines by key, with
+   map-side aggregates. The keys that hold as much, at most 1 / SUPPORT of them, are broadcast: their lines are decided
+   where they lie, so a line that stands in a third of all documents is never gathered.
 3. The other digests are partitioned by range, with a secondary sort by document (largest id first) and position. One pass
    over each range numbers the documents of a key as they come: the first occurrence wins, later ones are dropped if there
    are enough of them. A key has SUPPORT of the lines at most here.
@@ -31,6 +31,7 @@ from tessera.llm.columns import ascii_lower
 from tessera.session import materialize
 
 SUPPORT = 1 / 512
+BUCKETS = 1 << 16
 WHITE = " \t\n\x0b\x0c\r"
 KEY = ["h1", "h2"]
 
@@ -42,7 +43,8 @@ def lines_of(text: Column) -> Column:
 def digests(docs: DataFrame, id_col: str, text_col: str, least_chars: int) -> DataFrame:
     """(h1, h2, id, of, at) of every line whose key is long enough, written; ``of`` tells texts of one id apart."""
     narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    lines = narrow.select("id", F.xxhash64("text").alias("of"), F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
+    named = narrow.select("id", F.xxhash64("text").alias("of"), "text")  # once a text, not once a line
+    lines = named.select("id", "of", F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
     keyed = lines.select("id", "of", "at", ascii_lower(F.btrim("line", F.lit(WHITE))).alias("key")).where(F.length("key") >= least_chars)
     return materialize(keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "id", "of", "at"), "line-digests")
 
@@ -50,10 +52,11 @@ def digests(docs: DataFrame, id_col: str, text_col: str, least_chars: int) -> Da
 def hot_keys(dig: DataFrame, support: float) -> DataFrame:
     """(h1, h2, best, n_docs) of the keys that really hold ``support`` of the lines; 1 / support of them at most."""
     total = dig.count()
-    named = dig.freqItems(["h1"], support).first() if total else None
-    candidates = [x for x in (named[0] if named else None) or [] if x is not None]
+    bucket = F.pmod("h1", F.lit(BUCKETS))
+    crowded = dig.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).where(F.col("n") >= F.lit(support * total))
+    candidates = [r[0] for r in crowded.select("bucket").collect()]  # 1 / support at most
     n_docs = F.countDistinct("id") + F.max(F.col("id").isNull().cast("int"))
-    counted = dig.where(F.col("h1").isin(candidates)).groupBy(*KEY).agg(F.max("id").alias("best"), n_docs.cast("long").alias("n_docs"), F.count("*").alias("n")).where(F.col("n") >= F.lit(support * total))
+    counted = dig.where(bucket.isin(candidates)).groupBy(*KEY).agg(F.max("id").alias("best"), n_docs.cast("long").alias("n_docs"), F.count("*").alias("n")).where(F.col("n") >= F.lit(support * total))
     schema = T.StructType([dig.schema["h1"], dig.schema["h2"], T.StructField("best", dig.schema["id"].dataType), T.StructField("n_docs", T.LongType())])
     return dig.sparkSession.createDataFrame([tuple(r) for r in counted.drop("n").collect()], schema)
 
