@@ -16,8 +16,11 @@ than ``GROUP`` fingerprints is dealt to one task for each pair of trie nodes one
 something new leave a group, the closest first (a forest: fewer than it has fingerprints), never all pairs.
 
 ``drop_near_duplicates`` takes wide fingerprints for candidates only: every link of the forests is verified on the texts,
-and stays if the sets of their shingles have a Jaccard similarity of ``similarity`` or more. (Texts of one and the same
-wide fingerprint aren't compared: at 0.8 that has a chance of 1e-18.)
+and stays if the sets of their shingles have a Jaccard similarity of ``similarity`` or more. What verified links join is a
+part. A rejected link may have kept a true one out of its forest, so the parts between which links were rejected are sought
+through: their texts are dealt to pairs of blocks of bounded size, and all pairs of different parts within ``max_bits`` are
+compared there on their shingles; only links that join parts leave a task. Of a crowd the largest part is compared with the
+rest but not with itself. (Texts of one and the same wide fingerprint aren't compared: at 0.8 that has a chance of 1e-18.)
 
 Components are named by their smallest id; the names of large components, and those of fingerprints with many rows, are
 broadcast.
@@ -36,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -289,9 +293,8 @@ def prints_of(found: DataFrame) -> DataFrame:
     return materialize(found.groupBy("node").agg(F.first("fp").alias("fp"), F.min("id").alias("least"), F.count("*").alias("n")), "simhash-prints")
 
 
-def name_components(found: DataFrame, prints: DataFrame, edges: DataFrame) -> DataFrame:
-    """``found`` with component_id, the smallest id of each row's component under ``edges`` (src, dst) of nodes."""
-    components = connected_components(edges)
+def name_components(found: DataFrame, prints: DataFrame, components: DataFrame) -> DataFrame:
+    """``found`` with component_id, the smallest id of each row's component; ``components``: (node, component)."""
     linked = materialize(components.join(prints.select("node", "least"), "node"), "simhash-linked")
     names = materialize(linked.groupBy("component").agg(F.min("least").alias("name"), F.count("*").alias("size")), "simhash-names")
     total = names.agg(F.sum("size")).first()[0] or 0
@@ -306,7 +309,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: id, fingerprint (16 hex digits a word), component_id (the smallest id that links reach)."""
     found = simhash(docs, id_col, text_col, shingle, width)
     prints = prints_of(found)
-    named = name_components(found, prints, links(prints.select("node", "fp"), max_bits, width))
+    named = name_components(found, prints, connected_components(links(prints.select("node", "fp"), max_bits, width)))
     digits = F.array_join(F.transform("fp", lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
     return named.select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
 
@@ -315,6 +318,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: similarity of 0.8 differ in 15.2 % (39 bits) on average and in more than 58 once in a thousand cases.
 WIDTH, NEAR_BITS = 4, 58
 SALT = 256
+#: Bytes of text, and as many more a row, of a block of a crowd.
+BLOCK, ROW_COST = 4 << 20, 2000
 
 
 def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -333,16 +338,13 @@ def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]
 
 def verified(edges: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The (src, dst) of ``edges`` whose texts have sets of shingles with a Jaccard similarity of ``similarity`` or more.
-    ``texts``: (node, text), every node once.
+    ``texts``: (node, text), every end of an edge once. Both are written tables.
 
     The text of ``src`` travels to that of ``dst``. A node with many links as ``src`` is copied once for every ``SALT``
     of them, so its links are dealt to many tasks."""
-    edges = materialize(edges.distinct(), "simhash-candidates")
     degree = materialize(edges.groupBy("src").agg(F.count("*").alias("n")), "simhash-degrees").withColumn("salts", F.floor(F.col("n") / SALT) + 1)
     total = degree.agg(F.sum("n")).first()[0] or 0
     salted = hub_join(edges, degree, "src", "n", total).withColumn("salt", F.pmod(F.xxhash64("dst"), "salts"))
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    texts = materialize(texts.join(ends, "node", "left_semi"), "simhash-texts")
     sources = texts.join(degree.select(F.col("src").alias("node"), "salts"), "node").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     sent = salted.join(sources.select(F.col("node").alias("src"), "salt", "text"), ["src", "salt"]).select(F.col("dst").alias("node"), "src", "text")
     # a node's own text comes before those that it is compared with
@@ -369,15 +371,101 @@ def verified(edges: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return both.select("node", "src", "text").mapInArrow(compare, "src long, dst long")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_bits: int = NEAR_BITS, width: int = WIDTH) -> DataFrame:
+def crossing(left: pa.Table, right: pa.Table, shingle: int, similarity: float, max_bits: int) -> list[tuple[int, int]]:
+    """Pairs of parts that a pair of texts, one of each side, joins; a forest. Both sides: (part, fp, text)."""
+    texts = pa.chunked_array([*left.column("text").chunks, *right.column("text").chunks], pa.string())
+    sets, first = shingle_sets(texts, shingle)
+    size = np.diff(first)
+    names, number = np.unique(sets, return_inverse=True)
+    n = left.num_rows
+    part = np.concatenate([t.column("part").to_numpy() for t in (left, right)])
+    print_of = lambda t: t.column("fp").combine_chunks().flatten().to_numpy().view(u64).reshape(t.num_rows, -1)
+    a, b = print_of(left), print_of(right)
+    held, begin, width = number[first[n] :], first[n:-1] - first[n], size[n:]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    found = []
+    mark = np.zeros(len(names), bool)
+    for i in range(n):
+        near = np.flatnonzero((np.bitwise_count(a[i] ^ b).sum(1, dtype=np.int64) <= max_bits) & (part[n:] != part[i]))
+        if not len(near):
+            continue
+        own = number[first[i] : first[i + 1]]
+        mark[own] = True
+        if 4 * int(width[near].sum()) > len(held):
+            shared = np.diff(np.concatenate([[0], np.cumsum(mark[held])])[np.append(begin, len(held))])[near]
+        else:
+            shared = np.array([np.count_nonzero(mark[held[begin[j] : begin[j] + width[j]]]) for j in near.tolist()])
+        mark[own] = False
+        for j in near[shared >= similarity * (len(own) + width[near] - shared)].tolist():
+            x, y = root(int(part[i])), root(int(part[n + j]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                found.append((int(part[i]), int(part[n + j])))
+    return found
+
+
+def links_between_parts(parts: DataFrame, rejected: DataFrame, texts: DataFrame, prints: DataFrame, shingle: int, similarity: float, max_bits: int, block: int) -> DataFrame | None:
+    """(src, dst): links that join different parts of a crowd, which is what rejected links join; none if none was rejected
+    between parts. ``parts``: (node, part); nodes outside are parts of their own."""
+    part_of = parts.select(F.col("node").alias("end"), "part")
+    ends = rejected
+    for c in ("src", "dst"):
+        ends = ends.withColumnRenamed(c, "end").join(part_of, "end", "left").select(F.coalesce("part", "end").alias(c), *[x for x in ends.columns if x != c])
+    between = materialize(ends.where("src <> dst").distinct(), "simhash-between")
+    if not between.limit(1).count():
+        return None
+    crowds = materialize(connected_components(between).select(F.col("node").alias("part"), F.col("component").alias("crowd")), "simhash-crowds")
+    cost = (F.octet_length("text") + ROW_COST).cast("long")
+    named = texts.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    sizes = named.groupBy("part").agg(F.sum(cost).alias("cost"), F.count("*").alias("n")).join(crowds, "part")
+    sizes = materialize(sizes, "simhash-part-sizes")
+    largest = sizes.groupBy("crowd").agg(F.max_by("part", F.struct("cost", "part")).alias("major"), F.max("cost").alias("major_cost"), F.sum("cost").alias("all_cost"), F.sum("n").alias("size"))
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / block)).cast("int")
+    largest = largest.select("crowd", "major", "size", blocks(F.col("all_cost") - F.col("major_cost")).alias("n_minor"), blocks(F.col("major_cost")).alias("n_major"))
+    largest = materialize(largest, "simhash-largest")
+    total = largest.agg(F.sum("size")).first()[0]
+    total_parts = sizes.agg(F.sum("n")).first()[0]
+    members = hub_join(named, sizes.select("part", "crowd", "n"), "part", "n", total_parts)
+    members = hub_join(members, largest, "crowd", "size", total).join(prints.select("node", "fp"), "node")
+    # block 0, 1, .. of the minor parts, -1, -2, .. of the largest one
+    is_major = F.col("part") == F.col("major")
+    own = F.when(is_major, -1 - F.pmod(F.xxhash64("node"), "n_major")).otherwise(F.pmod(F.xxhash64("node"), "n_minor")).cast("int")
+    minor = F.sequence(F.lit(0), F.col("n_minor") - 1)
+    other = F.when(is_major, minor).otherwise(F.concat(minor, F.transform(F.sequence(F.lit(1), F.col("n_major")), lambda x: -x)))
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(other))
+    dealt = dealt.select("crowd", F.greatest("own", "other").alias("one"), F.least("own", "other").alias("two"), "own", "part", "fp", "text")
+
+    def run(rows: pa.Table) -> pa.Table:
+        one, two = rows.column("one")[0], rows.column("two")[0]
+        left = rows.filter(pc.equal(rows.column("own"), one))
+        right = left if one == two else rows.filter(pc.equal(rows.column("own"), two))
+        found = crossing(left, right, shingle, similarity, max_bits) if left.num_rows and right.num_rows else []
+        return pa.table({"src": pa.array([x for x, _ in found], pa.int64()), "dst": pa.array([y for _, y in found], pa.int64())})
+
+    return dealt.groupBy("crowd", "one", "two").applyInArrow(run, "src long, dst long")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_bits: int = NEAR_BITS, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """One row per document: id, component_id (the smallest id that verified links reach)."""
     found = simhash(docs, id_col, text_col, shingle, width, keep_text=True)
     prints = prints_of(found.drop("text"))
-    candidates = links(prints.select("node", "fp"), max_bits, width)
+    candidates = materialize(links(prints.select("node", "fp"), max_bits, width).distinct(), "simhash-candidates")
+    ends = candidates.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     # all texts of one print are alike: any of them stands for it
-    texts = found.groupBy("node").agg(F.min("text").alias("text"))
-    edges = verified(candidates, texts, shingle, similarity)
-    return name_components(found.drop("text"), prints, edges).select(F.col("id").alias(id_col), "component_id")
+    texts = materialize(found.join(ends, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "simhash-texts")
+    accepted = materialize(verified(candidates, texts, shingle, similarity), "simhash-verified")
+    components = materialize(connected_components(accepted), "simhash-parts")
+    rejected = candidates.join(accepted, ["src", "dst"], "left_anti")
+    more = links_between_parts(components.withColumnRenamed("component", "part"), rejected, texts, prints, shingle, similarity, max_bits, block)
+    if more is not None:  # a part is named by one of its nodes
+        components = connected_components(components.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more))
+    return name_components(found.drop("text"), prints, components).select(F.col("id").alias(id_col), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

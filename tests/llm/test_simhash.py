@@ -148,4 +148,49 @@ def test_clusters_of_similar_texts_against_brute_force(spark):
     docs = spark.createDataFrame([(i, " ".join(t), None, None, 0) for i, t in enumerate(texts)], SCHEMA)
     got = {r.doc_id: r.component_id for r in S.similar_documents(docs).collect()}
     wrong = sum(got[i] != find(i) for i in got)
-    assert n_pairs > 300 and wrong <= 0.02 * len(texts)
+    assert n_pairs > 300 and wrong == 0
+
+
+def test_true_links_in_a_crowd_of_unlike_texts(spark):
+    """1,500 twins at 0.84, whose texts are all alike to 0.77: rejected links must not hide true ones."""
+    rng = random.Random(21)
+    n, shared, own = 200, 172, 24  # consecutive words that all texts share, then words of a text's own
+    template = [f"t{k}" for k in range(shared)]
+    rows, sample = [], []
+    for i in range(1500):
+        text = template + [f"d{i}w{k}" for k in range(own)]
+        twin = list(text)
+        for k in (50, 110, 160):
+            twin[k] = f"x{rng.randrange(10**8)}"
+        sample.append((text, twin))
+        rows += [(2 * i, " ".join(text), None, None, 0), (2 * i + 1, " ".join(twin), None, None, 0)]
+    unlike = [jaccard(sample[i][0], sample[i + 1][0]) for i in range(50)]
+    assert all(0.74 < j < 0.8 for j in unlike) and all(0.83 < jaccard(a, b) < 0.86 for a, b in sample[:50])
+    got = {r.doc_id: r.component_id for r in S.similar_documents(spark.createDataFrame(rows, SCHEMA).repartition(6)).collect()}
+    assert len(got) == 3000 and sum(got[2 * i] == got[2 * i + 1] for i in range(1500)) >= 0.97 * 1500
+    assert all(got[2 * i] == 2 * i for i in range(1500))  # and unlike texts aren't joined
+
+
+def test_groups_around_the_threshold_against_brute_force(spark):
+    """30 groups of 30 texts, most of whose pairs lie a little below 0.8, in blocks of a few texts."""
+    rng = random.Random(17)
+    texts = []
+    for g in range(30):
+        t = [f"g{g}w{rng.randrange(600)}" for _ in range(160)]
+        for member in range(30):
+            other = list(t)
+            for k in rng.sample(range(160), 2 if member < 12 else 3):
+                other[k] = f"x{rng.randrange(10**7)}"
+            texts.append(other)
+    label = list(range(len(texts)))
+    n_links = 0
+    for i in range(len(texts)):
+        for j in range(i // 30 * 30, i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                n_links += 1
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    docs = spark.createDataFrame([(i, " ".join(t), None, None, 0) for i, t in enumerate(texts)], SCHEMA)
+    for block in (S.BLOCK, 40_000):
+        got = {r.doc_id: r.component_id for r in S.similar_documents(docs, block=block).collect()}
+        assert n_links > 100 and len(set(label)) > 60 and sum(got[i] != label[i] for i in got) <= 0.01 * len(got)
