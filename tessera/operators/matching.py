@@ -70,18 +70,21 @@ def similar_sets(members: DataFrame, threshold: float = 0.15) -> DataFrame:
     """(a, b, n_both, jaccard) of all pairs of sets at or above the threshold; ``members``: (id, item), distinct.
 
     Exact prefix filter: items are ordered from rare to frequent, and two sets with Jaccard >= t share one of their
-    first size - ceil(t size) + 1 items; only those are joined, so a frequent item rarely makes a pair. Candidates
-    are then counted over whole sets."""
-    frequency = members.groupBy("item").agg(F.count("*").alias("df"))
-    sizes = members.groupBy("id").agg(F.count("*").alias("size"))
-    order = W.partitionBy("id").orderBy("df", "item")
-    ranked = members.join(frequency, "item").join(sizes, "id").withColumn("at", F.row_number().over(order))
-    prefix = ranked.where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).select("id", "item", "size")
-    left, right = (prefix.select(F.col("id").alias(x), "item", F.col("size").alias(f"size_{x}")) for x in "ab")
-    pairs = left.join(right, "item").where((F.col("a") < F.col("b")) & (F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b"))).select("a", "b", "size_a", "size_b").distinct()
-    sets = members.groupBy("id").agg(F.collect_set("item").alias("items"))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("xs")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("ys")), "b")
-    both = both.withColumn("n_both", F.size(F.array_intersect("xs", "ys")).cast("long"))
+    first size - ceil(t size) + 1 items; only those are joined, so a frequent item rarely makes a pair. A set travels with
+    each item of its prefix as an array of 64-bit item codes in that order, so a pair is compared where it meets, once: at the
+    first item that both prefixes hold. (Different items of one pair share a code with a chance of 2**-55.)"""
+    frequency = materialize(members.groupBy("item").agg(F.count("*").alias("df")).withColumn("n", F.col("df")), "item-frequencies")
+    total = frequency.agg(F.sum("df")).first()[0] or 0
+    ranked = hub_join(members, frequency, "item", "n", total)
+    sets = ranked.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", F.xxhash64("item").alias("code")))), lambda x: x["code"]).alias("codes"))
+    size = F.size("codes")
+    sets = sets.withColumn("prefix", F.slice("codes", 1, (size - F.ceil(size * threshold - 1e-9) + 1).cast("int")))
+    rows = sets.select("id", "codes", "prefix", F.explode("prefix").alias("code"))
+    left, right = (rows.select("code", F.col("id").alias(x), F.col("codes").alias(f"codes_{x}"), F.col("prefix").alias(f"prefix_{x}")) for x in "ab")
+    size_a, size_b = F.size("codes_a"), F.size("codes_b")
+    near = left.join(right, "code").where((F.col("a") < F.col("b")) & (F.least(size_a, size_b) >= threshold * F.greatest(size_a, size_b)))
+    near = near.where(F.element_at(F.array_intersect("prefix_a", "prefix_b"), 1) == F.col("code"))
+    both = near.select("a", "b", F.size(F.array_intersect("codes_a", "codes_b")).cast("long").alias("n_both"), size_a.alias("size_a"), size_b.alias("size_b"))
     return both.withColumn("jaccard", jaccard(F.col("n_both"), F.col("size_a"), F.col("size_b"))).where(F.col("jaccard") >= threshold).select("a", "b", "n_both", "jaccard")
 
 

@@ -2,132 +2,22 @@
 
 from __future__ import annotations
 
-import math
-from collections import deque
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators import community
 from tessera.operators.catalog import top_k
-from tessera.session import materialize
-
-
-class Graph:
-    """An undirected weighted graph of one layer, loops counted once."""
-
-    def __init__(self, n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray):
-        self.n, self.near = n, [{} for _ in range(n)]
-        self.loops = np.zeros(n)
-        for a, b, x in zip(i.tolist(), j.tolist(), w.tolist(), strict=True):
-            if a == b:
-                self.loops[a] += x
-            else:
-                self.near[a][b] = self.near[a].get(b, 0.0) + x
-                self.near[b][a] = self.near[b].get(a, 0.0) + x
-        self.degree = np.array([sum(d.values()) for d in self.near]) + 2 * self.loops
-        self.m2 = float(self.degree.sum())
-
-    def move(self, community: np.ndarray, resolution: float) -> np.ndarray:
-        """Nodes go to the neighbouring community (or one of their own) with the best gain until none moves; ties go to
-        the smallest number."""
-        community = community.copy()
-        size = self.n + 1
-        total = np.bincount(community, weights=self.degree, minlength=size)
-        waiting, queued = deque(range(self.n)), np.ones(self.n, bool)
-        free = sorted(set(range(size)) - set(community.tolist()), reverse=True)
-        while waiting and self.m2 > 0:
-            v = waiting.popleft()
-            queued[v] = False
-            own = int(community[v])
-            total[own] -= self.degree[v]
-            links: dict[int, float] = {own: 0.0}
-            for u, x in self.near[v].items():
-                c = int(community[u])
-                links[c] = links.get(c, 0.0) + x
-            gain = {c: x - resolution * self.degree[v] * total[c] / self.m2 for c, x in links.items()}
-            best = min(gain, key=lambda c: (-gain[c], c))  # noqa: B023
-            if gain[best] < -1e-12:
-                best = free[-1]
-            elif gain[best] <= gain[own] + 1e-12:
-                best = own
-            if best != own:
-                if best == (free[-1] if free else -1):
-                    free.pop()
-                if total[own] <= 1e-12 and not (np.flatnonzero(community == own) != v).any():
-                    free.append(own)
-                for u in self.near[v]:
-                    if community[u] != best and not queued[u]:
-                        queued[u] = True
-                        waiting.append(u)
-            community[v] = best
-            total[best] += self.degree[v]
-        return np.unique(community, return_inverse=True)[1]
-
-    def refine(self, community: np.ndarray, resolution: float) -> np.ndarray:
-        """Each community is built anew from single nodes: a node that is well connected to its community and still alone
-        joins the part inside it with the best gain, so that every part hangs together."""
-        part = np.arange(self.n)
-        total = self.degree.copy()
-        whole = np.bincount(community, weights=self.degree)
-        size = np.ones(self.n, int)
-        for v in range(self.n):
-            inside = {u: x for u, x in self.near[v].items() if community[u] == community[v]}
-            bound = resolution * self.degree[v] * (whole[community[v]] - self.degree[v]) / self.m2 if self.m2 else 0.0
-            if size[part[v]] > 1 or sum(inside.values()) < bound - 1e-12:
-                continue
-            links: dict[int, float] = {}
-            for u, x in inside.items():
-                links[int(part[u])] = links.get(int(part[u]), 0.0) + x
-            gain = {c: x - resolution * self.degree[v] * total[c] / self.m2 for c, x in links.items() if c != part[v]}
-            if gain:
-                best = min(gain, key=lambda c: (-gain[c], c))  # noqa: B023
-                if gain[best] > 1e-12:
-                    size[part[v]] -= 1
-                    total[part[v]] -= self.degree[v]
-                    part[v] = best
-                    size[best] += 1
-                    total[best] += self.degree[v]
-        return np.unique(part, return_inverse=True)[1]
-
-
-def leiden(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, resolution: float) -> np.ndarray:
-    """Communities by modularity: nodes move, communities are refined, parts become nodes of the next, smaller graph, until
-    nothing moves. Deterministic."""
-    member, community = np.arange(n), np.arange(n)
-    while True:
-        graph = Graph(n, i, j, w)
-        community = graph.move(community, resolution)
-        if community.max(initial=-1) + 1 == n:
-            return community[member]
-        part = graph.refine(community, resolution)
-        if part.max(initial=-1) + 1 == n:  # nothing to contract but what moved
-            return community[member]
-        of_part = np.zeros(part.max() + 1, int)
-        of_part[part] = community
-        member, i, j, n, community = part[member], part[i], part[j], len(of_part), of_part
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, least: int = 3) -> DataFrame:
+def communities(edges: DataFrame, resolution: float = 1.0, least: int = 3, local_edges: int = community.LOCAL_EDGES) -> DataFrame:
     """(layer, module_id, feature) of communities (Leiden) with ``least`` members or more, by weighted modularity in each
-    layer.
-
-    A layer's graph lies over the features of its dictionary (a few thousand nodes): one task a layer. Ids follow the
-    smallest member. ``edges``: (layer, i, j, pmi)."""
-
-    def run(t: pa.Table) -> pa.Table:
-        i, j, w = (t.column(c).to_numpy() for c in ("i", "j", "pmi"))
-        order = np.lexsort((j, i))
-        nodes, flat = np.unique(np.concatenate([i[order], j[order]]), return_inverse=True)
-        found = leiden(len(nodes), flat[: len(i)], flat[len(i) :], np.maximum(w[order], 0.0), resolution)
-        _, first, back, size = np.unique(found, return_index=True, return_inverse=True, return_counts=True)
-        rank = np.argsort(np.argsort(np.where(size >= least, first, len(nodes) + first)))
-        keep = size[back] >= least
-        layer = np.full(int(keep.sum()), t.column("layer")[0].as_py(), np.int32)
-        return pa.table({"layer": layer, "module_id": rank[back][keep].astype(np.int32), "feature": nodes[keep].astype(np.int64)})
-
-    return edges.select("layer", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "pmi").groupBy("layer").applyInArrow(run, "layer int, module_id int, feature long")
+    layer. Ids follow the smallest member. ``edges``: (layer, i, j, pmi)."""
+    found = community.leiden(edges.select("layer", "i", "j", F.col("pmi").alias("w")), resolution, local_edges=local_edges)
+    size = found.groupBy("layer", "community").agg(F.min("node").alias("least"), F.count("*").alias("n")).where(F.col("n") >= least)
+    # a row a community
+    named = size.withColumn("module_id", (F.row_number().over(W.partitionBy("layer").orderBy("least")) - 1).cast("int"))
+    return found.join(named, ["layer", "community"]).select(F.col("layer").cast("int").alias("layer"), "module_id", F.col("node").alias("feature"))
 
 
 def modularity(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -235,25 +125,3 @@ def module_view(members: DataFrame, labels: DataFrame, first: int = 100, k: int
     n = sample.join(labels, ["layer", "feature"]).groupBy("layer", "module_id", "label").agg(F.count("*").alias("c"))
     best = top_k(n, ["layer", "module_id"], [F.desc("c"), "label"], k).groupBy("layer", "module_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "label", "c"))), lambda x: F.struct(x["label"].alias("t"), x["c"].alias("c"))).alias("terms"))
     return size.join(best, ["layer", "module_id"], "left").orderBy(F.desc("n"), "layer", "module_id")
-
-
-def ring_positions(members: DataFrame, edges: DataFrame, features: DataFrame, rounds: int = 30, neighbours: int = 10) -> DataFrame:
-    """(layer, feature, x, y): modules on a ring, their features around them, then drawn together along the ``neighbours``
-    strongest links inside the module, by averages over a join, round after round; features outside stand in the centre.
-
-    Every position follows from joins and aggregates, so a layer of any size is laid out without a task that holds it."""
-    key = ["layer", "feature"]
-    n = members.groupBy("layer").agg(F.countDistinct("module_id").alias("n_modules"))
-    at = members.join(n, "layer").withColumn("turn", 2 * math.pi * F.col("module_id") / F.col("n_modules"))
-    own = 2 * math.pi * F.pmod(F.xxhash64("layer", "feature"), F.lit(10_000)) / 10_000
-    at = at.select(*key, "module_id", (F.cos("turn") + 0.3 * F.cos(own)).alias("x"), (F.sin("turn") + 0.3 * F.sin(own)).alias("y"))
-    a, b = (members.select("layer", F.col("feature").alias(x), F.col("module_id").alias(f"m{x}")) for x in "ij")
-    inside = edges.join(a, ["layer", "i"]).join(b, ["layer", "j"]).where("mi = mj").select("layer", "i", "j", "pmi")
-    both = inside.unionByName(inside.select("layer", F.col("j").alias("i"), F.col("i").alias("j"), "pmi"))
-    links = materialize(top_k(both, ["layer", "i"], [F.desc("pmi"), "j"], neighbours).select("layer", F.col("i").alias("feature"), "j"), "layout-links")
-    at = materialize(at, "layout")
-    for _ in range(rounds // 10):
-        near = links.join(at.select("layer", F.col("feature").alias("j"), F.col("x").alias("u"), F.col("y").alias("v")), ["layer", "j"]).groupBy(*key).agg(F.avg("u").alias("u"), F.avg("v").alias("v"))
-        pulled = lambda c, t: (0.7 * F.col(c) + 0.3 * F.coalesce(t, c)).alias(c)
-        at = materialize(at.join(near, key, "left").select(*key, "module_id", pulled("x", "u"), pulled("y", "v")), "layout")
-    return features.select(*key).join(at.drop("module_id"), key, "left").fillna(0.0)

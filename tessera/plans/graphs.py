@@ -162,7 +162,7 @@ cls AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS class_id FROM (SELEC
 rep AS (SELECT top.* FROM top JOIN cls USING (doc_id) WHERE doc_id = class_id),
 sz AS (SELECT doc_id, count(*) AS s FROM rep GROUP BY doc_id),
 jac AS (SELECT a, b, n_both, n_both / CAST(x.s + y.s - n_both AS DOUBLE) AS jaccard FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS n_both FROM rep p JOIN rep q ON p.token = q.token AND p.doc_id < q.doc_id GROUP BY ALL)
-        JOIN sz x ON x.doc_id = a JOIN sz y ON y.doc_id = b WHERE n_both / CAST(x.s + y.s - n_both AS DOUBLE) >= 0.5)"""
+        JOIN sz x ON x.doc_id = a JOIN sz y ON y.doc_id = b WHERE n_both / CAST(x.s + y.s - n_both AS DOUBLE) >= 0.15)"""
 
 
 def _classes(spark, sf_dir):
@@ -171,7 +171,7 @@ def _classes(spark, sf_dir):
     return members, materialize(matching.set_classes(members), "token-set-classes")
 
 
-def _similar(members, classes, threshold=0.5):
+def _similar(members, classes, threshold=0.15):
     """Pairs of classes, each by its smallest document: copies aren't expanded into pairs."""
     return matching.similar_sets(members.join(classes.where("id = class_id").select("id"), "id", "left_semi"), threshold)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.operators import catalog, encode, matching, modules, perturb, sampling, serve, train
+from tessera.operators import layout, catalog, encode, matching, modules, perturb, sampling, serve, train
 from tessera.operators import coactivation as co
 from tessera.plans.annotation import CHAIN, annotations
 from tessera.plans.book import book
@@ -223,11 +223,11 @@ def axis_gain(spark, sf_dir):
 
 @query()
 def feature_positions(spark, sf_dir):
-    """The view of positions: every feature's place in a layout by modules and links."""
+    """The view of positions: every feature's place in a layout by forces, with springs inside modules."""
     acts, pos = long(spark, sf_dir)
     _, e, _, _ = encoded(spark, sf_dir)
     baskets = e.select("layer", "pos_id", co.features_of(F.col("top"), "index").alias("items"))
     edges = materialize(co.pmi_edges(baskets, "items", ["layer"], least_count=5, least_pmi=0.3), "edges")
     members = materialize(modules.communities(edges), "members")
     stats = catalog.feature_stats(acts, pos, N_FEATURES)
-    return round_doubles(modules.ring_positions(members, edges, stats))
+    return round_doubles(layout.positions(stats, members))
