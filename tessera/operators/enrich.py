@@ -13,6 +13,8 @@ from tessera.session import materialize
 
 #: Up to so many categories their table is broadcast; beyond, it is joined by shuffle.
 BROADCAST_CATEGORIES = 100_000
+#: Up to so many tests a family is adjusted by a window; beyond, in ranges of p.
+ONE_TASK_TESTS = 500_000
 
 
 def set_overlaps(sets: DataFrame, terms: DataFrame, by: list[str], least: int = 2, restrict_to_background: bool = True, universe: Sequence[str] = ()) -> DataFrame:
@@ -44,7 +46,10 @@ def enrichment(sets: DataFrame, terms: DataFrame, by: list[str], family: list[st
     a, b, c = F.col("n_overlap"), F.col("set_size") - F.col("n_overlap"), F.col("term_size") - F.col("n_overlap")
     d = F.col("background") - F.col("set_size") - F.col("term_size") + F.col("n_overlap")
     tests = o.withColumn("p_value", fisher_greater(a, b, c, d)).withColumn("odds_ratio", odds_ratio(a, b, c, d))
-    return materialize(benjamini_hochberg_ranged(tests, by=family, key=[*by, "ontology", "term"], alpha=alpha), "enrichment")
+    tests, key = materialize(tests, "tests"), [*by, "ontology", "term"]
+    if tests.count() <= ONE_TASK_TESTS:
+        return benjamini_hochberg(tests, by=family, key=key, alpha=alpha)
+    return materialize(benjamini_hochberg_ranged(tests, by=family, key=key, alpha=alpha), "enrichment")
 
 
 def annotations(tests: DataFrame, by: list[str]) -> DataFrame:

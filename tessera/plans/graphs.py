@@ -162,7 +162,7 @@ cls AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS class_id FROM (SELEC
 rep AS (SELECT top.* FROM top JOIN cls USING (doc_id) WHERE doc_id = class_id),
 sz AS (SELECT doc_id, count(*) AS s FROM rep GROUP BY doc_id),
 jac AS (SELECT a, b, n_both, n_both / CAST(x.s + y.s - n_both AS DOUBLE) AS jaccard FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS n_both FROM rep p JOIN rep q ON p.token = q.token AND p.doc_id < q.doc_id GROUP BY ALL)
-        JOIN sz x ON x.doc_id = a JOIN sz y ON y.doc_id = b WHERE n_both / CAST(x.s + y.s - n_both AS DOUBLE) >= 0.15)"""
+        JOIN sz x ON x.doc_id = a JOIN sz y ON y.doc_id = b WHERE n_both / CAST(x.s + y.s - n_both AS DOUBLE) >= 0.5)"""
 
 
 def _classes(spark, sf_dir):
@@ -171,7 +171,7 @@ def _classes(spark, sf_dir):
     return members, materialize(matching.set_classes(members), "token-set-classes")
 
 
-def _similar(members, classes, threshold=0.15):
+def _similar(members, classes, threshold=0.5):
     """Pairs of classes, each by its smallest document: copies aren't expanded into pairs."""
     return matching.similar_sets(members.join(classes.where("id = class_id").select("id"), "id", "left_semi"), threshold)
 
@@ -202,6 +202,37 @@ def token_set_components(spark, sf_dir):
     return classes.join(components, "class_id", "left").select(F.col("id").alias("node"), F.coalesce("component", "class_id").alias("component"))
 
 
+#: The five strongest genes of each feature as a set; a feature is named by layer * 10^6 + feature.
+GENE_SETS = """,
+gs AS (SELECT layer * 1000000 + feature AS id, layer || ':' || gene_id AS item FROM genes WHERE rank <= 5),
+gcls AS (SELECT id, min(id) OVER (PARTITION BY s) AS class_id FROM (SELECT id, list_sort(list(item)) AS s FROM gs GROUP BY id)),
+grep AS (SELECT gs.* FROM gs JOIN gcls USING (id) WHERE id = class_id),
+gsz AS (SELECT id, count(*) AS s FROM grep GROUP BY id)"""
+
+
+def _gene_sets(spark, sf_dir):
+    top = catalog.top_genes(long(spark, sf_dir)[0], k=5)
+    item = F.concat_ws(":", F.col("layer").cast("string"), F.col("gene_id").cast("string"))
+    members = materialize(top.select((F.col("layer") * 1_000_000 + F.col("feature")).cast("long").alias("id"), item.alias("item")), "gene-sets")
+    return members, materialize(matching.set_classes(members), "gene-set-classes")
+
+
+@query("WITH " + ACTS + GENE_SETS + " SELECT CAST(class_id AS BIGINT) AS class_id, CAST(id AS BIGINT) AS id FROM gcls")
+def gene_set_classes(spark, sf_dir):
+    """Membership of each feature; pairs of classes are in ``similar_gene_sets``."""
+    return _gene_sets(spark, sf_dir)[1].select("class_id", "id")
+
+
+@query(
+    "WITH " + ACTS + GENE_SETS + """ SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, n_both, round(n_both / CAST(x.s + y.s - n_both AS DOUBLE), 6) AS jaccard
+    FROM (SELECT p.id AS a, q.id AS b, count(*) AS n_both FROM grep p JOIN grep q ON p.item = q.item AND p.id < q.id GROUP BY ALL) JOIN gsz x ON x.id = a JOIN gsz y ON y.id = b
+    WHERE n_both / CAST(x.s + y.s - n_both AS DOUBLE) >= 0.15"""
+)
+def similar_gene_sets(spark, sf_dir):
+    """Features of a layer whose gene sets have a Jaccard similarity of 0.15 or more, by classes of equal sets."""
+    return round_doubles(_similar(*_gene_sets(spark, sf_dir), threshold=0.15))
+
+
 @query()
 def feature_modules(spark, sf_dir):
     """Communities of co-firing features with their modularity."""
