@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import community
 from tessera.operators.catalog import top_k
+from tessera.operators.graph import connected_components
 
 
 def communities(edges: DataFrame, resolution: float = 1.0, least: int = 3, local_edges: int = community.LOCAL_EDGES) -> DataFrame:
@@ -20,6 +21,16 @@ def communities(edges: DataFrame, resolution: float = 1.0, least: int = 3, local
     return found.join(named, ["layer", "community"]).select(F.col("layer").cast("int").alias("layer"), "module_id", F.col("node").alias("feature"))
 
 
+def linked_modules(edges: DataFrame, least: int = 3) -> DataFrame:
+    """(layer, module_id, feature) of the components of ``edges`` (layer, i, j) that have ``least`` members or more; ids follow
+    the smallest member. Features are numbered below 10^6."""
+    code = lambda c: F.col("layer") * 1_000_000 + F.col(c)
+    found = connected_components(edges.select(code("i").cast("long").alias("src"), code("j").cast("long").alias("dst")))
+    size = found.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= least).withColumn("layer", F.floor(F.col("component") / 1_000_000).cast("int"))
+    named = size.withColumn("module_id", (F.row_number().over(W.partitionBy("layer").orderBy("component")) - 1).cast("int"))  # a row a module
+    return found.join(named, "component").select("layer", "module_id", (F.col("node") % 1_000_000).alias("feature"))
+
+
 def modularity(edges: DataFrame, members: DataFrame) -> DataFrame:
     """(layer, modularity) of a partition; features outside it are communities of their own."""
     deg = edges.select("layer", F.col("i").alias("feature"), "pmi").unionByName(edges.select("layer", F.col("j").alias("feature"), "pmi")).groupBy("layer", "feature").agg(F.sum("pmi").alias("d"))

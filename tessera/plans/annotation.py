@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import catalog, encode, enrich, matching, modules, serve
 from tessera.plans.book import book
 from tessera.plans.features import ACTS, FISHER, N_FEATURES, encoded, round_doubles
+from tessera.plans.linked import MODULES, linked_modules
 from tessera.session import materialize
 from tessera.sources.tables import HALF, activations
 
@@ -208,29 +209,21 @@ def persistent_gene_overlap(spark, sf_dir):
     return round_doubles(matching.chain_overlap(_stages(e), matches, genes))
 
 
-FIXED_MODULES = "fm AS (SELECT CAST(l AS INT) AS layer, CAST(f % 5 AS INT) AS module_id, CAST(f AS INT) AS feature FROM range(2) a(l), range(60) b(f))"
-
-
-def _fixed(spark):
-    f = spark.range(60).select(F.col("id").cast("int").alias("feature"))
-    return f.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("layer"), (F.col("feature") % 5).cast("int").alias("module_id"), "feature")
-
-
 @query(
-    "WITH " + ACTS + "," + CHAIN + "," + FIXED_MODULES + """,
+    "WITH RECURSIVE " + ACTS + MODULES + "," + CHAIN + """,
 gm AS (SELECT f.layer, module_id, f.feature, gene_name FROM fm f JOIN g2 g ON g.layer = f.layer AND g.feature = f.feature),
 pr AS (SELECT a.layer, a.module_id, a.feature AS fa, b.feature AS fb, len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) AS j FROM (SELECT layer, module_id, feature, list(gene_name) AS g FROM gm GROUP BY ALL) a
        JOIN (SELECT layer, module_id, feature, list(gene_name) AS g FROM gm GROUP BY ALL) b ON a.layer = b.layer AND a.module_id = b.module_id AND a.feature < b.feature)
 SELECT f.layer, f.module_id, count(*) AS n_features, (SELECT count(DISTINCT gene_name) FROM gm WHERE gm.layer = f.layer AND gm.module_id = f.module_id) AS n_unique_genes,
-  (SELECT count(*) FROM (SELECT layer, module_id, gene_name FROM gm GROUP BY ALL HAVING count(*) >= greatest(2, 0.3 * 12)) q WHERE q.layer = f.layer AND q.module_id = f.module_id) AS n_consensus_genes,
-  round((SELECT avg(j) FROM pr WHERE pr.layer = f.layer AND pr.module_id = f.module_id), 6) AS mean_jaccard, round(avg(activation_freq), 6) AS mean_activation_freq
+  (SELECT count(*) FROM (SELECT gm.layer, gm.module_id, gene_name FROM gm JOIN (SELECT layer, module_id, count(*) AS s FROM fm GROUP BY ALL) z ON z.layer = gm.layer AND z.module_id = gm.module_id GROUP BY ALL HAVING count(*) >= greatest(2, 0.3 * any_value(s))) q WHERE q.layer = f.layer AND q.module_id = f.module_id) AS n_consensus_genes,
+  round((SELECT coalesce(avg(j), 0) FROM pr WHERE pr.layer = f.layer AND pr.module_id = f.module_id), 6) AS mean_jaccard, round(avg(activation_freq), 6) AS mean_activation_freq
 FROM fm f JOIN stats s ON s.layer = f.layer AND s.feature = f.feature GROUP BY f.layer, f.module_id"""
 )
 def novel_clusters(spark, sf_dir):
     """The view of clusters: genes, consensus, mean similarity of members, mean frequency."""
     _, e, _, _ = encoded(spark, sf_dir)
     stats = catalog.feature_stats(encode.feature_acts(e.drop("vec")), e.select("layer", "pos_id"), N_FEATURES)
-    return round_doubles(modules.cluster_summary(_fixed(spark), feature_genes(e), stats))
+    return round_doubles(modules.cluster_summary(linked_modules(spark, sf_dir), feature_genes(e), stats))
 
 
 @query(
@@ -248,19 +241,19 @@ BEST = "bl AS (SELECT layer, feature, first(term ORDER BY p_adjusted, seq) AS la
 
 
 @query(
-    "WITH " + ACTS + "," + CHAIN + "," + BEST + """ SELECT s.layer, s.feature, s.fire_count, s.is_dead, coalesce(label, 'unlabeled') AS label, CAST(CASE WHEN s.feature < 60 THEN s.feature % 5 ELSE -1 END AS INT) AS module_id,
-    (SELECT count(*) FROM g2 g WHERE g.layer = s.layer AND g.feature = s.feature) AS n_genes FROM stats s LEFT JOIN bl ON bl.layer = s.layer AND bl.feature = s.feature"""
+    "WITH RECURSIVE " + ACTS + MODULES + "," + CHAIN + "," + BEST + """ SELECT s.layer, s.feature, s.fire_count, s.is_dead, coalesce(label, 'unlabeled') AS label, coalesce(fm.module_id, -1) AS module_id,
+    (SELECT count(*) FROM g2 g WHERE g.layer = s.layer AND g.feature = s.feature) AS n_genes FROM stats s LEFT JOIN bl ON bl.layer = s.layer AND bl.feature = s.feature LEFT JOIN fm ON fm.layer = s.layer AND fm.feature = s.feature"""
 )
 def feature_pages(spark, sf_dir):
     _, e, _, _ = encoded(spark, sf_dir)
     acts, pos = encode.feature_acts(e.drop("vec")), e.select("layer", "pos_id", "cell_id")
     labels = serve.best_label(annotations(spark, sf_dir, e), ["layer", "feature"])
-    page = serve.feature_page(catalog.feature_stats(acts, pos, N_FEATURES), feature_genes(e), labels, _fixed(spark), catalog.top_cells(catalog.cell_features(acts, pos)))
+    page = serve.feature_page(catalog.feature_stats(acts, pos, N_FEATURES), feature_genes(e), labels, linked_modules(spark, sf_dir), catalog.top_cells(catalog.cell_features(acts, pos)))
     return page.select("layer", "feature", "fire_count", "is_dead", "label", "module_id", F.coalesce(F.size("genes"), F.lit(0)).cast("long").alias("n_genes"))
 
 
 @query(
-    "WITH " + ACTS + "," + CHAIN + "," + FIXED_MODULES + "," + BEST + """,
+    "WITH RECURSIVE " + ACTS + MODULES + "," + CHAIN + "," + BEST + """,
 mc AS (SELECT f.layer, module_id, label, count(*) AS c FROM fm f JOIN bl ON bl.layer = f.layer AND bl.feature = f.feature GROUP BY ALL),
 mr AS (SELECT *, row_number() OVER (PARTITION BY layer, module_id ORDER BY c DESC, label) AS r FROM mc)
 SELECT f.layer, f.module_id, count(*) AS n, (SELECT string_agg(label || ':' || c, ',' ORDER BY r) FROM mr WHERE mr.layer = f.layer AND mr.module_id = f.module_id AND r <= 5) AS terms FROM fm f GROUP BY f.layer, f.module_id"""
@@ -268,7 +261,7 @@ SELECT f.layer, f.module_id, count(*) AS n, (SELECT string_agg(label || ':' || c
 def module_pages(spark, sf_dir):
     """The view of modules, largest first, with the labels that most of their features bear."""
     labels = serve.best_label(annotations(spark, sf_dir), ["layer", "feature"])
-    view = modules.module_view(_fixed(spark), labels)
+    view = modules.module_view(linked_modules(spark, sf_dir), labels)
     return view.withColumn("terms", F.array_join(F.transform("terms", lambda x: F.concat_ws(":", x["t"], x["c"].cast("string"))), ","))
 
 

@@ -9,24 +9,12 @@ from tessera.operators import coactivation as co
 from tessera.plans.annotation import CHAIN, annotations, feature_genes
 from tessera.plans.book import book
 from tessera.plans.features import ACTS, encoded, long, round_doubles
+from tessera.plans.linked import MODULES, PAIRS, baskets, linked_modules
 from tessera.session import materialize, table
 from tessera.sources.tables import HALF, document_tokens
 
 QUERIES, SQL, query = book()
 
-PAIRS = """,
-tot AS (SELECT layer, count(*) AS total FROM pos GROUP BY layer),
-one AS (SELECT layer, feature, count(*) AS n_item FROM acts GROUP BY layer, feature),
-two AS (SELECT a.layer, a.feature AS i, b.feature AS j, count(*) AS n FROM acts a JOIN acts b ON a.layer = b.layer AND a.pos_id = b.pos_id AND a.feature < b.feature GROUP BY ALL),
-edges AS (SELECT layer, i, j, n, log2(n * CAST(total AS DOUBLE) / (x.n_item * y.n_item)) AS pmi FROM two JOIN one x USING (layer) JOIN one y USING (layer) JOIN tot USING (layer)
-          WHERE x.feature = i AND y.feature = j AND n >= 5)"""
-
-
-def baskets(spark, sf_dir, active="index"):
-    _, e, _, _ = encoded(spark, sf_dir)
-    return e.select("layer", "pos_id", co.features_of(F.col("top"), active).alias("items"))
-
-
 def _edges(spark, sf_dir, least_pmi=0.3):
     return co.pmi_edges(baskets(spark, sf_dir), "items", ["layer"], least_count=5, least_pmi=least_pmi)
 
@@ -252,68 +240,65 @@ def module_statistics(spark, sf_dir):
     return round_doubles(modules.module_stats(members, edges, feature_genes(e), annotations(spark, sf_dir)))
 
 
-FIXED = "fixed AS (SELECT CAST(l AS INT) AS layer, CAST(f % 5 AS INT) AS module_id, CAST(f AS BIGINT) AS feature FROM range(2) a(l), range(60) b(f))"
+MODS = MODULES + ", mods AS (SELECT * FROM fm)"
 ANN = CHAIN
 
 
-def fixed_modules(spark):
-    f = spark.range(60).select(F.col("id").alias("feature"))
-    return f.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("layer"), (F.col("feature") % 5).cast("int").alias("module_id"), "feature")
-
-
 @query(
-    "WITH " + ACTS + PAIRS + "," + FIXED + "," + ANN + """,
+    "WITH RECURSIVE " + ACTS + MODS + "," + ANN + """,
 tm AS (SELECT layer, module_id, ontology, term, n_features, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY layer, module_id, ontology ORDER BY n_features DESC, term) AS r FROM
-      (SELECT f.layer, module_id, ontology, term, count(*) AS n_features FROM fixed f JOIN (SELECT DISTINCT layer, feature, ontology, term FROM ann) n ON f.layer = n.layer AND f.feature = n.feature GROUP BY ALL)) WHERE r <= 5)
+      (SELECT f.layer, module_id, ontology, term, count(*) AS n_features FROM mods f JOIN (SELECT DISTINCT layer, feature, ontology, term FROM ann) n ON f.layer = n.layer AND f.feature = n.feature GROUP BY ALL)) WHERE r <= 5)
 SELECT * FROM tm"""
 )
 def module_terms(spark, sf_dir):
-    return modules.module_terms(fixed_modules(spark), annotations(spark, sf_dir)).select("layer", "module_id", "ontology", "term", "n_features", "rank")
+    return modules.module_terms(linked_modules(spark, sf_dir), annotations(spark, sf_dir)).select("layer", "module_id", "ontology", "term", "n_features", "rank")
 
 
 @query(
-    "WITH " + ACTS + "," + FIXED + "," + ANN + """,
-t AS (SELECT layer, module_id, ontology, first(term ORDER BY n DESC, term) AS term FROM (SELECT f.layer, module_id, ontology, term, count(*) AS n FROM fixed f JOIN (SELECT DISTINCT layer, feature, ontology, term FROM ann) a ON f.layer = a.layer AND f.feature = a.feature GROUP BY ALL) GROUP BY ALL)
+    "WITH RECURSIVE " + ACTS + MODS + "," + ANN + """,
+t AS (SELECT layer, module_id, ontology, first(term ORDER BY n DESC, term) AS term FROM (SELECT f.layer, module_id, ontology, term, count(*) AS n FROM mods f JOIN (SELECT DISTINCT layer, feature, ontology, term FROM ann) a ON f.layer = a.layer AND f.feature = a.feature GROUP BY ALL) GROUP BY ALL)
 SELECT layer, module_id, coalesce(max(CASE WHEN ontology = 'GO_BP' THEN term END), max(CASE WHEN ontology = 'Reactome' THEN term END), max(CASE WHEN ontology = 'KEGG' THEN term END)) AS label FROM t GROUP BY layer, module_id"""
 )
 def module_labels(spark, sf_dir):
-    return modules.module_labels(modules.module_terms(fixed_modules(spark), annotations(spark, sf_dir)), ["GO_BP", "Reactome", "KEGG"])
+    return modules.module_labels(modules.module_terms(linked_modules(spark, sf_dir), annotations(spark, sf_dir)), ["GO_BP", "Reactome", "KEGG"])
 
 
 @query(
-    "WITH " + ACTS + "," + FIXED + "," + ANN + """, k AS (SELECT DISTINCT layer, CAST(feature AS BIGINT) AS feature FROM ann)
-SELECT f.layer, f.feature, f.module_id FROM fixed f ANTI JOIN k ON f.layer = k.layer AND f.feature = k.feature
-WHERE EXISTS (SELECT 1 FROM fixed g JOIN k ON g.layer = k.layer AND g.feature = k.feature WHERE g.layer = f.layer AND g.module_id = f.module_id)"""
+    "WITH RECURSIVE " + ACTS + MODS + "," + ANN + """, k AS (SELECT DISTINCT layer, CAST(feature AS BIGINT) AS feature FROM ann)
+SELECT f.layer, f.feature, f.module_id FROM mods f ANTI JOIN k ON f.layer = k.layer AND f.feature = k.feature
+WHERE EXISTS (SELECT 1 FROM mods g JOIN k ON g.layer = k.layer AND g.feature = k.feature WHERE g.layer = f.layer AND g.module_id = f.module_id)"""
 )
 def guilt_by_association(spark, sf_dir):
-    return modules.guilt_by_association(fixed_modules(spark), annotations(spark, sf_dir)).select("layer", "feature", "module_id")
+    return modules.guilt_by_association(linked_modules(spark, sf_dir), annotations(spark, sf_dir)).select("layer", "feature", "module_id")
 
 
 @query(
-    "WITH " + ACTS + "," + FIXED + """ SELECT f.layer, f.module_id, 'token_' || gene_id AS gene_name, count(DISTINCT f.feature) AS n FROM fixed f JOIN genes g ON f.layer = g.layer AND f.feature = g.feature
-    WHERE g.rank <= 3 GROUP BY ALL HAVING count(DISTINCT f.feature) >= greatest(2, 0.3 * 12)"""
+    "WITH RECURSIVE " + ACTS + MODS + """ SELECT f.layer, f.module_id, 'token_' || gene_id AS gene_name, count(DISTINCT f.feature) AS n FROM mods f JOIN genes g ON f.layer = g.layer AND f.feature = g.feature
+    JOIN (SELECT layer, module_id, count(*) AS s FROM mods GROUP BY ALL) z ON z.layer = f.layer AND z.module_id = f.module_id
+    WHERE g.rank <= 3 GROUP BY f.layer, f.module_id, gene_id HAVING count(DISTINCT f.feature) >= greatest(2, 0.3 * any_value(s))"""
 )
 def module_consensus_genes(spark, sf_dir):
     acts, _ = long(spark, sf_dir)
-    return modules.consensus_genes(fixed_modules(spark), catalog.top_genes(acts, k=3))
+    return modules.consensus_genes(linked_modules(spark, sf_dir), catalog.top_genes(acts, k=3))
 
 
 @query(
-    "WITH " + ACTS + "," + FIXED + "," + ANN + """, k AS (SELECT DISTINCT layer, feature FROM ann), u AS (SELECT layer, feature FROM stats ANTI JOIN k USING (layer, feature))
-SELECT layer, count(*) AS n_unannotated, CAST(sum((feature < 20)::INT) AS BIGINT) AS n_clustered, CAST(sum((feature < 60)::INT) AS BIGINT) AS n_guilty, CAST(sum((feature >= 60)::INT) AS BIGINT) AS n_isolated FROM u GROUP BY layer"""
+    "WITH RECURSIVE " + ACTS + MODS + "," + ANN + """, k AS (SELECT DISTINCT layer, feature FROM ann), u AS (SELECT layer, feature FROM stats ANTI JOIN k USING (layer, feature)),
+w AS (SELECT u.layer, m.feature IS NOT NULL AS inside, EXISTS (SELECT 1 FROM mods o JOIN k ON o.layer = k.layer AND o.feature = k.feature WHERE o.layer = m.layer AND o.module_id = m.module_id) AS guilty
+      FROM u LEFT JOIN mods m ON m.layer = u.layer AND m.feature = u.feature)
+SELECT layer, count(*) AS n_unannotated, CAST(sum(inside::INT) AS BIGINT) AS n_clustered, CAST(sum((inside AND guilty)::INT) AS BIGINT) AS n_guilty, CAST(sum((NOT inside)::INT) AS BIGINT) AS n_isolated FROM w GROUP BY layer"""
 )
 def novel_categories(spark, sf_dir):
     acts, pos = long(spark, sf_dir)
     stats = catalog.feature_stats(acts, pos, 2 * HALF)
-    fixed = fixed_modules(spark)
-    ann = annotations(spark, sf_dir)
-    return modules.categorise(stats, ann, fixed.where("feature < 20"), modules.guilt_by_association(fixed, ann))
+    members, ann = linked_modules(spark, sf_dir), annotations(spark, sf_dir)
+    return modules.categorise(stats, ann, members, modules.guilt_by_association(members, ann))
 
 
-@query("WITH " + ACTS + "," + FIXED + " SELECT s.layer, s.feature, coalesce(f.module_id, -1) AS module_id FROM stats s LEFT JOIN fixed f ON s.layer = f.layer AND s.feature = f.feature")
+@query("WITH RECURSIVE " + ACTS + MODS + " SELECT s.layer, s.feature, coalesce(f.module_id, -1) AS module_id FROM stats s LEFT JOIN mods f ON s.layer = f.layer AND s.feature = f.feature")
 def module_of_feature(spark, sf_dir):
     acts, pos = long(spark, sf_dir)
-    return modules.feature_modules(catalog.feature_stats(acts, pos, 2 * HALF).select("layer", "feature"), fixed_modules(spark))
+    return modules.feature_modules(catalog.feature_stats(acts, pos, 2 * HALF).select("layer", "feature"), linked_modules(spark, sf_dir))
 
 
 @query("WITH " + ACTS + "," + ANN + " SELECT layer, feature, first(term ORDER BY p_adjusted, seq) AS label, first(term ORDER BY seq) FILTER (ontology IN ('GO_BP', 'KEGG')) AS first_label FROM ann GROUP BY layer, feature")

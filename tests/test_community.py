@@ -72,3 +72,11 @@ def test_defined_cases(spark):
     assert community.leiden(edges.limit(0)).count() == 0
     pmi = edges.where("layer = 0").select("layer", "i", "j", F.col("w").alias("pmi"))
     assert sorted(map(tuple, modules.communities(pmi).collect())) == [(0, 0, 1), (0, 0, 2), (0, 0, 3)]
+
+
+def test_linked_modules(spark):
+    rows = [(0, 1, 2), (0, 2, 5), (0, 7, 8), (1, 1, 2), (1, 3, 2), (1, 9, 4), (1, 4, 6), (1, 6, 9)]
+    edges = spark.createDataFrame(rows, "layer int, i int, j int")
+    got = sorted(map(tuple, modules.linked_modules(edges).collect()))
+    assert got == [(0, 0, 1), (0, 0, 2), (0, 0, 5), (1, 0, 1), (1, 0, 2), (1, 0, 3), (1, 1, 4), (1, 1, 6), (1, 1, 9)]
+    assert modules.linked_modules(edges.limit(0)).count() == 0
