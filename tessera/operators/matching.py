@@ -124,11 +124,14 @@ def gene_overlap_of_matches(matches: DataFrame, genes_a: DataFrame, genes_b: Dat
     return both.select(j.alias("j")).agg(F.count("*").alias("n"), F.avg("j").alias("mean"), F.median("j").alias("median"))
 
 
-def all_abs_cosine(vectors: DataFrame) -> DataFrame:
+def all_abs_cosine(vectors: DataFrame, most: int = 100) -> DataFrame:
     """(n, mean_abs_cosine) over all pairs of (id, vec) rows, the pairs of a row with itself counting 0: for dictionaries
-    of up to a hundred features, whose matrix of cosines is one small aggregate."""
+    of up to ``most`` features, whose matrix of cosines is one small aggregate. More rows are an error, not left out:
+    ``sampled_abs_cosine`` is for them."""
+    if vectors.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} vectors: take sampled_abs_cosine")
     left, right = vectors.select(F.col("id").alias("i"), F.col("vec").alias("x")), vectors.select(F.col("id").alias("j"), F.col("vec").alias("y"))
-    pairs = left.crossJoin(F.broadcast(right.limit(100)))  # a hundred rows at most
+    pairs = left.crossJoin(F.broadcast(right))  # a counted number of rows
     c = F.when(F.col("i") == F.col("j"), 0.0).otherwise(F.abs(cosine(F.col("x"), F.col("y"))))
     return pairs.agg(F.countDistinct("i").alias("n"), F.avg(c).alias("mean_abs_cosine"))
 
