@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.stats import pmi
 from tessera.operators.catalog import top_k
+from tessera.session import materialize
 
 
 def features_of(top: Column, active: str) -> Column:
@@ -38,13 +39,23 @@ def pmi_edges(baskets: DataFrame, items: str, by: list[str], least_count: int =
 
 
 def cross_layer_edges(a: DataFrame, b: DataFrame, keys: list[str], least_item: int = 0, least_pair: int = 1, least_pmi: float | None = None) -> DataFrame:
-    """(a, b, n_a, n_b, n, pmi): k x k pairs at each position that both layers hold; ``a``/``b``: (keys, items)."""
+    """(a, b, n_a, n_b, n, pmi): k x k pairs at each position that both layers hold; ``a``/``b``: (keys, items).
+
+    Pairs, single items and positions are counted in one aggregate, so the two sides are joined once; over a store bucketed by
+    the keys (``sources.store``) that aggregate's shuffle of partial counts is the only one. The counts, bounded by the
+    pairs of features, are written."""
     both = a.select(*keys, F.col("items").alias("xs")).join(b.select(*keys, F.col("items").alias("ys")), keys)
-    pairs = F.flatten(F.transform("xs", lambda x: F.transform("ys", lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    counts = both.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n")).where(F.col("n") >= least_pair)
-    n_a = both.select(F.explode("xs").alias("a")).groupBy("a").agg(F.count("*").alias("n_a")).where(F.col("n_a") >= least_item)
-    n_b = both.select(F.explode("ys").alias("b")).groupBy("b").agg(F.count("*").alias("n_b")).where(F.col("n_b") >= least_item)
-    total = both.agg(F.count("*").alias("total"))
+    one = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("a"), y.alias("b"))
+    item = dict(both.dtypes)["xs"][len("array<") : -1]
+    none = F.lit(None).cast(item)
+    pairs = F.flatten(F.transform("xs", lambda x: F.transform("ys", lambda y: one(2, x, y))))
+    singles = F.concat(F.transform("xs", lambda x: one(0, x, none)), F.transform("ys", lambda y: one(1, none, y)))
+    every = both.select(F.explode(F.concat(pairs, singles, F.array(one(3, none, none)))).alias("p"))
+    counted = materialize(every.groupBy("p.kind", "p.a", "p.b").agg(F.count("*").alias("n")), "pair-counts")
+    counts = counted.where((F.col("kind") == 2) & (F.col("n") >= least_pair)).select("a", "b", "n")
+    n_a = counted.where((F.col("kind") == 0) & (F.col("n") >= least_item)).select("a", F.col("n").alias("n_a"))
+    n_b = counted.where((F.col("kind") == 1) & (F.col("n") >= least_item)).select("b", F.col("n").alias("n_b"))
+    total = counted.where(F.col("kind") == 3).select(F.col("n").alias("total"))
     edges = counts.join(n_a, "a").join(n_b, "b").crossJoin(F.broadcast(total))  # one row
     edges = edges.withColumn("pmi", pmi(F.col("n"), F.col("n_a"), F.col("n_b"), F.col("total"))).drop("total")
     return edges if least_pmi is None else edges.where(F.col("pmi") >= least_pmi)

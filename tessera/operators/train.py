@@ -133,13 +133,15 @@ def train_sae(rows: DataFrame, mean: np.ndarray, n_features: int, k: int, epochs
     return Dictionary(p["enc"], p["b"], p["dec"].T.copy(), k), log
 
 
-def tf_idf(terms: DataFrame, doc: str = "feature", term: str = "term") -> DataFrame:
-    """(doc, term, weight): term frequency (rows, or their sum of ``n`` where there is such a column) times
-    ln((1 + n) / (1 + df)) + 1, each document scaled to length 1."""
+def tf_idf(terms: DataFrame, doc: str = "feature", term: str = "term", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, doc, term, weight): term frequency (rows, or their sum of ``n`` where there is such a column) times
+    ln((1 + n) / (1 + df)) + 1, each document scaled to length 1; every ``by`` is a collection of its own."""
     times = F.sum("n") if "n" in terms.columns else F.count("*")
-    tf = terms.groupBy(doc, term).agg(times.alias("tf"))
-    n = terms.select(doc).distinct().agg(F.count("*").alias("n"))
-    df = tf.groupBy(term).agg(F.count("*").alias("df"))
-    raw = tf.join(df, term).crossJoin(F.broadcast(n)).withColumn("raw", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))  # one row
-    length = raw.groupBy(doc).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
-    return raw.join(length, doc).select(doc, term, (F.col("raw") / F.col("length")).alias("weight"))
+    tf = terms.groupBy(*by, doc, term).agg(times.alias("tf"))
+    n = F.broadcast(terms.select(*by, doc).distinct().groupBy(*by).agg(F.count("*").alias("n")))  # a row a collection
+    df = tf.groupBy(*by, term).agg(F.count("*").alias("df"))
+    counted = tf.join(df, [*by, term])
+    counted = counted.join(n, list(by)) if by else counted.crossJoin(n)
+    raw = counted.withColumn("raw", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    length = raw.groupBy(*by, doc).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
+    return raw.join(length, [*by, doc]).select(*by, doc, term, (F.col("raw") / F.col("length")).alias("weight"))

@@ -11,6 +11,7 @@ from tessera.plans.book import book
 from tessera.plans.features import ACTS, encoded, long, round_doubles
 from tessera.plans.linked import MODULES, PAIRS, baskets, linked_modules
 from tessera.session import materialize, table
+from tessera.sources import store
 from tessera.sources.tables import HALF, document_tokens
 
 QUERIES, SQL, query = book()
@@ -54,6 +55,14 @@ def cross_layer_pmi(spark, sf_dir):
     return round_doubles(_cross(spark, sf_dir))
 
 
+@query("WITH " + ACTS + CROSS + " SELECT a, b, n_a, n_b, n, round(pmi, 6) AS pmi FROM ce")
+def stored_cross_layer_pmi(spark, sf_dir):
+    """The same from a store bucketed by position: the layers meet without a shuffle."""
+    held = store.create(baskets(spark, sf_dir), "baskets", ["pos_id"])
+    edges = co.cross_layer_edges(store.layer(held, 0), store.layer(held, 1), ["pos_id"], least_item=1, least_pair=5)
+    return round_doubles(edges.withColumn("pmi", F.round("pmi", 9)))
+
+
 @query(
     "WITH " + ACTS + CROSS + """ SELECT a, any_value(c) AS n_dependencies, round(max(pmi), 6) AS max_pmi, round(avg(CASE WHEN r <= 5 THEN pmi END), 6) AS mean_pmi_top, max(pmi) > 1.0 AS is_highway,
     string_agg(b, ',' ORDER BY r) AS top FROM (SELECT *, count(*) OVER (PARTITION BY a) AS c FROM ranked) WHERE r <= 10 GROUP BY a"""

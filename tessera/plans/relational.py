@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalars
 from tessera.operators import coactivation as co
 from tessera.operators import sampling, serve, tokenize
+from tessera.operators.quantiles import exact_medians
 from tessera.plans.book import book
 from tessera.plans.features import round_doubles
 from tessera.session import table
@@ -208,3 +209,9 @@ def streamed_totals(spark, sf_dir):
     root = shared_path(spark, "stream")
     acts.write.parquet(f"{root}/in")
     return round_doubles(catalog_stream.update(spark, f"{root}/in", acts.schema, f"{root}/sums", f"{root}/checkpoint"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(l_extendedprice) AS n, round(median(l_extendedprice), 6) AS median FROM lineitem GROUP BY ALL")
+def price_medians(spark, sf_dir):
+    """Exact medians of groups that are larger than a task should sort."""
+    return round_doubles(exact_medians(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", most=1000))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.operators import layout, catalog, encode, matching, modules, perturb, sampling, serve, train
+from tessera.operators import catalog, embed, encode, layout, matching, modules, perturb, sampling, serve, train
 from tessera.operators import coactivation as co
 from tessera.plans.annotation import CHAIN, annotations
 from tessera.plans.book import book
@@ -231,3 +231,11 @@ def feature_positions(spark, sf_dir):
     members = materialize(modules.communities(edges), "members")
     stats = catalog.feature_stats(acts, pos, N_FEATURES)
     return round_doubles(layout.positions(stats, members))
+
+
+@query()
+def annotated_feature_map(spark, sf_dir):
+    """The view of annotated features: those with like terms lie near each other, layer by layer."""
+    terms = annotations(spark, sf_dir).select("layer", "feature", F.concat_ws(":", "ontology", "term").alias("term"))
+    vectors = materialize(embed.sparse_vectors(train.tf_idf(terms, by=("layer",))), "term-vectors")
+    return round_doubles(embed.embed(vectors, embed.nearest_neighbours(vectors)))
