@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import enrich, serve, tokenize, train
+from tessera.operators import enrich, search, serve, tokenize, train
 from tessera.operators.catalog import top_k
 from tessera.plans.book import book
 from tessera.plans.features import FISHER, round_doubles
 from tessera.plans.graphs import TOPTOK, top_tokens
-from tessera.session import materialize, table
+from tessera.session import materialize, shared_path, table
 from tessera.sources.tables import document_tokens, expression, gene_sets, genes
 
 QUERIES, SQL, query = book()
@@ -149,3 +149,11 @@ def exclusive_terms(spark, sf_dir):
     t = _tests(spark, sf_dir).where("ontology = 'letter'")
     own = F.col("source").isin("src0", "src1")
     return t.where(own).select("term").distinct().subtract(t.where(~own & F.col("significant")).select("term"))
+
+
+@query(TOPTOK + " SELECT DISTINCT token AS name FROM tok WHERE contains(lower(token), 'men')")
+def tokens_containing(spark, sf_dir):
+    """All tokens of all documents that contain a text, by the trigram index."""
+    path = shared_path(spark, "names")
+    search.build(document_tokens(spark, sf_dir).select(F.col("token").alias("name")), path)
+    return search.containing(spark, path, " MEN ")

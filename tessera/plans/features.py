@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tessera.functions import scalars
 from tessera.operators import catalog, encode, enrich, matching, perturb, tokenize, train
 from tessera.plans.book import book
-from tessera.session import materialize, table
+from tessera.session import materialize, shared_path, table
 from tessera.sources.tables import HALF, activations
+from tessera.streaming import gene_stream
 
 QUERIES, SQL, query = book()
 K, N_FEATURES = 8, 2 * HALF
@@ -301,3 +302,12 @@ def trained_autoencoder(spark, sf_dir):
 def feature_labels(spark, sf_dir):
     s = catalog.feature_stats(*long(spark, sf_dir), N_FEATURES).where("layer = 0")
     return s.select(scalars.feature_label(F.col("layer"), F.col("feature")).alias("label"), scalars.percent(F.round(F.col("activation_freq") * 1000) / 1000).alias("freq"), scalars.thousands(F.col("fire_count")).alias("fires"))
+
+
+@query("WITH " + ACTS + " SELECT layer, feature, n_unique_genes, rank, CAST(gene_id AS BIGINT) AS gene_id, round(genes.mean_activation, 6) AS mean_activation, genes.fire_count AS fire_count FROM genes JOIN stats USING (layer, feature)")
+def streamed_top_genes(spark, sf_dir):
+    """Distinct genes and top genes of every feature by the stream's keyed state."""
+    acts = long(spark, sf_dir)[0].select("layer", "feature", "gene_id", "act")
+    root = shared_path(spark, "gene-stream")
+    acts.write.parquet(f"{root}/in")
+    return round_doubles(gene_stream.update(spark, f"{root}/in", acts.schema, f"{root}/out", f"{root}/checkpoint"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.operators import catalog, embed, encode, layout, matching, modules, perturb, sampling, serve, train
+from tessera.operators import catalog, embed, encode, layout, matching, modules, perturb, sampling, serve, train, wide
 from tessera.operators import coactivation as co
 from tessera.plans.annotation import CHAIN, annotations
 from tessera.plans.book import book
@@ -239,3 +239,11 @@ def annotated_feature_map(spark, sf_dir):
     terms = annotations(spark, sf_dir).select("layer", "feature", F.concat_ws(":", "ontology", "term").alias("term"))
     vectors = materialize(embed.sparse_vectors(train.tf_idf(terms, by=("layer",))), "term-vectors")
     return round_doubles(embed.embed(vectors, embed.nearest_neighbours(vectors)))
+
+
+@query()
+def wide_axis_shares(spark, sf_dir):
+    """Of each layer the ten leading axes' shares of all variance, by the range finder."""
+    a = activations(spark, sf_dir)
+    shares = [(n, i, float(v)) for n in range(2) for i, v in enumerate(wide.wide_axes(a.where(F.col("layer") == n), 10)[1])]
+    return round_doubles(spark.createDataFrame(shares, "layer int, axis int, share double"))
