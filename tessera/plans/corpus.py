@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import enrich, search, serve, tokenize, train
+from tessera.operators import embed, enrich, search, serve, tokenize, train
 from tessera.operators.catalog import top_k
 from tessera.plans.book import book
 from tessera.plans.features import FISHER, round_doubles
@@ -157,3 +157,11 @@ def tokens_containing(spark, sf_dir):
     path = shared_path(spark, "names")
     search.build(document_tokens(spark, sf_dir).select(F.col("token").alias("name")), path)
     return search.containing(spark, path, " MEN ")
+
+
+@query()
+def document_map(spark, sf_dir):
+    """Documents with like leading tokens lie near each other: all documents by their twenty most frequent tokens."""
+    terms = top_tokens(spark, sf_dir).select(F.lit(0).alias("layer"), F.col("doc_id").alias("feature"), F.col("token").alias("term"))
+    vectors = materialize(embed.sparse_vectors(train.tf_idf(terms, by=("layer",))), "token-vectors")
+    return round_doubles(embed.embed(vectors, embed.nearest_neighbours(vectors)).select(F.col("feature").alias("doc_id"), "x", "y"))
