@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import materialize
+from tessera.session import materialize, release
 
 
 #: Keys that hold more than this part of all rows are joined by broadcast; there can't be more of them than that.
@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Nodes are of any type with an order. Alternating large-star and small-star steps: each is one aggregation to the
     smallest neighbour and one join, in which the nodes with most neighbours are broadcast; the number of rounds grows with
-    the logarithm of the longest path. Every round is written to the shared folder. If ``max_rounds`` pass without two
+    the logarithm of the longest path. Every round is written to the shared folder, and the one before it goes. If ``max_rounds`` pass without two
     equal ones in a row, that is an error: unfinished stars are no components. Null ends and self-loops are ignored."""
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v").distinct()
     now = materialize(pairs, "cc")
@@ -41,9 +41,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "cc-least")
         large = hub_join(both.where("v > u"), least, "u", "n", 2 * last.n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = materialize(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "cc-large")
-        least = materialize(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "cc-least")
-        small = hub_join(down, least, "u", "n", last.n).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = materialize(small.where("u <> v").distinct(), "cc")
+        centre = materialize(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "cc-least")
+        small = hub_join(down, centre, "u", "n", last.n).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(centre.select("u", F.col("m").alias("v")))
+        before, now = now, materialize(small.where("u <> v").distinct(), "cc")
+        release(before, least, down, centre)
         mark = marked(now)
         if mark == last:
             break
