@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.words import mix, window_hashes, words
 from tessera.operators.graph import connected_components, hub_join
-from tessera.session import materialize
+from tessera.session import materialize, release
 
 SEED = 42
 GROUP = 50_000
@@ -453,19 +453,23 @@ def links_between_parts(parts: DataFrame, rejected: DataFrame, texts: DataFrame,
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_bits: int = NEAR_BITS, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """One row per document: id, component_id (the smallest id that verified links reach)."""
-    found = simhash(docs, id_col, text_col, shingle, width, keep_text=True)
-    prints = prints_of(found.drop("text"))
+    with_text = simhash(docs, id_col, text_col, shingle, width, keep_text=True)
+    found = materialize(with_text.drop("text"), "simhash-rows")
+    prints = prints_of(found)
     candidates = materialize(links(prints.select("node", "fp"), max_bits, width).distinct(), "simhash-candidates")
     ends = candidates.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     # all texts of one print are alike: any of them stands for it
-    texts = materialize(found.join(ends, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "simhash-texts")
+    texts = materialize(with_text.join(ends, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "simhash-texts")
+    release(with_text)  # texts without a candidate are read by nobody any more
     accepted = materialize(verified(candidates, texts, shingle, similarity), "simhash-verified")
     components = materialize(connected_components(accepted), "simhash-parts")
     rejected = candidates.join(accepted, ["src", "dst"], "left_anti")
     more = links_between_parts(components.withColumnRenamed("component", "part"), rejected, texts, prints, shingle, similarity, max_bits, block)
     if more is not None:  # a part is named by one of its nodes
+        more = materialize(more, "simhash-more")
         components = connected_components(components.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more))
-    return name_components(found.drop("text"), prints, components).select(F.col("id").alias(id_col), "component_id")
+    release(texts, candidates)
+    return name_components(found, prints, components).select(F.col("id").alias(id_col), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
