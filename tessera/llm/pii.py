@@ -16,7 +16,7 @@ the threshold, nor one with too few documents for the evidence, nor an entity in
 before (entity, term) pairs are made, exactly. Words inside an entity's own text count as words of the document, but never
 become spans of their own. Positions are code points, end exclusive. Patterns match leftmost, without overlap a kind;
 matches that fail their kind's check (IP parts to 255, card length and Luhn, phone digits) are dropped without a retry. A
-secret that overlaps another entity is no span.
+secret that overlaps another entity is no span. The work on a text grows with its length and its number of spans.
 
 Defined cases: null text is empty; a text of any length is read whole; rows that repeat are reported each; texts that are
 equal count once for support; terms with equal counts fare alike; an empty table gives an empty result; only the named
@@ -50,6 +50,8 @@ SIGNS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]
 TERM = r"\p{L}{3,}"
 BROADCAST_PAIRS = 200_000
 MARGIN = 7.0
+#: Code points that are passed over, at most, to find one within a text.
+CHUNK = 256
 MATCH = "array<struct<kind:string,i:int,value:string,gap:int>>"
 
 
@@ -168,13 +170,17 @@ def term_spans(scanned: DataFrame, base: DataFrame, pairs: DataFrame) -> DataFra
     return placed.join(pairs.select("term", "entity"), "term").join(own, ["row", "entity"], "left_semi").select("row", "start", "stop")
 
 
-def _below(number: int):
-    return lambda x: x["kind"] < number
+def _clear(spans: DataFrame, first: int, last: int) -> DataFrame:
+    """``spans`` without those of kinds ``first`` to ``last`` that overlap one of a kind below ``first``.
 
-
-def _clear_of(own: Column, first: int, last: int):
-    """Spans of other kinds than ``first`` to ``last``, and those of these that overlap none of ``own``."""
-    return lambda x: ~x["kind"].between(first, last) | ~F.exists(own, lambda y: (x["start"] < y["stop"]) & (y["start"] < x["stop"]))
+    Of those, the furthest stop among the ones that start no later, and the next start, tell whether any overlaps; both
+    are running values, so the work grows with the spans of a text and not with their pairs."""
+    stronger = F.col("kind") < first
+    reach = F.max(F.when(stronger, F.col("stop"))).over(W.partitionBy("row").orderBy("start"))
+    upcoming = F.min(F.when(stronger, F.col("start"))).over(W.partitionBy("row").orderBy(F.desc("start")))
+    met = F.coalesce((reach > F.col("start")) | (upcoming < F.col("stop")), F.lit(False))
+    seen = spans.withColumn("met", F.col("kind").between(first, last) & met)
+    return seen.where(~F.col("met")).drop("met")
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.95, support: int = 3) -> DataFrame:
@@ -187,10 +193,10 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     terms = term_spans(scanned, base, F.broadcast(pairs) if small else pairs)  # of a counted size
     number = F.coalesce(*[F.when(F.col("kind") == k, i) for i, k in enumerate(KINDS)])
     spans = base.select("row", number.alias("kind"), "start", "stop").unionByName(terms.withColumn("kind", F.lit(ENTITIES)))
-    grouped = spans.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("kind", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop")))).alias("found"))
     # what overlaps a span of a stronger class is no span: base before secrets before terms
     for first, last in ((BASE, ENTITIES - 1), (ENTITIES, ENTITIES)):
-        grouped = grouped.withColumn("own", F.filter("found", _below(first))).select("row", F.filter("found", _clear_of(F.col("own"), first, last)).alias("found"))
+        spans = _clear(spans, first, last)
+    grouped = spans.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("kind", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop")))).alias("found"))
     joined = scanned.select("row", "id", "text").join(grouped, "row", "left")
     clean = F.when(F.size("found") > 0, sanitise(F.col("text"), F.col("found")))
     return joined.select(F.col("id").alias(id_col), F.coalesce("found", F.array().cast("array<struct<kind:int,start:bigint,stop:bigint>>")).alias("found"), clean.alias("clean"))
@@ -207,12 +213,37 @@ def count_of(found: Column, kind: str) -> Column:
 
 
 def sanitise(text: Column, found: Column, remove: bool = False) -> Column:
-    """``text`` with every span generalised to its kind in brackets, or removed. Of overlapping spans the first counts."""
+    """``text`` with every span generalised to its kind in brackets, or removed. Spans that overlap go as one, which has
+    the kind of the first.
+
+    In one pass: the text is cut into chunks of ``CHUNK`` code points, and what stays is put together from slices of
+    them. With starts and stops sorted apart, the i-th start lies outside all spans before it if the stop before it in
+    order is no later, and that stop is where the text in between begins."""
     names = F.array(*[F.lit("" if remove else f"[{k.upper()}]") for k in KINDS])
-    by_start = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind"))))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    step = lambda a, x: F.when(x["start"] < a["at"], a).otherwise(
-        F.struct(F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.element_at(names, x["kind"] + 1)).alias("out"), x["stop"].alias("at"))
-    )
-    done = F.aggregate(by_start, start, step)
-    return F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))
+    bound = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  (evaluated once, used often)
+    starts = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind"))))
+    stops = F.array_sort(F.transform(found, lambda x: x["stop"]))
+
+    def between(chunks: Column, lo: Column, hi: Column) -> Column:
+        """The code points from ``lo`` to before ``hi``."""
+        first, last = F.floor(lo / CHUNK).cast("int"), F.floor((hi - 1) / CHUNK).cast("int")
+        into = (lo - first * CHUNK + 1).cast("int")
+        head = F.get(chunks, first)
+        across = F.concat(
+            F.substring(head, into, F.lit(CHUNK)),
+            F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""),
+            F.substring(F.get(chunks, last), F.lit(1), (hi - last * CHUNK).cast("int")),
+        )
+        return F.when(hi <= lo, F.lit("")).when(first == last, F.substring(head, into, (hi - lo).cast("int"))).otherwise(across)
+
+    def put_together(chunks: Column) -> Column:
+        def pieces(ends: Column) -> Column:
+            begun = F.transform(starts, lambda x, i: F.struct(F.coalesce(F.get(ends, i - 1), F.lit(0)).alias("lo"), x["start"].alias("hi"), x["kind"].alias("kind")))
+            outer = F.filter(begun, lambda x: x["lo"] <= x["hi"])
+            body = F.transform(outer, lambda x: F.concat(between(chunks, x["lo"], x["hi"]), F.element_at(names, x["kind"] + 1)))
+            rest = between(chunks, F.coalesce(F.array_max(ends), F.lit(0)), ((F.size(chunks) - 1) * CHUNK + F.length(F.element_at(chunks, -1))).cast("long"))
+            return F.concat(F.array_join(body, ""), rest)
+
+        return bound(stops, pieces)
+
+    return F.when(text == "", text).otherwise(bound(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CHUNK}}}"), 0), put_together))

@@ -2,7 +2,9 @@ import hashlib
 import math
 import random
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import pii
@@ -148,3 +150,72 @@ def test_terms_against_brute_force(spark):
     assert all(got[i] == want[i] for i in range(len(texts)))
     seen = {texts[i][int(s.split(":")[1]) : int(s.split(":")[2])] for i, x in got.items() for s in x}
     assert {"token", "Betamax", "Zephyrine"} <= seen and len(seen) < 8
+
+
+def brute_clean(text, spans, remove=False):
+    out, at, i = [], 0, 0
+    spans = sorted((a, b, k) for k, a, b in spans)
+    while i < len(spans):
+        start, stop, kind = spans[i]
+        while i < len(spans) and spans[i][0] < stop:
+            stop = max(stop, spans[i][1])
+            i += 1
+        out += [text[at:start], "" if remove else f"[{pii.KINDS[kind].upper()}]"]
+        at = stop
+    return "".join(out) + text[at:]
+
+
+def test_sanitised_texts_against_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(300):
+        text = "".join(rng.choice("abé漢🙂\n ") for _ in range(rng.choice((0, 1, 255, 256, 257, 511, 512, 513, 2000))))
+        spans = []
+        for _ in range(rng.choice((0, 1, 3, 30)) if text else 0):
+            a = rng.randrange(len(text))
+            spans.append((rng.randrange(len(pii.KINDS)), a, min(len(text), a + rng.choice((1, 2, 5, 256, 700)))))
+        rows.append((i, text, sorted(set(spans))))
+    docs = spark.createDataFrame(rows, "id long, text string, found array<struct<kind:int,start:bigint,stop:bigint>>")
+    for remove in (False, True):
+        got = {r.id: r.t for r in docs.select("id", pii.sanitise(F.col("text"), F.col("found"), remove).alias("t")).collect()}
+        for i, text, spans in rows:
+            assert got[i] == brute_clean(text, spans, remove), (text, spans)
+
+
+def test_weaker_spans_give_way_against_brute_force(spark):
+    rng = random.Random(13)
+    rows = [(row, rng.randrange(len(pii.KINDS)), a, a + rng.randrange(1, 9)) for row in range(60) for a in (rng.randrange(80) for _ in range(25))]
+    spans = set(rows)
+    for first, last in ((pii.BASE, pii.ENTITIES - 1), (pii.ENTITIES, pii.ENTITIES)):
+        spans = {x for x in spans if not first <= x[1] <= last or not any(y[0] == x[0] and y[1] < first and x[2] < y[3] and y[2] < x[3] for y in spans)}
+    got = spark.createDataFrame(sorted(set(rows)), "row long, kind int, start long, stop long")
+    for first, last in ((pii.BASE, pii.ENTITIES - 1), (pii.ENTITIES, pii.ENTITIES)):
+        got = pii._clear(got, first, last)
+    assert {tuple(r) for r in got.collect()} == spans
+
+
+def test_many_spans_in_one_text(spark):
+    took = []
+    for n in (8_000, 64_000):
+        text = " ".join(f"name{i} <u{i}@host{i % 50}.example.com>, tel" for i in range(n))
+        docs = spark.createDataFrame([(1, text, None, None, 0), (2, "nothing here", None, None, 0)], SCHEMA)
+        began = time.monotonic()
+        got = {r.doc_id: r for r in pii.find_personal_data(docs).collect()}
+        took.append(time.monotonic() - began)
+        assert len(got[1].found) == n and got[2].found == []
+        assert got[1].clean == re.sub(r"<[^>]*>", "<[EMAIL]>", text)
+    assert took[1] < 8 * took[0] + 5  # eight times the spans
+
+
+@pytest.mark.parametrize("kind", range(4))
+def test_terms_beside_each_kind(spark, kind):
+    rng = random.Random(20 + kind)
+    entity = ["joe@corp.example.com", "10.20.30.40", "4111 1111 1111 1111", "+1 (514) 555-8389"][kind]
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(200)]
+    texts = [" ".join(rng.choice(words) for _ in range(20)) + (f" Zephyrine {entity} end" if i % 25 == 0 else "") for i in range(200)]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r for r in found(docs)}
+    for i, t in enumerate(texts):
+        at = t.find("Zephyrine")
+        assert (f"term:{at}:{at + 9}" in got[i].spans.split(",")) == (at >= 0)
+        assert bool(got[i].base) == (at >= 0)
