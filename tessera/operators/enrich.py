@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.scalars import plain_upper
 from tessera.functions.stats import benjamini_hochberg, benjamini_hochberg_ranged, fisher_greater, odds_ratio
 from tessera.session import materialize
 
@@ -22,9 +23,9 @@ def set_overlaps(sets: DataFrame, terms: DataFrame, by: list[str], least: int =
     set, or of any set of the same ``universe`` (some of ``by``, such as the layer); terms are cut to it, else their sizes
     stay raw (and a table may have a negative cell)."""
     universe = list(universe)
-    sets = sets.select(*by, F.upper("gene").alias("gene")).distinct()
+    sets = sets.select(*by, plain_upper(F.col("gene")).alias("gene")).distinct()
     genes = sets.select(*universe, "gene").distinct()
-    terms = terms.select("ontology", "term", F.upper("gene").alias("gene")).distinct()
+    terms = terms.select("ontology", "term", plain_upper(F.col("gene")).alias("gene")).distinct()
     if restrict_to_background:
         terms = terms.join(genes, "gene")
     elif universe:
@@ -58,9 +59,9 @@ def edge_enrichment(sets: DataFrame, edges: DataFrame, by: list[str], directed:
 
     Edges are (a, b); undirected ones are put in order first. Directed ones are probed as (smaller, larger) name, so only
     those that run that way can hit."""
-    sets = sets.select(*by, F.upper("gene").alias("gene")).distinct()
+    sets = sets.select(*by, plain_upper(F.col("gene")).alias("gene")).distinct()
     sizes = sets.groupBy(*by).agg(F.count("*").alias("set_size")).where("set_size >= 3")
-    a, b = F.upper("a"), F.upper("b")
+    a, b = plain_upper(F.col("a")), plain_upper(F.col("b"))
     edges = (edges.select(a.alias("a"), b.alias("b")) if directed else edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))).distinct()
     # an edge meets the sets of its first gene, then those of its second: no pair of genes is made that isn't an edge
     first = sets.withColumnRenamed("gene", "a").join(edges, "a").where("a < b")

@@ -87,6 +87,15 @@ def test_edges_within_sets(spark):
     assert enrich.edge_enrichment(sets, edges(("A", "D"), ("D", "B")), ["id"], directed=True).first().n_within == 1
 
 
+def test_names_keep_their_length(spark):
+    sets = spark.createDataFrame([(1, g) for g in ("au\u00df", "und", "die")] + [(2, g) for g in ("auss", "und", "der")], "id int, gene string")
+    edges = spark.createDataFrame([("und", "auss"), ("die", "der")], "a string, b string")
+    assert [(r.id, r.n_within) for r in enrich.edge_enrichment(sets, edges, ["id"]).collect()] == [(2, 1)]
+    words = ["Stra\u00dfe", "\u0149x", "\u1fb3", "e\ufb01", "abc", "\u03c3\u03c2"]
+    got = one(spark, *[scalars.plain_upper(F.lit(w)) for w in words], scalars.plain_lower(F.lit("\u0130X \u0391\u03a3")))
+    assert list(got) == ["STRA\u1e9eE", "\u0149X", "\u1fbc", "E\ufb01", "ABC", "\u03a3\u03a3", "ix \u03b1\u03c3"]
+
+
 def test_best_matches(spark):
     vec = lambda rows: spark.createDataFrame(rows, "id long, vec array<double>")
     a, b = vec([(1, [1.0, 0.0]), (2, [0.0, 1.0])]), vec([(1, [-1.0, 0.0]), (2, [0.6, 0.8])])
