@@ -8,10 +8,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators.encode import Dictionary
-from tessera.session import shared_path
+from tessera.operators.graph import hub_join
+from tessera.session import materialize, shared_path
+
+#: So many terms at most, the most frequent, are broadcast with their document frequencies.
+FREQUENT = 50_000
 
 
 def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -133,15 +138,20 @@ def train_sae(rows: DataFrame, mean: np.ndarray, n_features: int, k: int, epochs
     return Dictionary(p["enc"], p["b"], p["dec"].T.copy(), k), log
 
 
-def tf_idf(terms: DataFrame, doc: str = "feature", term: str = "term", by: tuple[str, ...] = ()) -> DataFrame:
+def tf_idf(terms: DataFrame, doc: str = "feature", term: str = "term", by: tuple[str, ...] = (), counted: bool = False) -> DataFrame:
     """(by, doc, term, weight): term frequency (rows, or their sum of ``n`` where there is such a column) times
-    ln((1 + n) / (1 + df)) + 1, each document scaled to length 1; every ``by`` is a collection of its own."""
+    ln((1 + n) / (1 + df)) + 1, each document scaled to length 1; every ``by`` is a collection of its own. ``counted``
+    terms hold every (by, doc, term) once, with ``n``, and aren't counted again.
+
+    Frequencies are written once. The most frequent terms meet them by broadcast, the others by one shuffle; a second one
+    brings each document together."""
     times = F.sum("n") if "n" in terms.columns else F.count("*")
-    tf = terms.groupBy(*by, doc, term).agg(times.alias("tf"))
-    n = F.broadcast(terms.select(*by, doc).distinct().groupBy(*by).agg(F.count("*").alias("n")))  # a row a collection
-    df = tf.groupBy(*by, term).agg(F.count("*").alias("df"))
-    counted = tf.join(df, [*by, term])
-    counted = counted.join(n, list(by)) if by else counted.crossJoin(n)
-    raw = counted.withColumn("raw", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    length = raw.groupBy(*by, doc).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
-    return raw.join(length, [*by, doc]).select(*by, doc, term, (F.col("raw") / F.col("length")).alias("weight"))
+    tf = terms.select(*by, doc, term, F.col("n").alias("tf")) if counted else terms.groupBy(*by, doc, term).agg(times.alias("tf"))
+    tf = materialize(tf, "term-frequencies")
+    n = F.broadcast(tf.select(*by, doc).distinct().groupBy(*by).agg(F.count("*").alias("n")))  # a row a collection
+    df = materialize(tf.groupBy(*by, term).agg(F.count("*").alias("df")).withColumn("size", F.col("df")), "document-frequencies")
+    met = hub_join(tf, df, [*by, term], "size", df.agg(F.sum("df")).first()[0] or 0, hubs=FREQUENT)
+    met = met.join(n, list(by)) if by else met.crossJoin(n)
+    raw = met.withColumn("raw", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).select(*by, doc, term, "raw")
+    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(*by, doc)))
+    return raw.select(*by, doc, term, (F.col("raw") / length).alias("weight"))
