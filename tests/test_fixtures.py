@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars, stats
-from tessera.operators import catalog, encode, enrich, matching, perturb, sampling, tokenize
+from tessera.operators import catalog, encode, enrich, graph, matching, perturb, sampling, tokenize
 from tessera.operators import coactivation as co
 
 
@@ -159,3 +159,19 @@ def test_similar_sets_against_brute_force(spark):
     for t in (0.15, 0.5):
         want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= t}
         assert {(r.a, r.b) for r in matching.similar_sets(df, t).collect()} == want
+
+
+def test_similar_sets_of_frequent_items_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(matching, "BLOCK", 100)
+    rng = np.random.default_rng(5)
+    kinds = [rng.permutation(70)[:24] for _ in range(12)]
+    sets = {i: frozenset(rng.permutation(kinds[i % 12])[: rng.integers(8, 21)].tolist()) for i in range(700)}
+    df = spark.createDataFrame([(i, f"w{x}") for i, s in sets.items() for x in s], "id long, item string")
+    for t in (0.3, 0.5):
+        want = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= t}
+        rows = matching.similar_sets(df, t).collect()
+        assert len(rows) == len(want) > 5_000 and {(r.a, r.b): r.n_both for r in rows} == want
+        links = [(r.a, r.b) for r in matching.similar_sets(df, t, forest=True).collect()]
+        assert len(links) < 20 * len(sets) and set(links) <= {(a, b) for a in sets for b in sets if a < b}
+        parts = lambda pairs: {r.node: r.component for r in graph.connected_components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()}
+        assert parts(links) == parts(list(want))
