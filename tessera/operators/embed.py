@@ -19,12 +19,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators.catalog import top_k
 from tessera.operators.graph import hub_join
 from tessera.operators.layout import uniform
-from tessera.session import materialize
+from tessera.session import materialize, release
 
 KEY = ["layer", "feature"]
 #: Nodes that are drawn from each other meet in groups of about this many.
@@ -88,6 +89,40 @@ def _both_ways(scored: DataFrame) -> DataFrame:
     return one("a", "b").unionByName(one("b", "a"))
 
 
+def _introduced(met: DataFrame, vectors: DataFrame, graph: DataFrame, k: int) -> DataFrame:
+    """(layer, feature, other, similarity): the members of each list ``met`` (layer, feature, m) scored against each other,
+    unless both were there before, for every node whose ``k`` best they may enter.
+
+    Vectors travel to the lists, not to pairs: a list of m nodes reads m vectors where its pairs would read m (m - 1)."""
+    worst = graph.groupBy(*KEY).agg(F.min("similarity").alias("low"), F.count("*").alias("n"))
+    known = vectors.join(worst, KEY, "left").select("layer", F.col("feature").alias("other"), "codes", "weights", F.when(F.col("n") >= k, F.col("low")).otherwise(-2.0).alias("least"))
+    rows = met.select("layer", F.col("feature").alias("at"), F.explode("m").alias("m")).select("layer", "at", "m.other", "m.new").join(known, ["layer", "other"])
+    buckets = max(1, vectors.count() // 500)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("at"), F.lit(buckets)))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks().sort_by([("layer", "ascending"), ("at", "ascending"), ("other", "ascending")])
+        layer, at, other, new, least = (t.column(c).to_numpy() for c in ("layer", "at", "other", "new", "least"))
+        sides = [t.column(c).combine_chunks() for c in ("codes", "weights")]
+        codes, weights = (c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in sides)
+        ends = np.concatenate([np.nonzero((at[1:] != at[:-1]) | (layer[1:] != layer[:-1]))[0] + 1, [len(at)]])
+        starts, size = np.concatenate([[0], ends[:-1]]), np.diff(codes.offsets.to_numpy())
+        codes, weights, entry = codes.flatten().to_numpy(), weights.flatten().to_numpy(), np.concatenate([[0], np.cumsum(size)])
+        out = []
+        for start, end in zip(starts, ends, strict=True):
+            span = slice(entry[start], entry[end])
+            terms, column = np.unique(codes[span], return_inverse=True)
+            x = np.zeros((end - start, len(terms)))
+            x[np.repeat(np.arange(end - start), size[start:end]), column] = weights[span]
+            dot, o, fresh = np.round(x @ x.T, 12), other[start:end], new[start:end]
+            i, j = np.nonzero((dot >= least[start:end, None]) & (fresh[:, None] | fresh[None, :]) & (o[:, None] != o[None, :]))
+            out.append((layer[start + i], o[i], o[j], dot[i, j]))
+        return pa.table({c: np.concatenate(x) for c, x in zip(("layer", "feature", "other", "similarity"), zip(*out, strict=True), strict=True)})
+
+    schema = graph.select(*KEY, "other", "similarity").schema
+    return rows.groupBy("bucket").applyInArrow(run, schema)
+
+
 def nearest_neighbours(vectors: DataFrame, k: int = 15, sample: int = 10, max_rounds: int = 10, settled: float = 0.002) -> DataFrame:
     """(layer, feature, other, similarity, rank): about the ``k`` nodes of greatest cosine for each node.
 
@@ -101,14 +136,13 @@ def nearest_neighbours(vectors: DataFrame, k: int = 15, sample: int = 10, max_ro
         there = graph.select(*KEY, "other", "new", (~F.col("new")).cast("int").alias("old"), drawn.alias("draw"))
         back = there.select("layer", F.col("other").alias("feature"), F.col("feature").alias("other"), "new", "old", "draw")
         few = lambda links: top_k(links, KEY, ["old", "draw"], sample).select(*KEY, "other", "new")
-        met = few(there).unionByName(few(back)).groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("other", "new"))).alias("m"))
-        m = F.col("m")
-        introduced = F.flatten(F.transform(m, lambda x, at: F.transform(F.filter(F.slice(m, at + 2, F.size(m)), lambda y: (y["new"] | x["new"]) & (y["other"] > x["other"])), lambda y: F.struct(x["other"].alias("a"), y["other"].alias("b")))))
-        pairs = met.select("layer", F.explode(introduced).alias("p")).select("layer", "p.a", "p.b").distinct()
-        known = graph.select("layer", F.least("feature", "other").alias("a"), F.greatest("feature", "other").alias("b")).distinct()
-        found = _both_ways(_scored(pairs.join(known, ["layer", "a", "b"], "left_anti"), vectors)).withColumn("new", F.lit(True))
+        met = few(there).unionByName(few(back)).groupBy(*KEY, "other").agg(F.max("new").alias("new"))
+        met = met.groupBy(*KEY).agg(F.collect_list(F.struct("other", "new")).alias("m"))
+        found = _introduced(met, vectors, graph, k).withColumn("new", F.lit(True))
         held = graph.select(*KEY, "other", "similarity", F.lit(False).alias("new"))
-        graph = materialize(top_k(held.unionByName(found), KEY, order, k), "descent")
+        once = held.unionByName(found).repartition(*KEY).groupBy(*KEY, "other").agg(F.max("similarity").alias("similarity"), F.min("new").alias("new"))
+        before, graph = graph, materialize(top_k(once, KEY, order, k), "descent")
+        release(before)
         counted = graph.agg(F.count("*").alias("n"), F.count_if("new").alias("new")).first()
         if counted.new <= settled * counted.n:
             break
@@ -123,8 +157,10 @@ def _standard(at: DataFrame, size: float) -> DataFrame:
 
 
 def _mean_of_links(links: DataFrame, at: DataFrame, dx: Column, dy: Column) -> DataFrame:
-    ends = links.join(at, KEY).join(at.select("layer", F.col("feature").alias("other"), F.col("x").alias("u"), F.col("y").alias("v")), ["layer", "other"])
-    return ends.groupBy(*KEY).agg(F.avg(dx).alias("lx"), F.avg(dy).alias("ly"))
+    """The means over the links of each node; ``links`` are symmetric lists (layer, feature, others). A node sends its place to
+    its neighbours, so that links are shuffled once, to where they are also added up."""
+    sent = at.join(links, KEY).select("layer", F.explode("others").alias("feature"), F.col("x").alias("u"), F.col("y").alias("v"))
+    return sent.join(at, KEY).groupBy(*KEY).agg(F.avg(dx).alias("lx"), F.avg(dy).alias("ly"))
 
 
 def _repulsion(at: DataFrame, turn: int, negatives: int) -> DataFrame:
@@ -156,7 +192,10 @@ def embed(nodes: DataFrame, neighbours: DataFrame, rounds: int = 12, smooth: int
     the neighbours (either way) by the mean of d / (1 + d^2), away from ``negatives`` drawn nodes by ``push`` times the mean of
     d / ((0.001 + d^2) (1 + d^2)), in steps that shrink. Each round is two joins and two aggregates, and is written."""
     links = neighbours.select(*KEY, "other").unionByName(neighbours.select("layer", F.col("other").alias("feature"), F.col("feature").alias("other"))).distinct()
-    links = materialize(links, "embed-links")
+    # a node with many neighbours has several lists, of some GROUP each
+    part = F.pmod(F.xxhash64("other"), F.ceil(F.count("*").over(W.partitionBy(*KEY)) / GROUP)).alias("part")
+    listed = links.select(*KEY, "other", part).groupBy(*KEY, "part").agg(F.array_sort(F.collect_list("other")).alias("others"))
+    links = materialize(listed.drop("part"), "embed-links")
     nodes = nodes.select(*KEY).distinct()
     sizes = nodes.groupBy("layer").agg(F.count("*").alias("n"))
     at = materialize(_standard(nodes.join(F.broadcast(sizes), "layer").select(*KEY, "n", uniform(F.lit(1), *KEY).alias("x"), uniform(F.lit(2), *KEY).alias("y")), 1.0), "embed")

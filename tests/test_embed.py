@@ -54,6 +54,19 @@ def test_descent_and_places_against_brute_force(spark, monkeypatch):
         assert trust(x, low, k) >= 0.93
 
 
+def test_introductions_against_every_pair(spark):
+    x = planted(60, seed=3)
+    vectors = embed.sparse_vectors(rows_of(spark, {0: x, 1: x[:20]}))
+    rng, sim, k = np.random.default_rng(4), np.round(x @ x.T, 12), 3
+    graph = [(0, i, int(j), float(sim[i, j])) for i in range(60) for j in rng.permutation([j for j in range(60) if j != i])[: 2 if i == 7 else k]]
+    lists = [(0, i, [(int(j), bool(j % 3 == 0)) for j in rng.permutation(60)[:8]]) for i in range(60)] + [(1, 0, [(1, True), (2, False), (4, False)])]
+    low = {i: -2.0 if i == 7 else min(s for _, a, _, s in graph if a == i) for i in range(60)}
+    want = {(layer, a, b) for layer, _, m in lists for a, new in m for b, other in m if a != b and (new or other) and (layer == 1 or sim[a, b] >= low[a])}
+    met = spark.createDataFrame(lists, "layer int, feature long, m array<struct<other: long, new: boolean>>")
+    rows = embed._introduced(met, vectors, spark.createDataFrame(graph, "layer int, feature long, other long, similarity double"), k).collect()
+    assert {(r.layer, r.feature, r.other) for r in rows} == want and all(abs(r.similarity - sim[r.feature, r.other]) < 1e-9 for r in rows)
+
+
 def test_equal_lone_and_no_nodes(spark):
     same = np.zeros((30, 3))
     same[:, 0] = 1
