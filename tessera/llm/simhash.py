@@ -33,6 +33,7 @@ are null; an empty table gives an empty result; only the named columns are read.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -51,10 +52,14 @@ from tessera.session import materialize, release
 SEED = 42
 GROUP = 50_000
 PAIRS = 400_000
+#: Ranges of hashes that are counted before groups are.
+RANGES = 4096
 #: Depths of the trie whose counts of ones are held at a time.
 DEPTHS = 16
 BITS_AT_ONCE = 1 << 15
 STEP = 0x9E3779B97F4A7C15
+#: Keys of wide fingerprints that are joined at a time.
+KEYS = 32
 #: A pair at a similarity of 0.8 differs in this share of its bits; how often the keys may miss it.
 SHARE, MISS = 0.152, 0.004
 
@@ -229,12 +234,23 @@ def trie_links(group: np.ndarray, value: np.ndarray, max_bits: int, across: np.n
     return np.where(more, x, y), np.where(more, y, x)
 
 
-def links(distinct: DataFrame, max_bits: int, width: int = 1, group: int = GROUP) -> DataFrame:
+def links(distinct: DataFrame, max_bits: int, width: int = 1, group: int = GROUP, keys: int | None = None) -> DataFrame:
     """``distinct``: (node, fp), every fingerprint once. (src, dst): links between nodes whose components are those of
-    all links. Of wide fingerprints, close ones are linked before others, and ``dst`` has few links in a group."""
-    passes = 3 if width > 1 else 1
+    all links. Of wide fingerprints, close ones are linked before others, and ``dst`` has few links in a group.
+
+    With ``keys``, so many keys are joined at a time and written, so what lies on disk doesn't grow with their number."""
     n = distinct.count()
     masks = masks_for(n, max_bits, width)
+    turns = -(-len(masks) // (keys or len(masks)))
+    if turns == 1:
+        return links_by_keys(distinct, n, masks, max_bits, width, group)
+    found = [materialize(links_by_keys(distinct, n, masks[turn::turns], max_bits, width, group), "simhash-links") for turn in range(turns)]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def links_by_keys(distinct: DataFrame, n: int, masks: list[list[int]], max_bits: int, width: int, group: int) -> DataFrame:
+    """The links of ``n`` fingerprints that agree on one of the keys ``masks``."""
+    passes = 3 if width > 1 else 1
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     key = lambda i, mask: F.xxhash64(F.lit(i), *[F.col("fp")[k].bitwiseAND(F.lit(signed(m))) for k, m in enumerate(mask) if m])
     keyed = distinct.select("node", "fp", F.posexplode(F.array(*[key(i, m) for i, m in enumerate(masks)])).alias("mask", "key"))
@@ -244,8 +260,10 @@ def links(distinct: DataFrame, max_bits: int, width: int = 1, group: int = GROUP
     byte = F.call_function("shiftrightunsigned", F.col("fp")[0], shift).bitwiseAND(F.lit(255))
     near = [x for x in range(256) if x.bit_count() <= max_bits]
     spread = F.transform(F.array(*map(F.lit, near)), lambda x: F.struct(F.least(F.col("byte"), F.col("byte").bitwiseXOR(x)).alias("a"), F.greatest(F.col("byte"), F.col("byte").bitwiseXOR(x)).alias("b")))
-    sizes = keyed.groupBy("mask", "key").agg(F.count("*").alias("size")).where(F.col("size") > group)
-    if n > group and sizes.limit(1).count():
+    counts = lambda *by: keyed.groupBy(*by).agg(F.count("*").alias("size")).where(F.col("size") > group)
+    sizes = counts("mask", "key")
+    # a group is no larger than the range of hashes that it lies in, and ranges are few
+    if n > group and counts("mask", F.pmod("key", F.lit(RANGES)).alias("range")).limit(1).count() and sizes.limit(1).count():
         flagged = keyed.join(sizes, ["mask", "key"], "left").withColumn("byte", byte)
         alone = F.array(F.struct(F.lit(-1).cast("long").alias("a"), F.lit(-1).cast("long").alias("b")))
         dealt = flagged.withColumn("pair", F.explode(F.when(F.col("size").isNull(), alone).otherwise(spread)))
@@ -318,6 +336,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: similarity of 0.8 differ in 15.2 % (39 bits) on average and in more than 58 once in a thousand cases.
 WIDTH, NEAR_BITS = 4, 58
 SALT = 256
+#: Bits of a bitmap for each key in it.
+SPARSE = 16
 #: Bytes of text, and as many more a row, of a block of a crowd.
 BLOCK, ROW_COST = 4 << 20, 2000
 
@@ -451,15 +471,29 @@ def links_between_parts(parts: DataFrame, rejected: DataFrame, texts: DataFrame,
     return dealt.groupBy("crowd", "one", "two").applyInArrow(run, "src long, dst long")
 
 
+def perhaps_in(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """``rows`` with ``__perhaps``: true where the value is one of ``keys`` (one column, written), and for one in ``SPARSE``
+    of the others. Bitmaps of hashed keys, two bytes a key, meet the rows where they lie, so an exact join that follows
+    moves few rows that it doesn't need."""
+    width = max(1, SPARSE * keys.count())
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(width)) + 1
+    hashed = keys.select(place(F.col(f"`{keys.columns[0]}`")).alias("at"))
+    bitmaps = hashed.groupBy(F.bitmap_bucket_number("at").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__bits"))
+    at = rows.withColumn("__at", place(F.col(f"`{column}`"))).withColumn("__bucket", F.bitmap_bucket_number("__at")).withColumn("__at", F.bitmap_bit_position("__at").cast("int"))
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, F.col("__at") % 8).bitwiseAND(F.lit(1)) == 1
+    return at.join(F.broadcast(bitmaps), "__bucket", "left").withColumn("__perhaps", F.coalesce(bit, F.lit(False))).drop("__at", "__bucket", "__bits")
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_bits: int = NEAR_BITS, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """One row per document: id, component_id (the smallest id that verified links reach)."""
     with_text = simhash(docs, id_col, text_col, shingle, width, keep_text=True)
     found = materialize(with_text.drop("text"), "simhash-rows")
     prints = prints_of(found)
-    candidates = materialize(links(prints.select("node", "fp"), max_bits, width).distinct(), "simhash-candidates")
-    ends = candidates.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    candidates = materialize(links(prints.select("node", "fp"), max_bits, width, keys=KEYS).distinct(), "simhash-candidates")
+    ends = materialize(candidates.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "simhash-ends")
     # all texts of one print are alike: any of them stands for it
-    texts = materialize(with_text.join(ends, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "simhash-texts")
+    texts = materialize(perhaps_in(with_text, "node", ends).where("__perhaps").join(ends, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "simhash-texts")
     release(with_text)  # texts without a candidate are read by nobody any more
     accepted = materialize(verified(candidates, texts, shingle, similarity), "simhash-verified")
     components = materialize(connected_components(accepted), "simhash-parts")
@@ -477,4 +511,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     without id are no part of a component and stay; of rows that repeat an id, all stay or none."""
     found = similar_documents(docs, id_col, text_col, shingle, similarity)
     gone = found.where(F.col(f"`{id_col}`") != F.col("component_id")).select(F.col(f"`{id_col}`").alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    gone = materialize(gone, "simhash-gone")
+    flagged = perhaps_in(docs, id_col, gone)
+    left = flagged.where("__perhaps").join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    return flagged.where("NOT __perhaps").unionByName(left).drop("__perhaps")

@@ -2,8 +2,10 @@ import random
 from collections import Counter
 
 import xxhash
+from pyspark.sql import functions as F
 
 from tessera.llm import simhash as S
+from tessera.operators.graph import connected_components
 from tests.llm.cases import SCHEMA, awkward, empty
 
 
@@ -194,3 +196,38 @@ def test_groups_around_the_threshold_against_brute_force(spark):
     for block in (S.BLOCK, 40_000):
         got = {r.doc_id: r.component_id for r in S.similar_documents(docs, block=block).collect()}
         assert n_links > 100 and len(set(label)) > 60 and sum(got[i] != label[i] for i in got) <= 0.01 * len(got)
+
+
+def test_keys_in_turns_find_the_same_links(spark):
+    rng = random.Random(31)
+    rows = []
+    for g in range(40):
+        base = [rng.getrandbits(64) for _ in range(4)]
+        for m in range(3):
+            fp = list(base)
+            for bit in rng.sample(range(256), 4 * m):
+                fp[bit // 64] ^= 1 << (bit % 64)
+            rows.append((10 * g + m, [x - (1 << 64) if x >> 63 else x for x in fp]))
+    distinct = spark.createDataFrame(rows, "node long, fp array<long>")
+    parts = lambda df: {(r.node, r.component) for r in connected_components(df).collect()}
+    found = S.links(distinct, S.NEAR_BITS, 4, keys=20)
+    assert parts(found) == parts(S.links(distinct, S.NEAR_BITS, 4)) == {(10 * g + m, 10 * g) for g in range(40) for m in range(3)}
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()  # each turn is written, none is kept
+
+
+def test_rows_that_stay_are_not_shuffled(spark):
+    """Texts reach the exact joins only if a bitmap of the keys says that they may be wanted there."""
+    n = 20_000
+    keys = spark.range(0, 3 * n, 30).select((F.col("id") - 300).alias("k"))
+    rows = spark.range(n).select(F.when(F.col("id") != 7, F.col("id")).alias("a b"))
+    got = S.perhaps_in(rows, "a b", keys)
+    assert got.columns == ["a b", "__perhaps"]
+    perhaps = {r[0] for r in got.where("__perhaps").collect()}
+    wanted = set(range(0, n, 30))
+    assert got.count() == n and wanted <= perhaps and len(perhaps - wanted) < 2 * n / S.SPARSE
+    assert "hashpartitioning(a b" not in got._jdf.queryExecution().executedPlan().toString()
+    docs = spark.createDataFrame([(i if i else None, "one two three four five six " + ("seven" if i % 2 else f"w{i} x{i} y{i} z{i}"), None, None, 0) for i in range(40)], SCHEMA)
+    kept = S.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, *range(2, 40, 2)]
+    none = spark.range(0).select(F.col("id").alias("k"))
+    assert S.perhaps_in(rows, "a b", none).where("__perhaps").count() == 0
