@@ -14,7 +14,7 @@ from tessera.llm.registry import tokenizer_path
 from tessera.session import materialize, table
 
 #: Words whose ids a packing task remembers: few, as its workers go on to hold other stages.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 100_000
 #: A text for which no language is likelier than all others together is rejected, like one without letters.
 AMBIGUOUS_BELOW = 0.5
 

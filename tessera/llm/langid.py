@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import LOWER, raw
+from tessera.llm.words import LOWER, gives_back, raw
 
 BITS = 15
 ORDERS = (2, 3)
@@ -160,6 +160,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
     names = list(keep)
     out_schema = rows.select(*[F.col(f"`{n}`") for n in names], F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous")).schema
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             letters = batch.column("__letters").to_numpy(zero_copy_only=False)

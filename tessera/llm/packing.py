@@ -30,6 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.words import gives_back
+
 END_ID = 1
 SPECIAL = "<|endoftext|>"
 SCHEMA = "id {id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, loss_tokens long"
@@ -170,6 +172,7 @@ def pack(
     narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), prompt.alias("prompt"))
     kind = narrow.schema["id"].dataType.simpleString()
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer_path, cache)
         packer = Packer(limits, TaskContext.get().partitionId() << 32, window)

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import mix, window_hashes, words
+from tessera.llm.words import gives_back, mix, window_hashes, words
 from tessera.operators.graph import connected_components, hub_join
 from tessera.session import materialize, release
 
@@ -272,6 +272,7 @@ def links_by_keys(distinct: DataFrame, n: int, masks: list[list[int]], max_bits:
         dealt = keyed.select(F.col("key").alias("group"), F.lit(False).alias("second"), "node", "fp")
     parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * len(masks) // 2_000_000))
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(), b.column(3).flatten().to_numpy()) for b in batches]
         if not got:
@@ -294,6 +295,7 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     kept = ["id", "text"] if keep_text else ["id"]
     schema = narrow.select(*kept, F.array(F.lit(0).cast("long")).alias("fp")).schema
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
@@ -370,6 +372,7 @@ def verified(edges: DataFrame, texts: DataFrame, shingle: int, similarity: float
     # a node's own text comes before those that it is compared with
     both = texts.withColumn("src", F.lit(None).cast("long")).unionByName(sent).repartition("node").sortWithinPartitions("node", F.col("src").asc_nulls_first())
 
+    @gives_back
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, own = None, None
         for batch in batches:

@@ -7,7 +7,9 @@ equal hashes, and different ones collide with a chance of about 2**-60 a pair.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,21 @@ PIECE = 1 << 20
 u64 = np.uint64
 
 
+def gives_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of a task's batches, after which Arrow returns the memory that it no longer needs: a worker lives on for
+    tasks of other stages and would hold it all that time. It is returned before the task too, as groups leave some."""
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return task
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits that spreads every bit (the splitmix64 finaliser)."""
     x = x ^ (x >> u64(30))

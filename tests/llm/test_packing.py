@@ -2,11 +2,13 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
 from tessera.llm.packing import Encoder, pack
+from tessera.llm.words import gives_back
 from tests.llm.cases import SCHEMA, awkward, empty
 
 PATH = P.path("byte_bpe_50k.json")
@@ -65,3 +67,19 @@ def test_awkward_and_empty(spark):
     assert [(r.length, r.doc_tokens) for r in rows if r.doc_id == 3] == [(1, 1)]
     assert sum(r.length for r in rows if r.doc_id == 8) == 2 * next(r.doc_tokens for r in rows if r.doc_id == 8)
     assert pack(empty(spark), PATH).count() == 0
+
+
+def test_a_task_gives_its_memory_back():
+    resident = lambda: next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith("RssAnon")) / 1024
+
+    @gives_back
+    def run(batches):
+        for batch in batches:
+            held = [pa.array([1.0] * 8192) for _ in range(1600)]  # some 100 MB in small pieces
+            yield batch.slice(len(held), 0)
+
+    batch = pa.RecordBatch.from_pydict({"x": [1, 2]})
+    before = resident()
+    for out in run(iter([batch, batch])):
+        assert out.num_rows == 0
+    assert resident() - before < 40
