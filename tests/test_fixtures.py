@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +176,23 @@ def test_similar_sets_of_frequent_items_by_blocks(spark, monkeypatch):
         assert len(links) < 20 * len(sets) and set(links) <= {(a, b) for a in sets for b in sets if a < b}
         parts = lambda pairs: {r.node: r.component for r in graph.connected_components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()}
         assert parts(links) == parts(list(want))
+
+
+def test_sets_of_one_part_are_not_compared_again(monkeypatch):
+    rng = np.random.default_rng(7)
+    base = np.arange(16)
+    # 3 crowds of alike sets and as many sets alone: all pairs of a crowd are linked
+    sets = [np.concatenate([base + 100 * (i % 3), 1000 + rng.permutation(400)[:4]]) if i % 2 else 5000 + rng.permutation(10**6)[:20] for i in range(3000)]
+    codes = pa.array([[int(mixed) for mixed in s * 2654435761 % (1 << 40)] for s in sets], pa.list_(pa.int64()))
+    found, compared = matching._Sets(codes, np.zeros(len(sets), np.int64), 0.5), []
+    linked = matching._Sets.linked
+    monkeypatch.setattr(matching._Sets, "linked", lambda self, i, j, **kw: compared.append(len(i)) or linked(self, i, j, **kw))
+    parts = matching._Parts(np.arange(len(sets)) * 10)
+    found.join(np.arange(2000), None, parts)
+    found.join(np.arange(2000), np.arange(2000, 3000), parts)
+    assert sum(compared) < 10 * len(sets)  # 375,000 pairs of the crowds are linked
+    want = {frozenset(i * 10 for i in range(3000) if i % 2 and i % 3 == k) for k in range(3)}
+    groups = {}
+    for a, b in zip(*parts.links(), strict=True):
+        groups.setdefault(a, {a}).add(b)
+    assert set(map(frozenset, groups.values())) == want and len(parts.links()[0]) == 1500 - 3
