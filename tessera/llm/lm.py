@@ -50,6 +50,8 @@ PROBES, UPPER = 14, 10
 FREQUENT = 1 << 20
 MU, D = 20.0, 0.75
 FLUSH = 3 << 20
+#: Questions of one segment are answered so many n-grams at a time.
+ASKED = 1 << 16
 #: Of each level: the smallest and the largest count; level 0 is absence.
 LEAST = np.array([0.0, *(float(math.ceil(2 ** ((q - 1) / 2))) for q in range(1, 128))])
 MOST = np.array([0.0, *(float(math.ceil(2 ** (q / 2)) - 1) for q in range(1, 128))])
@@ -104,7 +106,7 @@ def deal(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     (one place more than segments)."""
     x = mix(h)
     segment = ((x >> u64(40)) % u64(segments)).astype(np.int64)
-    order = np.argsort(segment, kind="stable")
+    order = np.argsort(segment.astype(np.uint16) if segments <= 1 << 16 else segment, kind="stable")  # 16 bits are sorted by counting
     at = np.flatnonzero(np.diff(segment[order], prepend=-1))
     return order, x[order] & u64((1 << 8 * KEY_BYTES) - 1), segment[order][at], np.append(at, len(h))
 
@@ -119,12 +121,14 @@ def unpacked(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(u64)
 
 
-def positions(h: np.ndarray, level: np.ndarray | int, segment_bits: int) -> Iterator[np.ndarray]:
-    """The places of (n-gram, level) within its segment: PROBES of level 1, UPPER of all others."""
+def places(h: np.ndarray, level: np.ndarray | int, segment_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each (n-gram, level): its first place within the segment, and how far its next ones lie apart."""
     x = mix(h + u64(0xD1B54A32D192ED03) * np.asarray(level).astype(u64))
-    a, b = x >> u64(32), (x & u64(0xFFFFFFFF)) | u64(1)
-    for i in range(PROBES if np.all(np.asarray(level) == 1) else UPPER):
-        yield ((a + u64(i) * b) % u64(segment_bits)).astype(np.int64)
+    return ((x >> u64(32)) % u64(segment_bits)).astype(np.int64), ((x & u64(0xFFFFFFFF) | u64(1)) % u64(segment_bits)).astype(np.int64)
+
+
+def probes(level: np.ndarray | int) -> int:
+    return PROBES if np.all(np.asarray(level) == 1) else UPPER
 
 
 @dataclass
@@ -137,11 +141,15 @@ class Filter:
     def holds(self, h: np.ndarray, level: np.ndarray | int) -> np.ndarray:
         """The indexes of the n-grams that are present at their level."""
         fine = np.arange(len(h))
-        for p in positions(h, level, self.segment_bits):
-            q = p[fine]
-            fine = fine[(self.bits[q >> 3] >> (q & 7).astype(np.uint8)) & 1 == 1]
-            if not len(fine):
-                break
+        p, step = places(h, level, self.segment_bits)
+        for _ in range(probes(level)):
+            there = (self.bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+            if not there.all():
+                fine, p, step = fine[there], p[there], step[there]
+                if not len(fine):
+                    break
+            p = p + step
+            p -= (p >= self.segment_bits) * self.segment_bits
         return fine
 
     def levels(self, h: np.ndarray) -> np.ndarray:
@@ -172,8 +180,11 @@ def fill(h: np.ndarray, level: np.ndarray) -> Filter:
     segment_bits = max(64, 8 * math.ceil(entries / math.log(2) / 8 * 1.02))
     bits = np.zeros(segment_bits, bool)
     for q in range(1, int(level.max(initial=0)) + 1):
-        for p in positions(h[level >= q], q, segment_bits):
+        p, step = places(h[level >= q], q, segment_bits)
+        for _ in range(probes(q)):
             bits[p] = True
+            p = p + step
+            p -= (p >= segment_bits) * segment_bits
     return Filter(np.packbits(bits, bitorder="little"), segment_bits)
 
 
@@ -260,10 +271,43 @@ def fit(train: DataFrame, text_col: str = "text", frequent: int = FREQUENT, segm
     return Model(n, v, segments, bloom, h[order], c[order].astype(np.float64), found)
 
 
-def ngrams(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a bucket: its tokens, where each text's begin, its different words and its different pairs."""
-    token, first = tokens(texts)
-    return token, first, np.unique(token), np.unique(pairs(token, first)[1])
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, each once: what np.unique gives, which since 2.3 fills a hash table for it and takes some 20 times as long."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, segment, levels) of questions (segment, bucket, data) that lie after their segment's bits (bucket -1).
+
+    Questions of one segment are answered together, since those of a single bucket are a few thousand n-grams."""
+    own, bloom = -1, None
+    for batch in batches:
+        out, waiting = [], []
+
+        def answered() -> None:
+            keys = unpacked(b"".join(x for _, x in waiting))
+            level, at = bloom.levels(keys).astype(np.uint8).tobytes(), 0
+            for bucket, x in waiting:
+                n = len(x) // KEY_BYTES
+                out.append((bucket, own, level[at : at + n]))
+                at += n
+            waiting.clear()
+
+        for segment, bucket, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if waiting and (segment != own or sum(len(x) for _, x in waiting) > ASKED * KEY_BYTES):
+                answered()
+            if bucket < 0:
+                own, bloom = segment, Filter(np.frombuffer(data, np.uint8), 8 * len(data))
+            elif segment == own:
+                waiting.append((bucket, data))
+            else:  # no n-gram was counted in this segment
+                out.append((bucket, segment, bytes(len(data) // KEY_BYTES)))
+        if waiting:
+            answered()
+        if out:
+            b, s, x = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(s, pa.int32()), pa.array(x, pa.binary())], names=["bucket", "segment", "levels"])
 
 
 def probe(model: Model, dealt: DataFrame) -> DataFrame:
@@ -272,27 +316,13 @@ def probe(model: Model, dealt: DataFrame) -> DataFrame:
     segments = model.segments
 
     def ask(docs: pa.Table) -> pa.Table:
-        _, _, one, two = ngrams(docs.column("text"))
+        token, first = tokens(docs.column("text"))
+        one, two = distinct(token), distinct(pairs(token, first)[1])
         _, keys, segment, edge = deal(np.concatenate([one, two]), segments)
         blobs = [packed(keys[a:b]) for a, b in itertools.pairwise(edge.tolist())]
         bucket = np.full(len(segment), docs.column("bucket")[0].as_py())
         return pa.table({"segment": segment.astype(np.int32), "bucket": bucket, "data": pa.array(blobs, pa.binary())})
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, bloom = -1, None
-        for batch in batches:
-            out = []
-            for segment, bucket, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket < 0:
-                    own, bloom = segment, Filter(np.frombuffer(data, np.uint8), 8 * len(data))
-                    continue
-                keys = unpacked(data)
-                level = bloom.levels(keys) if own == segment else np.zeros(len(keys))
-                out.append((bucket, segment, level.astype(np.uint8).tobytes()))
-            if out:
-                b, s, x = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(s, pa.int32()), pa.array(x, pa.binary())], names=["bucket", "segment", "levels"])
-
     # a segment's bits come before its questions
     asked = dealt.groupBy("bucket").applyInArrow(ask, "segment int, bucket long, data binary")
     bits = model.filter.select("segment", F.lit(-1).cast("long").alias("bucket"), F.col("bits").alias("data"))
@@ -322,7 +352,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         word, count, total = sent.value
-        token, first, one, two = ngrams(docs.column("text"))
+        token, first = tokens(docs.column("text"))
+        one, where = np.unique(token, return_inverse=True)
+        two, both = np.unique(pairs(token, first)[1], return_inverse=True)
         n_texts, n = docs.num_rows, np.diff(first)
         if not n_texts:
             return empty
@@ -331,7 +363,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         answers = answers.sort_by("segment")
         level = np.empty(len(one) + len(two), np.int64)
         level[deal(np.concatenate([one, two]), segments)[0]] = np.frombuffer(b"".join(answers.column("levels").to_pylist()), np.uint8)
-        where, both = np.searchsorted(one, token), np.searchsorted(two, pairs(token, first)[1])
         level_w = level[where]
         level_v = np.empty_like(level_w)
         level_v[1:] = level_w[:-1]

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.llm import lm
@@ -131,3 +132,26 @@ def test_probabilities_add_up_to_one_at_most(spark):
     for a, v in enumerate(frequent):
         mass = sum(10 ** (got[a * 100_000 + b] - first[v] - math.log10(p(w, None))) for b, w in enumerate([*words, unseen.encode()])) + p(v, None)
         assert 0.5 < mass <= 1 + 1e-9
+
+
+def test_questions_of_a_segment_are_answered_together(monkeypatch):
+    rng = np.random.default_rng(3)
+    keys = [np.unique(rng.integers(0, 1 << 40, 5000)).astype(np.uint64) for _ in range(2)]
+    filters = [lm.fill(k, rng.integers(1, 9, len(k))) for k in keys]
+    asked = [(s, b, rng.choice(keys[s], n)) for s in (0, 1) for b, n in enumerate([*rng.integers(1, 500, 60).tolist(), 0, lm.ASKED + 5])]
+    asked.append((2, 7, keys[0][:10]))  # a segment without bits
+    rows = [(s, -1, f.bits.tobytes()) for s, f in enumerate(filters)] + [(s, b, lm.packed(k)) for s, b, k in asked]
+    rows = sorted(rows, key=lambda r: r[:2])
+    want = {(b, s): filters[s].levels(k).astype(np.uint8).tobytes() if s < 2 else bytes(10) for s, b, k in asked}
+    calls, levels = [], lm.Filter.levels
+    monkeypatch.setattr(lm.Filter, "levels", lambda self, h: calls.append(len(h)) or levels(self, h))
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[a : a + 50], strict=True)], names=["segment", "bucket", "data"]) for a in range(0, len(rows), 50)]
+    got = [r for batch in lm.answer(batches) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    assert {(b, s): x for b, s, x in got} == want and len(got) == len(want)
+    assert len(calls) < 10 and sum(calls) == sum(len(k) for s, _, k in asked if s < 2)
+
+
+def test_distinct():
+    rng = np.random.default_rng(4)
+    for x in (rng.integers(0, 2**64, 5000, dtype=np.uint64), rng.integers(0, 50, 500).astype(np.uint64), np.zeros(0, np.uint64)):
+        assert (lm.distinct(x) == np.unique(x)).all()
