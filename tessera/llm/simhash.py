@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.words import gives_back, mix, window_hashes, words
-from tessera.operators.graph import connected_components, hub_join
+from tessera.operators.graph import SPARSE, connected_components, hub_join, perhaps_in  # noqa: F401
 from tessera.session import materialize, release
 
 SEED = 42
@@ -338,8 +338,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: similarity of 0.8 differ in 15.2 % (39 bits) on average and in more than 58 once in a thousand cases.
 WIDTH, NEAR_BITS = 4, 58
 SALT = 256
-#: Bits of a bitmap for each key in it.
-SPARSE = 16
 #: Bytes of text, and as many more a row, of a block of a crowd.
 BLOCK, ROW_COST = 4 << 20, 2000
 
@@ -474,20 +472,6 @@ def links_between_parts(parts: DataFrame, rejected: DataFrame, texts: DataFrame,
     return dealt.groupBy("crowd", "one", "two").applyInArrow(run, "src long, dst long")
 
 
-def perhaps_in(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """``rows`` with ``__perhaps``: true where the value is one of ``keys`` (one column, written), and for one in ``SPARSE``
-    of the others. Bitmaps of hashed keys, two bytes a key, meet the rows where they lie, so an exact join that follows
-    moves few rows that it doesn't need."""
-    width = max(1, SPARSE * keys.count())
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(width)) + 1
-    hashed = keys.select(place(F.col(f"`{keys.columns[0]}`")).alias("at"))
-    bitmaps = hashed.groupBy(F.bitmap_bucket_number("at").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__bits"))
-    at = rows.withColumn("__at", place(F.col(f"`{column}`"))).withColumn("__bucket", F.bitmap_bucket_number("__at")).withColumn("__at", F.bitmap_bit_position("__at").cast("int"))
-    byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = F.call_function("shiftright", byte, F.col("__at") % 8).bitwiseAND(F.lit(1)) == 1
-    return at.join(F.broadcast(bitmaps), "__bucket", "left").withColumn("__perhaps", F.coalesce(bit, F.lit(False))).drop("__at", "__bucket", "__bits")
-
-
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_bits: int = NEAR_BITS, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """One row per document: id, component_id (the smallest id that verified links reach)."""
     with_text = simhash(docs, id_col, text_col, shingle, width, keep_text=True)

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import plain_upper
 from tessera.functions.stats import benjamini_hochberg, benjamini_hochberg_ranged, fisher_greater, odds_ratio
+from tessera.operators.graph import perhaps_in
 from tessera.session import materialize
 
 #: Up to so many categories their table is broadcast; beyond, it is joined by shuffle.
 BROADCAST_CATEGORIES = 100_000
+#: So many edges at most, the most frequent, are broadcast.
+BROADCAST_EDGES = 300_000
 
 
 def set_overlaps(sets: DataFrame, terms: DataFrame, by: list[str], least: int = 2, restrict_to_background: bool = True, universe: Sequence[str] = ()) -> DataFrame:
@@ -54,21 +57,43 @@ def annotations(tests: DataFrame, by: list[str]) -> DataFrame:
     return tests.where("significant").withColumn("seq", F.row_number().over(order))
 
 
-def edge_enrichment(sets: DataFrame, edges: DataFrame, by: list[str], directed: bool = False) -> DataFrame:
+def _frequent_edges(edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """The ``most`` edges at most (a, b, n) that occur most often, and the others, if there are any."""
+    if edges.count() <= most:
+        return edges, None
+    by_n = edges.groupBy("n").agg(F.count("*").alias("edges"))  # as many rows as there are different counts
+    least = by_n.withColumn("so_far", F.sum("edges").over(W.orderBy(F.desc("n")))).where(F.col("so_far") <= most).agg(F.min("n")).first()[0]
+    return (edges.limit(0), edges) if least is None else (edges.where(F.col("n") >= least), edges.where(F.col("n") < least))
+
+
+def edge_enrichment(sets: DataFrame, edges: DataFrame, by: list[str], directed: bool = False, loops: bool = False) -> DataFrame:
     """(by, set_size, n_within, n_possible, density) of sets with 3 genes or more and an edge inside.
 
+    ``sets``: a gene a row, or one row a set with the list ``genes``; a set is a short list, such as a feature's top genes.
     Edges are (a, b); undirected ones are put in order first. Directed ones are probed as (smaller, larger) name, so only
-    those that run that way can hit."""
-    sets = sets.select(*by, plain_upper(F.col("gene")).alias("gene")).distinct()
-    sizes = sets.groupBy(*by).agg(F.count("*").alias("set_size")).where("set_size >= 3")
+    those that run that way can hit. An edge from a gene to itself counts if ``loops``.
+
+    Every pair of a set's genes is looked up where the set lies: the edges that occur most often, ``BROADCAST_EDGES`` at most, are
+    broadcast. Pairs that may be one of the others, by their bitmaps, are shuffled and joined with them."""
+    upper = lambda genes: F.sort_array(F.array_distinct(F.transform(genes, plain_upper)))
+    if "genes" not in sets.columns:
+        sets = sets.groupBy(*by).agg(F.collect_set("gene").alias("genes"))
+    sets = sets.dropna(subset=by).select(*by, upper(F.filter("genes", lambda g: g.isNotNull())).alias("genes")).withColumn("set_size", F.size("genes").cast("long")).where("set_size >= 3")
     a, b = plain_upper(F.col("a")), plain_upper(F.col("b"))
-    edges = (edges.select(a.alias("a"), b.alias("b")) if directed else edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))).distinct()
-    # an edge meets the sets of its first gene, then those of its second: no pair of genes is made that isn't an edge
-    first = sets.withColumnRenamed("gene", "a").join(edges, "a").where("a < b")
-    within = first.join(sets.withColumnRenamed("gene", "b"), [*by, "b"]).groupBy(*by).agg(F.count("*").alias("n_within"))
+    edges = edges.select(a.alias("a"), b.alias("b")) if directed else edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    edges = materialize(edges.where("a <= b" if loops else "a < b").groupBy("a", "b").agg(F.count("*").alias("n")), "edges")
+    frequent, others = _frequent_edges(edges, BROADCAST_EDGES)
+    # a gene with those that follow it in its set
+    first = sets.select(*by, "set_size", "genes", F.posexplode("genes").alias("at", "a"))
+    pairs = first.select(*by, "set_size", "a", F.explode(F.slice("genes", F.col("at") + (1 if loops else 2), F.size("genes"))).alias("b"))
+    found = pairs.join(F.broadcast(frequent.select("a", "b")), ["a", "b"]).groupBy(*by, "set_size").agg(F.count("*").alias("n_within"))
+    if others is not None:
+        keyed = perhaps_in(pairs.withColumn("__pair", F.xxhash64("a", "b")), "__pair", others.select(F.xxhash64("a", "b").alias("pair"))).where("__perhaps")
+        met = keyed.select(*by, "set_size", "a", "b").join(others.select("a", "b"), ["a", "b"]).groupBy(*by, "set_size").agg(F.count("*").alias("n_within"))
+        found = found.unionByName(met).groupBy(*by, "set_size").agg(F.sum("n_within").alias("n_within"))
     n = F.col("set_size")
     possible = (n * (n - 1) / 2).cast("long")
-    return within.join(sizes, by).select(*by, "set_size", "n_within", possible.alias("n_possible"), (F.col("n_within") / possible).alias("density"))
+    return found.select(*by, "set_size", "n_within", possible.alias("n_possible"), (F.col("n_within") / possible).alias("density"))
 
 
 def category_enrichment(cells: DataFrame, labels: DataFrame, share: float = 0.1, ties: bool = True, least_cells: int = 10, min_top: int = 1) -> DataFrame:

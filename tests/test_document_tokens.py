@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import train
+from tessera.operators import enrich, train
 from tessera.plans import corpus, graphs
 from tessera.sources.tables import document_tokens, leading_tokens, token_sets
 
@@ -81,3 +81,28 @@ def test_classes_of_token_sets(spark, tmp_path):
     rows = [(1, "cat dog dog", "en", "s", 0), (2, "dog cat", "en", "s", 0), (3, "owl", "en", "s", 0), (4, "owl", "en", "s", 0), (4, "owl owl", "en", "s", 0), (5, "a 1", "en", "s", 0), (6, None, "en", "s", 0), (7, "cat", "en", "s", 0), (7, "dog", "en", "s", 0)]
     assert sorted(graphs.token_set_classes(spark, written(spark, tmp_path, rows)).collect()) == [(1, 1), (2, 1), (3, 3), (4, 3), (7, 1)]
     assert "Exchange" not in plan(token_sets(spark, written(spark, tmp_path, rows[:3])))
+
+
+EDGE_ROWS = [(1, "λόγος λόγοσ abc def", "el", "s", 0), (2, "abc abc def owl cat", "en", "s", 0), (3, "owl owl abc cat def", "en", "s", 0), (4, "owl cat", "en", "s", 0), (None, "owl cat abc emu", "en", "s", 0)]
+EDGE_ROWS += [(5, "cat cat dog", "en", "s", 0), (5, "dog abc emu", "de", "s", 0)]
+
+
+@pytest.mark.parametrize("most", [0, 2, 300_000])
+def test_edges_within_documents_however_many_are_broadcast(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(enrich, "BROADCAST_EDGES", most)
+    sf = written(spark, tmp_path, EDGE_ROWS)
+    got = sorted((r.doc_id, r.set_size, r.n_within, r.n_possible, r.density) for r in corpus.edge_enrichment(spark, sf).collect())
+    # the rows that DuckDB returns for the query's SQL; a token whose upper case is its neighbour's is an edge to itself
+    assert got == [(1, 3, 3, 3, 1.0), (2, 4, 6, 6, 1.0), (3, 4, 6, 6, 1.0), (5, 4, 2, 6, 0.333333)]
+
+
+def test_pairs_of_a_set_meet_edges_where_the_set_lies(spark):
+    sets = spark.createDataFrame([(i, ["the", "and", f"w{i}", f"v{i}"]) for i in range(20)], "id long, genes array<string>")
+    edges = spark.createDataFrame([("the", "and"), ("and", "w3"), *[("the", f"w{i}") for i in range(10)]], "a string, b string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = enrich.edge_enrichment(sets, edges, ["id"])
+        assert "SortMergeJoin" not in plan(found) and "ShuffledHashJoin" not in plan(found)
+        assert {r.id: r.n_within for r in found.collect()} == {i: 1 + (i < 10) + (i == 3) for i in range(20)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
