@@ -106,3 +106,10 @@ def test_pairs_of_a_set_meet_edges_where_the_set_lies(spark):
         assert {r.id: r.n_within for r in found.collect()} == {i: 1 + (i < 10) + (i == 3) for i in range(20)}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_every_id_has_a_place(spark, tmp_path):
+    rows = [(i, f"cat dog owl emu w{chr(97 + i % 7) * 3}", "en", "s", 0) for i in range(40)] + [(3, "dog dog", "de", "s", 0), (None, "owl emu yak", "en", "s", 0), (None, "owl", "de", "s", 0), (50, "a b", "en", "s", 0)]
+    places = corpus.document_map(spark, written(spark, tmp_path, rows)).collect()
+    assert sorted(str(r.doc_id) for r in places) == sorted([*map(str, range(40)), "None"])
+    assert all(math.isfinite(r.x) and math.isfinite(r.y) for r in places)
