@@ -121,6 +121,14 @@ def test_blocks_of_the_orders_find_neighbours(spark, monkeypatch):
     assert sorted(many.collect()) == sorted(embed.nearest_neighbours(vectors.repartition(7), k=10).collect())
 
 
+def test_descent_after_the_orders(spark, monkeypatch):
+    x = documents(800)
+    vectors = embed.sparse_vectors(rows_of(spark, {0: x})).cache()
+    monkeypatch.setattr(embed, "BLOCK", 100)
+    alone, then = (recall(embed.nearest_neighbours(vectors, k=10, trees=2, max_rounds=n), x, 10) for n in (0, 3))
+    assert then > alone
+
+
 def test_equal_nodes_fill_no_task(spark, monkeypatch):
     x = np.zeros((900, 3))
     x[:, 0] = 1
